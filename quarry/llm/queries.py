@@ -14,6 +14,7 @@ from quarry.llm.quality import judge
 from quarry.llm.simhash import near_duplicates
 from quarry.llm.substring_dedup import dedup_windows
 from quarry.llm.suffix_dedup import dedup_suffixes
+from quarry.llm.token_files import encode_and_read
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,9 +45,13 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_quality_classifier, op4_simhash_near_dedup, op5_benchmark_decontamination, op7_suffix_dedup, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op2_substring_dedup, op3_quality_classifier, op4_simhash_near_dedup, op5_benchmark_decontamination, op7_suffix_dedup, op8_token_binary, op10_best_fit_packing)}
