@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from quarry.llm.decontamination import contamination
 from quarry.llm.fingerprints import fingerprint_pairs
+from quarry.llm.html_text import extract_text
 from quarry.llm.packing import pack_documents
 from quarry.llm.quality import judge
 from quarry.llm.simhash import near_duplicates
 from quarry.llm.substring_dedup import dedup_windows
 from quarry.llm.suffix_dedup import dedup_suffixes
 from quarry.llm.token_files import encode_and_read
+from quarry.llm.url_filter import judge_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +47,17 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+#: The stated rules of the URL filter.
+RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is the label with its id: good if of quality and not toxic."""
+    labels = _table(spark, sf_dir, "labels")
+    outcomes = labels.select(F.col("doc_id").alias("page"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int").alias("good"))
+    return judge_urls(_table(spark, sf_dir, "pages"), outcomes, RULES)
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_suffixes(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -54,9 +67,13 @@ def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_document_fingerprints, op2_substring_dedup, op3_quality_classifier, op4_simhash_near_dedup, op5_benchmark_decontamination, op7_suffix_dedup, op8_token_binary, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_document_fingerprints, op2_substring_dedup, op3_quality_classifier, op4_simhash_near_dedup, op5_benchmark_decontamination, op6_url_filter, op7_suffix_dedup, op8_token_binary, op9_html_text, op10_best_fit_packing)}
