@@ -76,22 +76,22 @@ def _index(rows: list[tuple[int, bytes]], counts: dict[bytes, int]) -> dict[byte
     return {w: {p: dict(x) for p, x in places.items()} for w, places in index.items()}
 
 
-_HITS = pa.schema([("doc", pa.int64()), ("text_hash", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.int64()))])
+_HITS = [pa.field("text_hash", pa.int64()), pa.field("n_words", pa.int64()), pa.field("hits", pa.list_(pa.int32())), pa.field("items", pa.list_(pa.int64()))]
 
 
-def _find(shared):
+def _find(shared, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, out = shared.value, Rows(_HITS)
+        index, out = shared.value, None
         for batch in batches:
-            ids = batch.column("doc")
-            for first, texts in text_chunks(batch):
+            kept = [k for k, name in enumerate(batch.schema.names) if name != "__text"]
+            out = out or Rows(pa.schema([*(batch.schema.field(k) for k in kept), *_HITS]), 2_000)
+            for first, texts in text_chunks(batch, column):
                 n_words, hits, items = [], [], []
                 hashes = np.array([xxhash.xxh64_intdigest(b) for b in texts], dtype=np.uint64).view(np.int64)
                 for b in texts:
                     words = words_of(b)
-                    at = [k for k, w in enumerate(words) if w in index]
                     mask, found = None, set()
-                    for k in at:
+                    for k in [k for k, w in enumerate(words) if w in index]:
                         for (place, width), windows in index[words[k]].items():
                             lo = k - place
                             if lo < 0 or lo + width > len(words):
@@ -105,14 +105,15 @@ def _find(shared):
                     n_words.append(len(words))
                     hits.append([] if mask is None else np.flatnonzero(mask))
                     items.append(sorted(x for x in found if x is not None))
-                yield from out.add(ids.slice(first, len(texts)), hashes, n_words, hits, items)
-        yield from out.rest()
+                yield from out.add(*(batch.column(k).slice(first, len(texts)) for k in kept), hashes, n_words, hits, items)
+        if out is not None:
+            yield from out.rest()
 
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, per_slice: int = PER_SLICE) -> DataFrame:
-    """(id, n_words, n_hit, items) for every row of ``docs``; ``items``: sorted ids of the items with windows in the document.
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, per_slice: int = PER_SLICE, carry: list[str] | None = None) -> DataFrame:
+    """(id or ``carry``..., n_words, n_hit, items) for every row of ``docs``; ``items``: sorted ids of the items with windows in the document.
 
     Words: A-Z in lower case, then runs of digits, letters a-z and non-ASCII.
     A window is ``width`` consecutive words of an item; an item of fewer words,
@@ -121,24 +122,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     but name no item; rows of ``docs`` that share an id are judged one by one.
     """
     spark = docs.sparkSession
-    d = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    keep = {f"c{k}": c for k, c in enumerate(carry or [id_col])}
+    own = next((k for k, c in keep.items() if c == text_col), "__text")  # a carried text is read in place
+    d = docs.select(*(F.col(c).alias(k) for k, c in keep.items()), *([F.col(text_col).alias("__text")] if own == "__text" else []))
     windows = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).mapInArrow(_windows(width), "item long, window binary")
     slices = max(1, -(-windows.count() // per_slice))
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in d.schema.fields if f.name != "__text")
     found = []
     for s in range(slices):
         rows = [(r["item"], bytes(r["window"])) for r in windows.where(F.pmod(F.xxhash64("window", "item"), F.lit(slices)) == s).collect()]
         vocabulary = spark.sparkContext.broadcast(frozenset(w for _, x in rows for w in x.split(b" ")))
-        counted = d.select("text").mapInArrow(_count(vocabulary), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+        counted = d.select(F.col(own).alias("text")).mapInArrow(_count(vocabulary), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
         index = _index(rows, {bytes(r["word"]): r["n"] for r in counted})
-        found.append(d.mapInArrow(_find(spark.sparkContext.broadcast(index)), "doc long, text_hash long, n_words long, hits array<int>, items array<long>"))
-    if slices == 1:
-        out = found[0]
-    else:
+        found.append(d.mapInArrow(_find(spark.sparkContext.broadcast(index), own), kinds + "text_hash long, n_words long, hits array<int>, items array<long>"))
+    out = found[0]
+    if slices > 1:
         # The hits of a text in the slices belong together; equal rows are counted and told apart again.
-        out = reduce(DataFrame.unionByName, found).groupBy("doc", "text_hash", "n_words").agg(
+        out = reduce(DataFrame.unionByName, found).groupBy(*keep, "text_hash", "n_words").agg(
             F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
             (F.count("*") / slices).cast("int").alias("copies"),
         )
         out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
-    return out.select(F.col("doc").alias(id_col), "n_words", F.size("hits").cast("long").alias("n_hit"), "items")
+    return out.select(*(F.col(k).alias(c) for k, c in keep.items()), "n_words", F.size("hits").cast("long").alias("n_hit"), "items")

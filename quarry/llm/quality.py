@@ -90,19 +90,22 @@ def _bins(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return (x[:, :, None] > edges[None]).reshape(len(x), -1).astype(np.float32)
 
 
-def _descend(p: np.ndarray, u: np.ndarray, slope, rounds: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Adam over the whole sample.  ``slope``: margins to the risk's derivatives by margin."""
+def _descend(p: np.ndarray, u: np.ndarray, risk, rounds: int = 400, rate: float = 0.05, decay: float = 3e-4) -> tuple[np.ndarray, float]:
+    """Adam over the whole sample; the weights of least risk.  ``risk``: margins to the risk and its derivatives by margin."""
     x = np.concatenate([p, u])
-    w, b = np.zeros(x.shape[1]), 0.0
+    w, b, best = np.zeros(x.shape[1]), 0.0, (np.inf, None, 0.0)
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, rounds + 1):
         f = x @ w + b
-        d = slope(f[: len(p)], f[len(p) :])
+        value, d = risk(f[: len(p)], f[len(p) :])
+        value += decay * (w @ w) / 2
+        if value < best[0]:
+            best = value, w, b
         g = np.append(d @ x + decay * w, d.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    return w, float(b)
+    return best[1], float(best[2])
 
 
 def _sigmoid(f: np.ndarray) -> np.ndarray:
@@ -114,7 +117,7 @@ def class_prior(p: np.ndarray, u: np.ndarray, least: float = 0.05) -> float:
     fit_p, fit_u, p, u = p[::2], u[::2], p[1::2], u[1::2]
     if not (len(p) and len(u)):
         return 0.5
-    w, b = _descend(fit_p, fit_u, lambda fp, fu: np.concatenate([-_sigmoid(-fp) / len(fp), _sigmoid(fu) / len(fu)]) / 2, rounds=200)
+    w, b = _descend(fit_p, fit_u, lambda fp, fu: ((np.logaddexp(0, -fp).mean() + np.logaddexp(0, fu).mean()) / 2, np.concatenate([-_sigmoid(-fp) / len(fp), _sigmoid(fu) / len(fu)]) / 2), rounds=200)
     sp, su = np.sort(p @ w + b)[::-1], np.sort(u @ w + b)[::-1]
     at = np.unique((np.arange(1, 101) / 100 * len(sp)).astype(int)) - 1
     at = at[at >= max(1, least * len(sp))]
@@ -127,6 +130,35 @@ def class_prior(p: np.ndarray, u: np.ndarray, least: float = 0.05) -> float:
     return float(np.clip(qu[best] / qp[best], 0.05, 0.99))
 
 
+def _calibrate(fp: np.ndarray, fu: np.ndarray, prior: float, ridge: float = 1e-3) -> tuple[float, float]:
+    """Scale and offset of the margins that minimise the unbiased logistic risk, which is convex; Newton's method.
+
+    At zero the clipped risk stops telling good margins from better ones; two
+    parameters cannot overfit, so their risk needs no clipping.  The mean score
+    of the unlabelled rows comes to the class prior.
+    """
+    spread = max(float(np.std(fu)), 1e-9)
+    fp, fu = fp / spread, fu / spread
+    mean = np.array([fp.mean(), 1.0])
+    x = np.stack([fu, np.ones(len(fu))], axis=1)
+
+    def risk(theta: np.ndarray) -> float:
+        return np.logaddexp(0, x @ theta).mean() - prior * (mean @ theta) + ridge * theta[0] ** 2 / 2
+
+    theta = np.array([1.0, 0.0])
+    for _ in range(100):
+        s = _sigmoid(x @ theta)
+        g = (s @ x) / len(x) - prior * mean + np.array([ridge * theta[0], 0.0])
+        h = (x * (s * (1 - s))[:, None]).T @ x / len(x) + np.diag([ridge, 1e-6])
+        step, rate = np.linalg.solve(h, g), 1.0
+        while rate > 1e-6 and risk(theta - rate * step) > risk(theta):
+            rate /= 2
+        theta = theta - rate * step
+        if np.abs(rate * step).max() < 1e-9:
+            break
+    return float(theta[0] / spread), float(theta[1])
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
     """Non-negative PU learning on feature rows.  Without positives or unlabelled rows every score is 0.5."""
     if not len(positive) or not len(unlabelled):
@@ -137,15 +169,18 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
     p, u = _bins(positive, edges), _bins(unlabelled, edges)
     prior = class_prior(p, u)
 
-    def slope(fp: np.ndarray, fu: np.ndarray) -> np.ndarray:
+    def risk(fp: np.ndarray, fu: np.ndarray) -> tuple[float, np.ndarray]:
+        positive = prior * np.logaddexp(0, -fp).mean()
         negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        pull = -prior * _sigmoid(-fp) / len(fp)
-        down_p, down_u = -prior * _sigmoid(fp) / len(fp), _sigmoid(fu) / len(fu)
-        if negative < 0:  # overfitted: climb back on that part alone
-            return np.concatenate([-down_p, -down_u])
-        return np.concatenate([pull + down_p, down_u])
-
-    w, b = _descend(p, u, slope)
+        d_p, d_u = -prior * _sigmoid(-fp) / len(fp), np.zeros(len(fu))
+        if negative > 0:  # else the estimate of a risk is below 0, which is overfitting, and counts as 0
+            d_p = d_p - prior * _sigmoid(fp) / len(fp)
+            d_u = _sigmoid(fu) / len(fu)
+        return positive + max(0.0, negative), np.concatenate([d_p, d_u])
+
+    w, b = _descend(p, u, risk)
+    scale, offset = _calibrate(p @ w + b, u @ w + b, prior)
+    w, b = w * scale, b * scale + offset
     return Model(edges, w, b, prior)
 
 
@@ -160,17 +195,14 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out.rest()
 
 
-_SCORES = pa.schema([("row", pa.int64()), ("score", pa.float64())])
-
-
-def _scored(model: Model, schema: pa.Schema):
-    """Appends the score of ``text`` to the rows, whatever else they hold."""
+def _scored(model: Model, column: str, keep: list[str]):
+    """Appends the score of ``column`` to the columns ``keep``, whatever they hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [model.score(np.stack([features(b) for b in texts])) for _, texts in text_chunks(batch, batch.schema.names[-1])]
+            parts = [model.score(np.stack([features(b) for b in texts])) for _, texts in text_chunks(batch, column)]
             score = pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], score], names=[*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), score], names=[*keep, "score"])
 
     return run
 
@@ -201,12 +233,12 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     """Columns ``keep`` (all, if None) of every row of ``docs``, and ``score``: the probability of label 1.
 
     Null texts count as empty; empty texts are scored like any other.  A
-    column of ``docs`` named ``score`` or ``__text`` is not kept.
+    column of ``docs`` named ``score`` is not kept.
     """
-    names = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "__text")]
-    slim = docs.select(*(F.col(f"`{c}`") for c in names), F.col(text_col).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
-    return slim.mapInArrow(_scored(model, None), (schema + ", " if schema else "") + "score double")
+    names = [c for c in (docs.columns if keep is None else keep) if c != "score"]
+    slim = docs.select(*(F.col(f"`{c}`") for c in names), *([] if text_col in names else [F.col(text_col)]))
+    schema = "".join(f"`{c}` {slim.schema[c].dataType.simpleString()}, " for c in names)
+    return slim.mapInArrow(_scored(model, text_col, names), schema + "score double")
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:

@@ -26,40 +26,47 @@ def _first_by_hash(windows: DataFrame) -> DataFrame:
     return rows.join(first, ["h1", "h2"]).where("doc > d0").select("doc", "pos")
 
 
-def _cut(width: int):
-    schema = pa.schema([("doc", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
-
+def _cut(width: int, carried: int, rejoin: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Rows(schema, 2_000)
+        out = None
         for batch in batches:
-            ids, spans = batch.column("doc"), batch.column("spans")
+            if out is None:
+                new = [("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())]
+                out = Rows(pa.schema([*(batch.schema.field(k) for k in range(1 + carried)), *(pa.field(*x) for x in new)]), 2_000)
+            spans = batch.column("spans")
             for first, texts in text_chunks(batch):
-                rows = []
+                n_words, removed, kept = [], [], []
                 for i, b in enumerate(texts, first):
                     words, gone = b.split(), 0
-                    n = len(words)
+                    n_words.append(len(words))
                     if spans[i].is_valid:
-                        mask = covered(spans[i].as_py(), n, width)
+                        mask = covered(spans[i].as_py(), len(words), width)
                         gone = int(mask.sum())
                         words = list(compress(words, ~mask))
-                    rows.append((ids[i].as_py(), n, gone, b" ".join(words)))
-                a, n, g, t = zip(*rows, strict=True)
-                yield from out.add(list(a), list(n), list(g), pa.array(t, pa.binary()).cast(pa.string()))
-        yield from out.rest()
+                    removed.append(gone)
+                    kept.append(b" ".join(words) if gone or rejoin else b)
+                as_they_are = (batch.column(k).slice(first, len(texts)) for k in range(1 + carried))
+                yield from out.add(*as_they_are, n_words, removed, pa.array(kept, pa.binary()).cast(pa.string()))
+        if out is not None:
+            yield from out.rest()
 
     return run
 
 
-def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """(id, n_words, n_removed, kept_text) for every row of ``docs``.
+def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, carry: list[str] | None = None, rejoin: bool = True) -> DataFrame:
+    """(id, ``carry``..., n_words, n_removed, kept_text) for every row of ``docs``.
 
     Words are ``[^\\x20\\x09-\\x0D]+``.  A word goes if a window over it also
     starts in a document with a smaller id; windows are judged on the input.
     Null and empty texts, and texts shorter than a window, keep all they have.
     A row with a null id takes part in no comparison.  Rows that share an id
     count as one document: what is found in one is cut from each.
+    ``kept_text`` is the kept words joined by one space; without ``rejoin`` a
+    text that loses nothing stays as it is (null: empty).
     """
-    d = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    extra = {f"c{k}": c for k, c in enumerate(carry or [])}
+    d = docs.select(F.col(id_col).cast("long").alias("doc"), *(F.col(c).alias(k) for k, c in extra.items()), F.col(text_col).alias("text"))
     spans = removal_spans(d, Windows(width, width // 2, words=True, within=False), _first_by_hash)
-    cut = d.join(spans, "doc", "left").select("doc", "text", "spans").mapInArrow(_cut(width), "doc long, n_words long, n_removed long, kept_text string")
-    return cut.withColumnRenamed("doc", id_col)
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in d.schema.fields[:-1])
+    cut = d.join(spans, "doc", "left").select(*d.columns, "spans").mapInArrow(_cut(width, len(extra), rejoin), kinds + "n_words long, n_removed long, kept_text string")
+    return cut.withColumnsRenamed({"doc": id_col} | extra)
