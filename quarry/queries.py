@@ -1,15 +1,14 @@
-"""Queries by name, each with the SQL that checks it."""
+"""Queries by name, each with the SQL that checks it where SQL can."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quarry.plans import retrieval_queries, text_queries  # noqa: F401
+from quarry.plans.corpus import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
