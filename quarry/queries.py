@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.plans import retrieval_queries, text_queries  # noqa: F401
+from quarry.plans import precedence_queries, retrieval_queries, text_queries  # noqa: F401
 from quarry.plans.corpus import QUERIES, SQL, Query
 
 
