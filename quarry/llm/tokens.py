@@ -18,7 +18,7 @@ import numpy as np
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "᠎")
 _RUNS = re.compile(r"\S+|\s+")
 #: Words remembered of each kind.
-KNOWN = 300_000
+KNOWN = 600_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -42,10 +42,13 @@ class _Known(dict):
         super().__init__()
         self.library, self.model, self.before, self.fold = library, library.model, before, fold
         self.marks = self if marks is None else marks
+        self.mark = before.encode().decode("latin-1").translate(_LETTERS)
 
     def __missing__(self, word: str) -> bytes:
         if self.fold and "\u0130" in word:  # its lower case is two characters, the second of which is no letter
             ids = self.library.encode(word, add_special_tokens=False).ids
+        elif word.isascii() and word.isalpha():  # the letters stand for themselves
+            ids = [t.id for t in self.model.tokenize(self.mark + (word.lower() if self.fold else word))]
         elif word.isalpha() and max(word) < "\u0250":
             letters = (self.before + (word.lower() if self.fold else word)).encode().decode("latin-1").translate(_LETTERS)
             ids = [t.id for t in self.model.tokenize(letters)]
