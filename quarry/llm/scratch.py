@@ -29,6 +29,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
+    spark._jvm.System.gc()  # the shuffle files of the plan just run go when the driver collects its garbage
     out = spark.read.schema(df.schema).parquet(path)
     out._quarry_path = path
     return out

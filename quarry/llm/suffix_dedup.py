@@ -23,6 +23,7 @@ from quarry.llm.repeats import Windows, covered, removal_spans
 
 WIDTH = 100
 GRAM = 24
+BLOCKS = (16, 4)
 
 
 def _rerank(pairs: DataFrame) -> DataFrame:
@@ -85,6 +86,6 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("width must be a multiple of 4")
     d = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     quarters = tuple(width // 4 * i for i in range(4))
-    spans = removal_spans(d, Windows(width, min(GRAM, width // 2), words=False, within=True), _doubled(width), quarters)
+    spans = removal_spans(d, Windows(width, min(GRAM, width // 2), words=False, within=True, blocks=BLOCKS), _doubled(width), quarters)
     cut = d.join(spans, "doc", "left").select("doc", "text", "spans").mapInArrow(_cut(width), "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
     return cut.withColumnRenamed("doc", id_col)
