@@ -123,9 +123,11 @@ def contents_lines(lines: list[str], headings: list[tuple]) -> set[int]:
     run: list[int] = []
 
     def close() -> None:
-        again = {h[2] for k, h in enumerate(headings) if not run or k > run[-1]}
-        if len(run) >= X.TOC_RUN_MIN and sum("." in headings[k][2] for k in run) >= 0.6 * len(run) and sum(headings[k][2] in again for k in run) >= 0.35 * len(run):
-            for k in run:
+        restarts = [j for j in range(1, len(run)) if article_key(headings[run[j]][2]) <= article_key(headings[run[j - 1]][2])]
+        listed = run[: restarts[-1]] if restarts and len(run) - restarts[-1] < X.TOC_RUN_MIN else run[:]
+        again = {h[2] for k, h in enumerate(headings) if listed and k > listed[-1]}
+        if len(listed) >= X.TOC_RUN_MIN and sum("." in headings[k][2] for k in listed) >= 0.6 * len(listed) and sum(headings[k][2] in again for k in listed) >= 0.35 * len(listed):
+            for k in listed:
                 dead.update(range(headings[k][0], headings[k][0] + headings[k][1]))
         run.clear()
 
@@ -135,9 +137,10 @@ def contents_lines(lines: list[str], headings: list[tuple]) -> set[int]:
         body = [x for x in range(end, after) if lines[x].strip()]
         if body and re.fullmatch(r"\d{1,3}", lines[body[0]].strip()):
             dead.update([*range(h[0], end), body[0]])
-        run.append(k)
         if h[4] or any(not re.fullmatch(r"\d{1,3}", lines[x].strip()) for x in body):
             close()
+        else:
+            run.append(k)
     close()
     return dead
 
@@ -152,15 +155,15 @@ def segments_of(lines: list[str], pages: list[int]) -> list[dict]:
     parts = [i for i, x in enumerate(text) if (m := PART.match(x.strip())) and len(x) <= 80 and not x.rstrip().endswith((".", ",", ";")) and found and i > found[0][0]]
     found = enforce_sequence(found, parts)
     marks = sorted([(h[0], h[1], h[2], h[3], h[4]) for h in found] + [(i, 1, "", text[i].strip(), "") for i in parts])
+    if not marks or marks[0][0] > 0:
+        marks.insert(0, (0, 0, "", "", ""))
     out, label = [], ""
-    for k, (at, used, article, heading, body) in enumerate([(0, 0, "", "", ""), *marks] if not marks or marks[0][0] > 0 else marks):
-        rest = [m[0] for m in marks if m[0] > at or (m[0] == 0 and used == 0 and k == 0)]
-        end = min(rest, default=len(text))
+    for (at, used, article, heading, body), end in zip(marks, [*(m[0] for m in marks[1:]), len(text)], strict=True):
         if at in parts:
             label = heading[:80]
         joined = "\n".join(([body] if body else []) + text[at + used : end])
         if article or joined.strip() or at in parts:
-            out.append({"ordinal": len(out), "article": article, "heading": heading, "part": label, "body": joined, "page": page[min(at, len(page) - 1)] if page else 1, "page_end": page[min(end, len(page)) - 1] if page else 1})
+            out.append({"ordinal": len(out), "article": article, "heading": heading, "part": label, "body": joined, "page": page[at] if page else 1, "page_end": page[max(at, end - 1)] if page else 1})
     return out
 
 

@@ -94,7 +94,7 @@ def feed_records(html: str) -> list[dict[str, str]]:
     """Records of a news feed in a page's script; each reaches to the next one's start."""
     starts = [m.start() for m in _RECORD.finditer(html)]
     out = []
-    for lo, hi in zip(starts, [*starts[1:], len(html)], strict=True):
+    for lo, hi in zip(starts, [*starts, len(html)][1:], strict=True):
         part = html[lo:hi]
         row = {"id": _RECORD.match(part)[1]}
         for field in ("title", "excerpt", "href", "publishedDate", "label", "body"):
