@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.arrow import Rows
+from quarry.llm.scratch import materialise
 from quarry.llm.url_filter import host_of
 
 #: A subtree is template if it is on so many pages of its host at least, and on this share of them.
 LEAST_PAGES, SHARE = 10, 0.5
+MOST_BROADCAST = 1_000_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -237,6 +239,23 @@ def templates(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE)
     return common.groupBy("host").agg(F.collect_list("h").alias("template"))
 
 
+def _with_template(rows: DataFrame, least: int, share: float) -> DataFrame:
+    """``rows`` with their host's template; pages of a hot host stay spread over the tasks.
+
+    The table of templates is counted first.  None: nothing to join.  Up to
+    ``MOST_BROADCAST`` hashes (8 bytes each): broadcast.  Beyond: a shuffle join
+    under a key that Spark deals out anew on both sides, so that AQE may split a
+    hot host's partition.
+    """
+    found = materialise(templates(rows, least, share), "templates")
+    size = found.agg(F.coalesce(F.sum(F.size("template")), F.lit(0))).first()[0]
+    if size == 0:
+        return rows.withColumn("template", F.lit(None).cast("array<long>"))
+    if size <= MOST_BROADCAST:
+        return rows.join(F.broadcast(found), "host", "left")
+    return rows.join(found.withColumn("host", F.substring("host", 1, 1 << 20)), "host", "left")
+
+
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
     """(id, url, text, n_chars) for every row of ``pages``.
 
@@ -245,7 +264,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     of their own.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    with_template = rows.join(templates(rows, least, share), "host", "left").select("id", "url", "html", "template")
+    with_template = _with_template(rows, least, share).select("id", "url", "html", "template")
     kinds = dict(rows.dtypes)
     out = with_template.mapInArrow(_extract, f"id {kinds['id']}, url string, text string")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
