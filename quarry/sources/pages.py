@@ -113,3 +113,9 @@ def feed(pages: DataFrame) -> DataFrame:
         return [tuple(r[k.split()[0]] for k in kinds.split(", ")) for r in feed_records(html or "")]
 
     return pages.select("page_id", "url", F.explode(records("html")).alias("r")).select("page_id", "url", "r.*")
+
+
+def download_link(html: Column, page_url: Column, text: str = r"download\s+rulebook") -> Column:
+    """The first link to a PDF whose text matches, resolved; null if there is none."""
+    href = F.regexp_extract(html, rf"(?is)<a\s[^>]*href=\"([^\"]*\.pdf(?:[?#][^\"]*)?)\"[^>]*>(?:(?!</a>).)*?{text}", 1)
+    return F.when(href != "", resolve_url(href, page_url))
