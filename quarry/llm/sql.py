@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from quarry.llm.url_filter import CUT, LOWER, STRENGTH, TWO_LABEL_SUFFIXES, UPPER, Z
+
 SUBSTRING_DEDUP = r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
@@ -47,5 +49,46 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+_TWO = ", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)
+_LAST2, _LAST3 = "array_to_string(string_split(host, '.')[-2:], '.')", "array_to_string(string_split(host, '.')[-3:], '.')"
+
+
+def _strength(level: str) -> str:
+    spread = "sum(n * pow(k / n - mean, 2)) / sum(n) - mean * (1 - mean) * count(*) / sum(n)"
+    return f"(SELECT coalesce(least(greatest(mean * (1 - mean) / greatest({spread}, 1e-6) - 1, {STRENGTH[0]}), {STRENGTH[1]}), {STRENGTH[0]}) FROM {level}, whole WHERE n > 0 GROUP BY mean)"
+
+
+URL_FILTER = rf"""
+WITH p AS (
+  SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) END AS rest FROM pages
+), h AS (
+  SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM p
+), lab AS (
+  SELECT doc_id AS page_id, max(CAST(quality = 1 AND toxic = 0 AS INTEGER)) AS good FROM labels GROUP BY doc_id
+), hosts AS (
+  SELECT host, count(good) AS n, coalesce(sum(good), 0) AS k, CASE WHEN {_LAST2} IN ({_TWO}) THEN {_LAST3} ELSE {_LAST2} END AS domain,
+    CASE WHEN {_LAST2} IN ({_TWO}) THEN {_LAST2} ELSE array_to_string(string_split(host, '.')[-1:], '.') END AS suffix
+  FROM h LEFT JOIN lab USING (page_id) GROUP BY host
+), domains AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY suffix, domain
+), suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY suffix
+), whole AS (SELECT CASE WHEN sum(n) > 0 THEN sum(k) / sum(n) ELSE 0.5 END AS mean FROM suffixes
+), strength AS (SELECT mean, {_strength("suffixes")} AS s0, {_strength("domains")} AS s1, {_strength("hosts")} AS s2 FROM whole
+), prior AS (
+  SELECT host, n, k, s2, (dk - k + s1 * ((sk - dk + s0 * mean) / (sn - dn + s0))) / (dn - n + s1) AS m
+  FROM (SELECT hosts.*, domains.n AS dn, domains.k AS dk, suffixes.n AS sn, suffixes.k AS sk FROM hosts JOIN domains USING (suffix, domain) JOIN suffixes USING (suffix)), strength
+), own AS (
+  SELECT host, CASE WHEN a / (a + b) + {Z} * sqrt(a * b / (pow(a + b, 2) * (a + b + 1))) < {CUT} THEN 'block' ELSE 'allow' END AS verdict
+  FROM (SELECT host, k + s2 * m AS a, n - k + s2 * (1 - m) AS b FROM prior)
+), rules AS (
+  SELECT verdict, rule, split_part(rule, '/', 1) AS rule_host, substr(rule, position('/' IN rule)) AS start
+  FROM (VALUES ('allow', 'org/'), ('block', 'example.org/es/'), ('block', 'example.org/en/1'), ('allow', 'com/fr/'), ('block', 'com/de/')) t(verdict, rule)
+), hit AS (
+  SELECT page_id, arg_max(rules.rule, length(rules.rule)) AS rule, arg_max(rules.verdict, length(rules.rule)) AS verdict
+  FROM h JOIN rules ON (h.host = rule_host OR ends_with(h.host, '.' || rule_host)) AND starts_with(path, start) GROUP BY page_id
+)
+SELECT h.page_id, h.host, h.path, hit.rule, coalesce(hit.verdict, own.verdict) AS verdict FROM h JOIN own USING (host) LEFT JOIN hit USING (page_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": SUBSTRING_DEDUP, "op5_benchmark_decontamination": DECONTAMINATION}
+    return {"op2_substring_dedup": SUBSTRING_DEDUP, "op5_benchmark_decontamination": DECONTAMINATION, "op6_url_filter": URL_FILTER}

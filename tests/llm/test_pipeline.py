@@ -1,0 +1,44 @@
+"""The pipeline's stages, one after another, against brute force where a stage allows."""
+
+import corpus_pipeline
+from quarry.llm import queries
+from quarry.llm.scratch import materialise
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns = docs.columns
+    before = {r["doc_id"] for r in docs.select("doc_id").collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        after = materialise(stage(spark, docs, SF), name)
+        ids = {r["doc_id"] for r in after.select("doc_id").collect()}
+        assert ids <= before
+        if name != "packing":
+            assert after.columns == columns
+        else:
+            assert ids == before
+        docs, before = after, ids
+    assert before
+
+
+def test_stages_keep_clean_documents(spark):
+    rows = [(k, " ".join(f"word{k}x{j}" for j in range(80)), "en", "s", 1) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for stage in (corpus_pipeline.near_dedup, corpus_pipeline.substring_dedup, corpus_pipeline.decontaminate):
+        assert sorted(tuple(r) for r in stage(spark, docs, SF).collect()) == sorted(rows)
+
+
+def test_stages_drop_copies(spark):
+    text = " ".join(f"w{j}" for j in range(80))
+    rows = [(1, text), (2, text), (3, "new " + text), (4, None), (5, "")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    cut = {r["doc_id"]: r["text"] for r in corpus_pipeline.substring_dedup(spark, docs, SF).collect()}
+    assert cut == {1: text, 3: "new", 4: "", 5: ""}
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == {1, 4}
+
+
+def test_every_operator_is_registered():
+    names = queries.queries()
+    assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 11))
