@@ -82,3 +82,25 @@ def express_primacy(text: Column) -> Column:
 def relevant(chunk_ids: Column, accountable: Column) -> Column:
     """Does a finding touch what retrieval ranked highest (or is nothing ranked)?"""
     return (F.size(accountable) == 0) | F.arrays_overlap(chunk_ids, accountable)
+
+
+#: Findings are told in this order.
+KINDS = ["amended", "primacy", "cross_ref", "restatement", "agreement", "conflict", "provenance"]
+
+
+def render_note(findings: DataFrame) -> DataFrame:
+    """(query_id, note): a numbered line for each finding (query_id, kind, subject), in the order of their kinds."""
+    said = {
+        "amended": "an amendment in evidence changes it",
+        "primacy": "the global text puts itself first",
+        "cross_ref": "the title book defers to the global article",
+        "restatement": "the title book reprints the global rule",
+        "agreement": "both books state the same rule",
+        "conflict": "the books differ; the title book governs",
+        "provenance": "the book is hosted elsewhere",
+    }
+    order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    text = F.coalesce(*(F.when(F.col("kind") == k, F.lit(v)) for k, v in said.items()), F.lit("noted"))
+    line = F.concat(F.upper("kind"), F.lit(" "), "subject", F.lit(": "), text)
+    rows = findings.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), line.alias("l"))))["l"].alias("l"))
+    return rows.select("query_id", F.array_join("l", "\n").alias("note"))

@@ -143,3 +143,24 @@ def skipped_siblings(evidence: DataFrame, cited: DataFrame) -> DataFrame:
 
 def outcome(answer: Column, n_evidence: Column) -> Column:
     return F.when(n_evidence == 0, "no_evidence").when(F.size(T.cited_locators(answer)) > 0, "answered").otherwise("uncited")
+
+
+def usable_spans(answer: str, spans: list[dict]) -> list[dict]:
+    """Spans within the answer whose text is there, in order, each after the end of the one before."""
+    out, at = [], 0
+    for s in sorted(spans, key=lambda s: (s["start"], s["end"])):
+        if at <= s["start"] < s["end"] <= len(answer) and answer[s["start"] : s["end"]] == s["text"]:
+            out.append(s)
+            at = s["end"]
+    return out
+
+
+def paragraph_ranges(answer: str) -> list[tuple[int, int]]:
+    """Paragraphs with the blank lines after them: gapless from the start to the end."""
+    cuts = [0, *(m.end() for m in re.finditer(r"\n{2,}", answer)), len(answer)]
+    return [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+
+
+def copy_payload(answer: str, scope: str, fingerprint: str, faults: list[str]) -> str:
+    """What is put on the clipboard: the answer, what was searched, and what the checks said."""
+    return "\n".join([answer.strip(), "", f"Searched: {scope}", f"Corpus: {fingerprint}", *(f"Check: {f}" for f in faults or ["no fault found"])])

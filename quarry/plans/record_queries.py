@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions import fixed as X
 from quarry.functions import text as T
+from quarry.operators import history as H
+from quarry.operators import precedence as P
+from quarry.plans import ask
 from quarry.plans.corpus import CHUNKS, chunks, query, questions, table
 from quarry.plans.retrieval_queries import EVIDENCE, evidence
 from quarry.plans.text_queries import _ANSWER, _answers
@@ -108,3 +111,19 @@ def derived_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.filter(F.split("role", "-"), lambda p: F.length(p) >= 3)
     c = table(spark, sf_dir, "conversations").select("conv_id", F.explode(F.array_distinct(F.concat(F.array("role"), parts))).alias("kind"))
     return c.groupBy("conv_id").agg(F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"), F.count("*").alias("n"))
+
+
+@query("""WITH log AS (SELECT CAST(user_id AS VARCHAR) AS cid, ts, CASE event_type WHEN 'purchase' THEN 'delete' ELSE 'turn' END AS what, CASE WHEN event_id % 4 = 0 THEN 'title ' || event_id END AS t FROM events)
+SELECT cid AS conversation_id, arg_max(t, ts) FILTER (WHERE t IS NOT NULL) AS title, row_number() OVER (ORDER BY max(ts) DESC, cid) AS place FROM log GROUP BY cid HAVING arg_max(what, ts) <> 'delete'""")
+def conversation_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standing conversations of a log, the last changed first."""
+    e = table(spark, sf_dir, "events")
+    log = e.select(F.col("user_id").cast("string").alias("conversation_id"), F.col("ts").alias("at"), F.when(F.col("event_type") == "purchase", "delete").otherwise("turn").alias("action"), F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("title "), "event_id")).alias("title"))
+    place = F.row_number().over(W.orderBy(F.desc("updated_at"), "conversation_id"))
+    return H.latest(log).select("conversation_id", "title", place.cast("long").alias("place"))
+
+
+@query()
+def findings_note(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The note on every question's findings; its parts are checked by other queries."""
+    return P.render_note(ask.findings(evidence(spark, sf_dir)))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -18,7 +20,9 @@ def work_path(spark: SparkSession, label: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not _own:
-            _own.append("file://" + tempfile.mkdtemp(prefix="quarry-work-"))
+            folder = tempfile.mkdtemp(prefix="quarry-work-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _own.append(f"file://{folder}")
         base = _own[0]
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
@@ -81,3 +85,25 @@ def report(measurements: DataFrame) -> str:
         spread = f" ± {r['sd']:.4f}" if r["sd"] is not None else " (n=1)"
         lines.append(f"| {r['name']} | {r['value']:.4f}{spread} {r['unit']} | {r['n']} |")
     return "\n".join(lines)
+
+
+def require_fingerprint(found: str, pinned: str) -> None:
+    """Refuses to go on over a corpus other than the pinned one, before anything is spent."""
+    if found != pinned:
+        raise RuntimeError(f"corpus {found} is not the pinned {pinned}")
+
+
+def require_few_errors(runs: DataFrame, error_col: str = "error", most: float = 0.2) -> None:
+    """Refuses a run of which more than ``most`` failed."""
+    r = runs.agg(F.count("*").alias("n"), F.count(error_col).alias("bad")).first()
+    if r["n"] and r["bad"] > most * r["n"]:
+        raise RuntimeError(f"{r['bad']} of {r['n']} cases failed")
+
+
+def alias_supplement(spark: SparkSession, paths: list[str], catalog: DataFrame) -> DataFrame:
+    """(slug, alias) of the first path that exists; slugs that the catalog lacks are left out."""
+    for path in paths:
+        rows = read_or_empty(spark, path, "slug string, alias string")
+        if rows.head(1):
+            return rows.join(catalog.select("slug").distinct(), "slug", "left_semi")
+    return spark.createDataFrame([], "slug string, alias string")
