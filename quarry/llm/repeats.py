@@ -267,14 +267,13 @@ def removal_spans(docs: DataFrame, w: Windows, settle: Callable[[DataFrame], Dat
     whole = found.select("doc", F.explode("whole").alias("span"))
 
     def with_text(spans: DataFrame) -> DataFrame:
-        # A left join, so that this exchange of the texts is the one the caller's own join uses too; rows without spans give nothing.
-        return docs.join(spans.select("doc", "expand"), "doc", "left").select(*docs.columns, "expand")
+        return docs.select("doc", "text").join(spans.select("doc", "expand").where(F.size("expand") > 0), "doc")
 
     for size in w.blocks:
         blocks = materialise(with_text(found).mapInArrow(_blocks(w, size), _RUNS_DDL), "repeats-blocks")
         found = _narrow(blocks, "repeats-blocks")
         whole = whole.unionByName(found.select("doc", F.explode("whole").alias("span")))
-    windows = with_text(found).mapInArrow(_expanded(w, cuts), "doc long, pos long, parts array<long>")
+    windows = materialise(with_text(found).mapInArrow(_expanded(w, cuts), "doc long, pos long, parts array<long>"), "repeats-windows")
     hits = settle(windows).select("doc", (F.shiftleft(F.col("pos"), 32) + F.lit(1)).alias("span"))
     return whole.unionByName(hits).groupBy("doc").agg(F.collect_list("span").alias("spans"))
 

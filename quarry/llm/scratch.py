@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,7 +18,9 @@ def scratch_dir(spark: SparkSession) -> str:
     if given:
         return given.rstrip("/")
     if "dir" not in _own:
-        _own["dir"] = "file://" + tempfile.mkdtemp(prefix="quarry-checkpoint-")
+        folder = tempfile.mkdtemp(prefix="quarry-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own["dir"] = f"file://{folder}"
     return _own["dir"]
 
 

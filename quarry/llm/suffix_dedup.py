@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.arrow import Rows, text_chunks
 from quarry.llm.repeats import Windows, covered, removal_spans
+from quarry.llm.scratch import materialise
 
 WIDTH = 100
 GRAM = 24
@@ -41,7 +42,7 @@ def _doubled(width: int):
         p = F.col("parts")
         # Both halves of a window, as positions; a half that two windows share is one position.
         halves = windows.select("doc", F.explode(F.array(F.struct(F.col("pos"), p[0].alias("a"), p[1].alias("b")), F.struct((F.col("pos") + half).alias("pos"), p[2].alias("a"), p[3].alias("b")))).alias("h")).select("doc", "h.*")
-        ranked = _rerank(halves.distinct())
+        ranked = materialise(_rerank(halves.distinct()), "suffix-ranks")
         left = ranked.select("doc", "pos", F.col("name").alias("a"))
         right = ranked.select("doc", (F.col("pos") - half).alias("pos"), F.col("name").alias("b"))
         starts = windows.select("doc", "pos")
