@@ -30,6 +30,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def as_long(sql: str, columns: str) -> str:
+    """The SQL with these columns (sums, which DuckDB widens) as 64-bit integers, as Spark has them."""
+    return f"SELECT * REPLACE ({', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in columns.split())}) FROM ({sql})"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

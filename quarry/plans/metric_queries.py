@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quarry.functions import fixed as X
 from quarry.functions import text as T
 from quarry.operators import metrics as M
-from quarry.plans.corpus import CHUNKS, QUESTIONS, chunks, query, questions, table
+from quarry.plans.corpus import CHUNKS, QUESTIONS, as_long, chunks, query, questions, table
 from quarry.plans.retrieval_queries import EVIDENCE, evidence
 
 _LABELS = r"""labels_q AS (SELECT query_id * 2 + k AS label_id, query_id, coalesce(game, 'global') AS game, (query_id % 9 + 1) || CASE WHEN k = 1 THEN '.' || (query_id % 7 + 1) ELSE '' END AS prefix FROM questions, (VALUES (0), (1)) v(k)),
@@ -28,7 +28,7 @@ def label_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _qrels(spark, sf_dir)
 
 
-@query(f"WITH {CHUNKS}, {QUESTIONS}, {_LABELS} SELECT count(*) AS labels, sum(n) AS labelled, (SELECT count(DISTINCT (query_id, chunk_id)) FROM qrels) AS distinct_chunks, max(n) AS most, count_if(n > 1) AS several, count_if(n > {X.FUSED_K}) AS beyond_pool FROM (SELECT label_id, count(*) AS n FROM qrels GROUP BY label_id)")
+@query(as_long(f"WITH {CHUNKS}, {QUESTIONS}, {_LABELS} SELECT count(*) AS labels, sum(n) AS labelled, (SELECT count(DISTINCT (query_id, chunk_id)) FROM qrels) AS distinct_chunks, max(n) AS most, count_if(n > 1) AS several, count_if(n > {X.FUSED_K}) AS beyond_pool FROM (SELECT label_id, count(*) AS n FROM qrels GROUP BY label_id)", "labelled several beyond_pool"))
 def qrels_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = _qrels(spark, sf_dir)
     per = q.groupBy("label_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("labels"), F.sum("n").alias("labelled"), F.max("n").alias("most"), F.count_if(F.col("n") > 1).alias("several"), F.count_if(F.col("n") > X.FUSED_K).alias("beyond_pool"), F.lit(1).alias("one"))
@@ -97,13 +97,13 @@ def budget_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("user_id", F.round("spent", 9).alias("spent"), state.alias("refusal"))
 
 
-@query(f"SELECT count(*) AS docs, sum(t) AS total, max(t) AS most, round(avg(t), 1) AS mean, count_if(t > {X.MAX_EMBEDDING_TOKENS}) AS too_long, round(sum(t) * 0.02 / 1000000, 6) AS usd, CAST(NULL AS DOUBLE) AS usd_unpriced FROM (SELECT greatest(1, length(text) // 4) AS t FROM documents)")
+@query(as_long(f"SELECT count(*) AS docs, sum(t) AS total, max(t) AS most, round(avg(t), 1) AS mean, count_if(t > {X.MAX_EMBEDDING_TOKENS}) AS too_long, round(sum(t) * 0.02 / 1000000, 6) AS usd, CAST(NULL AS DOUBLE) AS usd_unpriced FROM (SELECT greatest(1, length(text) // 4) AS t FROM documents)", "total too_long"))
 def token_cost_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "documents").select(M.tokens_estimate(F.col("text")).alias("t"))
     return t.agg(F.count("*").alias("docs"), F.sum("t").alias("total"), F.max("t").alias("most"), F.round(F.avg("t"), 1).alias("mean"), F.count_if(F.col("t") > X.MAX_EMBEDDING_TOKENS).alias("too_long"), F.round(F.sum("t") * 0.02 / 1_000_000, 6).alias("usd"), F.lit(None).cast("double").alias("usd_unpriced"))
 
 
-@query("SELECT conv_id, count(*) AS turns, round(sum(CASE role WHEN 'user' THEN t * 0.15 WHEN 'assistant' THEN t * 0.6 END) / 1000000, 9) AS usd, round(sum((t + 500) * 1.8 * 3), 3) AS tokens_ahead FROM (SELECT conv_id, role, greatest(1, length(text) // 4) AS t FROM conversations) GROUP BY conv_id")
+@query("SELECT conv_id, count(*) AS turns, round(sum(CASE role WHEN 'user' THEN t * 0.15 WHEN 'assistant' THEN t * 0.6 END) / 1000000, 9) AS usd, CAST(round(sum((t + 500) * 1.8 * 3), 3) AS DOUBLE) AS tokens_ahead FROM (SELECT conv_id, role, greatest(1, length(text) // 4) AS t FROM conversations) GROUP BY conv_id")
 def chat_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cost of what was said, unpriced roles left out, and the estimate for asking it thrice with retries."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "role", M.tokens_estimate(F.coalesce("text", F.lit(""))).alias("t"))
@@ -111,8 +111,8 @@ def chat_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.round(F.sum(F.col("t") * rate) / 1_000_000, 9).alias("usd"), F.round(F.sum((F.col("t") + 500) * 1.8 * 3), 3).alias("tokens_ahead"))
 
 
-@query("""SELECT conv_id, sum(n) AS turn_count, string_agg(role, ',' ORDER BY first_turn) AS roles, max(last_turn) AS last_turn, left(arg_min(first_text, first_turn), 60) AS title
-FROM (SELECT conv_id, role, count(*) AS n, min(turn) AS first_turn, max(turn) AS last_turn, arg_min(text, turn) AS first_text FROM conversations GROUP BY conv_id, role) GROUP BY conv_id""")
+@query(as_long("""SELECT conv_id, sum(n) AS turn_count, string_agg(role, ',' ORDER BY first_turn) AS roles, max(last_turn) AS last_turn, left(arg_min(first_text, first_turn), 60) AS title
+FROM (SELECT conv_id, role, count(*) AS n, min(turn) AS first_turn, max(turn) AS last_turn, arg_min(text, turn) AS first_text FROM conversations GROUP BY conv_id, role) GROUP BY conv_id""", "turn_count"))
 def conversation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns, roles in the order first seen, last turn and title of each conversation."""
     r = table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.count("*").alias("n"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.min_by("text", "turn").alias("first_text"))
@@ -133,14 +133,14 @@ def history_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where("state <> 'purchase'")
 
 
-@query(rf"WITH {CHUNKS} SELECT game, count(*) AS chunks, count_if(article <> '') AS with_article, count(DISTINCT CASE WHEN article <> '' THEN concat_ws(' § ', nullif(part, ''), article) END) AS article_ids, count(DISTINCT nullif(article, '')) AS articles, min(page) AS first_page, max(page) AS last_page, round(100 * count_if(article <> '') / count(*), 3) AS pct FROM chunks GROUP BY game")
+@query(as_long(rf"WITH {CHUNKS} SELECT game, count(*) AS chunks, count_if(article <> '') AS with_article, count(DISTINCT CASE WHEN article <> '' THEN concat_ws(' § ', nullif(part, ''), article) END) AS article_ids, count(DISTINCT nullif(article, '')) AS articles, min(page) AS first_page, max(page) AS last_page, round(100 * count_if(article <> '') / count(*), 3) AS pct FROM chunks GROUP BY game", "with_article"))
 def coverage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     has = F.col("article") != ""
     return chunks(spark, sf_dir).groupBy("game").agg(F.count("*").alias("chunks"), F.count_if(has).alias("with_article"), F.countDistinct(F.when(has, F.concat_ws(" § ", F.nullif("part", F.lit("")), "article"))).alias("article_ids"), F.countDistinct(F.when(has, F.col("article"))).alias("articles"), F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.round(100 * F.count_if(has) / F.count("*"), 3).alias("pct"))
 
 
-@query("""SELECT count(*) AS chunks, count(DISTINCT lang) AS books, count_if(lang = 'en' AND source = 'src0') AS amendments,
-  left(sha256(CAST(sum(CAST('0x' || left(h, 12) AS BIGINT)) AS VARCHAR) || ':' || CAST(sum(CAST('0x' || substr(h, 13, 12) AS BIGINT)) AS VARCHAR)), 8) AS fingerprint FROM (SELECT sha256(doc_id || '|' || text) AS h, lang, source FROM documents)""")
+@query(as_long("""SELECT count(*) AS chunks, count(DISTINCT lang) AS books, count_if(lang = 'en' AND source = 'src0') AS amendments,
+  left(sha256(CAST(sum(CAST('0x' || left(h, 12) AS BIGINT)) AS VARCHAR) || ':' || CAST(sum(CAST('0x' || substr(h, 13, 12) AS BIGINT)) AS VARCHAR)), 8) AS fingerprint FROM (SELECT sha256(doc_id || '|' || text) AS h, lang, source FROM documents)""", "amendments"))
 def corpus_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, and a fingerprint of the content that row order does not change: a digest of sums over row digests."""
     r = table(spark, sf_dir, "documents").select(F.sha2(F.concat_ws("|", "doc_id", "text").cast("binary"), 256).alias("h"), "lang", "source")

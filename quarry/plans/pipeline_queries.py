@@ -10,7 +10,7 @@ from quarry.functions import fixed as X
 from quarry.functions import text as T
 from quarry.operators import amendments as N
 from quarry.plans import ask
-from quarry.plans.corpus import CHUNKS, QUESTIONS, chunks, query, questions, sql_content, table
+from quarry.plans.corpus import CHUNKS, QUESTIONS, as_long, chunks, query, questions, sql_content, table
 from quarry.plans.retrieval_queries import EVIDENCE, evidence
 from quarry.plans.text_queries import _ANSWER, _answers
 from quarry.sources import store
@@ -56,7 +56,7 @@ def gap_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("query_id", F.round("c", 6).alias("coverage"), ((F.col("c") >= X.GAP_COVERAGE) & (F.col("n") >= X.GAP_MIN_TERMS)).alias("contradicted"))
 
 
-@query(rf"WITH {CHUNKS}, {_ANSWER} SELECT game_title, count(*) AS answers, count_if(article <> '') AS with_supported, round(avg(CASE WHEN article <> '' THEN 0.5 ELSE 0 END), 6) AS supported_share FROM answers GROUP BY game_title")
+@query(as_long(rf"WITH {CHUNKS}, {_ANSWER} SELECT game_title, count(*) AS answers, count_if(article <> '') AS with_supported, round(avg(CASE WHEN article <> '' THEN 0.5 ELSE 0 END), 6) AS supported_share FROM answers GROUP BY game_title", "with_supported"))
 def citation_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of an answer's citations that its own chunk supports, by book."""
     a = _answers(spark, sf_dir)
@@ -65,7 +65,7 @@ def citation_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.withColumn("good", good).groupBy("game_title").agg(F.count("*").alias("answers"), F.count_if(F.col("good") > 0).alias("with_supported"), F.round(F.avg(F.col("good") / 2), 6).alias("supported_share"))
 
 
-@query(rf"WITH {EVIDENCE} SELECT query_id, count_if(regexp_matches(text, '(?i)\m(?:may|might|perhaps|possibly)\M')) AS hedged FROM evidence GROUP BY query_id".replace(r"\m", r"\b").replace(r"\M", r"\b"))
+@query(as_long(rf"WITH {EVIDENCE} SELECT query_id, count_if(regexp_matches(text, '(?i)\m(?:may|might|perhaps|possibly)\M')) AS hedged FROM evidence GROUP BY query_id".replace(r"\m", r"\b").replace(r"\M", r"\b"), "hedged"))
 def hedge_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Excerpts that hedge; an answer's hedge needs one."""
     return evidence(spark, sf_dir).groupBy("query_id").agg(F.count_if(F.col("text").rlike(r"(?i)\b(?:may|might|perhaps|possibly)\b")).alias("hedged"))

@@ -10,7 +10,7 @@ from quarry.functions import fixed as X
 from quarry.functions import text as T
 from quarry.operators import precedence as P
 from quarry.operators import verify as V
-from quarry.plans.corpus import CHUNKS, chunks, query, questions, sql_content, sql_shingles
+from quarry.plans.corpus import CHUNKS, as_long, chunks, query, questions, sql_content, sql_shingles
 from quarry.plans.retrieval_queries import EVIDENCE, evidence
 
 _KEY = "CASE WHEN article <> '' THEN CASE WHEN part <> '' THEN part || ' § ' || article ELSE article END WHEN heading <> '' THEN heading ELSE CAST(chunk_id AS VARCHAR) END"
@@ -62,12 +62,12 @@ def amended_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.amended_findings(evidence(spark, sf_dir)).withColumn("base", _csv("base"))
 
 
-@query(rf"""WITH {PAIRS}, {_AMENDED},
+@query(as_long(rf"""WITH {PAIRS}, {_AMENDED},
 acc AS (SELECT query_id, list(chunk_id) AS ids FROM evidence WHERE rel_rank <= {X.ACCOUNTABLE_RANK} GROUP BY query_id),
 one AS (SELECT query_id, chunk_id FROM evidence WHERE rel_rank = 1),
 every AS (SELECT query_id, kind, chunk_ids FROM found UNION ALL SELECT query_id, 'amended', list_concat([amendment], list_transform(list_filter(string_split(base, ','), lambda x: x <> ''), lambda x: CAST(x AS BIGINT))) FROM amended),
 kept AS (SELECT every.* FROM every JOIN acc USING (query_id) WHERE len(list_intersect(chunk_ids, ids)) > 0)
-SELECT query_id, kind, count(*) AS n, count_if(list_contains(chunk_ids, one.chunk_id)) AS n_top FROM kept JOIN one USING (query_id) GROUP BY query_id, kind""")
+SELECT query_id, kind, count(*) AS n, count_if(list_contains(chunk_ids, one.chunk_id)) AS n_top FROM kept JOIN one USING (query_id) GROUP BY query_id, kind""", "n_top"))
 def resolve_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings that pass the relevance gate, and how many touch the chunk ranked first."""
     e = evidence(spark, sf_dir)

@@ -11,13 +11,13 @@ from quarry.functions import text as T
 from quarry.operators import history as H
 from quarry.operators import precedence as P
 from quarry.plans import ask
-from quarry.plans.corpus import CHUNKS, chunks, query, questions, table
+from quarry.plans.corpus import CHUNKS, as_long, chunks, query, questions, table
 from quarry.plans.retrieval_queries import EVIDENCE, evidence
 from quarry.plans.text_queries import _ANSWER, _answers
 
 
-@query(rf"""WITH {EVIDENCE} SELECT q.query_id, coalesce(q.game, '') AS game, count(e.chunk_id) AS n_docs, CASE WHEN bool_or(e.scope = 'title') THEN 'scoped' ELSE 'general' END AS mode,
-  string_agg(e.chunk_id || ':' || e.rel_rank, ',' ORDER BY e.read_pos) AS ranks, sum(greatest(1, length(e.text) // 4)) AS tokens FROM questions q LEFT JOIN evidence e USING (query_id) GROUP BY q.query_id, q.game""")
+@query(as_long(rf"""WITH {EVIDENCE} SELECT q.query_id, coalesce(q.game, '') AS game, count(e.chunk_id) AS n_docs, CASE WHEN bool_or(e.scope = 'title') THEN 'scoped' ELSE 'general' END AS mode,
+  string_agg(e.chunk_id || ':' || e.rel_rank, ',' ORDER BY e.read_pos) AS ranks, sum(greatest(1, length(e.text) // 4)) AS tokens FROM questions q LEFT JOIN evidence e USING (query_id) GROUP BY q.query_id, q.game""", "tokens"))
 def response_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record a question: what was read, in which order and at which rank."""
     e = evidence(spark, sf_dir).select("query_id", "chunk_id", "scope", "rel_rank", "read_pos", "text")
@@ -70,7 +70,7 @@ def answer_assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("chunk_id", t.rlike("(?i)as held").alias("required"), (t.rlike("(?i)see below") | t.rlike("(?i)see above")).alias("required_any"), (~t.rlike("(?i)withdrawn")).alias("forbidden_absent"), (F.element_at(pages, -1) <= 20).alias("cites_early_page"))
 
 
-@query("SELECT conv_id, role, count(*) AS calls, sum(t) AS tokens, round(avg(t), 3) AS mean_tokens FROM (SELECT conv_id, role, greatest(1, length(text) // 4) AS t FROM conversations) GROUP BY conv_id, role")
+@query(as_long("SELECT conv_id, role, count(*) AS calls, sum(t) AS tokens, round(avg(t), 3) AS mean_tokens FROM (SELECT conv_id, role, greatest(1, length(text) // 4) AS t FROM conversations) GROUP BY conv_id, role", "tokens"))
 def cost_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select("conv_id", "role", F.greatest(F.lit(1), F.floor(F.length("text") / 4)).alias("t"))
     return c.groupBy("conv_id", "role").agg(F.count("*").alias("calls"), F.sum("t").alias("tokens"), F.round(F.avg("t"), 3).alias("mean_tokens"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quarry.operators import aliases as A
 from quarry.operators import metrics as M
 from quarry.operators import structure as S
-from quarry.plans.corpus import CHUNKS, chunks, query, table
+from quarry.plans.corpus import CHUNKS, as_long, chunks, query, table
 from quarry.plans.text_queries import text_lines
 from quarry.sources import pages as G
 
@@ -35,7 +35,7 @@ def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", G.title_name(F.col("html"), F.concat(F.lit("page "), "page_id")).alias("title"), version.alias("version"), G.skip_reason(F.col("url"), F.col("html")).alias("reason"))
 
 
-@query("SELECT count(*) AS pages, count_if(regexp_matches(lower(url), '\\.(html|pdf)([?#].*)?$')) AS documents, count_if(NOT regexp_matches(lower(url), '\\.(html|pdf)([?#].*)?$')) AS skipped FROM pages")
+@query(as_long("SELECT count(*) AS pages, count_if(regexp_matches(lower(url), '\\.(html|pdf)([?#].*)?$')) AS documents, count_if(NOT regexp_matches(lower(url), '\\.(html|pdf)([?#].*)?$')) AS skipped FROM pages", "documents skipped"))
 def manifest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     reason = G.skip_reason(F.col("url"), F.col("html"))
     return table(spark, sf_dir, "pages").agg(F.count("*").alias("pages"), F.count_if(reason.isNull()).alias("documents"), F.count_if(reason.isNotNull()).alias("skipped"))
@@ -111,7 +111,7 @@ def gate_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.stability(_runs(spark, sf_dir)).withColumn("rate", F.round("rate", 6))
 
 
-@query(f"SELECT assertion, count(*) AS cases, count_if(ok) AS passed, count_if(NOT ok AND case_id % 2 = 0) AS known_fail, count_if(NOT ok AND case_id % 2 = 1) AS failed, CASE WHEN count_if(NOT ok AND case_id % 2 = 1) > 0 THEN 1 ELSE 0 END AS exit_code FROM (SELECT case_id, assertion, bool_and(passed) AS ok FROM ({_RUNS}) GROUP BY ALL) GROUP BY assertion")
+@query(as_long(f"SELECT assertion, count(*) AS cases, count_if(ok) AS passed, count_if(NOT ok AND case_id % 2 = 0) AS known_fail, count_if(NOT ok AND case_id % 2 = 1) AS failed, CASE WHEN count_if(NOT ok AND case_id % 2 = 1) > 0 THEN 1 ELSE 0 END AS exit_code FROM (SELECT case_id, assertion, bool_and(passed) AS ok FROM ({_RUNS}) GROUP BY ALL) GROUP BY assertion", "passed known_fail failed"))
 def gate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tallies per bucket: a must-pass holds in all runs, a known failure is confirmed by any."""
     r = _runs(spark, sf_dir).groupBy("case_id", "assertion").agg(F.bool_and("passed").alias("ok"))
