@@ -82,7 +82,7 @@ class Model:
     prior: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(_bins(x, self.edges) @ self.weights + self.bias, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(_bins(x, self.edges) @ self.weights.astype(np.float32) + self.bias, -30, 30)))
 
 
 def _bins(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -96,12 +96,12 @@ def _descend(p: np.ndarray, u: np.ndarray, risk, rounds: int = 400, rate: float
     w, b, best = np.zeros(x.shape[1]), 0.0, (np.inf, None, 0.0)
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, rounds + 1):
-        f = x @ w + b
+        f = (x @ w.astype(np.float32)).astype(np.float64) + b
         value, d = risk(f[: len(p)], f[len(p) :])
         value += decay * (w @ w) / 2
         if value < best[0]:
             best = value, w, b
-        g = np.append(d @ x + decay * w, d.sum())
+        g = np.append((d.astype(np.float32) @ x).astype(np.float64) + decay * w, d.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
@@ -117,8 +117,8 @@ def class_prior(p: np.ndarray, u: np.ndarray, least: float = 0.05) -> float:
     fit_p, fit_u, p, u = p[::2], u[::2], p[1::2], u[1::2]
     if not (len(p) and len(u)):
         return 0.5
-    w, b = _descend(fit_p, fit_u, lambda fp, fu: ((np.logaddexp(0, -fp).mean() + np.logaddexp(0, fu).mean()) / 2, np.concatenate([-_sigmoid(-fp) / len(fp), _sigmoid(fu) / len(fu)]) / 2), rounds=200)
-    sp, su = np.sort(p @ w + b)[::-1], np.sort(u @ w + b)[::-1]
+    w, _ = _descend(fit_p, fit_u, lambda fp, fu: ((np.logaddexp(0, -fp).mean() + np.logaddexp(0, fu).mean()) / 2, np.concatenate([-_sigmoid(-fp) / len(fp), _sigmoid(fu) / len(fu)]) / 2), rounds=200)
+    sp, su = (np.sort(x @ w.astype(np.float32))[::-1] for x in (p, u))
     at = np.unique((np.arange(1, 101) / 100 * len(sp)).astype(int)) - 1
     at = at[at >= max(1, least * len(sp))]
     if not len(at):
@@ -179,7 +179,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
         return positive + max(0.0, negative), np.concatenate([d_p, d_u])
 
     w, b = _descend(p, u, risk)
-    scale, offset = _calibrate(p @ w + b, u @ w + b, prior)
+    scale, offset = _calibrate(*((x @ w.astype(np.float32)).astype(np.float64) + b for x in (p, u)), prior)
     w, b = w * scale, b * scale + offset
     return Model(edges, w, b, prior)
 
