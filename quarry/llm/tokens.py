@@ -62,6 +62,15 @@ class _Known(dict):
         return packed
 
 
+def _folded(text: str) -> str:
+    """Lower case where that is the library's, character by character: in Latin-1.  So a word has one entry, however it is written."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 class Encoder:
     """``encode(text)``: its ids as little-endian unsigned 32-bit integers, without special tokens."""
 
@@ -84,9 +93,9 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         if (self.bare or self.spaced) and not any(c in text for c in _ODD):
-            words = text.split()
             if self.bare:
-                return b"".join(map(self.plain.__getitem__, words))
+                return b"".join(map(self.plain.__getitem__, _folded(text).split()))
+            words = text.split()
             gaps = len(words) - 1
             if len("".join(words)) + gaps == len(text) and text.count(" ") + text.count("\n") == gaps:
                 return self._lines(text)
