@@ -189,13 +189,14 @@ def _blocks(w: Windows, size: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Rows(RUNS)
         for doc, t, s in _spans(batches, tokenizer(w.words)):
+            s.sort()
             n, lo, off = s & LENGTH, s >> 32, s >> 20 & PLACE
             pos = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
             anchor = np.repeat(lo + off, n)
             ok = pos + w.width <= len(t)
             pos, anchor = pos[ok], anchor[ok]
             back = (anchor - pos) // size
-            head = _heads(anchor, back)
+            head = _heads(anchor, back, pos - np.arange(len(pos)))  # windows that recur in their document leave gaps in a run
             n = np.diff(np.append(head, len(pos)))
             lo, a, j = pos[head], anchor[head], back[head]
             core = a - size * j

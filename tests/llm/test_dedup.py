@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -76,6 +77,38 @@ def test_suffixes_match_brute_force(spark, seed):
     assert got == brute_bytes(rows, 100)
 
 
+def test_suffixes_of_repeated_lines_match_brute_force(spark):
+    r = random.Random(9)
+
+    def text(n):
+        return "".join(r.choices("abcdefghijklmnop ", k=n))
+
+    rows = []
+    for k in range(240):
+        line, before, after = text(100 + k % 77), text(130), text(130)
+        again = before + line + after
+        cut = [again[130 - r.randint(0, 24) : 130 + len(line) + r.randint(0, 24)] for _ in range(2)]
+        rows += [(3 * k, text(40) + line + text(60) + again), *((3 * k + j + 1, text(50) + c + text(50)) for j, c in enumerate(cut))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], bytes(x["kept"])) for x in dedup_suffixes(docs).collect()}
+    want = brute_bytes(rows, 100)
+    assert {k: v for k, v in got.items() if v != want[k]} == {}
+    assert len(got) == len(rows)
+
+
+def test_blocks_hold_the_windows_of_their_runs():
+    from quarry.llm import repeats
+
+    w = repeats.Windows(100, 24, words=False, within=True, blocks=(16, 4))
+    for spans in ([(61, 5), (69, 8)], [(69, 8), (61, 5)]):  # of one anchor, at 76, with a gap
+        expand = [lo << 32 | (76 - lo) << 20 | n for lo, n in spans]
+        batch = pa.RecordBatch.from_pydict({"doc": [1], "text": [bytes(range(250))], "expand": [expand]})
+        for size in w.blocks:
+            out = [s.as_py() for b in repeats._blocks(w, size)(iter([batch])) for s in b.column("span")]
+            held = sorted(p for s in out for p in range(s >> 32, (s >> 32) + (s & repeats.LENGTH)))
+            assert held == [*range(61, 66), *range(69, 77)]
+
+
 def test_long_document_wraps_the_place_count(spark, monkeypatch):
     from quarry.llm import repeats
 
