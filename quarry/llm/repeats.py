@@ -1,69 +1,40 @@
-"""Repeated fixed-length windows over a corpus, without shuffling a row per window.
-
-Every window of ``width`` tokens is hashed (Rabin-Karp).  A window's *anchor*
-is the smallest hash among the ``gram``-token grams inside it, so equal windows
-have equal anchors.  Consecutive windows of a document with one anchor form a
-*run*; Spark counts runs by anchor and drops those whose anchor is in one
-document only: none of their windows can recur elsewhere.  Of the rest, runs of
-equal content collapse to the first document (a pre-aggregation, so a passage
-in a third of all documents becomes one row per map task), and only the
-representatives of anchors that occur in differing contexts go on.  Where
-``blocks`` are given, those are first cut into blocks of so many windows, keyed
-by the tokens that all windows of a block share, and narrowed again, size by
-size.  What is left is compared window by window.
-
-Repeats inside one document (``within``) are found where its hashes are made,
-and only windows that are new to their document take part in the rest.
-
-The result is exact up to collisions of 128 hash bits.
+"""Repeated fixed-length windows of words over a corpus, without shuffling a row per window.
+
+Every window of ``width`` words is hashed (Rabin-Karp).  A window's *anchor* is
+the smallest hash among the half as long grams inside it, so equal windows have
+equal anchors.  Consecutive windows of a document with one anchor form a *run*.
+Spark counts runs by anchor and drops those whose anchor is in one document
+only: none of their windows can recur elsewhere.  Of the rest, runs of equal
+content (the hash of the run's words, beside the anchor's and the number of
+windows) collapse to the first document, a pre-aggregation, so a passage in a
+third of all documents becomes one row per map task.  Only the representatives
+of anchors that occur in differing contexts go on; their windows are compared
+one by one, by two hashes of the window.
+
+So the result is exact up to collisions of 128 hash bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.arrow import CHUNK_BYTES, Rows, text_chunks
-from quarry.llm.rolling import BASES, BYTE_HASH, Hashes, U, WordHashes, rolling_min
+from quarry.llm.arrow import Rows, text_chunks
+from quarry.llm.rolling import BASES, Hashes, WordHashes, rolling_min
 from quarry.llm.scratch import discard, materialise
 
-
-@dataclass(frozen=True)
-class Windows:
-    """What a window is: ``width`` tokens, words or bytes.  ``within``: the earlier copy may be in the same document.
-
-    ``blocks`` need ``within``: there a run has one anchor position, which equal windows have at equal offsets.
-    """
-
-    width: int
-    gram: int
-    words: bool
-    within: bool
-    blocks: tuple[int, ...] = ()
-
-
-def tokenizer(words: bool) -> Callable[[bytes], np.ndarray]:
-    """UTF-8 text to 64-bit tokens.  bytes.split() parts exactly at \\x20 and \\x09-\\x0D."""
-    if words:
-        memo = WordHashes()
-        return lambda b: memo.of(b.split())
-    return lambda b: BYTE_HASH[np.frombuffer(b, dtype=np.uint8)]
-
-
-#: A span of windows is one long: first start (31 bits), offset of the anchor from it (12), number of windows (20).
-LENGTH, PLACE = (1 << 20) - 1, (1 << 12) - 1
+#: A span of windows is one long: first start (31 bits) and number of windows (20); the bits between are others' to use.
+LENGTH = (1 << 20) - 1
 MOST = 1 << 19
 
-RUNS = pa.schema([("m", pa.int64()), ("ctx", pa.int64()), ("doc", pa.int64()), ("span", pa.int64()), ("own", pa.bool_())])
-_RUNS_DDL = "m long, ctx long, doc long, span long, own boolean"
+RUNS = pa.schema([("m", pa.int64()), ("ctx", pa.int64()), ("doc", pa.int64()), ("key", pa.int64()), ("span", pa.int64())])
 
 
-def _heads(*changing: np.ndarray) -> np.ndarray:
+def heads(*changing: np.ndarray) -> np.ndarray:
     """Where a run of equal values begins."""
     new = np.zeros(len(changing[0]), dtype=bool)
     new[:1] = True
@@ -72,162 +43,58 @@ def _heads(*changing: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _recurring(starts: np.ndarray, owner: np.ndarray, m: np.ndarray, place: np.ndarray, hashes: list[Hashes], width: int) -> np.ndarray:
-    """Which windows have an equal one earlier in their own document.
-
-    Equal windows have equal anchors at unequal places, so only runs whose
-    anchor heads several runs of the document are looked into.
-    """
-    head = _heads(owner, m, place)
-    n = np.diff(np.append(head, len(m)))
-    order = np.lexsort((m[head], owner[head]))
-    o, a = owner[head][order], m[head][order]
-    same = np.zeros(len(order), dtype=bool)
-    same[1:] = (o[1:] == o[:-1]) & (a[1:] == a[:-1])
-    same[:-1] |= same[1:]
-    run = np.zeros(len(head), dtype=bool)
-    run[order] = same
-    at = np.flatnonzero(np.repeat(run, n))
-    out = np.zeros(len(m), dtype=bool)
-    if len(at):
-        h1, h2 = (h.at(starts[at], width) for h in hashes)
-        order = np.lexsort((at, h2, h1, owner[at]))
-        k = at[order]
-        again = np.zeros(len(k), dtype=bool)
-        again[1:] = (owner[k][1:] == owner[k][:-1]) & (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
-        out[k] = again
-    return out
-
-
-_BITS = 20
-_HELD = U((1 << _BITS) - 1)
-
-
-def _leftmost(grams: np.ndarray, reach: int, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per window its smallest gram's high bits over the place of the leftmost such gram, and by how much that place is moved.
-
-    Places are counted modulo ``2**_BITS``.  Where the count starts anew inside
-    a window the leftmost would not be the smallest; such windows take it from
-    a second count, moved by half the modulus.
-    """
-    high, where = grams >> U(_BITS) << U(_BITS), np.arange(len(grams)).astype(U)
-    low = rolling_min(high | where & _HELD, reach)[start]
-    turned = np.zeros(len(start), dtype=U)
-    if len(grams) > 1 << _BITS:
-        late = (start & int(_HELD)) + reach > 1 << _BITS
-        turned[late] = 1 << _BITS - 1
-        low[late] = rolling_min(high | where + U(1 << _BITS - 1) & _HELD, reach)[start[late]]
-    return low, turned
-
-
-def _runs(w: Windows) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Runs of windows; ``own``: not a run but a span of windows that recur in their own document."""
+def _runs(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    gram = width // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens_of, out = tokenizer(w.words), Rows(RUNS)
-        reach = w.width - w.gram + 1
+        memo, out = WordHashes(), Rows(RUNS)
         for batch in batches:
-            ids = batch.column("doc")
-            for first, texts in text_chunks(batch, limit=CHUNK_BYTES if w.words else CHUNK_BYTES // 4):
-                parts, docs = [], []
+            ids, keys = batch.column("doc"), batch.column("key")
+            for first, texts in text_chunks(batch):
+                parts, held = [], []
                 for i, b in enumerate(texts, first):
-                    t = tokens_of(b) if len(b) >= w.width and ids[i].is_valid else ()
-                    if len(t) >= w.width:
+                    t = memo.of(b.split()) if len(b) >= width and ids[i].is_valid else ()
+                    if len(t) >= width:
                         parts.append(t)
-                        docs.append(ids[i].as_py())
+                        held.append(i)
                 if not parts:
                     continue
-                x, docs = np.concatenate(parts), np.array(docs, dtype=np.int64)
+                docs, names = (np.array([c[i].as_py() for i in held], dtype=np.int64) for c in (ids, keys))
+                x = np.concatenate(parts)
                 sizes = np.array([len(t) for t in parts])
-                begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                one, two = Hashes(x, BASES[0]), Hashes(x, BASES[1])
-                grams = one.every(w.gram)
+                begin = np.cumsum(sizes) - sizes
                 # The windows that start in a document and end in it, document by document.
-                live = sizes - w.width + 1
+                live = sizes - width + 1
                 owner = np.repeat(np.arange(len(parts)), live)
                 start = np.arange(live.sum()) - np.repeat(np.cumsum(live) - live, live) + begin[owner]
                 local = start - begin[owner]
-                off = None
-                if w.within:
-                    low, turned = _leftmost(grams, reach, start)
-                    off = (low - start.astype(U) - turned) & _HELD
-                    place = start + off.astype(np.int64)
-                    m = grams[place]
-                    gone = _recurring(start, owner, m, place, [one, two], w.width)
-                    head = _heads(owner, m, place, gone)
-                else:
-                    m = rolling_min(grams, reach)[start]
-                    gone = None
-                    head = _heads(owner, m, local // MOST)
+                m = rolling_min(Hashes(x, BASES[0]).every(gram), width - gram + 1)[start]
+                head = heads(owner, m, local // MOST)
                 n = np.diff(np.append(head, len(m)))
-                lo = start[head]
-                ctx = two.at(lo, n + (w.width - 1))
-                span = local[head] << 32 | n
-                if w.within:
-                    span |= off[head].astype(np.int64) << 20
-                own = gone[head] if w.within else np.zeros(len(head), dtype=bool)
-                key = np.where(own, ctx, m[head])
-                yield from out.add(key.view(np.int64), ctx.view(np.int64), docs[owner[head]], span.astype(np.int64), own)
+                ctx = Hashes(x, BASES[1]).at(start[head], n + (width - 1))
+                yield from out.add(m[head].view(np.int64), ctx.view(np.int64), docs[owner[head]], names[owner[head]], local[head] << 32 | n)
         yield from out.rest()
 
     return run
 
 
-def _spans(batches: Iterator[pa.RecordBatch], tokens_of: Callable[[bytes], np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(id, tokens, spans) of the rows that have spans in ``expand``."""
-    for batch in batches:
-        ids, spans = batch.column("doc"), batch.column("expand")
-        for first, texts in text_chunks(batch):
-            for i, b in enumerate(texts, first):
-                if spans[i].is_valid and len(spans[i]):
-                    yield ids[i].as_py(), tokens_of(b), np.array(spans[i].as_py(), dtype=np.int64)
+WINDOW = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("pos", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
 
 
-def _blocks(w: Windows, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The runs in ``expand`` cut into blocks by the windows' distance from their anchor, keyed by what all windows of a whole block share."""
+def _windows(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Windows of the runs in ``expand``, one row each, with two hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Rows(RUNS)
-        for doc, t, s in _spans(batches, tokenizer(w.words)):
-            s.sort()
-            n, lo, off = s & LENGTH, s >> 32, s >> 20 & PLACE
-            pos = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            anchor = np.repeat(lo + off, n)
-            ok = pos + w.width <= len(t)
-            pos, anchor = pos[ok], anchor[ok]
-            back = (anchor - pos) // size
-            head = _heads(anchor, back, pos - np.arange(len(pos)))  # windows that recur in their document leave gaps in a run
-            n = np.diff(np.append(head, len(pos)))
-            lo, a, j = pos[head], anchor[head], back[head]
-            core = a - size * j
-            keys = Hashes(t, BASES[0]).at(core, w.width - size + 1) + U(0x9E3779B97F4A7C15) * j.astype(U)
-            ctx = Hashes(t, BASES[1]).at(lo, n + (w.width - 1)) + U(0x9E3779B97F4A7C15) * (a - lo).astype(U)
-            yield from out.add(keys.view(np.int64), ctx.view(np.int64), np.full(len(lo), doc, dtype=np.int64), lo << 32 | (a - lo) << 20 | n, np.zeros(len(lo), dtype=bool))
-        yield from out.rest()
-
-    return run
-
-
-WINDOW = pa.schema([("doc", pa.int64()), ("pos", pa.int64()), ("parts", pa.list_(pa.int64()))])
-
-
-def _expanded(w: Windows, cuts: tuple[int, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Windows of the runs in ``expand``, one row each.  parts: two hashes of the whole window, or one of each piece that ``cuts`` names."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Rows(WINDOW)
-        for doc, t, s in _spans(batches, tokenizer(w.words)):
-            lo, n = s >> 32, s & LENGTH
-            pos = np.unique(np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum()))
-            pos = pos[pos + w.width <= len(t)]
-            if cuts:
-                h = Hashes(t, BASES[0])
-                cols = [h.at(pos + c, e - c) for c, e in zip(cuts, (*cuts[1:], w.width), strict=True)]
-            else:
-                cols = [Hashes(t, base).at(pos, w.width) for base in BASES]
-            flat = np.stack(cols, axis=1).reshape(-1).view(np.int64)
-            parts = pa.ListArray.from_arrays(np.arange(len(pos) + 1, dtype=np.int32) * len(cols), pa.array(flat))
-            yield from out.add(np.full(len(pos), doc, dtype=np.int64), pos.astype(np.int64), parts.cast(WINDOW.field("parts").type))
+        memo, out = WordHashes(), Rows(WINDOW)
+        for batch in batches:
+            ids, keys, spans = batch.column("doc"), batch.column("key"), batch.column("expand")
+            for first, texts in text_chunks(batch):
+                for i, b in enumerate(texts, first):
+                    s, t = spans[i].values.to_numpy(), memo.of(b.split())
+                    lo, n = s >> 32, s & LENGTH
+                    pos = np.unique(np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum()))
+                    h = [Hashes(t, base).at(pos, width).view(np.int64) for base in BASES]
+                    yield from out.add(np.full(len(pos), ids[i].as_py()), np.full(len(pos), keys[i].as_py()), pos, *h)
         yield from out.rest()
 
     return run
@@ -238,52 +105,33 @@ def fresh(df: DataFrame, *keys: str) -> DataFrame:
     return df.withColumns({k: F.col(k).bitwiseXOR(F.lit(0).cast("long")) for k in keys})
 
 
-def _narrow(runs: DataFrame, label: str) -> DataFrame:
-    """(doc, whole, expand): per document the spans whose windows all have an earlier copy, and those still to be compared."""
-    known = runs.where("not own").groupBy("m").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1")).where("d0 < d1").select("m")
-    live = runs.join(fresh(known, "m").withColumn("known", F.lit(True)).hint("shuffle_hash"), "m", "left").where("own or known").drop("known")
-    live = materialise(live, f"{label}-runs")
-    discard(runs)
-    own, rest = live.where("own"), live.where("not own").withColumn("n", F.col("span").bitwiseAND(F.lit(LENGTH)))
+def removal_spans(docs: DataFrame, width: int) -> DataFrame:
+    """(doc, key, spans): per document the spans (see ``LENGTH``) of windows that a document with a smaller id has too.
 
-    contexts = materialise(rest.groupBy("m", "ctx", "n").agg(F.min("doc").alias("first")), f"{label}-contexts")
+    ``docs`` has ``doc`` (long), ``key`` (long, tells apart the texts of one id) and ``text``, and may have more.
+    """
+    d = docs.select("doc", "key", "text")
+    runs = materialise(d.mapInArrow(_runs(width), "m long, ctx long, doc long, key long, span long"), "repeats-all")
+    known = runs.groupBy("m").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1")).where("d0 < d1").select("m")
+    live = materialise(runs.join(fresh(known, "m").hint("shuffle_hash"), "m").withColumn("n", F.col("span").bitwiseAND(F.lit(LENGTH))), "repeats-runs")
+    discard(runs)
+    contexts = materialise(live.groupBy("m", "ctx", "n").agg(F.min("doc").alias("first")), "repeats-contexts")
     several = contexts.groupBy("m").agg(F.count("*").alias("k")).where("k > 1").select("m")
     judged = contexts.join(fresh(several, "m").withColumn("open", F.lit(True)).hint("shuffle_hash"), "m", "left")
-    told = rest.join(judged.hint("shuffle_hash"), ["m", "ctx", "n"]).where("doc > first or open").select("doc", "span", F.expr("doc > first").alias("gone"))
-    told = told.unionByName(own.select("doc", "span", F.lit(True).alias("gone")))
-    per_doc = told.groupBy("doc").agg(F.collect_list(F.when(F.col("gone"), F.col("span"))).alias("whole"), F.collect_list(F.when(~F.col("gone"), F.col("span"))).alias("expand"))
-    out = materialise(per_doc, f"{label}-spans")
-    discard(live)
-    discard(contexts)
-    return out
-
-
-def removal_spans(docs: DataFrame, w: Windows, settle: Callable[[DataFrame], DataFrame], cuts: tuple[int, ...] = ()) -> DataFrame:
-    """(doc, spans): per document the spans (see ``LENGTH``) of windows that have an earlier copy.
-
-    ``docs`` has ``doc`` (long) and ``text``, and may have more.  ``settle`` gets windows
-    (doc, pos, parts) and returns those (doc, pos) which have an earlier copy.
-    """
-    found = _narrow(materialise(docs.select("doc", "text").mapInArrow(_runs(w), _RUNS_DDL), "repeats-all"), "repeats")
-    whole = found.select("doc", F.explode("whole").alias("span"))
-
-    def with_text(spans: DataFrame) -> DataFrame:
-        return docs.select("doc", "text").join(spans.select("doc", "expand").where(F.size("expand") > 0), "doc")
-
-    for size in w.blocks:
-        blocks = materialise(with_text(found).mapInArrow(_blocks(w, size), _RUNS_DDL), "repeats-blocks")
-        found = _narrow(blocks, "repeats-blocks")
-        whole = whole.unionByName(found.select("doc", F.explode("whole").alias("span")))
-    windows = materialise(with_text(found).mapInArrow(_expanded(w, cuts), "doc long, pos long, parts array<long>"), "repeats-windows")
-    hits = settle(windows).select("doc", (F.shiftleft(F.col("pos"), 32) + F.lit(1)).alias("span"))
-    return whole.unionByName(hits).groupBy("doc").agg(F.collect_list("span").alias("spans"))
-
-
-def covered(spans: list[int] | None, size: int, width: int) -> np.ndarray:
+    told = live.join(judged.hint("shuffle_hash"), ["m", "ctx", "n"]).where("doc > first or open").select("doc", "key", "span", F.expr("doc > first").alias("gone"))
+    spans = told.groupBy("doc", "key").agg(F.collect_set(F.when(F.col("gone"), F.col("span"))).alias("whole"), F.collect_set(F.when(~F.col("gone"), F.col("span"))).alias("expand"))
+    found = materialise(spans, "repeats-spans")
+    discard(live, contexts)
+    open_ = d.join(found.where(F.size("expand") > 0).select("doc", "key", "expand"), ["doc", "key"])
+    windows = materialise(open_.mapInArrow(_windows(width), "doc long, key long, pos long, h1 long, h2 long"), "repeats-windows")
+    first = windows.groupBy("h1", "h2").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1")).where("d0 < d1").drop("d1")
+    hits = windows.join(fresh(first, "h1", "h2"), ["h1", "h2"]).where("doc > d0").select("doc", "key", (F.shiftleft(F.col("pos"), 32) + F.lit(1)).alias("span"))
+    return found.select("doc", "key", F.explode("whole").alias("span")).unionByName(hits).groupBy("doc", "key").agg(F.collect_set("span").alias("spans"))
+
+
+def covered(spans: np.ndarray, size: int, width: int) -> np.ndarray:
     """Which of ``size`` tokens some span's windows cover."""
-    if not spans or not size:
-        return np.zeros(size, dtype=bool)
-    s = np.array(spans, dtype=np.int64)
+    s = np.asarray(spans, dtype=np.int64)
     lo = np.minimum(s >> 32, size)
     hi = np.minimum((s >> 32) + (s & LENGTH) + width - 1, size)
     edge = np.zeros(size + 1, dtype=np.int64)

@@ -1,7 +1,8 @@
 """Substring dedup: windows of words that an earlier document has too are cut out.
 
-Rabin-Karp hashes of every ``width``-word window, counted in Spark; the
-repeated windows of a document merge into maximal removal intervals.
+Rabin-Karp hashes of ``width``-word windows, counted in Spark; the repeated
+windows of a document merge into maximal removal intervals.  Most windows are
+counted run by run (see :mod:`quarry.llm.repeats`), the others one by one.
 """
 
 from __future__ import annotations
@@ -14,18 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.arrow import Rows, text_chunks
-from quarry.llm.repeats import Windows, covered, removal_spans
+from quarry.llm.repeats import covered, removal_spans
 
 WIDTH = 50
 
 
-def _first_by_hash(windows: DataFrame) -> DataFrame:
-    """Windows whose two hashes occur in a document with a smaller id."""
-    rows = windows.select("doc", "pos", F.col("parts")[0].alias("h1"), F.col("parts")[1].alias("h2"))
-    first = rows.groupBy("h1", "h2").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1")).where("d0 < d1").select(F.col("h1").bitwiseXOR(F.lit(0).cast("long")).alias("h1"), F.col("h2").bitwiseXOR(F.lit(0).cast("long")).alias("h2"), "d0")
-    return rows.join(first, ["h1", "h2"]).where("doc > d0").select("doc", "pos")
-
-
 def _cut(width: int, carried: int, rejoin: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = None
@@ -39,8 +33,8 @@ def _cut(width: int, carried: int, rejoin: bool):
                 for i, b in enumerate(texts, first):
                     words, gone = b.split(), 0
                     n_words.append(len(words))
-                    if spans[i].is_valid:
-                        mask = covered(spans[i].as_py(), len(words), width)
+                    if spans[i].is_valid and words:
+                        mask = covered(spans[i].values.to_numpy(), len(words), width)
                         gone = int(mask.sum())
                         words = list(compress(words, ~mask))
                     removed.append(gone)
@@ -59,14 +53,15 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Words are ``[^\\x20\\x09-\\x0D]+``.  A word goes if a window over it also
     starts in a document with a smaller id; windows are judged on the input.
     Null and empty texts, and texts shorter than a window, keep all they have.
-    A row with a null id takes part in no comparison.  Rows that share an id
-    count as one document: what is found in one is cut from each.
+    A row with a null id takes part in no comparison.  Rows that share an id are
+    not compared with each other, each with the rows of smaller ids.
     ``kept_text`` is the kept words joined by one space; without ``rejoin`` a
     text that loses nothing stays as it is (null: empty).
     """
     extra = {f"c{k}": c for k, c in enumerate(carry or [])}
     d = docs.select(F.col(id_col).cast("long").alias("doc"), *(F.col(c).alias(k) for k, c in extra.items()), F.col(text_col).alias("text"))
-    spans = removal_spans(d, Windows(width, width // 2, words=True, within=False), _first_by_hash)
+    keyed = d.withColumn("key", F.xxhash64("text"))
+    spans = removal_spans(keyed, width)
     kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in d.schema.fields[:-1])
-    cut = d.join(spans, "doc", "left").select(*d.columns, "spans").mapInArrow(_cut(width, len(extra), rejoin), kinds + "n_words long, n_removed long, kept_text string")
+    cut = keyed.join(spans, ["doc", "key"], "left").select(*d.columns, "spans").mapInArrow(_cut(width, len(extra), rejoin), kinds + "n_words long, n_removed long, kept_text string")
     return cut.withColumnsRenamed({"doc": id_col} | extra)

@@ -1,12 +1,23 @@
 """Suffix-array dedup over bytes by distributed prefix doubling.
 
-A position's rank for length ``l`` is the earliest (document, offset) at which
-the same ``l`` bytes start, so a rank is a name of the content and, in the last
-round, the answer.  Each round joins the rank pairs of two positions a growing
-offset apart, lets Spark sort and group them, names each pair anew and drops
-the positions whose pair is unique.  The windows that enter the first round are
-those :mod:`quarry.llm.repeats` leaves: positions whose sampled gram is unique
-are unique suffixes already.
+Two positions have equal ranks for a length if the same bytes start at both.
+Ranks for a quarter of ``width`` are hashes of the bytes; each round then lets
+Spark group and sort the rank pairs of two positions a growing offset apart (a
+quarter, a half), names each pair anew and drops the positions whose pair is
+unique.  The last name is the earliest position with the pair, so it is the
+answer: a position whose name is in an earlier document goes.
+
+Which positions are ranked: a window of ``width`` bytes has an *anchor*, the
+smallest hash of the ``gram``-byte grams in it.  Windows with one anchor place
+form a *run*, and runs whose anchor is in one document only are unique from the
+start.  First the ends of the runs are ranked: where both ends of a run lead to
+one earlier document, equally far apart, all windows between do.  The other
+runs are cut into blocks of fewer windows, of which those go that hold a
+stretch of bytes which one document alone has; then every window that is left
+is ranked.  Repeats inside a document are ranked by the same doubling where its
+bytes are (numpy).
+
+Equality rests on four 64-bit hashes of 25 bytes each.
 """
 
 from __future__ import annotations
@@ -18,37 +29,304 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.arrow import Rows, text_chunks
-from quarry.llm.repeats import Windows, covered, removal_spans
-from quarry.llm.scratch import materialise
+from quarry.llm.arrow import CHUNK_BYTES, Rows, text_chunks
+from quarry.llm.repeats import LENGTH, covered, fresh, heads
+from quarry.llm.rolling import BASES, BYTE_HASH, Hashes, U, rolling_min
+from quarry.llm.scratch import discard, materialise
 
 WIDTH = 100
 GRAM = 24
+#: Windows of a block, stage by stage.
 BLOCKS = (16, 4)
+#: In a span (one long): first start (31 bits), offset of the anchor from it (12), number of windows (20).
+PLACE = (1 << 12) - 1
+
+_PLACE_BITS = 20
+_HELD = U((1 << _PLACE_BITS) - 1)
+
+
+def _tokens(b: bytes) -> np.ndarray:
+    return BYTE_HASH[np.frombuffer(b, dtype=np.uint8)]
+
+
+def _leftmost(grams: np.ndarray, reach: int, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per window its smallest gram's high bits over the place of the leftmost such gram, and by how much that place is moved.
+
+    Places are counted modulo ``2**_PLACE_BITS``.  Where the count starts anew
+    inside a window the leftmost would not be the smallest; such windows take
+    it from a second count, moved by half the modulus.
+    """
+    high, where = grams >> U(_PLACE_BITS) << U(_PLACE_BITS), np.arange(len(grams)).astype(U)
+    low = rolling_min(high | where & _HELD, reach)[start]
+    turned = np.zeros(len(start), dtype=U)
+    if len(grams) > 1 << _PLACE_BITS:
+        late = (start & int(_HELD)) + reach > 1 << _PLACE_BITS
+        turned[late] = 1 << _PLACE_BITS - 1
+        low[late] = rolling_min(high | where + U(1 << _PLACE_BITS - 1) & _HELD, reach)[start[late]]
+    return low, turned
+
+
+def _quarters(h: Hashes, pos: np.ndarray, width: int) -> list[np.ndarray]:
+    """Ranks of the four quarters of the windows at ``pos``."""
+    q = width // 4
+    return [h.at(pos + q * k, q) for k in range(4)]
+
+
+def _pair_ranks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The place of each pair among the sorted pairs; equal pairs have one rank."""
+    order = np.lexsort((b, a))
+    new = np.zeros(len(order), dtype=np.int64)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def _recurring(start: np.ndarray, owner: np.ndarray, m: np.ndarray, place: np.ndarray, h: Hashes, width: int) -> np.ndarray:
+    """Which windows have an equal one earlier in their own document, by doubling.
+
+    Equal windows have equal anchors at unequal places, so only runs whose
+    anchor heads several runs of the document are looked into.
+    """
+    head = heads(owner, m, place)
+    n = np.diff(np.append(head, len(m)))
+    order = np.lexsort((m[head], owner[head]))
+    o, a = owner[head][order], m[head][order]
+    same = np.zeros(len(order), dtype=bool)
+    same[1:] = (o[1:] == o[:-1]) & (a[1:] == a[:-1])
+    same[:-1] |= same[1:]
+    run = np.zeros(len(head), dtype=bool)
+    run[order] = same
+    at = np.flatnonzero(np.repeat(run, n))
+    out = np.zeros(len(m), dtype=bool)
+    if len(at):
+        q = _quarters(h, start[at], width)
+        halves = _pair_ranks(np.concatenate([q[0], q[2]]), np.concatenate([q[1], q[3]]))
+        rank = _pair_ranks(halves[: len(at)], halves[len(at) :])
+        order = np.lexsort((at, rank, owner[at]))
+        k, r = at[order], rank[order]
+        again = np.zeros(len(k), dtype=bool)
+        again[1:] = (owner[k][1:] == owner[k][:-1]) & (r[1:] == r[:-1])
+        out[k] = again
+    return out
+
+
+_RUNS = pa.schema([("m", pa.int64()), ("doc", pa.int64()), ("key", pa.int64()), ("span", pa.int64()), ("own", pa.bool_())])
+
+
+def _runs(width: int, gram: int):
+    """Runs of windows; ``own``: not a run but a span of windows that recur in their own document."""
+    reach = width - gram + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Rows(_RUNS)
+        for batch in batches:
+            ids, keys = batch.column("doc"), batch.column("key")
+            for first, texts in text_chunks(batch, limit=CHUNK_BYTES // 4):
+                held = [i for i, b in enumerate(texts, first) if len(b) >= width and ids[i].is_valid]
+                if not held:
+                    continue
+                parts = [texts[i - first] for i in held]
+                docs, names = (np.array([c[i].as_py() for i in held], dtype=np.int64) for c in (ids, keys))
+                h = Hashes(_tokens(b"".join(parts)), BASES[0])
+                sizes = np.array([len(b) for b in parts])
+                begin = np.cumsum(sizes) - sizes
+                grams = h.every(gram)
+                # The windows that start in a document and end in it, document by document.
+                live = sizes - width + 1
+                owner = np.repeat(np.arange(len(parts)), live)
+                start = np.arange(live.sum()) - np.repeat(np.cumsum(live) - live, live) + begin[owner]
+                low, turned = _leftmost(grams, reach, start)
+                off = ((low - start.astype(U) - turned) & _HELD).astype(np.int64)
+                place = start + off
+                m = grams[place]
+                gone = _recurring(start, owner, m, place, h, width)
+                head = heads(owner, m, place, gone)
+                n = np.diff(np.append(head, len(m)))
+                span = (start - begin[owner])[head] << 32 | off[head] << 20 | n
+                yield from out.add(m[head].view(np.int64), docs[owner[head]], names[owner[head]], span, gone[head])
+        yield from out.rest()
+
+    return run
+
+
+def _ends(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Per run of a document, in order: the head of the run right after it, or its own last window where none follows at once."""
+    e = lo + n - 1
+    e[:-1] += lo[1:] == lo[:-1] + n[:-1]
+    return e
+
+
+_WINDOW = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("pos", pa.int64()), *((f"q{k}", pa.int64()) for k in range(4))])
+_WINDOW_DDL = "doc long, key long, pos long, q0 long, q1 long, q2 long, q3 long"
+
+
+def _end_windows(width: int):
+    """The windows at the ends of the runs in ``runs``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Rows(_WINDOW)
+        for batch in batches:
+            ids, keys, runs = batch.column("doc"), batch.column("key"), batch.column("runs")
+            for first, texts in text_chunks(batch):
+                for i, b in enumerate(texts, first):
+                    s = np.sort(runs[i].values.to_numpy())
+                    lo, n = s >> 32, s & LENGTH
+                    pos = np.unique(np.concatenate([lo, _ends(lo, n)]))
+                    q = _quarters(Hashes(_tokens(b), BASES[0]), pos, width)
+                    yield from out.add(np.full(len(pos), ids[i].as_py()), np.full(len(pos), keys[i].as_py()), pos, *(x.view(np.int64) for x in q))
+        yield from out.rest()
+
+    return run
+
+
+def ranked(windows: DataFrame) -> DataFrame:
+    """(doc, key, pos, name) of the ``windows`` (doc, key, pos, q0..q3) that several documents have; ``name``: the earliest (doc, key, pos)."""
+    halves = windows.select(F.explode(F.array(F.struct(F.col("q0").alias("a"), F.col("q1").alias("b")), F.struct(F.col("q2").alias("a"), F.col("q3").alias("b")))).alias("x")).select("x.*")
+    repeated = halves.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1")
+    ranks = materialise(repeated.orderBy("a", "b").select("a", "b", F.monotonically_increasing_id().alias("r")), "suffix-ranks")
+    left, right = (ranks.select(F.col("a").alias(x), F.col("b").alias(y), F.col("r").alias(r)) for x, y, r in (("q0", "q1", "r0"), ("q2", "q3", "r1")))
+    pairs = materialise(windows.join(left, ["q0", "q1"]).join(right, ["q2", "q3"]).select("doc", "key", "pos", "r0", "r1"), "suffix-pairs")
+    discard(ranks)
+    named = pairs.groupBy("r0", "r1").agg(F.min(F.struct("doc", "key", "pos")).alias("name"), F.max("doc").alias("last")).where("name.doc < last").drop("last")
+    out = materialise(pairs.join(fresh(named, "r0", "r1"), ["r0", "r1"]).select("doc", "key", "pos", "name"), "suffix-names")
+    discard(pairs)
+    return out
+
+
+_TOLD = pa.schema([("m", pa.int64()), ("doc", pa.int64()), ("key", pa.int64()), ("span", pa.int64()), ("gone", pa.bool_())])
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each run, and whether both its ends lead to one earlier document, as far apart there as here."""
+    out = Rows(_TOLD)
+    for batch in batches:
+        for doc, key, runs, m, names in zip(*(batch.column(c) for c in ("doc", "key", "runs", "m", "names")), strict=True):
+            s, m, doc, key = runs.values.to_numpy(), m.values.to_numpy(), doc.as_py(), key.as_py()
+            order = np.argsort(s)
+            s, m = s[order], m[order]
+            gone = np.zeros(len(s), dtype=bool)
+            if names.is_valid:
+                lo, n = s >> 32, s & LENGTH
+                e, table = _ends(lo, n), names.values
+                pos, *name = (table.field(k).to_numpy() for k in range(4))
+                by = np.argsort(pos)
+                pos, name = pos[by], [x[by] for x in name]
+                at = [np.minimum(np.searchsorted(pos, p), len(pos) - 1) for p in (lo, e)]
+                gone = (pos[at[0]] == lo) & (pos[at[1]] == e) & (name[0][at[0]] < doc)
+                gone &= (name[0][at[0]] == name[0][at[1]]) & (name[1][at[0]] == name[1][at[1]]) & (name[2][at[1]] - name[2][at[0]] == e - lo)
+            yield from out.add(m, np.full(len(s), doc), np.full(len(s), key), s, gone)
+    yield from out.rest()
+
+
+_PIECE = pa.schema([("core", pa.int64()), ("doc", pa.int64()), ("key", pa.int64()), ("span", pa.int64()), ("text", pa.binary())])
+_PIECE_DDL = "core long, doc long, key long, span long, text binary"
 
 
-def _rerank(pairs: DataFrame) -> DataFrame:
-    """(doc, pos, a, b) to (doc, pos, name): ``name`` is the earliest position of the pair; unique pairs go."""
-    named = pairs.groupBy("a", "b").agg(F.min(F.struct("doc", "pos")).alias("name"), F.count("*").alias("n")).where("n > 1")
-    keys = [F.col(k).bitwiseXOR(F.lit(0).cast("long")).alias(k) for k in ("a", "b")] if dict(pairs.dtypes)["a"] == "bigint" else [F.struct(*(F.col(f"{k}.{x}").bitwiseXOR(F.lit(0).cast("long")).alias(x) for x in ("doc", "pos"))).alias(k) for k in ("a", "b")]
-    return pairs.join(named.select(*keys, "name"), ["a", "b"]).select("doc", "pos", "name")
+def _pieces(width: int):
+    """The bytes of the runs in ``runs``."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Rows(_PIECE, 10_000)
+        for batch in batches:
+            ids, keys, runs = batch.column("doc"), batch.column("key"), batch.column("runs")
+            for first, texts in text_chunks(batch):
+                for i, b in enumerate(texts, first):
+                    s = runs[i].values.to_numpy()
+                    lo, n = s >> 32, s & LENGTH
+                    bits = [b[x : x + y] for x, y in zip(lo.tolist(), (n + width - 1).tolist(), strict=True)]
+                    yield from out.add(np.zeros(len(s), np.int64), np.full(len(s), ids[i].as_py()), np.full(len(s), keys[i].as_py()), s, bits)
+        yield from out.rest()
 
-def _doubled(width: int):
-    """From ranks of quarters to ranks of halves to ranks of whole windows."""
-    half = width // 2
+    return run
+
+
+def _spread(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, place of its bytes among ``all``, number of the window in its row, span, all) of each window of the pieces in ``batch``."""
+    for first, texts in text_chunks(batch):
+        s = batch.column("span").slice(first, len(texts)).to_numpy()
+        n, size = s & LENGTH, np.array([len(b) for b in texts])
+        row = np.repeat(np.arange(len(s)), n)
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        yield first + row, (np.cumsum(size) - size)[row], nth, s[row], b"".join(texts)
 
-    def settle(windows: DataFrame) -> DataFrame:
-        p = F.col("parts")
-        # Both halves of a window, as positions; a half that two windows share is one position.
-        halves = windows.select("doc", F.explode(F.array(F.struct(F.col("pos"), p[0].alias("a"), p[1].alias("b")), F.struct((F.col("pos") + half).alias("pos"), p[2].alias("a"), p[3].alias("b")))).alias("h")).select("doc", "h.*")
-        ranked = materialise(_rerank(halves.distinct()), "suffix-ranks")
-        left = ranked.select("doc", "pos", F.col("name").alias("a"))
-        right = ranked.select("doc", (F.col("pos") - half).alias("pos"), F.col("name").alias("b"))
-        starts = windows.select("doc", "pos")
-        return _rerank(starts.join(left, ["doc", "pos"]).join(right, ["doc", "pos"])).where(F.struct("doc", "pos") > F.col("name")).select("doc", "pos")
 
-    return settle
+def _blocks(width: int, size: int):
+    """The pieces cut into blocks of ``size`` windows by their distance from the anchor; ``core``: what all windows of a whole block share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Rows(_PIECE, 10_000)
+        for batch in batches:
+            for row, base, nth, span, text in _spread(batch, width):
+                lo, off = span >> 32, span >> 20 & PLACE
+                back = (off - nth) // size
+                head = heads(row, back)
+                n = np.diff(np.append(head, len(row)))
+                row, base, nth, lo, off, back = (x[head] for x in (row, base, nth, lo, off, back))
+                core = Hashes(_tokens(text), BASES[0]).at(base + off - size * back, width - size + 1) + U(0x9E3779B97F4A7C15) * back.astype(U)
+                bits = [text[x : x + y] for x, y in zip((base + nth).tolist(), (n + width - 1).tolist(), strict=True)]
+                yield from out.add(core.view(np.int64), *(batch.column(c).take(pa.array(row)) for c in ("doc", "key")), lo + nth << 32 | off - nth << 20 | n, bits)
+        yield from out.rest()
+
+    return run
+
+
+def _every_window(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Rows(_WINDOW)
+        for batch in batches:
+            for row, base, nth, span, text in _spread(batch, width):
+                q = _quarters(Hashes(_tokens(text), BASES[0]), base + nth, width)
+                yield from out.add(*(batch.column(c).take(pa.array(row)) for c in ("doc", "key")), (span >> 32) + nth, *(x.view(np.int64) for x in q))
+        yield from out.rest()
+
+    return run
+
+
+def _shared(rows: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` several documents have."""
+    known = rows.groupBy(key).agg(F.min("doc").alias("d0"), F.max("doc").alias("d1")).where("d0 < d1").select(key)
+    return rows.join(fresh(known, key).withColumn("known", F.lit(True)), key).drop("known")
+
+
+def _by_document(rows: DataFrame) -> DataFrame:
+    """(doc, key, runs, m): rows that share an id and a text give each span once."""
+    return rows.groupBy("doc", "key").agg(F.collect_set(F.struct("span", "m")).alias("x")).select("doc", "key", F.col("x.span").alias("runs"), F.col("x.m").alias("m"))
+
+
+def removal_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, blocks: tuple[int, ...] = BLOCKS) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(doc, key, spans) of the documents with something to remove, and the tables by whose ranks it was decided.
+
+    ``docs``: doc (long), key (long, tells apart the texts of one id) and text.
+    """
+    runs = materialise(docs.mapInArrow(_runs(width, gram), "m long, doc long, key long, span long, own boolean"), "suffix-runs")
+    live = materialise(_by_document(_shared(runs.where("not own").drop("own"), "m")), "suffix-live")
+    own = materialise(runs.where("own").select("doc", "key", "span"), "suffix-own")
+    discard(runs)
+    keyed = ["doc", "key"]
+    ends = materialise(docs.join(live.select(*keyed, "runs"), keyed).mapInArrow(_end_windows(width), _WINDOW_DDL), "suffix-ends")
+    at_ends = ranked(ends)
+    discard(ends)
+    names = at_ends.groupBy(*keyed).agg(F.collect_list(F.struct("pos", F.col("name.doc").alias("d"), F.col("name.key").alias("k"), F.col("name.pos").alias("p"))).alias("names"))
+    told = materialise(live.join(names, keyed, "left").mapInArrow(_told, "m long, doc long, key long, span long, gone boolean"), "suffix-told")
+    discard(live, at_ends)
+    # The earliest copy is never gone, so what is left holds it.
+    left = materialise(_by_document(_shared(told.where("not gone").drop("gone"), "m")).drop("m"), "suffix-left")
+    pieces = materialise(docs.join(left, keyed).mapInArrow(_pieces(width), _PIECE_DDL), "suffix-pieces")
+    discard(left)
+    for size in blocks:
+        cut = materialise(pieces.mapInArrow(_blocks(width, size), _PIECE_DDL), "suffix-blocks")
+        discard(pieces)
+        pieces = materialise(_shared(cut, "core").select(*_PIECE.names), "suffix-pieces")
+        discard(cut)
+    windows = materialise(pieces.mapInArrow(_every_window(width), _WINDOW_DDL), "suffix-windows")
+    discard(pieces)
+    one_by_one = ranked(windows)
+    discard(windows)
+    by_runs = told.where("gone").select(*keyed, "span")
+    by_windows = one_by_one.where("name.doc < doc").select(*keyed, (F.shiftleft(F.col("pos"), 32) + F.lit(1)).alias("span"))
+    whole = own.unionByName(by_runs).unionByName(by_windows).groupBy(*keyed).agg(F.collect_set("span").alias("spans"))
+    return whole, {"own": own, "runs": by_runs, "windows": by_windows}
 
 
 def _cut(width: int):
@@ -63,7 +341,7 @@ def _cut(width: int):
                 for i, b in enumerate(texts, first):
                     kept, gone, runs = b, 0, 0
                     if spans[i].is_valid and b:
-                        mask = covered(spans[i].as_py(), len(b), width)
+                        mask = covered(spans[i].values.to_numpy(), len(b), width)
                         gone = int(mask.sum())
                         runs = int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum())
                         kept = np.frombuffer(b, dtype=np.uint8)[~mask].tobytes()
@@ -80,13 +358,13 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A byte of the UTF-8 text goes if a ``width``-byte string over it also
     starts earlier: in a document with a smaller id, or earlier in its own.
     ``width`` is a multiple of 4.  Null and empty texts are zero bytes.  A row
-    with a null id takes part in no comparison.  Rows that share an id count
-    as one document: what is found in one is cut from each.
+    with a null id takes part in no comparison.  Rows that share an id are not
+    compared with each other, each with the rows of smaller ids; equal ones
+    have equal results.
     """
     if width % 4:
         raise ValueError("width must be a multiple of 4")
-    d = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    quarters = tuple(width // 4 * i for i in range(4))
-    spans = removal_spans(d, Windows(width, min(GRAM, width // 2), words=False, within=True, blocks=BLOCKS), _doubled(width), quarters)
-    cut = d.join(spans, "doc", "left").select("doc", "text", "spans").mapInArrow(_cut(width), "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
+    d = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    spans, _ = removal_spans(d, width, min(GRAM, width // 2))
+    cut = d.join(spans, ["doc", "key"], "left").select("doc", "text", "spans").mapInArrow(_cut(width), "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
     return cut.withColumnRenamed("doc", id_col)

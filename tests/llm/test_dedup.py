@@ -2,7 +2,6 @@
 
 import random
 
-import pyarrow as pa
 import pytest
 import xxhash
 
@@ -96,21 +95,8 @@ def test_suffixes_of_repeated_lines_match_brute_force(spark):
     assert len(got) == len(rows)
 
 
-def test_blocks_hold_the_windows_of_their_runs():
-    from quarry.llm import repeats
-
-    w = repeats.Windows(100, 24, words=False, within=True, blocks=(16, 4))
-    for spans in ([(61, 5), (69, 8)], [(69, 8), (61, 5)]):  # of one anchor, at 76, with a gap
-        expand = [lo << 32 | (76 - lo) << 20 | n for lo, n in spans]
-        batch = pa.RecordBatch.from_pydict({"doc": [1], "text": [bytes(range(250))], "expand": [expand]})
-        for size in w.blocks:
-            out = [s.as_py() for b in repeats._blocks(w, size)(iter([batch])) for s in b.column("span")]
-            held = sorted(p for s in out for p in range(s >> 32, (s >> 32) + (s & repeats.LENGTH)))
-            assert held == [*range(61, 66), *range(69, 77)]
-
-
 def test_long_document_wraps_the_place_count(spark, monkeypatch):
-    from quarry.llm import repeats
+    from quarry.llm import suffix_dedup
 
     r = random.Random(5)
     text = "".join(r.choices("abcdefgh", k=1 << 20)) + "ab" * 100
@@ -118,7 +104,7 @@ def test_long_document_wraps_the_place_count(spark, monkeypatch):
     got = {x["doc_id"]: x for x in dedup_suffixes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[2]["n_removed"] == 700
     assert got[1]["n_removed"] == 198
-    assert repeats._BITS == 20
+    assert suffix_dedup._PLACE_BITS == 20
 
 
 def test_null_and_shared_ids(spark):
