@@ -1,18 +1,20 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are the training rows labelled 1; the unlabelled text is a
-sample of the corpus.  The share of positives in it (the class prior) is
-estimated by best-bin estimation: a positive-against-unlabelled scorer is fit
-on one half, and on the other half the prior is the smallest upper bound of
-P(unlabelled above c) / P(positive above c) over thresholds c.  The model then
-minimises the non-negative unbiased risk
+Trusted positives are the training rows labelled 1; the unlabelled text is the
+corpus.  The share of positives in it (the class prior) is estimated by
+best-bin estimation: a positive-against-unlabelled scorer is fit on one half of
+a sample, and the prior is the smallest upper bound of
+P(unlabelled above c) / P(positive above c) over thresholds c, where the
+positives are the other half of the trusted sample and the unlabelled are all
+documents of the training folds, counted in Spark.  The model then minimises,
+on the sample, the non-negative unbiased risk
 ``prior * P[l(f)] + max(0, U[l(-f)] - prior * P[l(-f)])``.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -22,12 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.arrow import Rows, text_chunks
+from quarry.llm.scratch import materialise
 
-#: The most training rows of either kind; they are taken by smallest hash of the id.
+#: The most rows of either kind that a model is fitted on; they are taken by smallest hash of the id.
 SAMPLE = 20_000
 THRESHOLD = 0.3
 FOLDS = 5
 BINS = 10
+#: The column of the features; a column of ``docs`` with this name is not kept.
+FEATURES = "__features"
 
 
 def _class(chars: bytes) -> np.ndarray:
@@ -82,12 +87,12 @@ class Model:
     prior: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(_bins(x, self.edges) @ self.weights.astype(np.float32) + self.bias, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(_bins(x, self.edges).astype(np.float64) @ self.weights + self.bias, -30, 30)))
 
 
 def _bins(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """Thermometer code: is feature j above its edge k?"""
-    return (x[:, :, None] > edges[None]).reshape(len(x), -1).astype(np.float32)
+    return (x[:, :, None] > edges.astype(np.float32)[None]).reshape(len(x), -1).astype(np.float32)
 
 
 def _descend(p: np.ndarray, u: np.ndarray, risk, rounds: int = 400, rate: float = 0.05, decay: float = 3e-4) -> tuple[np.ndarray, float]:
@@ -112,20 +117,29 @@ def _sigmoid(f: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(f, -30, 30)))
 
 
-def class_prior(p: np.ndarray, u: np.ndarray, least: float = 0.05) -> float:
-    """Best-bin estimate of the share of positives in ``u`` (rows of binned features)."""
-    fit_p, fit_u, p, u = p[::2], u[::2], p[1::2], u[1::2]
-    if not (len(p) and len(u)):
+Above = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, int]]
+
+
+def class_prior(p: np.ndarray, u: np.ndarray, edges: np.ndarray, above: Above, least: float = 0.05) -> float:
+    """Best-bin estimate of the share of positives in the corpus.
+
+    ``p`` and ``u``: rows of binned features.  ``above``: from the edges, the
+    scorer's weights and thresholds, how many documents of the corpus score at
+    each threshold or above, and how many there are.
+    """
+    fit_p, fit_u, p = p[::2], u[::2], p[1::2]
+    if not (len(p) and len(u) > 1):
         return 0.5
     w, _ = _descend(fit_p, fit_u, lambda fp, fu: ((np.logaddexp(0, -fp).mean() + np.logaddexp(0, fu).mean()) / 2, np.concatenate([-_sigmoid(-fp) / len(fp), _sigmoid(fu) / len(fu)]) / 2), rounds=200)
-    sp, su = (np.sort(x @ w.astype(np.float32))[::-1] for x in (p, u))
+    sp = np.sort(p @ w.astype(np.float32))[::-1]
     at = np.unique((np.arange(1, 101) / 100 * len(sp)).astype(int)) - 1
     at = at[at >= max(1, least * len(sp))]
     if not len(at):
         return 0.5
+    counts, n = above(edges, w, sp[at])
     qp = (at + 1) / len(sp)
-    qu = np.searchsorted(-su, -sp[at], side="right") / len(su)
-    slack = np.sqrt(np.log(20) / (2 * len(su))) + np.sqrt(np.log(20) / (2 * len(sp)))
+    qu = counts / max(n, 1)
+    slack = np.sqrt(np.log(20) / (2 * max(n, 1))) + np.sqrt(np.log(20) / (2 * len(sp)))
     best = int(np.argmin((qu + slack) / qp))
     return float(np.clip(qu[best] / qp[best], 0.05, 0.99))
 
@@ -159,15 +173,15 @@ def _calibrate(fp: np.ndarray, fu: np.ndarray, prior: float, ridge: float = 1e-3
     return float(theta[0] / spread), float(theta[1])
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
-    """Non-negative PU learning on feature rows.  Without positives or unlabelled rows every score is 0.5."""
+def fit(positive: np.ndarray, unlabelled: np.ndarray, above: Above) -> Model:
+    """Non-negative PU learning on feature rows; ``above`` counts the corpus for :func:`class_prior`.  Without positives or unlabelled rows every score is 0.5."""
     if not len(positive) or not len(unlabelled):
         return Model(np.zeros((N_FEATURES, 1)), np.zeros(N_FEATURES), 0.0, 0.5)
     both = np.concatenate([positive, unlabelled])
     ranks = np.concatenate([[0.001, 0.005, 0.02], np.linspace(0.05, 0.95, BINS), [0.98, 0.995, 0.999]])
     edges = np.quantile(both, ranks, axis=0).T
     p, u = _bins(positive, edges), _bins(unlabelled, edges)
-    prior = class_prior(p, u)
+    prior = class_prior(p, u, edges, above)
 
     def risk(fp: np.ndarray, fu: np.ndarray) -> tuple[float, np.ndarray]:
         positive = prior * np.logaddexp(0, -fp).mean()
@@ -184,65 +198,96 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
     return Model(edges, w, b, prior)
 
 
-_FEATURES = pa.schema([("trusted", pa.int64()), ("x", pa.list_(pa.float64()))])
+def _extract(keep: list[str], column: str):
+    """The columns ``keep``, whatever they hold, and the features of ``column``."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [features(b) for _, texts in text_chunks(batch, column) for b in texts]
+            flat = pa.array(np.concatenate(rows).astype(np.float32) if rows else np.zeros(0, np.float32))
+            x = pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * N_FEATURES, flat)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), x], names=[*keep, FEATURES])
+
+    return run
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out = Rows(_FEATURES, 5_000)
-    for batch in batches:
-        for first, texts in text_chunks(batch):
-            yield from out.add(batch.column("trusted").slice(first, len(texts)), [features(b) for b in texts])
-    yield from out.rest()
 
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(FEATURES).flatten().to_numpy().reshape(-1, N_FEATURES)
 
-def _scored(model: Model, column: str, keep: list[str]):
-    """Appends the score of ``column`` to the columns ``keep``, whatever they hold."""
 
+def _scored(model: Model, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [model.score(np.stack([features(b) for b in texts])) for _, texts in text_chunks(batch, column)]
-            score = pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
+            parts = [model.score(_matrix(batch.slice(i, 4_096))) for i in range(0, batch.num_rows, 4_096)]
+            score = pa.array(np.concatenate(parts).astype(np.float64) if parts else np.zeros(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), score], names=[*keep, "score"])
 
     return run
 
 
+def _reached(edges: np.ndarray, w: np.ndarray, thresholds: np.ndarray):
+    """Per task: how many rows there are (place -1), and how many score at each threshold or above."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(thresholds) + 1, dtype=np.int64)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4_096):
+                f = np.sort(_bins(_matrix(batch.slice(i, 4_096)), edges) @ w.astype(np.float32))
+                total[0] += len(f)
+                total[1:] += len(f) - np.searchsorted(f, thresholds, side="left")
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(thresholds)), pa.int64()), pa.array(total)], names=["at", "n"])
+
+    return run
+
+
 def held_out(id_col: str, folds: int = FOLDS):
     """Is the row outside the training folds: crc32 of the id as text, modulo ``folds``, is 0."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` trusted positives and as many unlabelled documents of the training folds."""
+def featurise(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    """Columns ``keep`` of every row of ``docs``, and its features; a written table, as training and scoring both read it.  Null texts count as empty."""
+    slim = docs.select(*(F.col(f"`{c}`") for c in keep), *([] if text_col in keep else [F.col(f"`{text_col}`")]))
+    schema = "".join(f"`{c}` {slim.schema[c].dataType.simpleString()}, " for c in keep)
+    return materialise(slim.mapInArrow(_extract(keep, text_col), schema + f"{FEATURES} array<float>"), "features")
+
+
+def train(featured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE) -> Model:
+    """A model fitted on at most ``sample`` trusted positives and as many unlabelled documents, all of the training folds.
+
+    Trusted are ids with the label 1 of which ``featured`` has a document.  An
+    id counts once, whichever of its rows it is seen with.
+    """
     by = F.xxhash64("id")
-    trusted = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("y = 1").where(~held_out("id")).select("id").distinct().orderBy(by, "id").limit(sample).withColumn("trusted", F.lit(1))
-    web = docs.select(F.col(id_col).alias("id")).where(~held_out("id")).orderBy(by, "id").limit(sample).select("id", F.lit(0).alias("trusted"))
-    picked = trusted.unionByName(web).select("id", F.col("trusted").cast("long").alias("trusted"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    # Two samples of ``sample`` ids at most: 16 bytes a row, so the broadcast has a fixed bound.
-    rows = texts.join(F.broadcast(picked), "id").select("trusted", "text").mapInArrow(_extract, "trusted long, x array<double>").toPandas()
-    x = np.stack(rows.x.to_list()) if len(rows) else np.zeros((0, N_FEATURES))
+    training = featured.select(F.col(id_col).alias("id"), F.col(FEATURES).alias("x")).where(~held_out("id"))
+    ids = training.select("id").distinct()
+    trusted = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("y = 1").where(~held_out("id")).select("id").distinct()
+    picked = trusted.join(ids, "id", "left_semi").orderBy(by, "id").limit(sample).withColumn("trusted", F.lit(1)).unionByName(ids.orderBy(by, "id").limit(sample).withColumn("trusted", F.lit(0)))
+    # Two samples of ``sample`` ids at most: 16 bytes a row, so the broadcast has a fixed bound; of the rows of an id one is taken before they are sent.
+    rows = training.join(F.broadcast(picked), "id").groupBy("trusted", "id").agg(F.min("x").alias("x")).select("trusted", "x").toPandas()
+    x = np.stack(rows.x.to_list()).astype(np.float64) if len(rows) else np.zeros((0, N_FEATURES))
     order = np.lexsort(x.T) if len(rows) else np.zeros(0, int)
     x, t = x[order], rows.trusted.to_numpy()[order]
     rng = np.random.default_rng(0)  # a fixed shuffle, so that halves of the sample are alike and row order does not matter
     mixed = rng.permutation(len(x))
-    return fit(x[mixed][t[mixed] == 1], x[mixed][t[mixed] == 0])
 
+    def above(edges: np.ndarray, w: np.ndarray, thresholds: np.ndarray) -> tuple[np.ndarray, int]:
+        counted = training.select(F.col("x").alias(FEATURES)).mapInArrow(_reached(edges, w, thresholds), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+        n = {r["at"]: r["n"] for r in counted}  # a row for each of 100 thresholds
+        return np.array([n.get(k, 0) for k in range(len(thresholds))]), n.get(-1, 0)
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` (all, if None) of every row of ``docs``, and ``score``: the probability of label 1.
+    return fit(x[mixed][t[mixed] == 1], x[mixed][t[mixed] == 0], above)
 
-    Null texts count as empty; empty texts are scored like any other.  A
-    column of ``docs`` named ``score`` is not kept.
-    """
-    names = [c for c in (docs.columns if keep is None else keep) if c != "score"]
-    slim = docs.select(*(F.col(f"`{c}`") for c in names), *([] if text_col in names else [F.col(text_col)]))
-    schema = "".join(f"`{c}` {slim.schema[c].dataType.simpleString()}, " for c in names)
-    return slim.mapInArrow(_scored(model, text_col, names), schema + "score double")
+
+def score(featured: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` of every row of ``featured``, and ``score``: the probability of label 1; empty texts are scored like any other."""
+    schema = "".join(f"`{c}` {featured.schema[c].dataType.simpleString()}, " for c in keep)
+    return featured.select(*(F.col(f"`{c}`") for c in keep), FEATURES).mapInArrow(_scored(model, keep), schema + "score double")
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
-    """(id, held_out, score, predicted) for every row of ``docs``; a null id counts as held out."""
-    model = train(docs, labels, id_col, text_col, sample=sample)
-    out = score(docs, model, text_col, [id_col])
-    return out.select(id_col, held_out(id_col).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sample: int = SAMPLE, keep: list[str] | None = None) -> DataFrame:
+    """(id, ``keep``..., held_out, score, predicted) for every row of ``docs``; a null id counts as held out, ids may repeat."""
+    names = [id_col, *(c for c in keep or [] if c != id_col)]
+    featured = featurise(docs, names, text_col)
+    out = score(featured, train(featured, labels, id_col, sample=sample), names)
+    return out.select(*names, held_out(id_col).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
