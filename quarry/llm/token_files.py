@@ -2,8 +2,8 @@
 
 A shard holds the ids of its documents one after another, little-endian, in
 frames of about ``FRAME`` bytes each.  Behind them come two skippable frames:
-the directory (zstandard: id width, end id, then per document its id and number
-of tokens) and the seek table of the public seekable format, with a checksum of
+the directory (zstandard: id width, end id, then per document its id, number of
+tokens and whether it has an id) and the seek table of the public seekable format, with a checksum of
 each frame's content (low half of XXH64).  A reader needs the tail of the file
 and the frames that hold the documents it wants.
 """
@@ -37,17 +37,18 @@ _DESCRIPTOR = 0x80  # entries have checksums
 
 
 class ShardWriter:
-    """Writes a shard as a stream; it holds one frame and 12 bytes a document."""
+    """Writes a shard as a stream; it holds one frame and 13 bytes a document."""
 
     def __init__(self, sink, end_id: int, width: int) -> None:
         self.sink, self.end_id, self.width = sink, end_id, width
-        self.held, self.size, self.seek, self.ids, self.lengths = [], 0, [], [], []
+        self.held, self.size, self.seek, self.ids, self.named, self.lengths = [], 0, [], [], [], []
         self.compress = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False).compress
 
     def add(self, doc: int | None, packed: bytes) -> None:
         """``packed``: little-endian unsigned 32-bit ids, without the end id."""
         ids = np.append(np.frombuffer(packed, dtype="<u4"), np.uint32(self.end_id))
-        self.ids.append(-1 if doc is None else doc)
+        self.ids.append(0 if doc is None else doc)
+        self.named.append(doc is not None)
         self.lengths.append(len(ids))
         raw = ids.astype(f"<u{self.width}").tobytes()
         for i in range(0, len(raw), FRAME):
@@ -68,7 +69,7 @@ class ShardWriter:
         """Ends the shard; the number of its tokens."""
         self._frame()
         lengths = np.array(self.lengths, dtype="<u4")
-        directory = self.compress(struct.pack("<BIQ", self.width, self.end_id, len(lengths)) + np.array(self.ids, dtype="<i8").tobytes() + lengths.tobytes())
+        directory = self.compress(struct.pack("<BIQ", self.width, self.end_id, len(lengths)) + np.array(self.ids, dtype="<i8").tobytes() + lengths.tobytes() + np.packbits(self.named, bitorder="little").tobytes())
         self.sink.write(struct.pack("<II", _DIRECTORY, len(directory)) + directory)
         entries = b"".join(struct.pack("<III", *e) for e in self.seek)
         # The footer of the format is nine bytes; before it the directory's size, so that a reader finds it from the end.
@@ -98,6 +99,8 @@ class ShardReader:
         self.width, self.end_id, docs = struct.unpack_from("<BIQ", directory)
         self.ids = np.frombuffer(directory, dtype="<i8", count=docs, offset=13)
         self.lengths = np.frombuffer(directory, dtype="<u4", count=docs, offset=13 + 8 * docs).astype(np.int64)
+        bits = np.frombuffer(directory, dtype=np.uint8, offset=13 + 12 * docs)
+        self.named = np.unpackbits(bits, count=docs, bitorder="little").astype(bool)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
         self.frame: tuple[int, bytes] = (-1, b"")
 
@@ -159,7 +162,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, id_
     """Writes the shards in ascending id order and returns their table (shard, path, docs, tokens).
 
     Null and empty texts are the end id alone; rows that share an id follow one
-    another by text; rows with a null id come first, under the id -1.
+    another by text; rows with a null id come first and have none in the file.
     ``folder`` is a URI that all executors reach; by default a new one in the
     shared scratch folder.  As many shards as the input has partitions.
     """
@@ -184,7 +187,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with fs.open_input_file(name) as source:
                 reader = ShardReader(source)
                 crc = [zlib.crc32(reader.document(k).tobytes()) for k in range(len(reader.ids))]
-            yield from out.add(reader.ids, base + reader.starts[:-1], reader.lengths, crc)
+            yield from out.add(pa.array(reader.ids, mask=~reader.named), base + reader.starts[:-1], reader.lengths, crc)
     yield from out.rest()
 
 
