@@ -3,7 +3,8 @@
 Each partition packs its pieces by best-fit decreasing and computes a lower
 bound on its bins from dual-feasible functions.  A partition whose bins equal
 its bound is settled.  The others keep their well-filled bins and give up the
-documents in the rest, which are dealt out to fewer partitions and packed again.
+documents in the rest, which are dealt out to fewer partitions and packed again,
+until all are settled or a round leaves as many as it found.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ from quarry.llm.tokens import encoder
 CAPACITY, END_ID = 1024, 2
 #: Pieces that one task packs about.
 PER_TASK = 100_000
-ROUNDS = 4
 
 _PIECES = pa.schema([("doc", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64())])
 
@@ -109,7 +109,7 @@ _PACKED = "doc long, piece int, start long, length long, crc long, sequence_id l
 
 def _pack(capacity: int, round_no: int, last: bool):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc", "piece", "crc"], kind="stable")
+        pdf = pdf.sort_values(["doc", "piece", "start", "length", "crc"], kind="stable")
         n = pdf.length.to_numpy()
         bins, offsets, fill = best_fit_decreasing(n, capacity)
         gap = len(fill) - lower_bound(np.bincount(n, minlength=capacity + 1), capacity)
@@ -126,23 +126,22 @@ def _pack(capacity: int, round_no: int, last: bool):
     return run
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, per_task: int = PER_TASK, rounds: int = ROUNDS) -> DataFrame:
-    """``cut`` (from :func:`pieces`) with sequence_id and offset: every piece once, sequences gapless and at most ``capacity`` long."""
+def pack(cut: DataFrame, capacity: int = CAPACITY, per_task: int = PER_TASK) -> DataFrame:
+    """``cut`` (a written table, see :func:`pieces`) with sequence_id and offset: every piece once, sequences gapless and at most ``capacity`` long."""
     left, done, before = cut, None, None
-    n = left.count()
-    for r in range(rounds):
+    n, r = left.count(), 0
+    while True:
         parts = max(1, -(-n // per_task))
-        last = r == rounds - 1 or (before is not None and (n >= before or parts == 1 and r > 1))
-        by = F.pmod(F.xxhash64("doc", "piece", F.lit(r)), F.lit(parts)).alias("part")
-        packed = left.select(*_COLUMNS, by).groupBy("part").applyInPandas(_pack(capacity, r, last), _PACKED)
-        packed = materialise(packed, "packed")
+        last = before is not None and (n >= before or (parts == 1 and r > 1))
+        # Rows are dealt out one by one, by their place in the table: equal ones, or all of one id, meet in no task.
+        dealt = left.select(*_COLUMNS, F.monotonically_increasing_id().alias("place")).withColumn("part", F.pmod(F.xxhash64("place", F.lit(r)), F.lit(parts)))
+        packed = materialise(dealt.select(*_COLUMNS, "part").groupBy("part").applyInPandas(_pack(capacity, r, last), _PACKED), "packed")
         kept = packed.where("settled").drop("settled")
         done = kept if done is None else done.unionByName(kept)
         left = packed.where("not settled").select(*_COLUMNS)
-        before, n = n, left.count()
+        before, n, r = n, left.count(), r + 1
         if n == 0:
             return done
-    return done
 
 
 def corpus_bound(cut: DataFrame, capacity: int = CAPACITY) -> int:
@@ -153,6 +152,11 @@ def corpus_bound(cut: DataFrame, capacity: int = CAPACITY) -> int:
     return lower_bound(counts, capacity)
 
 
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
+    """(sequences used, lower bound on the sequences of any packing of all the pieces); their difference is the gap left open."""
+    return packed.select("sequence_id").distinct().count(), corpus_bound(packed, capacity)
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset), one row per piece.
 
