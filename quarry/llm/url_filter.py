@@ -12,15 +12,18 @@ DataFrame functions alone; the rules are a short list and become one expression.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.scratch import materialise
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Standard deviations to the bound, and the least share of good pages a host may have.
 Z, CUT = 1.645, 0.5
 STRENGTH = (1.0, 1000.0)
-#: Suffixes of two labels under which names are registered; others are the last label.
+#: Suffixes of two labels under which names are registered, unless others are given; all other suffixes are the last label.
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "net.au", "ne.jp", "or.jp", "org.au", "org.uk")
 
 
@@ -37,14 +40,14 @@ def path_of(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)).otherwise("")
 
 
-def suffix_of(host: Column) -> Column:
+def suffix_of(host: Column, two_labels: Sequence[str] = TWO_LABEL_SUFFIXES) -> Column:
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+    return F.when(two.isin(*two_labels), two).otherwise(F.substring_index(host, ".", -1))
 
 
-def domain_of(host: Column) -> Column:
+def domain_of(host: Column, two_labels: Sequence[str] = TWO_LABEL_SUFFIXES) -> Column:
     """The suffix and one label before it."""
-    return F.when(F.substring_index(host, ".", -2).isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+    return F.when(F.substring_index(host, ".", -2).isin(*two_labels), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
 def rule_match(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
@@ -71,15 +74,15 @@ def _strength(level: DataFrame, mean: float) -> float:
     return min(max(noise / spread - 1, STRENGTH[0]), STRENGTH[1])
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
+def host_reputation(pages: DataFrame, outcomes: DataFrame, two_labels: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """(host, mean, upper): posterior share of good pages of each host of ``pages`` (page, host), and its upper bound.
 
     ``outcomes`` is (page, good 0/1); a page without one counts for no share.
     """
     hosts = pages.join(outcomes, "page", "left").groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("k"))
-    hosts = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
-    domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    hosts = materialise(hosts.withColumns({"domain": domain_of(F.col("host"), two_labels), "suffix": suffix_of(F.col("host"), two_labels)}), "hosts")
+    domains = materialise(hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "domains")
+    suffixes = materialise(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "suffixes")
     whole = suffixes.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
     mean = whole["k"] / whole["n"] if whole["n"] else 0.5
     s0, s1, s2 = (_strength(level, mean) for level in (suffixes, domains, hosts))
@@ -97,15 +100,17 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     return all_.withColumn("m", m_domain).select("host", (a / (a + b)).alias("mean"), (a / (a + b) + Z * sd).alias("upper"))
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", cut: float = CUT) -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", cut: float = CUT, two_labels: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """(id, host, path, rule, verdict) for every row of ``pages``; ``outcomes``: (page, good).
 
     A null url, or one without ``://``, has an empty host and path and is judged
-    as that host.  A null id has no outcome.  ``rule`` is null where the
-    reputation decides.
+    as that host.  A null id has no outcome; rows that share an id are judged one
+    by one, each with the outcome.  ``rule`` is null where the reputation
+    decides.  ``two_labels``: the suffixes of two labels under which names are
+    registered, as the public suffix list has them.
     """
     rows = pages.select(F.col(id_col).alias("page"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     known = outcomes.where("page is not null").groupBy("page").agg(F.max("good").alias("good"))
-    hosts = host_reputation(rows.select("page", "host"), known).select("host", F.when(F.col("upper") < cut, "block").otherwise("allow").alias("own"))
+    hosts = host_reputation(rows.select("page", "host"), known, two_labels).select("host", F.when(F.col("upper") < cut, "block").otherwise("allow").alias("own"))
     out = rows.join(hosts, "host", "left").withColumn("hit", rule_match(F.col("host"), F.col("path"), rules))
     return out.select(F.col("page").alias(id_col), "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", "own").alias("verdict"))
