@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.arrow import Rows, text_chunks
+from quarry.llm.scratch import materialise
 
 WIDTH = 10
 #: Windows that are broadcast at once; a larger benchmark is joined slice by slice.
@@ -126,6 +127,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     own = next((k for k, c in keep.items() if c == text_col), "__text")  # a carried text is read in place
     d = docs.select(*(F.col(c).alias(k) for k, c in keep.items()), *([F.col(text_col).alias("__text")] if own == "__text" else []))
     windows = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).mapInArrow(_windows(width), "item long, window binary")
+    windows = materialise(windows, "benchmark-windows")
     slices = max(1, -(-windows.count() // per_slice))
     kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in d.schema.fields if f.name != "__text")
     found = []
