@@ -115,11 +115,12 @@ def with_next(rows: DataFrame, carried: Callable[[DataFrame], DataFrame], column
     """``carried(rows)`` with ``next_<column>`` of the next ``doc``, in ascending order; the first follows the last.
 
     Ids are dealt into buckets of neighbours, so no task sees the whole order;
-    the first row of a bucket is also sent to the bucket before it.
+    the first row of a bucket is also sent to the bucket before it.  Rows
+    without an id have no next row and stay where they are.
     """
-    spark = rows.sparkSession
+    told = rows.where("doc is not null")
     probs = [k / COARSE for k in range(COARSE + 1)]
-    cuts = sorted({int(x) for x in rows.where("doc is not null").approxQuantile("doc", probs, 0.001)})
+    cuts = sorted({int(x) for x in told.approxQuantile("doc", probs, 0.001)})
     fine = max(1, min(4 * rows.rdd.getNumPartitions(), MOST_BUCKETS) // COARSE + 1)
     if len(cuts) < 2:
         cuts = [cuts[0], cuts[0] + 1] if cuts else [0, 1]
@@ -127,18 +128,19 @@ def with_next(rows: DataFrame, carried: Callable[[DataFrame], DataFrame], column
     place = F.least(F.greatest(F.size(F.filter(bounds, lambda c: c <= F.col("doc"))) - 1, F.lit(0)), F.lit(len(cuts) - 2))
     low, high = F.get(bounds, F.col("place")), F.get(bounds, F.col("place") + 1)
     inner = ((F.col("doc").cast("double") - low) * fine / (high - low).cast("double")).cast("long")
-    bucketed = rows.withColumn("place", place).withColumn("bucket", F.when(F.col("doc").isNull(), -1 - F.pmod(F.xxhash64("text"), F.lit(COARSE))).otherwise(F.col("place").cast("long") * fine + F.least(F.greatest(inner, F.lit(0)), F.lit(fine - 1)))).drop("place")
+    bucketed = told.withColumn("place", place).withColumn("bucket", F.col("place").cast("long") * fine + F.least(F.greatest(inner, F.lit(0)), F.lit(fine - 1))).drop("place")
 
-    firsts = bucketed.where("doc is not null").groupBy("bucket").agg(F.min("doc").alias("first"))
-    order = W.orderBy("bucket")
-    everywhere = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    firsts = firsts.select("first", F.coalesce(F.lag("bucket").over(order), F.last("bucket").over(everywhere)).alias("prior"))
+    # The buckets in order, as one array: 16 bytes each and ``MOST_BUCKETS`` at most.
+    firsts = bucketed.groupBy("bucket").agg(F.min("doc").alias("first")).agg(F.sort_array(F.collect_list(F.struct("bucket", "first"))).alias("b"))
+    before = F.transform("b", lambda x, i: F.struct(x["first"].alias("first"), F.get(F.col("b"), F.when(i > 0, i - 1).otherwise(F.size("b") - 1))["bucket"].alias("prior")))
+    firsts = firsts.select(F.explode(before).alias("x")).select("x.*")
     both = bucketed.join(F.broadcast(firsts), bucketed["doc"] == firsts["first"], "left")
     copies = F.array_compact(F.array(F.struct("bucket", F.lit(False).alias("ghost")), F.when(F.col("prior").isNotNull(), F.struct(F.col("prior").alias("bucket"), F.lit(True).alias("ghost")))))
     spread = carried(both.withColumn("to", F.explode(copies)).select("doc", "text", F.col("to.bucket").alias("bucket"), F.col("to.ghost").alias("ghost")))
     near = W.partitionBy("bucket").orderBy("ghost", "doc", "text")
-    ahead = {f"next_{c}": F.when(F.col("doc").isNotNull(), F.lead(c).over(near)) for c in columns}
-    return spread.withColumns(ahead).where("not ghost").drop("bucket", "ghost")
+    linked = spread.withColumns({f"next_{c}": F.lead(c).over(near) for c in columns}).where("not ghost").drop("bucket", "ghost")
+    alone = carried(rows.where("doc is null").select("doc", "text"))
+    return linked.unionByName(alone.select("*", *(F.lit(None).cast(alone.schema[c].dataType).alias(f"next_{c}") for c in columns)))
 
 
 def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
