@@ -1,14 +1,21 @@
-"""Near copies by the Jaccard similarity of shingle sets: MinHash bands name the candidates, exact sets decide.
-
-Texts of one shingle set are one class.  Two classes are candidates where one
-of ``BANDS`` bands of ``ROWS`` MinHash values agrees.  Of each bucket all
-classes are first compared with one of them.  Buckets whose classes are in one
-component then are settled; the others are compared pair by pair, in tiles of
-exact sets, of which spanning forests are kept.  So every candidate pair is in
-one component or has been compared, and no group is emitted as all its pairs.
-
-A pair of similarity s is no candidate with probability
-``(1 - s**ROWS)**BANDS``: 5e-6 at 0.8, 6e-9 at 0.85.
+"""SimHash near-dedup at a Jaccard similarity of shingle sets: tiled comparison of fingerprints, then of the sets.
+
+Texts of one shingle set are one class.  At a similarity of 0.8 the SimHash
+fingerprints of two sets differ in ten bits of 64 on average and, but for one
+pair in a million, in ``RADIUS`` at most; no block of bits agrees in all such
+pairs, so tiles are not cut by blocks of bits as for a small radius.  Two
+classes belong to a tile where one of ``BANDS`` bands of ``ROWS`` MinHash values
+agrees, which a pair of similarity s fails to do with probability
+``(1 - s**ROWS)**BANDS``: 5e-6 at 0.8, 6e-9 at 0.85.  In a tile fingerprints are
+compared by numpy exclusive-or and bit counts, tile pairs whose population
+counts differ by more than the radius are skipped, and the sets of the pairs
+within the radius decide.
+
+Of each band's bucket all classes are first compared with one of them.  Classes
+that this leaves in another component than that one are then compared with all
+of the bucket, in cells of bounded size, pairs of one component left out.  A
+tile reports a spanning forest of its links, so no group is emitted as all its
+pairs, and every pair of a bucket is in one component or has been compared.
 """
 
 from __future__ import annotations
@@ -26,10 +33,10 @@ from quarry.llm.arrow import Rows, text_chunks
 from quarry.llm.components import smallest_reachable
 from quarry.llm.repeats import fresh
 from quarry.llm.rolling import BASES, Hashes, U, WordHashes, mix
-from quarry.llm.scratch import materialise
-from quarry.llm.simhash import forest
+from quarry.llm.scratch import discard, materialise
+from quarry.llm.simhash import majority, tile_links
 
-SHINGLE, SIMILARITY = 5, 0.8
+SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 24
 BANDS, ROWS = 40, 6
 #: Rows a group of tiles holds about, and the classes of a bucket beyond which it is cut into cells.
 GROUP, CELL = 2_000, 512
@@ -70,7 +77,7 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return keys
 
 
-_SIGNED = pa.schema([("doc", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("doc", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
 def _signed(shingle: int):
@@ -81,10 +88,13 @@ def _signed(shingle: int):
                 sets = shingle_sets(texts, shingle, memo)
                 names = np.array([_name(s) for s in sets], dtype=U).view(np.int64)
                 held = np.array([len(s) for s in sets])
-                flat = band_keys([s for s in sets if len(s)]).reshape(-1).view(np.int64) if held.any() else np.zeros(0, np.int64)
+                full, fp = [s for s in sets if len(s)], np.zeros(len(sets), dtype=U)
+                flat = band_keys(full).reshape(-1).view(np.int64) if full else np.zeros(0, np.int64)
+                if full:
+                    fp[held > 0] = majority(np.concatenate(full), held[held > 0])
                 ends = np.concatenate([[0], np.cumsum(np.where(held > 0, BANDS, 0))]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(ends, pa.array(flat)).cast(_SIGNED.field("bands").type)
-                yield from out.add(batch.column("doc").slice(first, len(texts)), names, held, bands)
+                yield from out.add(batch.column("doc").slice(first, len(texts)), names, held, fp.view(np.int64), bands)
         yield from out.rest()
 
     return run
@@ -127,44 +137,49 @@ def _verified(similarity: float):
     return run
 
 
-def set_links(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of the sets that are similar enough; of two sides only those across."""
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    sizes, side = np.array([len(sets[i]) for i in order]), side[order]
-    _, ids = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+def tile_forest(sets: list[np.ndarray], fp: np.ndarray, side: np.ndarray, root: np.ndarray, similarity: float, radius: int = RADIUS) -> np.ndarray:
+    """``root`` (a class each, of those in one component already) joined further by the links across the two sides."""
+    sizes, root = np.array([len(s) for s in sets]), root.copy()
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     begin = np.concatenate([[0], np.cumsum(sizes)])
-    # Sets are no more similar than their sizes are.
-    last = np.searchsorted(sizes, sizes / similarity + 1e-6, side="right")
-    held, across = np.zeros(ids.max() + 1, dtype=bool), bool(side.any())
-    for i, end in enumerate(last.tolist()):
-        if end > i + 1:
+    held = np.zeros(ids.max() + 1, dtype=bool)
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    for x, y in tile_links(fp[left], fp[right], radius):
+        order = np.argsort(x, kind="stable")
+        x, y = left[x[order]], right[y[order]]
+        cut = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]]))
+        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            i, js = x[lo], y[lo:hi]
+            # Pairs of one component need no comparison, and sets are no more similar than their sizes are.
+            js = js[root[js] != root[i]]
+            js = js[np.minimum(sizes[js], sizes[i]) >= similarity * np.maximum(sizes[js], sizes[i]) - 1e-6]
+            if not len(js):
+                continue
             mine = ids[begin[i] : begin[i + 1]]
             held[mine] = True
-            both = np.add.reduceat(held[ids[begin[i + 1] : begin[end]]], begin[i + 1 : end] - begin[i + 1], dtype=np.int64)
+            both = np.array([np.count_nonzero(held[ids[begin[j] : begin[j + 1]]]) for j in js.tolist()])
             held[mine] = False
-            good = both / (sizes[i + 1 : end] + sizes[i] - both) >= similarity
-            if across:
-                good &= side[i + 1 : end] != side[i]
-            j = np.flatnonzero(good) + i + 1
-            if len(j):
-                yield np.full(len(j), order[i]), order[j]
+            for j in js[both / (sizes[js] + sizes[i] - both) >= similarity].tolist():
+                a, b = root[i], root[j]
+                if a != b:
+                    root[root == max(a, b)] = min(a, b)
+    return root
 
 
 def _compared(similarity: float):
-    """Per tile a spanning forest of its links."""
+    """Per tile the links that its pairs add, as a forest over the components they join."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["k", "x", "y", "c"], kind="stable")
-        key, c, side = pdf[["k", "x", "y"]].to_numpy(), pdf.c.to_numpy(), pdf.side.to_numpy()
+        pdf = pdf.sort_values(["k", "x", "y", "side", "c"], kind="stable")
+        key, fp, side, before = pdf[["k", "x", "y"]].to_numpy(), pdf.fp.to_numpy().view(U), pdf.side.to_numpy(), pdf.root.to_numpy()
         sets = [np.frombuffer(s, U) for s in pdf.s]
         cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1), [True]]))
-        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        found = {(0, 0)}
         for i, j in zip(cut[:-1], cut[1:], strict=True):
-            root = forest(j - i, set_links(sets[i:j], side[i:j], similarity))
-            moved = np.flatnonzero(root != np.arange(j - i))
-            us.append(c[i:j][moved])
-            vs.append(c[i:j][root[moved]])
-        return pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
+            after = tile_forest(sets[i:j], fp[i:j], side[i:j], before[i:j], similarity)
+            found.update(zip(before[i:j].tolist(), after.tolist(), strict=True))
+        out = np.array([p for p in found if p[0] != p[1]], dtype=np.int64).reshape(-1, 2)
+        return pd.DataFrame({"u": out[:, 0], "v": out[:, 1]})
 
     return run
 
@@ -178,40 +193,42 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one document.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
-    base = materialise(d.mapInArrow(_signed(shingle), "doc long, c long, n long, bands array<long>"), "signed")
-    classes = materialise(base.groupBy("c").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bands").alias("bands")), "set-classes")
+    base = materialise(d.mapInArrow(_signed(shingle), "doc long, c long, n long, fp long, bands array<long>"), "signed")
+    classes = materialise(base.groupBy("c").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "set-classes")
 
-    keys = classes.select(F.explode("bands").alias("k"), "c", "n")
-    centres = keys.groupBy("k").agg(F.min(F.struct("c", "n")).alias("x"), F.count("*").alias("held")).where("held > 1").select("k", "held", F.col("x.c").alias("c0"), F.col("x.n").alias("n0"))
+    keys = classes.select(F.explode("bands").alias("k"), "c", "n", "fp")
+    centres = keys.groupBy("k").agg(F.min(F.struct("c", "n", "fp")).alias("x"), F.count("*").alias("held")).where("held > 1").select("k", "held", F.col("x.c").alias("c0"), F.col("x.n").alias("n0"), F.col("x.fp").alias("fp0"))
     buckets = materialise(keys.join(fresh(centres, "k"), "k"), "buckets")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         ends = wanted.join(classes.select("c", "doc"), "c")
         return materialise(d.join(ends, "doc").select("c", "text").mapInArrow(_sets(shingle), "c long, s binary").dropDuplicates(["c"]), "sets")
 
-    def links(pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs`` (u, v: classes) that are similar enough."""
-        sets = sets_of(pairs.select(F.explode(F.array("u", "v")).alias("c")).distinct())
-        both = fresh(pairs, "u", "v").join(sets.select(F.col("c").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("c").alias("v"), F.col("s").alias("b")), "v")
-        return materialise(both.mapInArrow(_verified(similarity), "u long, v long"), "similar")
-
-    def close(a: str, b: str):
-        """No two sets are more similar than their sizes."""
-        return F.least(a, b) / F.greatest(a, b) >= similarity
+    # No two sets are more similar than their sizes.
+    near = (F.least("n", "n0") / F.greatest("n", "n0") >= similarity) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp0"))) <= RADIUS)
+    stars = materialise(buckets.where("c <> c0").where(near).select(F.col("c0").alias("u"), F.col("c").alias("v")).distinct(), "stars")
+    sets = sets_of(stars.select(F.explode(F.array("u", "v")).alias("c")).distinct())
+    both = fresh(stars, "u", "v").join(sets.select(F.col("c").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("c").alias("v"), F.col("s").alias("b")), "v")
+    found = materialise(both.mapInArrow(_verified(similarity), "u long, v long"), "similar")
+    discard(sets, stars)
 
-    stars = materialise(buckets.where("c <> c0").where(close("n", "n0")).select(F.col("c0").alias("u"), F.col("c").alias("v")).distinct(), "stars")
-    found = links(stars)
     roots = materialise(smallest_reachable(found), "roots")
-    placed = buckets.select("k", "c", "held").where("held > 2").join(fresh(roots, "node"), F.col("c") == F.col("node"), "left").select("k", "c", "held", F.coalesce("root", "c").alias("root"))
-    opened = placed.groupBy("k").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("k")
-    apart = materialise(placed.join(fresh(opened, "k"), "k").drop("root"), "apart")
-    sets = sets_of(apart.select("c").distinct())
-    groups = max(1, -(-apart.count() // GROUP))
-    cells = F.ceil(F.col("held") / CELL).cast("int")
-    own = apart.withColumns({"cell": F.pmod(F.xxhash64("c"), cells).cast("int"), "other": F.explode(F.sequence(F.lit(0), cells - 1))})
-    tiles = own.select("k", F.least("cell", "other").alias("x"), F.greatest("cell", "other").alias("y"), F.when(F.col("cell") > F.col("other"), 1).otherwise(0).alias("side"), "c").join(sets, "c")
-    tiles = tiles.withColumn("g", F.pmod(F.xxhash64("k", "x", "y"), F.lit(groups)))
+    placed = buckets.where("held > 2").select("k", "c", "c0", "fp").join(fresh(roots, "node"), F.col("c") == F.col("node"), "left").select("k", "c", "c0", "fp", F.coalesce("root", "c").alias("root"))
+    placed = placed.join(fresh(roots.withColumnsRenamed({"node": "node0", "root": "root0"}), "node0"), F.col("c0") == F.col("node0"), "left").select("k", "c", "fp", "root", (F.col("root") != F.coalesce("root0", "c0")).alias("apart"))
+    placed = materialise(placed, "placed")
+    discard(buckets)
+    cells = placed.groupBy("k").agg(F.ceil(F.count_if("apart") / CELL).cast("int").alias("mx"), F.ceil(F.count("*") / CELL).cast("int").alias("my")).where("mx > 0")
+    opened = materialise(placed.join(fresh(cells, "k"), "k"), "apart")
+    discard(placed)
+    sets = sets_of(opened.select("c").distinct())
+    cell = F.xxhash64("c", F.lit(1))
+    across = opened.where("apart").select("k", F.pmod(cell, F.col("mx")).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("my") - 1)).alias("y"), F.lit(0).alias("side"), "c", "fp", "root")
+    along = opened.select("k", F.explode(F.sequence(F.lit(0), F.col("mx") - 1)).alias("x"), F.pmod(cell, F.col("my")).cast("int").alias("y"), F.lit(1).alias("side"), "c", "fp", "root")
+    tiles = across.unionByName(along)
+    groups = max(1, -(-tiles.count() // GROUP))
+    tiles = tiles.join(sets, "c").withColumn("g", F.pmod(F.xxhash64("k", "x", "y"), F.lit(groups)))
     found = found.unionByName(materialise(tiles.groupBy("g").applyInPandas(_compared(similarity), "u long, v long"), "similar"))
+    discard(opened, sets)
 
     # An id with several texts is in several classes: its rows are one document, so its classes are linked.
     shared = base.groupBy("doc").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("doc")
