@@ -1,6 +1,7 @@
 """The pipeline's stages, one after another, against brute force where a stage allows."""
 
 import corpus_pipeline
+import pytest
 from quarry.llm import queries
 from quarry.llm.scratch import materialise
 
@@ -39,6 +40,28 @@ def test_stages_drop_copies(spark):
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == {1, 4}
 
 
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, doc string, key long, c long, spans string, m long, score double, x string"
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_on_edge_tables(spark, name, stage):
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    empty = stage(spark, spark.createDataFrame([], CLASH), SF)
+    assert empty.count() == 0
+    text = " ".join(f"word{j} and so on." for j in range(60))
+    rows = [(1, text), (1, text), (1, "another text of one id, " + text[:200]), (None, text), (None, None), (2, None), (3, ""), (4, "é" * 50_000), (5, text)]
+    docs = spark.createDataFrame([(*r, "en", "s", 1, "d", 2, 3, "s", 4, 0.5, "x") for r in rows], CLASH)
+    got = stage(spark, docs, SF).collect()
+    assert {r["doc_id"] for r in got} <= {r[0] for r in rows}
+    if name == "packing":
+        assert sum(r["piece"] == 0 for r in got) == len(rows)
+    else:
+        assert got == [] or list(got[0].asDict()) == columns
+        assert all(r["text"] is None or r["text"] == "" or r["text"] in " ".join(t or "" for _, t in rows) for r in got)
+    if name in ("near_dedup", "substring_dedup", "decontaminate"):
+        assert {None, 1} <= {r["doc_id"] for r in got}
+
+
 def test_every_operator_is_registered():
     names = queries.queries()
     assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 11))

@@ -3,11 +3,13 @@
 import hashlib
 import io
 import random
+import struct
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -73,6 +75,62 @@ def test_likeness_estimates_jaccard(spark):
         assert abs(r["j"] - same / (2 * 1996 - same)) < 0.12
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of a row: each value's hash is the next one's seed."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v if isinstance(v, bytes) else struct.pack("<q", v - (1 << 64) if v >= 1 << 63 else v), seed)
+    return seed
+
+
+def brute_fingerprint(text):
+    bins, low, rest = fingerprints.BINS, fingerprints.LOW, fingerprints._REST
+    words = [spark_hash(w) for w in (text or "").encode().split()]
+    shingles = [spark_hash(*words[i : i + 5]) for i in range(len(words) - 4)] if len(words) >= 5 else [spark_hash(*words)] if words else []
+    if not shingles:
+        return "0" * (bins * low // 4)
+    held = {}
+    for h in shingles:
+        held[h >> rest] = min(held.get(h >> rest, 1 << 64), h)
+
+    def order(x):  # Spark's longs are signed
+        return x - (1 << 64) if x >= 1 << 63 else x
+
+    # The bins stand in the order of signed hashes; a probe names a place in that order.
+    places = [b ^ (bins // 2) for b in range(bins)]
+    out = 0
+    for i in range(bins):
+        tried = [held.get(places[p]) for p in (i, *(fingerprints._probe(i, a) for a in range(fingerprints.PROBES)))]
+        got = next((x for x in tried if x is not None), None)
+        if got is None:
+            got = min((order(spark_hash_int(i, x >> rest)), order(x)) for x in held.values())[1] % (1 << 64)
+        out = out << low | spark_hash_last_int(got, i) & (1 << low) - 1
+    return f"{out:0{bins * low // 4}x}"
+
+
+def spark_hash_int(i, x):
+    """xxhash64(int, long)."""
+    return xxhash.xxh64_intdigest(struct.pack("<q", x), xxhash.xxh64_intdigest(struct.pack("<i", i), 42))
+
+
+def spark_hash_last_int(x, i):
+    """xxhash64(long, int)."""
+    return xxhash.xxh64_intdigest(struct.pack("<i", i), spark_hash(x))
+
+
+def test_fingerprints_match_brute_force(spark):
+    texts = [None, "", "  ", "one", "a b c d", "a b c d e", prose(1, 300), prose(2, 40), " ".join(f"w{k}" for k in range(3000)), "é ü\tß\nx  y z\x0bq"]
+    rows = [(k, t, "", "") for k, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in fingerprints.fingerprint_pairs(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {k: r["fingerprint"] for k, r in got.items()} == {k: brute_fingerprint(t) for k, t in enumerate(texts)}
+    for k, r in got.items():
+        a, b = r["fingerprint"], got[(k + 1) % len(texts)]["fingerprint"]
+        same = sum(a[i : i + 2] == b[i : i + 2] for i in range(0, len(a), 2)) / fingerprints.BINS
+        zero = "0" * len(a)
+        want = float(a == b) if zero in (a, b) else max(0.0, (same - 1 / 256) / (1 - 1 / 256))
+        assert abs(r["near_next"] - want) < 1e-9
+
+
 # Quality
 
 
@@ -95,11 +153,41 @@ def test_quality_edge_tables(spark):
     assert all(0 <= r["score"] <= 1 for r in quality.judge(docs, labels).collect())
 
 
+def test_quality_sample_is_bounded_where_ids_repeat(spark, monkeypatch):
+    seen = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda p, u, above: seen.append((len(p), len(u))) or fit(p, u, above))
+    rows = [(k % 40, prose(k, 30), 1) for k in range(400)] + [(7, prose(k, 20), 1) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, trusted int")
+    labels = spark.createDataFrame([(k % 60, 1) for k in range(120)], "doc_id long, quality int")
+    out = quality.judge(docs, labels, sample=15).collect()
+    assert len(out) == 700
+    assert seen == [(15, 15)]
+    featured = quality.featurise(docs, ["doc_id"])
+    assert quality.train(featured, labels, sample=10**6).prior == pytest.approx(0.99, abs=0.2)
+
+
+def test_quality_scores_match_the_model_row_by_row(spark):
+    docs = spark.createDataFrame([(k, prose(k, 5 + k), "clash") for k in range(60)] + [(61, None, ""), (62, "", "")], "doc_id long, text string, x string")
+    labels = spark.createDataFrame([(k, 1) for k in range(0, 60, 2)], "doc_id long, quality int")
+    featured = quality.featurise(docs, ["doc_id", "x"])
+    model = quality.train(featured, labels)
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    for r in quality.score(featured, model, ["doc_id", "x"]).collect():
+        assert r["score"] == pytest.approx(float(model.score(quality.features(texts[r["doc_id"]]).astype(np.float32)[None])[0]), abs=1e-9)
+
+
 def test_prior_of_separable_classes():
     r = np.random.default_rng(0)
     p, u = r.normal(2, 1, (2000, 3)), np.concatenate([r.normal(2, 1, (1400, 3)), r.normal(-2, 1, (600, 3))])
     edges = np.quantile(np.concatenate([p, u]), np.linspace(0.05, 0.95, 10), axis=0).T
-    assert abs(quality.class_prior(quality._bins(p, edges), quality._bins(u[r.permutation(len(u))], edges)) - 0.7) < 0.1
+    rows = quality._bins(u[r.permutation(len(u))], edges)
+
+    def above(_, w, thresholds):
+        f = np.sort(rows @ w.astype(np.float32))
+        return len(f) - np.searchsorted(f, thresholds, side="left"), len(f)
+
+    assert abs(quality.class_prior(quality._bins(p, edges), rows, edges, above) - 0.7) < 0.1
 
 
 # Decontamination
@@ -171,6 +259,15 @@ def test_reputation_shrinks(spark):
     assert url_filter.judge_urls(pages.limit(0), good, RULES).count() == 0
 
 
+def test_urls_of_null_and_repeated_pages(spark):
+    pages = spark.createDataFrame([(None, "http://a.net/x", 1), (1, "http://a.net/y", 1), (1, "http://b.net/", 1), (2, None, 1), (3, "nothing", 1)], "page_id long, url string, host int")
+    outcomes = spark.createDataFrame([(1, 1), (1, 0), (None, 0)], "page long, good int")
+    got = sorted((str(r["page_id"]), r["host"], r["path"], r["verdict"]) for r in url_filter.judge_urls(pages, outcomes, RULES).collect())
+    assert [g[:3] for g in got] == [("1", "a.net", "/y"), ("1", "b.net", "/"), ("2", "", ""), ("3", "", ""), ("None", "a.net", "/x")]
+    assert {g[3] for g in got} == {"allow"}
+    assert url_filter.judge_urls(pages.limit(0), outcomes.limit(0), RULES).count() == 0
+
+
 # Tokens
 
 
@@ -201,6 +298,17 @@ def test_shards_round_trip(spark, tmp_path):
     assert token_files.encode_and_read(docs.limit(0), WORD).count() == 0
 
 
+def test_null_and_shared_ids_come_back(spark):
+    rows = [(None, "a"), (-1, "b"), (None, None), (5, "x y"), (5, "x"), (0, "")]
+    docs = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, doc string, start int").repartition(2)
+    got = token_files.encode_and_read(docs, WORD).collect()
+    encode = library(WORD)
+    want = sorted((str(d), len(encode(t)), zlib.crc32(encode(t).tobytes())) for d, t in rows)
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_crc32"]) for r in got) == want
+    starts = sorted((r["start"], r["n_tokens"]) for r in got)
+    assert [s for s, _ in starts] == [sum(n for _, n in starts[:k]) for k in range(len(starts))]
+
+
 def test_reader_takes_one_document_and_notices_damage():
     sink = io.BytesIO()
     w = token_files.ShardWriter(sink, 2, 2)
@@ -246,6 +354,38 @@ def test_templates_go_and_articles_stay(spark):
     assert got[100] == got[101] == ("", 0)
 
 
+def test_templates_need_no_markup_names(spark, monkeypatch):
+    """Menus filled anew from page to page go by their slot; copies of a page make no template of its paragraphs."""
+    for names in ("NAMES", "ROLES"):
+        monkeypatch.setattr(html_text, names, frozenset())
+    monkeypatch.setattr(html_text, "FURNITURE", html_text.SILENT)
+    r = random.Random(4)
+    rows = []
+    for k in range(240):
+        menu, body = f"Menu {r.randint(0, 9)}", f"Story {k if k < 200 else 7} " + prose(k if k < 200 else 7, 30)
+        side = f"<div class='x1'><p>{menu}</p></div>"
+        rows.append((k, f"http://h{k % 3}.org/{k}", f"<body>{side}<div class='x2'><p>{body}</p><p>{prose(k % 200, 9)}</p></div><div class='x3'>Foot {k % 5} of the page</div></body>", body + "\n" + prose(k % 200, 9)))
+    pages = spark.createDataFrame([row[:3] for row in rows], "page_id long, url string, html string").repartition(3)
+    rows_by_host = pages.select(F.col("page_id").alias("id"), "url", "html", url_filter.host_of(F.col("url")).alias("host"))
+    found = {x["slot"] for x in html_text.template_slots(html_text.counted(rows_by_host)).collect()}
+    assert html_text.slot_hash("/body./div.x1") in found
+    assert html_text.slot_hash("/body./div.x3") in found
+    assert html_text.slot_hash("/body./div.x2") not in found
+    template = html_text.Template(slots=frozenset(found))
+    for _, _, html, want in rows:
+        root = html_text.parse(html)
+        assert html_text._blocks(html_text._walk(root, html_text.marked(root, template), False)) == want
+
+
+def test_html_edge_tables(spark):
+    schema = "page_id long, url string, html string, host string, hashes string, slots int, h long"
+    assert html_text.extract_text(spark.createDataFrame([], schema)).count() == 0
+    page = "<article>One</article><article>Two</article><nav>No</nav>"
+    rows = [(1, "http://a.org/", page, "x", "y", 1, 2), (1, "http://a.org/", page, "x", "y", 1, 2), (None, None, page, None, None, None, None), (2, "nohost", None, "x", "y", 1, 2)]
+    got = sorted((str(r["page_id"]), r["text"]) for r in html_text.extract_text(spark.createDataFrame(rows, schema)).collect())
+    assert got == [("1", "One\nTwo"), ("1", "One\nTwo"), ("2", ""), ("None", "One\nTwo")]
+
+
 def test_deep_and_long_pages():
     assert html_text.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
     assert len(html_text.main_text("<p>" + "word " * 200_000)) == 999_999
@@ -288,11 +428,25 @@ def test_bounds_hold(lengths):
     assert np.bincount(bins, weights=n, minlength=len(fill)).astype(int).tolist() == fill.tolist()
 
 
-def test_exchange_between_partitions_saves_bins(spark):
+def test_exchange_between_partitions_saves_bins(spark, monkeypatch):
     r = random.Random(2)
     rows = [(k, 0, 0, r.randint(200, 800), k) for k in range(600)]
     cut = spark.createDataFrame(rows, "doc long, piece int, start long, length long, crc long")
-    apart = packing.pack(cut, per_task=60, rounds=1).select("sequence_id").distinct().count()
     joined = packing.pack(cut, per_task=60)
     assert joined.count() == 600
-    assert packing.corpus_bound(cut) <= joined.select("sequence_id").distinct().count() <= apart
+    used, bound = packing.certificate(joined)
+    one_round = packing._pack
+    monkeypatch.setattr(packing, "_pack", lambda capacity, round_no, last: one_round(capacity, round_no, True))
+    apart, _ = packing.certificate(packing.pack(cut, per_task=60))
+    assert packing.corpus_bound(cut) == bound <= used <= apart
+
+
+def test_rows_of_one_id_are_dealt_over_the_tasks(spark, monkeypatch):
+    def seen(key, pdf):
+        return pdf.drop(columns="part").assign(sequence_id=int(key[0]), offset=len(pdf), settled=True)
+
+    monkeypatch.setattr(packing, "_pack", lambda capacity, round_no, last: seen)
+    cut = spark.createDataFrame([(None, 0, 0, 1, 7)] * 2000, "doc long, piece int, start long, length long, crc long")
+    rows = packing.pack(cut, per_task=100).select("sequence_id", "offset").distinct().collect()
+    assert len(rows) == 20
+    assert max(r["offset"] for r in rows) < 200
