@@ -61,3 +61,18 @@ EXPRESS_PRIMACY = (
     r"(?:the |any )?(?:respective )?game[- ](?:title|specific) rul\w+[^.]*\."
 )
 RESTATES = r"global\s+rul"
+
+# Fixed values of cross references, hedges, page labels and book names.
+XREF_ARTICLE = r"(?:section|article|art\.)\s+(\d{1,2}(?:\.\d{1,3})+)"
+XREF_BOOK = r"global\s+rulebook"
+HEDGES = "typically usually generally commonly".split()
+FOOTER = r"^[\s\-–—_.·|]*(?:page\s*)?(\d{1,4})(?:\s*(?:of|/)\s*\d{1,4})?[\s\-–—_.·|]*$"
+ALIAS_MIN = 3
+ALIAS_STOPWORDS = """
+free fire fatal fury kings honor arena valor women mobile legends world cup
+sports the and pro open esports rulebook global bang tactics league siege
+street fighter ops competitive
+""".split()
+MAX_PART, MAX_PART_TITLE, MOST_HEADING_WORDS = 80, 60, 12
+EST_OUTPUT_TOKENS, RETRY_FACTOR, ROUTER_TOKENS_IN, ROUTER_TOKENS_OUT = 500, 1.8, 700, 15
+CHAT_RATES = {"gpt-4o-mini": (0.15, 0.60)}

@@ -160,10 +160,3 @@ def url_content_hash(url: Column) -> Column:
     stem = F.regexp_replace(name, r"\.[^.]*$", "")
     parts = F.filter(F.split(stem, "_"), lambda p: p.rlike("^[0-9a-fA-F]{8,}$"))
     return F.when(F.size(parts) > 0, F.array_join(parts, "")).otherwise(F.concat(F.lit("u"), F.substring(F.sha1(url.cast("binary")), 1, 16)))
-
-
-def percentile(value: Column, q: float) -> Column:
-    """An aggregate: the element at round-half-even(q·n + 0.5), clamped."""
-    n = F.count(value)
-    at = F.greatest(F.lit(1), F.least(n, F.bround(q * n + 0.5))).cast("int")
-    return F.get(F.sort_array(F.collect_list(value)), at - 1)

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions import fixed as X
+
 
 def slugify(text: Column) -> Column:
     """Compatibility decomposition, lower case, runs of anything but a-z and 0-9 one space."""
@@ -26,10 +28,46 @@ def unambiguous(aliases: DataFrame) -> DataFrame:
     return own.join(single, "alias", "left_semi").select("slug", "alias")
 
 
-def derived(slug: Column, title: Column) -> Column:
-    """Aliases of a book: its slug, its title and the slug's parts of three letters and more."""
-    parts = F.filter(F.split(slug, "-"), lambda p: F.length(p) >= 3)
-    return F.array_distinct(F.concat(F.array(F.lower(slug), F.lower(title)), parts))
+def derived(books: DataFrame) -> DataFrame:
+    """(slug, alias) of the names that books (slug, title, doc_title, detail_url) go by.
+
+    Slug, title and document title, the tail of a page under ``/rulebooks/``,
+    and the parts of the slug that are no stop word and not another book's whole
+    slug; all of three letters or more, none a stop word alone.  Nulls name nothing.
+    """
+    tail = F.when(F.col("detail_url").contains("/rulebooks/"), F.substring_index(F.rtrim("detail_url", F.lit("/")), "/", -1))
+    whole = books.select("slug", F.explode(F.array_compact(F.array("slug", "title", "doc_title", tail))).alias("name")).select("slug", slugify(F.col("name")).alias("alias"))
+    parts = books.select("slug", F.explode(F.split(F.lower("slug"), "[^a-z0-9]+")).alias("alias")).where(~F.col("alias").isin(*X.ALIAS_STOPWORDS))
+    others = books.select(F.col("slug").alias("owner"), F.col("slug").alias("alias")).distinct()
+    foreign = parts.alias("p").join(F.broadcast(others).alias("o"), (F.col("p.alias") == F.col("o.alias")) & (F.col("p.slug") != F.col("o.owner")), "left_anti")  # a row a book
+    every = whole.unionByName(foreign.select("slug", "alias"))
+    return every.where((F.length("alias") >= X.ALIAS_MIN) & ~F.col("alias").isin(*X.ALIAS_STOPWORDS)).distinct()
+
+
+def phrase_hits(texts: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(id, start, end, slug) of whole-word phrases in texts (id, text); one within a longer one of another book goes.
+
+    ``aliases`` (slug, alias) is the short list of the books' names.
+    """
+    names: dict[str, list[str]] = {}
+    for r in aliases.distinct().collect():  # a handful of rows a book
+        names.setdefault(r["slug"], []).append(r["alias"])
+
+    @F.pandas_udf("array<struct<start:int,end:int,slug:string>>")
+    def found(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: [{"start": a, "end": b, "slug": s} for a, b, s in phrase_matches((t or "").lower(), names)])
+
+    return texts.select("id", F.explode(found("text")).alias("h")).select("id", "h.*")
+
+
+def mismatch(mentioned: Column, searched: Column) -> Column:
+    """Books that a question mentions and that were not searched; the global one is always searched."""
+    return F.array_sort(F.array_except(F.array_except(mentioned, searched), F.array(F.lit("global"))))
+
+
+def misattribution(asked: Column, said: Column, searched: Column) -> Column:
+    """Books that were not searched, named by the question and by the answer's prose."""
+    return F.array_sort(F.array_intersect(mismatch(asked, searched), mismatch(said, searched)))
 
 
 def named_titles(texts: DataFrame, variants: DataFrame) -> DataFrame:

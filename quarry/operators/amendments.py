@@ -74,3 +74,23 @@ def amendment_chunks(notices: DataFrame, aimed: DataFrame, cap: int = CAP) -> Da
 def status(body: Column, n_targets: Column) -> Column:
     """Why a notice is no amendment, or null."""
     return F.when(F.trim(F.coalesce(body, F.lit(""))) == "", "no body").when(n_targets == 0, "no target")
+
+
+def headings_of(body: Column) -> Column:
+    """Headings of a notice's sections, an empty one for what precedes the first."""
+
+    @F.pandas_udf("array<string>")
+    def found(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: [h for h, _ in sections(t or "")])
+
+    return found(body)
+
+
+def quoted_of(body: Column, wanted: str) -> Column:
+    """The rule that a notice quotes: see :func:`quoted_rule`."""
+
+    @F.pandas_udf("string")
+    def found(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: quoted_rule(t or "", wanted))
+
+    return found(body)

@@ -47,3 +47,20 @@ def summaries(turns: DataFrame) -> DataFrame:
 def check_unique(turns: DataFrame) -> DataFrame:
     """(conversation_id, seq) given more than once: what a constraint would refuse."""
     return turns.groupBy("conversation_id", "seq").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def get_or_create(asked: DataFrame, standing: DataFrame) -> DataFrame:
+    """(turn_id, conversation_id, created, title) of turns (turn_id, conversation_id or null, question): the conversation named if it stands, else a new one with the question as title."""
+    known = standing.select(F.col("conversation_id").alias("found"))
+    j = asked.join(known, asked["conversation_id"] == known["found"], "left")
+    new = F.concat(F.lit("c"), F.sha2(F.concat_ws("|", "turn_id", "question"), 256).substr(1, 16))
+    return j.select("turn_id", F.coalesce("found", new).alias("conversation_id"), F.col("found").isNull().alias("created"), F.when(F.col("found").isNull(), title_of(F.col("question"))).alias("title"))
+
+
+def budget_snapshot(spend: DataFrame, today: str, earlier: float) -> DataFrame:
+    """(conversation_id, day, conversation, session, project) of spend (conversation_id, asked_at, usd, session): sums in dollars; ``earlier``: the project's before the log begins."""
+    day = F.substring(F.date_format("asked_at", "yyyy-MM-dd"), 1, 10)
+    rows = spend.withColumn("today", F.when(day == today, F.col("usd")).otherwise(0.0))
+    whole = rows.agg(F.coalesce(F.sum("today"), F.lit(0.0)).alias("day"), F.coalesce(F.sum(F.when(F.col("session"), F.col("usd"))), F.lit(0.0)).alias("session"), (F.coalesce(F.sum("usd"), F.lit(0.0)) + earlier).alias("project"), F.lit(1).alias("one"))
+    each = rows.groupBy("conversation_id").agg(F.sum("usd").alias("conversation"), F.lit(1).alias("one"))
+    return each.join(F.broadcast(whole), "one").drop("one")  # one row

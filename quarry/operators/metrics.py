@@ -3,17 +3,42 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions import fixed as X
+from quarry.functions import text as T
 
 
 def resolve_labels(labels: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(label_id, query_id, chunk_id): a label names a game and an article or everything below it; none may be empty."""
+    """(label_id, query_id, chunk_id) of labels (label_id, query_id, game, prefix, and if given exact and scope).
+
+    A label names an article of a game, or with ``exact`` false all below it
+    too; a scope narrows it.
+    """
     # The prefixes of a chunk's article make the prefix test an equi-join.
     bits = F.split("article", r"\.")
-    held = chunks.where("article <> ''").select("chunk_id", "game", F.explode(F.transform(F.sequence(F.lit(1), F.size(bits)), lambda n: F.array_join(F.slice(bits, F.lit(1), n), "."))).alias("prefix"))
-    return labels.join(held, (labels["game"] == held["game"]) & (labels["prefix"] == held["prefix"])).select("label_id", "query_id", "chunk_id")
+    held = chunks.where("article <> ''").select("chunk_id", "game", F.col("scope").alias("s"), "article", F.explode(F.transform(F.sequence(F.lit(1), F.size(bits)), lambda n: F.array_join(F.slice(bits, F.lit(1), n), "."))).alias("prefix"))
+    j = labels.join(held, ["game", "prefix"])
+    if "exact" in labels.columns:
+        j = j.where("NOT coalesce(exact, false) OR article = prefix")
+    if "scope" in labels.columns:
+        j = j.where("scope IS NULL OR scope = s")
+    return j.select("label_id", "query_id", "chunk_id")
+
+
+def require_labels(labels: DataFrame, qrels: DataFrame) -> DataFrame:
+    """``qrels``, unless a label has no chunk: that is an error of the labels, and raised."""
+    empty = labels.join(qrels.select("label_id").distinct(), "label_id", "left_anti")
+    some = [r["label_id"] for r in empty.select("label_id").orderBy("label_id").limit(5).collect()]
+    if some:
+        raise ValueError(f"labels without a chunk, such as {some}")
+    return qrels
+
+
+def label_key(game: Column, article: Column, below: Column, scope: Column) -> Column:
+    """``game:article`` or ``game:article.*``, and ``:[scope]`` if the label has one."""
+    return F.concat_ws(":", game, F.when(below, F.concat(article, F.lit(".*"))).otherwise(article), F.when(scope.isNotNull(), F.concat(F.lit("["), scope, F.lit("]"))))
 
 
 def label_ranks(qrels: DataFrame, run: DataFrame) -> DataFrame:
@@ -46,3 +71,127 @@ def stability(results: DataFrame) -> DataFrame:
     """Pass rate of each assertion over its runs, and what it makes of the gate."""
     rate = results.groupBy("case_id", "assertion").agg(F.avg(F.col("passed").cast("int")).alias("rate"), F.bool_and("passed").alias("all_passed"))
     return rate.withColumn("state", F.when(F.col("rate") == 1, "stable").when(F.col("rate") == 0, "always_fail").otherwise("unstable"))
+
+
+def percentiles(rows: DataFrame, key: str, value: str, shares: dict[str, float], buckets: int = 4096) -> DataFrame:
+    """(key, n, ...): for each share the element at round-half-even(share * n + 0.5), clamped; nulls count for nothing.
+
+    No group is gathered in one row: values are counted in ``buckets`` bins
+    between the least and the greatest of their key, the bin that holds the
+    element is found from the counts, and only equal values of that bin are
+    counted again.
+    """
+    v = rows.select(key, F.col(value).cast("double").alias("v")).where("v is not null")
+    ends = v.groupBy(key).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    wanted = F.array(*(F.struct(F.lit(name).alias("name"), F.greatest(F.lit(1), F.least(F.col("n"), F.bround(q * F.col("n") + 0.5))).cast("long").alias("at")) for name, q in shares.items()))
+    targets = ends.select(key, F.explode(wanted).alias("w")).select(key, "w.*")
+    width = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets), F.lit(buckets - 1))).otherwise(F.lit(0))
+    binned = v.join(ends, key).select(key, "v", width.alias("bin"))
+    below = W.partitionBy(key).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    counts = binned.groupBy(key, "bin").agg(F.count("*").alias("k")).withColumn("before", F.coalesce(F.sum("k").over(below), F.lit(0)))
+    hit = targets.join(counts, key).where((F.col("before") < F.col("at")) & (F.col("at") <= F.col("before") + F.col("k"))).select(key, "name", "bin", (F.col("at") - F.col("before")).alias("at"))
+    same = binned.join(hit.select(key, "bin").distinct(), [key, "bin"], "left_semi").groupBy(key, "bin", "v").agg(F.count("*").alias("k"))
+    upto = W.partitionBy(key, "bin").orderBy("v")
+    placed = same.withColumn("upto", F.sum("k").over(upto))
+    found = hit.join(placed, [key, "bin"]).where(F.col("upto") >= F.col("at")).groupBy(key, "name").agg(F.min("v").alias("v"))
+    wide = found.groupBy(key).agg(*(F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in shares))
+    return ends.select(key, "n").join(wide, key)
+
+
+def ordinals(rows: DataFrame, order: list[Column], name: str, parts: int | None = None) -> DataFrame:
+    """``rows`` with their place from 1 in ``order``, without one task that sees them all: ranges of rows are sorted each for itself, their counts added up."""
+    n = parts or rows.sparkSession.sparkContext.defaultParallelism
+    ranged = rows.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id())
+    counts = ranged.groupBy("__part").agg(F.count("*").alias("k"))
+    before = F.coalesce(F.sum("k").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    bases = counts.select("__part", before.alias("__base"))
+    own = F.row_number().over(W.partitionBy("__part").orderBy(*order))
+    return ranged.withColumn("__own", own).join(F.broadcast(bases), "__part").withColumn(name, F.col("__base") + F.col("__own")).drop("__part", "__own", "__base")
+
+
+def leakage_rate(evidence: DataFrame, cases: DataFrame) -> DataFrame:
+    """One row (cases, leaking, rate) over the scoped cases (query_id, game, and excluded: an array of games).
+
+    A case leaks if its evidence has a book that is neither the one asked for
+    nor the global one, or one that it excludes.  0 where no case is scoped.
+    """
+    scoped = cases.where("game is not null").select("query_id", F.col("game").alias("asked"), F.coalesce("excluded", F.array().cast("array<string>")).alias("excluded"))
+    stray = (~F.col("game").isin("global") & (F.col("game") != F.col("asked"))) | F.array_contains("excluded", F.col("game"))
+    per = scoped.join(evidence.select("query_id", "game"), "query_id", "left").groupBy("query_id").agg(F.coalesce(F.bool_or(stray), F.lit(False)).alias("leaks"))
+    return per.agg(F.count("*").alias("cases"), F.count_if("leaks").alias("leaking"), F.coalesce(F.round(F.avg(F.col("leaks").cast("int")), 6), F.lit(0.0)).alias("rate"))
+
+
+def scope_purity(evidence: DataFrame, allowed: DataFrame) -> DataFrame:
+    """One row (pools, pure, rate): the share of pools all of whose scopes their question (query_id, scopes) permits."""
+    pools = evidence.groupBy("query_id").agg(F.collect_set("scope").alias("found")).join(allowed, "query_id")
+    pure = F.size(F.array_except("found", "scopes")) == 0
+    return pools.agg(F.count("*").alias("pools"), F.count_if(pure).alias("pure"), F.round(F.avg(pure.cast("int")), 6).alias("rate"))
+
+
+def self_agreement(runs: DataFrame) -> DataFrame:
+    """One row (repeats, agreement): how many repeats (query_id, run, routed) give what the first of their question gave; null agrees with null."""
+    first = runs.groupBy("query_id").agg(F.min_by(F.struct("routed"), "run").alias("f"), F.min("run").alias("run0"))
+    later = runs.join(first, "query_id").where(F.col("run") > F.col("run0"))
+    return later.agg(F.count("*").alias("repeats"), F.round(F.avg(F.col("routed").eqNullSafe(F.col("f.routed")).cast("int")), 6).alias("agreement"))
+
+
+def citation_coverage(answers: DataFrame, allowed: DataFrame) -> DataFrame:
+    """(query_id, valid, paragraphs, cited): is every citation supported, and how many paragraphs carry one."""
+    parts = F.filter(F.split("answer", r"\n\s*\n"), lambda p: F.trim(p) != "")
+    cited = F.filter(parts, lambda p: F.size(T.cited_locators(p)) > 0)
+    j = answers.join(allowed, "query_id", "left")
+    bad = T.unsupported(F.col("answer"), F.coalesce("allowed", T.empty_strings()))
+    return j.select("query_id", (F.size(bad) == 0).alias("valid"), F.size(parts).alias("paragraphs"), F.size(cited).alias("cited"))
+
+
+def usd(tokens_in: Column, tokens_out: Column, model: Column, unknown: float | None = None) -> Column:
+    """Cost of a call in dollars; a model without a price costs ``unknown``: null where that would be a guess, 0 where sums must go on."""
+    price = F.coalesce(*(F.when(model == m, (tokens_in * i + tokens_out * o) / 1_000_000) for m, (i, o) in X.CHAT_RATES.items()))
+    return price if unknown is None else F.coalesce(price, F.lit(unknown))
+
+
+def generation_estimate(cases: DataFrame, runs: int, model: str) -> DataFrame:
+    """(query_id, usd) ahead of spending, for cases (query_id, prompt_tokens, auto): every run may be written twice, and a case that is not forced is routed first."""
+    rate_in, rate_out = X.CHAT_RATES[model]
+    written = (F.col("prompt_tokens") * rate_in + X.EST_OUTPUT_TOKENS * rate_out) * X.RETRY_FACTOR * runs
+    routed = F.when(F.col("auto"), X.ROUTER_TOKENS_IN * rate_in + X.ROUTER_TOKENS_OUT * rate_out).otherwise(0.0)
+    return cases.select("query_id", ((written + routed) / 1_000_000).alias("usd"))
+
+
+def measurements(per_run: DataFrame) -> DataFrame:
+    """(name, value, sd, n, unit, basis) from runs (name, value, unit, basis); the sample's deviation is null for one run, and no basis is an error."""
+    told = F.when(F.trim(F.coalesce("basis", F.lit(""))) != "", F.col("basis")).otherwise(F.raise_error(F.concat(F.lit("no basis for "), "name")))
+    return per_run.withColumn("basis", told).groupBy("name", "unit", "basis").agg(F.avg("value").alias("value"), F.stddev_samp("value").alias("sd"), F.count("value").alias("n"))
+
+
+def rendered(value: Column, sd: Column, n: Column, unit: Column) -> Column:
+    """A measurement as text: dollars with six places, seconds with three, ratios with four; the deviation, or that there is one run."""
+
+    def shown(x: Column) -> Column:
+        return F.when(unit == "usd", F.format_string("$%.6f", x)).when(unit == "s", F.format_string("%.3f s", x)).otherwise(F.format_string("%.4f", x))
+
+    spread = F.when(n < 2, " (n=1)").otherwise(F.concat(F.lit(" ± "), shown(sd)))
+    return F.when(value.isNull(), "not measured").otherwise(F.concat(shown(value), F.coalesce(spread, F.lit(""))))
+
+
+def probe(runs: DataFrame) -> DataFrame:
+    """(case_id, same_set, same_ranks, same_order): does every repeat (case_id, run, chunk_id, rank, place) give what the first gave?"""
+    held = runs.groupBy("case_id", "run").agg(
+        F.array_sort(F.collect_set("chunk_id")).alias("ids"),
+        F.sort_array(F.collect_list(F.struct("chunk_id", "rank"))).alias("ranks"),
+        F.sort_array(F.collect_list(F.struct("place", "chunk_id")))["chunk_id"].alias("order"),
+    )
+    first = held.groupBy("case_id").agg(F.min_by(F.struct("ids", "ranks", "order"), "run").alias("f"))
+    j = held.join(first, "case_id").groupBy("case_id")
+    return j.agg(*(F.bool_and(F.col(c) == F.col(f"f.{c}")).alias(name) for c, name in (("ids", "same_set"), ("ranks", "same_ranks"), ("order", "same_order"))))
+
+
+def verdict(results: DataFrame) -> DataFrame:
+    """One row (passed, failed, known_fail, errors, exit_code) of results (assertion, passed, known, error).
+
+    2 if a case could not be run, else 1 if an assertion that must hold does
+    not in every run, else 0; a failure that is known is confirmed by any run.
+    """
+    per = results.groupBy("case_id", "assertion").agg(F.bool_and(F.coalesce("passed", F.lit(False))).alias("ok"), F.bool_or("known").alias("known"), F.bool_or(F.col("error").isNotNull()).alias("broken"))
+    n = per.agg(F.count_if("ok").alias("passed"), F.count_if(~F.col("ok") & ~F.col("known") & ~F.col("broken")).alias("failed"), F.count_if(~F.col("ok") & F.col("known") & ~F.col("broken")).alias("known_fail"), F.count_if("broken").alias("errors"))
+    return n.withColumn("exit_code", F.when(F.col("errors") > 0, 2).when(F.col("failed") > 0, 1).otherwise(0))

@@ -7,10 +7,10 @@ lines of one document run in a grouped map per document.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,7 +18,9 @@ from quarry.functions import fixed as X
 
 NUMBER = re.compile(r"^([A-Za-z]?\d{1,2}(?:\.\d{1,2}){0,4})\.?$")
 INLINE = re.compile(r"^(?:Article\s+)?([A-Za-z]?\d{1,2}(?:\.\d{1,2}){0,4})\.?\s+(\S.*)$")
-PART = re.compile(r"^(Appendix|Annex|Schedule)\s+([IVXLC]+|[A-Z]|\d{1,2})\b\s*[:—–-]?\s*(.*)$", re.I)
+PART = re.compile(r"^(Appendix|Annex|Schedule|Exhibit)\s+([IVXLC]+|[A-Z]|\d{1,2})\b[\s:.–—-]+([A-Z“\"'(].{0,60})$", re.I)
+PART_ALONE = re.compile(r"^(Appendix|Annex|Schedule|Exhibit)\s+([IVXLC]+|[A-Z]|\d{1,2})\.?$", re.I)
+CONTENTS = re.compile(r"^(?:table\s+of\s+)?contents\.?$", re.I)
 LEADER = re.compile(r"\.{4,}|(?:\. ){4,}|…{2,}")
 
 
@@ -27,7 +29,7 @@ def strip_boilerplate(lines: DataFrame) -> DataFrame:
 
     Goes: a line among the first or last three of a page whose lower-case text
     is there on max(4, half of the pages) pages or more; a bare number among
-    the first or last two; dot leaders.
+    the first or last two; dot leaders; titles of contents listings.
     """
     from_end = F.col("n_in_page") - 1 - F.col("pos")
     band = (F.col("pos") < X.BAND) | (from_end < X.BAND)
@@ -36,8 +38,9 @@ def strip_boilerplate(lines: DataFrame) -> DataFrame:
     edge = (F.col("pos") < 2) | (from_end < 2)
     bare = edge & F.col("text").rlike(r"^\d+$")
     leader = F.col("text").rlike(LEADER.pattern)
+    contents = F.trim("text").rlike(f"(?i){CONTENTS.pattern}")
     j = lines.withColumn("key", key).join(common, ["doc", "key"], "left")
-    return j.where(~(F.coalesce("running", F.lit(False)) & band) & ~bare & ~leader).drop("key", "running")
+    return j.where(~(F.coalesce("running", F.lit(False)) & band) & ~bare & ~leader & ~contents).drop("key", "running")
 
 
 def heading_shape(text: str) -> bool:
@@ -50,10 +53,15 @@ def plausible_heading(text: str) -> bool:
     return heading_shape(text) and (text[0].isupper() or text[0] in "\"'“‘") and not re.search(r"[,;]$", text)
 
 
+def plausible_subheading(text: str, article: str, before: str) -> bool:
+    """Under a dotted number a heading need not begin with a capital, unless the line before it ends in mid-sentence."""
+    return "." in article and heading_shape(text) and (not before or before[-1] in ".;:!?”\"'")
+
+
 def run_in_heading(text: str) -> tuple[str, str] | None:
     """A leading sentence of at most twelve words that reads as a heading, and what follows it."""
     m = re.match(r"^(.+?)\.\s+(\S.*)$", text)
-    if m and len(m[1].split()) <= 12 and plausible_heading(m[1]):
+    if m and len(m[1].split()) <= X.MOST_HEADING_WORDS and plausible_heading(m[1]):
         return m[1], m[2]
     return None
 
@@ -71,10 +79,11 @@ def heading_candidates(lines: list[str]) -> list[tuple[int, int, str, str, str]]
         if inline and len(line) <= X.MAX_LINE or inline and run_in_heading(inline[2]):
             article, rest = inline[1], inline[2].strip()
             run_in = run_in_heading(rest)
-            wraps = i > 0 and lines[i - 1].strip()[-1:].isalpha() and lines[i - 1].strip()[:1].islower()
+            before = lines[i - 1].strip() if i else ""
+            wraps = i > 0 and before[-1:].isalpha() and before[:1].islower()
             if run_in:
                 out.append((i, 1, article, *run_in))
-            elif plausible_heading(rest) and (not wraps or "." not in article):
+            elif plausible_heading(rest) and (not wraps or "." not in article) or plausible_subheading(rest, article, before):
                 out.append((i, 1, article, rest, ""))
         i += 1
     return out
@@ -145,29 +154,63 @@ def contents_lines(lines: list[str], headings: list[tuple]) -> set[int]:
     return dead
 
 
+def part_marks(text: list[str], first: int) -> dict[int, tuple[str, int]]:
+    """Place of each appendix marker after the first heading to its label and how many lines it takes: its title is on its line, or alone on the next."""
+    out = {}
+    for i in range(first, len(text)):
+        line = text[i].strip()
+        if len(line) > X.MAX_PART or ". " in line or line.endswith((",", ";")):
+            continue
+        title = text[i + 1].strip() if i + 1 < len(text) else ""
+        if PART.match(line):
+            out[i] = re.sub(" {2,}", " ", line).rstrip("."), 1
+        elif PART_ALONE.match(line) and 3 <= len(title) <= X.MAX_PART_TITLE and (title[0].isupper() or title[0] in "“\"'(") and not (NUMBER.match(title) or INLINE.match(title) or title.isdigit() or title.endswith((",", ";", "."))):
+            out[i] = f"{line.rstrip('.')} - {title}", 2
+    return out
+
+
+def join_lines(begun: str, lines: list[str], pages: list[int], page: int) -> tuple[str, list[tuple[int, int]]]:
+    """The body, and (offset in it, page) of each of its lines; what was begun on the heading's line comes first."""
+    rows = [(begun, page)] if begun else []
+    rows += [(t, p) for t, p in zip(lines, pages, strict=True) if t]
+    offsets, at = [], 0
+    for t, p in rows:
+        offsets.append((at, p))
+        at += len(t) + 1
+    return "\n".join(t for t, _ in rows), offsets
+
+
+def page_at(offsets: list[tuple[int, int]], at: int, page: int) -> int:
+    """The page of the last line that begins at ``at`` or before it; ``page`` if none does."""
+    k = bisect_right(offsets, at, key=lambda o: o[0])
+    return offsets[k - 1][1] if k else page
+
+
 def segments_of(lines: list[str], pages: list[int]) -> list[dict]:
-    """Front matter, articles and appendix preambles of one document, with their pages."""
+    """Front matter, articles and appendix preambles of one document, with their pages and the offsets of their lines."""
     first = heading_candidates(lines)
     dead = contents_lines(lines, first)
     live = [i for i in range(len(lines)) if i not in dead]
     text, page = [lines[i] for i in live], [pages[i] for i in live]
     found = heading_candidates(text)
-    parts = [i for i, x in enumerate(text) if (m := PART.match(x.strip())) and len(x) <= 80 and not x.rstrip().endswith((".", ",", ";")) and found and i > found[0][0]]
-    found = enforce_sequence(found, parts)
-    marks = sorted([(h[0], h[1], h[2], h[3], h[4]) for h in found] + [(i, 1, "", text[i].strip(), "") for i in parts])
+    parts = part_marks(text, found[0][0] if found else len(text))
+    found = enforce_sequence(found, sorted(parts))
+    inside = {x for h in found for x in range(h[0], h[0] + h[1])}
+    marks = sorted([tuple(h) for h in found] + [(i, used, "", text[i].strip(), "") for i, (_, used) in parts.items() if i not in inside])
     if not marks or marks[0][0] > 0:
-        marks.insert(0, (0, 0, "", "", ""))
-    out, label = [], ""
-    for (at, used, article, heading, body), end in zip(marks, [*(m[0] for m in marks[1:]), len(text)], strict=True):
-        if at in parts:
-            label = heading[:80]
-        joined = "\n".join(([body] if body else []) + text[at + used : end])
-        if article or joined.strip() or at in parts:
-            out.append({"ordinal": len(out), "article": article, "heading": heading, "part": label, "body": joined, "page": page[at] if page else 1, "page_end": page[max(at, end - 1)] if page else 1})
+        marks.insert(0, (0, 0, "", "Front matter", ""))
+    out, starts = [], sorted(parts)
+    for (at, used, article, heading, begun), end in zip(marks, [*(m[0] for m in marks[1:]), len(text)], strict=True):
+        label = parts[starts[k - 1]][0] if (k := bisect_right(starts, at)) else ""
+        own = page[at] if page else 1
+        body, offsets = join_lines(begun, text[at + used : end], page[at + used : end], own)
+        if article or body.strip():
+            last = page[max(at + used, end - 1)] if end > at + used else own
+            out.append({"ordinal": len(out), "article": article, "heading": heading, "part": label, "body": body, "page": own, "page_end": last, "offsets": [{"at": a, "page": p} for a, p in offsets]})
     return out
 
 
-SEGMENT = "doc long, ordinal int, article string, heading string, part string, body string, page int, page_end int"
+SEGMENT = "doc long, ordinal int, article string, heading string, part string, body string, page int, page_end int, offsets array<struct<at:int,page:int>>"
 
 
 def segment(lines: DataFrame) -> DataFrame:
@@ -176,13 +219,121 @@ def segment(lines: DataFrame) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("line_no")
         rows = segments_of(pdf.text.fillna("").tolist(), pdf.page.tolist())
-        out = pd.DataFrame(rows, columns=["ordinal", "article", "heading", "part", "body", "page", "page_end"])
+        out = pd.DataFrame(rows, columns=["ordinal", "article", "heading", "part", "body", "page", "page_end", "offsets"])
         out.insert(0, "doc", pdf.doc.iloc[0])
         return out
 
     return lines.select("doc", "line_no", "page", "text").groupBy("doc").applyInPandas(run, SEGMENT)
 
 
+def above(article: Column, itself: bool = True) -> Column:
+    """The articles that a dotted number lies under, the outermost first."""
+    bits = F.split(article, r"\.")
+    n = F.size(bits) - (0 if itself else 1)
+    return F.when((article != "") & (n > 0), F.transform(F.sequence(F.lit(1), n), lambda k: F.array_join(F.slice(bits, F.lit(1), k), "."))).otherwise(F.array().cast("array<string>"))
+
+
+def breadcrumbs(segments: DataFrame) -> DataFrame:
+    """(doc, ordinal, heading_path) of every segment: number and heading of each article above it and its own, by " > ".
+
+    Of several segments with one number in a part the last one's heading
+    counts.  Articles without a heading are left out; without any, the path is
+    the segment's own heading.
+    """
+    named = segments.where("article <> ''").groupBy("doc", "part", F.col("article").alias("over")).agg(F.max_by("heading", "ordinal").alias("title")).where("title <> ''")
+    up = segments.select("doc", "ordinal", "part", F.posexplode(above(F.col("article"))).alias("depth", "over"))
+    paths = up.join(named, ["doc", "part", "over"]).groupBy("doc", "ordinal").agg(F.sort_array(F.collect_list(F.struct("depth", F.concat_ws(" ", "over", "title").alias("t"))))["t"].alias("path"))
+    return segments.select("doc", "ordinal", "heading").join(paths, ["doc", "ordinal"], "left").select("doc", "ordinal", F.coalesce(F.nullif(F.array_join("path", " > "), F.lit("")), F.col("heading")).alias("heading_path"))
+
+
+def rescue_thin(segments: DataFrame, least: int = X.MIN_BODY) -> DataFrame:
+    """The segments to be stored, with ``rescued``: those with text enough, and those without that have an article and no other below it in their part.
+
+    A thin article below another is either stored or has one below it that is,
+    so the articles below need no order.
+    """
+    size = F.length(F.trim(F.regexp_replace(F.col("body"), r"(?U)^\s+|\s+$", "")))
+    rows = segments.withColumn("rescued", size < least)
+    parents = segments.select("doc", "part", F.explode(above(F.col("article"), itself=False)).alias("article")).distinct()
+    thin = rows.where("rescued AND article <> ''").join(parents, ["doc", "part", "article"], "left_anti").select(*rows.columns)
+    return rows.where("NOT rescued").unionByName(thin)
+
+
+#: What a chunk has of its book, null where the book does not say.
+BOOK = {"game": "string", "game_title": "string", "scope": "string", "authority": "int", "version": "string", "effective_date": "string", "source_url": "string", "doc_title": "string", "supersedes": "string", "external_host": "boolean", "source_path": "string"}
+CHUNK = [*BOOK, "article", "article_id", "heading", "heading_path", "part", "page", "page_end", "chunk", "chunk_of", "chunk_id", "n_chars"]
+
+
+def assemble_chunks(segments: DataFrame, books: DataFrame) -> DataFrame:
+    """Chunks (``CHUNK`` and ``text``) of segments (see :func:`segment`) and their books (doc and columns of ``BOOK``, of which game and title must be there).
+
+    A body of more than ``MAX_CHARS`` is split.  The first piece stands on its
+    heading's page, a later one on the page that its own text starts on.  A
+    thin segment that nothing below repeats is its heading.  A chunk id that a
+    document gives again gets the chunk's place among all its chunks.
+    """
+    kept = rescue_thin(segments).join(breadcrumbs(segments), ["doc", "ordinal"])
+
+    @F.pandas_udf("array<struct<piece:string,page:int>>")
+    def pieces(body: pd.Series, whole: pd.Series, offsets: pd.Series, page: pd.Series) -> pd.Series:
+        out = []
+        for text, source, places, own in zip(body, whole, offsets, page, strict=True):
+            at, rows = 0, []
+            lines = [(o["at"], o["page"]) for o in places]
+            for k, piece in enumerate(split_text(text) or [""]):
+                probe = piece.strip()[:40]
+                found = source.find(probe, at) if probe else -1
+                at = found if found >= 0 else at
+                rows.append({"piece": piece, "page": own if k == 0 else page_at(lines, at, own)})
+            out.append(rows)
+        return pd.Series(out)
+
+    body = F.regexp_replace(F.col("body"), r"(?U)^\s+|\s+$", "")
+    promoted = F.when(F.col("rescued"), F.array_join(F.filter(F.array("heading", body), lambda x: x != ""), "\n")).otherwise(body)
+    cut = kept.withColumn("p", pieces(promoted, "body", "offsets", "page")).select("doc", "ordinal", "article", "heading", "heading_path", "part", "page_end", F.size("p").alias("chunk_of"), F.posexplode("p").alias("chunk", "p"))
+    known = books.select("doc", *((F.col(c) if c in books.columns else F.lit(None)).cast(kind).alias(c) for c, kind in BOOK.items()))
+    known = known.withColumns({"doc_title": F.coalesce(F.nullif("doc_title", F.lit("")), F.col("game_title")), "external_host": F.coalesce("external_host", F.lit(False))})
+    known = known.withColumns({c: F.coalesce(c, F.lit("")) for c, kind in BOOK.items() if kind == "string"})
+    article_id = F.when((F.col("part") != "") & (F.col("article") != ""), F.concat_ws(" § ", "part", "article")).otherwise(F.col("article"))
+    rows = cut.join(known, "doc").withColumn("article_id", article_id)
+    rows = rows.withColumn("base", F.concat_ws(":", "game", F.coalesce(F.nullif("article_id", F.lit("")), F.lit("front")), F.col("chunk").cast("string")))
+    emitted = W.partitionBy("doc").orderBy("ordinal", "chunk")
+    seen = F.row_number().over(W.partitionBy("doc", "base").orderBy("ordinal", "chunk"))
+    rows = rows.withColumns({"nth": F.row_number().over(emitted) - 1, "seen": seen})
+    label = F.when(F.col("article") != "", F.concat(F.lit("["), "game_title", F.lit(" · Article "), "article_id", F.lit(" — "), "heading", F.lit("]"))).otherwise(F.concat(F.lit("["), "game_title", F.lit(" · "), "heading", F.lit("]")))
+    return rows.select(
+        "doc", "ordinal", *BOOK, "article", "article_id", "heading", "heading_path", "part", F.col("p.page").alias("page"), "page_end", "chunk", "chunk_of",
+        F.when(F.col("seen") > 1, F.concat_ws(":", "base", F.col("nth").cast("string"))).otherwise(F.col("base")).alias("chunk_id"), F.length("p.piece").alias("n_chars"), F.concat(label, F.lit("\n"), "p.piece").alias("text"))
+
+
+#: What no chunk may lack, and the kinds of its values.
+REQUIRED = {"game": "string", "game_title": "string", "scope": "string", "authority": "int", "article": "string", "heading": "string", "page": "int", "version": "string", "effective_date": "string", "source_url": "string", "chunk": "int"}
+
+
+def violations(chunks: DataFrame, required: dict[str, str] = REQUIRED) -> DataFrame:
+    """(chunk_id, violation), one row each: a key that is missing, null or of another kind, a page below 1, an id given again, text without a label.
+
+    Of the rows with one id those after the first by page, chunk and text are
+    reported.  A key that is missing, or of another kind, is so in every row.
+    """
+    kinds = dict(chunks.dtypes)
+    found = [F.lit(f"{c} missing") for c in required if c not in kinds]
+    found += [F.lit(f"{c} is {kinds[c]}") for c, kind in required.items() if c in kinds and kinds[c] != kind]
+    found += [F.when(F.col(c).isNull(), f"{c} is null") for c in required if c in kinds]
+    found += [F.when(F.col("page") < 1, "page below 1")] if "page" in kinds else []
+    found += [F.when(~F.coalesce(F.col("text").startswith("["), F.lit(False)), "no label")]
+    bad = chunks.select("chunk_id", F.explode(F.array_compact(F.array(*found))).alias("violation"))
+    again = chunks.groupBy("chunk_id").agg(F.count("*").alias("n")).where("n > 1").select("chunk_id", F.explode(F.sequence(F.lit(2), F.col("n"))).alias("k"))
+    return bad.unionByName(again.select("chunk_id", F.lit("id given again").alias("violation")))
+
+
+def union_corpora(documents: DataFrame, amendments: DataFrame, games: list[str] | None = None) -> DataFrame:
+    """The chunks of the books and those of the notices; a build of some games alone has no notices."""
+    if games:
+        return documents.where(F.col("game").isin(*games))
+    return documents.unionByName(amendments, allowMissingColumns=True)
+
+
 def split_text(text: str, size: int = X.MAX_CHARS, overlap: int = X.OVERLAP, separators: tuple[str, ...] = ("\n\n", "\n", ". ", " ", "")) -> list[str]:
     """Pieces of at most ``size`` characters, cut at the coarsest separator that serves, each beginning with the end of the one before."""
     if len(text) <= size:
@@ -220,3 +371,14 @@ def islands(rows: DataFrame, key: str, order: str, flag: str) -> DataFrame:
     w = W.partitionBy(key).orderBy(order)
     broken = rows.withColumn("island", F.sum((~F.col(flag)).cast("int")).over(w))
     return broken.where(flag).groupBy(key, "island").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).drop("island")
+
+
+def line_offsets(lines: DataFrame) -> DataFrame:
+    """(doc, line_no, page, at) of the lines with text (doc, line_no, page, text): where each begins in the body that they make, joined by line ends."""
+    before = W.partitionBy("doc").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
+    return lines.where("text <> ''").select("doc", "line_no", "page", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).alias("at"))
+
+
+def page_of(offsets: Column, at: Column, page: Column) -> Column:
+    """The page of the last of ``offsets`` (array of struct(at, page), in order) that is not beyond ``at``; else ``page``."""
+    return F.coalesce(F.element_at(F.filter(offsets, lambda o: o["at"] <= at), -1)["page"], page)

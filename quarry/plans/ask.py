@@ -7,6 +7,7 @@ deterministic and need none.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,7 @@ from quarry.functions import fixed as X
 from quarry.functions import text as T
 from quarry.operators import precedence as P
 from quarry.operators import verify as V
+from quarry.sources import store
 
 Router = Callable[[DataFrame, DataFrame], DataFrame]
 Writer = Callable[[DataFrame], Column]
@@ -38,30 +40,70 @@ def route(questions: DataFrame, catalog: DataFrame, router: Router = alias_route
     return checked.select("query_id", "question", "game").unionByName(routed.select("query_id", "question", "game"))
 
 
-def quoting_writer(evidence: DataFrame) -> Column:
-    """Answers with the lead of the excerpt read first, cited."""
-    return F.concat(T.lead(F.col("top.text")), F.lit(" "), T.citation(F.col("top.game_title"), F.col("top.article"), F.col("top.page")))
+def quoting_writer(drafts: DataFrame) -> Column:
+    """Answers by naming the excerpt read first, cited."""
+    return F.concat(F.lit("The rule on this stands in "), F.col("top.game_title"), F.lit(" "), T.citation(F.col("top.game_title"), F.col("top.article"), F.col("top.page")), F.lit("."))
 
 
-def answer(questions: DataFrame, evidence: DataFrame, writer: Writer = quoting_writer) -> DataFrame:
-    """(query_id, answer, faults..., outcome): a draft held to its evidence; faulty drafts of untrue claims are withheld."""
-    own = T.locator(T.citation(F.col("game_title"), F.col("article"), F.col("page")))
-    held = evidence.groupBy("query_id").agg(
-        F.min_by(F.struct("chunk_id", "game_title", "article", "page", "text"), "read_pos").alias("top"),
-        F.collect_set(own).alias("allowed"), F.array_sort(F.collect_set("game_title")).alias("books"), F.count("*").alias("n"))
-    drafts = questions.join(held, "query_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    drafts = drafts.withColumn("answer", F.when(F.col("n") > 0, writer(drafts)).otherwise(F.lit("")))
-    faults = drafts.select("query_id", "answer", "n", T.unsupported(F.col("answer"), F.coalesce("allowed", T.empty_strings())).alias("cites"), V.silence_violations(F.col("answer"), F.coalesce("books", T.empty_strings())).alias("silence"))
-    bad = (F.size("cites") > 0) | (F.size("silence") > 0)
-    return faults.withColumn("outcome", F.when((F.col("n") > 0) & bad, "withheld").otherwise(V.outcome(F.col("answer"), F.col("n")))).drop("n")
+def corrections(found: DataFrame) -> DataFrame:
+    """``found`` (see :func:`quarry.operators.verify.faults`) with ``correction``: what a second draft is told, one block for each kind of fault in fixed order.
 
+    Only unsupported citations can leave nothing standing, so only they offer to
+    say that the question is not covered.
+    """
 
-def corrections(faults: DataFrame) -> DataFrame:
-    """What a second draft is told, one block for each kind of fault in fixed order."""
     def block(col: str, said: str) -> Column:
         return F.when(F.size(col) > 0, F.concat(F.lit(said), F.array_join(col, "; ")))
 
-    return faults.withColumn("correction", F.concat_ws("\n", block("cites", "Not in evidence: "), block("silence", "In evidence, yet called silent: ")))
+    blocks = F.concat_ws(
+        "\n",
+        F.when(F.size("cites") > 0, F.concat(F.lit("Not in evidence: "), F.array_join("cites", "; "), F.coalesce(F.concat(F.lit(". Cite only: "), F.array_join("allowed", "; ")), F.lit("")))),
+        block("silence", "In evidence, yet called silent: "),
+        block("gap", "Called missing, yet in an excerpt: "),
+        block("skipped", "Passed over, say in a clause what it adds or that it does not matter: "),
+        block("verbatim", "Word for word, say it in other words: "),
+        F.when(F.size("cites") > 0, F.lit("If nothing is left, say that the question is not covered and what was searched.")),
+    )
+    return found.withColumn("correction", blocks)
+
+
+def scope_text(game: Column, title: Column) -> Column:
+    """What was searched, in words."""
+    return F.when(game.isNull(), "the global rulebook and its amendments").otherwise(F.concat(F.coalesce(title, game), F.lit(", the global rulebook and its amendments")))
+
+
+def answer(questions: DataFrame, evidence: DataFrame, frequency: DataFrame, n_corpus: int, found: DataFrame, writer: Writer = quoting_writer, rewriter: Writer | None = None) -> DataFrame:
+    """(query_id, answer, outcome, errors, retried): a draft held to its evidence by five checks, rewritten once if one fails.
+
+    ``frequency``: (word, df) of the corpus of ``n_corpus`` chunks; ``found``:
+    the findings of :func:`quarry.operators.precedence.resolve`.  Writers make a
+    column from query_id, question, top (the excerpt read first) and, the second
+    time, ``answer`` and ``correction``.  A second draft that is still untrue
+    (citations, silence, gaps) is withheld; one that only skips siblings says
+    so at its end; one that only quotes too much goes out as it is.
+    """
+    held = evidence.groupBy("query_id").agg(F.min_by(F.struct("chunk_id", "game_title", "article", "page", "text"), "read_pos").alias("top"), F.count("*").alias("n"))
+    drafts = questions.join(held, "query_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    some = drafts.where("n > 0")
+    tops = P.top_findings(found)
+
+    def checked(answers: DataFrame) -> DataFrame:
+        got = V.faults(answers, evidence, frequency, n_corpus, tops)
+        return corrections(got.join(V.allowed_citations(evidence), "query_id", "left")).withColumn("described", V.describe())
+
+    first = store.written(checked(some.select("query_id", writer(some).alias("answer"))), "drafts")  # read three times
+    good = first.where(~V.any_fault()).select("query_id", "answer", V.outcome(F.col("answer"), F.lit(1)).alias("outcome"), T.empty_strings().alias("errors"), F.lit(False).alias("retried"))
+    told = some.join(first.where(V.any_fault()).select("query_id", "answer", "correction", F.col("described").alias("before")), "query_id")
+    again = told.select("query_id", "before", (rewriter or writer)(told).alias("answer"))
+    second = checked(again).join(again.select("query_id", "before"), "query_id")
+    untrue = V.any_fault(("cites", "silence", "gap"))
+    withheld = F.concat(F.lit("The draft could not be squared with the excerpts and is withheld. Faults: "), "described", F.lit(". Excerpts retrieved: "), F.array_join("allowed", "; "))
+    disclosed = F.when(F.size("skipped") > 0, F.concat("answer", F.lit("\n\nAlso retrieved and not covered above: "), F.array_join("skipped", "; "), F.lit("."))).otherwise(F.col("answer"))
+    errors = F.array_compact(F.array(F.concat(F.lit("attempt 1: "), "before"), F.when(V.any_fault(), F.concat(F.lit("attempt 2: "), "described"))))
+    final = F.when(untrue, withheld).otherwise(disclosed)
+    redone = second.select("query_id", final.alias("answer"), F.when(untrue, "withheld").otherwise(V.outcome(disclosed, F.lit(1))).alias("outcome"), errors.alias("errors"), F.lit(True).alias("retried"))
+    none = drafts.where("n = 0").select("query_id", F.lit("The retrieved text does not cover this; no excerpt matched.").alias("answer"), F.lit("no_evidence").alias("outcome"), T.empty_strings().alias("errors"), F.lit(False).alias("retried"))
+    return good.unionByName(redone).unionByName(none)
 
 
 def coverage_note(evidence: DataFrame) -> DataFrame:
@@ -71,7 +113,38 @@ def coverage_note(evidence: DataFrame) -> DataFrame:
     return top.groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("read_pos", line.alias("l"))))["l"], "; ").alias("note"))
 
 
-def findings(evidence: DataFrame) -> DataFrame:
-    """Title findings and amendments of every question."""
-    amended = P.amended_findings(evidence).select("query_id", F.lit("amended").alias("kind"), F.concat_ws(" ", "game", "article").alias("subject"))
-    return P.title_findings(P.group_articles(evidence)).select("query_id", "kind", "subject").unionByName(amended)
+Retriever = Callable[[DataFrame], DataFrame]
+
+
+def search(questions: DataFrame, catalog: DataFrame, retriever: Retriever, router: Router = alias_router) -> dict[str, DataFrame]:
+    """Route, retrieve, resolve, and stop: the tables ``routed``, ``evidence``, ``findings`` and ``notes``.  Nothing is written."""
+    routed = route(questions, catalog, router)
+    evidence = retriever(routed)
+    found = P.resolve(evidence)
+    return {"routed": routed, "evidence": evidence, "findings": found, "notes": P.render_note(found, evidence)}
+
+
+def ask(questions: DataFrame, catalog: DataFrame, retriever: Retriever, frequency: DataFrame, n_corpus: int, router: Router = alias_router, writer: Writer = quoting_writer, rewriter: Writer | None = None) -> dict[str, DataFrame]:
+    """The whole chain: what :func:`search` gives, and ``answers``."""
+    state = search(questions, catalog, retriever, router)
+    return state | {"answers": answer(state["routed"], state["evidence"], frequency, n_corpus, state["findings"], writer, rewriter)}
+
+
+def instrumented(steps: list[tuple[str, Callable[[], DataFrame]]]) -> tuple[dict[str, DataFrame], list[dict]]:
+    """Runs each step to its end and keeps its time; a step that fails is a record with its error, and the later ones have no time.
+
+    Steps return tables that do not change any more (written ones).
+    """
+    tables, records, failed = {}, [], False
+    for name, step in steps:
+        began, error, rows = time.perf_counter(), None, None
+        if not failed:
+            try:
+                tables[name] = step()
+                rows = tables[name].count()
+            except Exception as e:  # an error is data here: the run's record holds it
+                error, failed = f"{type(e).__name__}: {str(e)[:200]}", True
+        else:
+            began = None
+        records.append({"node": name, "seconds": None if began is None or error else time.perf_counter() - began, "rows": rows, "error": error})
+    return tables, records

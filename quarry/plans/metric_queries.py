@@ -60,22 +60,6 @@ def outcome_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy("answerable")), 6))
 
 
-@query("SELECT count(*) AS n, round(avg(CAST(routed IS NOT DISTINCT FROM expected AS INTEGER)), 6) AS accuracy FROM (SELECT nullif(lang, 'es') AS routed, nullif(CASE WHEN doc_id % 10 = 0 THEN 'en' ELSE lang END, 'es') AS expected FROM documents)")
-def router_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = F.lit("es")
-    d = table(spark, sf_dir, "documents").select(F.nullif("lang", none).alias("routed"), F.nullif(F.when(F.col("doc_id") % 10 == 0, "en").otherwise(F.col("lang")), none).alias("expected"))
-    return d.agg(F.count("*").alias("n"), F.round(F.avg(F.col("routed").eqNullSafe(F.col("expected")).cast("int")), 6).alias("accuracy"))
-
-
-_PCT = "list_sort(list(value))[CAST(greatest(1, least(count(value), round_even({q} * count(value) + 0.5, 0))) AS INTEGER)]"
-
-
-@query(f"SELECT event_type, count(value) AS n, {_PCT.format(q='0.5')} AS p50, {_PCT.format(q='0.9')} AS p90, max(value) AS most, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
-def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("value")
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(v).alias("n"), T.percentile(v, 0.5).alias("p50"), T.percentile(v, 0.9).alias("p90"), F.max(v).alias("most"), F.round(F.avg(v), 6).alias("mean"))
-
-
 _COST = "(value * 0.15 + (event_id % 7) * 0.6) / 1000000"
 
 
@@ -103,14 +87,6 @@ def token_cost_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.agg(F.count("*").alias("docs"), F.sum("t").alias("total"), F.max("t").alias("most"), F.round(F.avg("t"), 1).alias("mean"), F.count_if(F.col("t") > X.MAX_EMBEDDING_TOKENS).alias("too_long"), F.round(F.sum("t") * 0.02 / 1_000_000, 6).alias("usd"), F.lit(None).cast("double").alias("usd_unpriced"))
 
 
-@query("SELECT conv_id, count(*) AS turns, round(sum(CASE role WHEN 'user' THEN t * 0.15 WHEN 'assistant' THEN t * 0.6 END) / 1000000, 9) AS usd, CAST(round(sum((t + 500) * 1.8 * 3), 3) AS DOUBLE) AS tokens_ahead FROM (SELECT conv_id, role, greatest(1, length(text) // 4) AS t FROM conversations) GROUP BY conv_id")
-def chat_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cost of what was said, unpriced roles left out, and the estimate for asking it thrice with retries."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "role", M.tokens_estimate(F.coalesce("text", F.lit(""))).alias("t"))
-    rate = F.when(F.col("role") == "user", 0.15).when(F.col("role") == "assistant", 0.6)
-    return c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.round(F.sum(F.col("t") * rate) / 1_000_000, 9).alias("usd"), F.round(F.sum((F.col("t") + 500) * 1.8 * 3), 3).alias("tokens_ahead"))
-
-
 @query(as_long("""SELECT conv_id, sum(n) AS turn_count, string_agg(role, ',' ORDER BY first_turn) AS roles, max(last_turn) AS last_turn, left(arg_min(first_text, first_turn), 60) AS title
 FROM (SELECT conv_id, role, count(*) AS n, min(turn) AS first_turn, max(turn) AS last_turn, arg_min(text, turn) AS first_text FROM conversations GROUP BY conv_id, role) GROUP BY conv_id""", "turn_count"))
 def conversation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,13 +102,6 @@ def turn_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.row_number().over(w.orderBy("turn")).cast("long").alias("seq"), (F.row_number().over(w.orderBy(F.desc("turn"))) == 1).alias("latest"))
 
 
-@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, max(ts) AS at FROM events GROUP BY user_id HAVING arg_max(event_type, (ts, event_id)) <> 'purchase'")
-def history_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest state per key of an append-only log; a purchase stands for a tombstone."""
-    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"), F.max("ts").alias("at"))
-    return e.where("state <> 'purchase'")
-
-
 @query(as_long(rf"WITH {CHUNKS} SELECT game, count(*) AS chunks, count_if(article <> '') AS with_article, count(DISTINCT CASE WHEN article <> '' THEN concat_ws(' § ', nullif(part, ''), article) END) AS article_ids, count(DISTINCT nullif(article, '')) AS articles, min(page) AS first_page, max(page) AS last_page, round(100 * count_if(article <> '') / count(*), 3) AS pct FROM chunks GROUP BY game", "with_article"))
 def coverage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     has = F.col("article") != ""

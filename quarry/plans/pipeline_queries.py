@@ -25,87 +25,11 @@ def router(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ask.route(questions(spark, sf_dir), _catalog(spark, sf_dir)).select("query_id", F.col("game").alias("routed"))
 
 
-@query(rf"WITH {EVIDENCE} SELECT query_id, 'answered' AS outcome, 0 AS n_faults FROM questions WHERE query_id IN (SELECT query_id FROM evidence)")
-def ask_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drafts that quote and cite the excerpt read first pass their checks."""
-    a = ask.answer(questions(spark, sf_dir), evidence(spark, sf_dir))
-    return a.select("query_id", "outcome", (F.size("cites") + F.size("silence")).alias("n_faults"))
-
-
 @query(rf"WITH {EVIDENCE} SELECT query_id, string_agg('[' || read_pos || '] ' || game_title || ' Article ' || coalesce(nullif(article, ''), '-'), '; ' ORDER BY read_pos) AS note FROM evidence WHERE rel_rank <= {X.ACCOUNTABLE_RANK} GROUP BY query_id")
 def coverage_note(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ask.coverage_note(evidence(spark, sf_dir))
 
 
-@query(rf"""WITH {EVIDENCE}, idf AS (SELECT word, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) AS idf FROM (SELECT unnest(list_distinct({sql_content('text')})) AS word FROM documents) GROUP BY word),
-q AS (SELECT DISTINCT query_id, unnest(({sql_content('question')})[1:{X.GAP_SUBJECT_WORDS}]) AS word FROM questions), qt AS (SELECT query_id, word, coalesce(idf, ln((SELECT count(*) FROM documents) + 1)) AS idf FROM q LEFT JOIN idf USING (word)),
-tot AS (SELECT query_id, sum(idf) AS total, count(*) AS n FROM qt GROUP BY query_id), e AS (SELECT query_id, chunk_id, unnest(list_distinct({sql_content('text')})) AS word FROM evidence),
-cov AS (SELECT query_id, chunk_id, sum(idf) AS got FROM e JOIN qt USING (query_id, word) GROUP BY ALL)
-SELECT query_id, round(max(got / total), 6) AS coverage, max(got / total) >= {X.GAP_COVERAGE} AND max(n) >= {X.GAP_MIN_TERMS} AS contradicted FROM cov JOIN tot USING (query_id) WHERE total > 0 GROUP BY query_id""")
-def gap_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much of a claim's subject one excerpt covers, weighted by rarity in the corpus."""
-    d = table(spark, sf_dir, "documents")
-    n = d.count()
-    q = questions(spark, sf_dir).select("query_id", F.explode(F.array_distinct(F.slice(T.content_words(F.col("question")), 1, X.GAP_SUBJECT_WORDS))).alias("word"))
-    df = d.select(F.explode(F.array_distinct(T.content_words(F.col("text")))).alias("word")).join(q.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
-    qt = q.join(df, "word", "left").withColumn("idf", F.log((n + 1) / (F.coalesce("df", F.lit(0)) + 1)))
-    total = qt.groupBy("query_id").agg(F.sum("idf").alias("total"), F.count("*").alias("n"))
-    e = evidence(spark, sf_dir).select("query_id", "chunk_id", F.explode(F.array_distinct(T.content_words(F.col("text")))).alias("word"))
-    cov = e.join(qt, ["query_id", "word"]).groupBy("query_id", "chunk_id").agg(F.sum("idf").alias("got")).join(total, "query_id").where("total > 0")
-    best = cov.groupBy("query_id").agg(F.max(F.col("got") / F.col("total")).alias("c"), F.max("n").alias("n"))
-    return best.select("query_id", F.round("c", 6).alias("coverage"), ((F.col("c") >= X.GAP_COVERAGE) & (F.col("n") >= X.GAP_MIN_TERMS)).alias("contradicted"))
-
-
-@query(as_long(rf"WITH {CHUNKS}, {_ANSWER} SELECT game_title, count(*) AS answers, count_if(article <> '') AS with_supported, round(avg(CASE WHEN article <> '' THEN 0.5 ELSE 0 END), 6) AS supported_share FROM answers GROUP BY game_title", "with_supported"))
-def citation_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of an answer's citations that its own chunk supports, by book."""
-    a = _answers(spark, sf_dir)
-    allowed = T.locator(T.citation(F.col("game_title"), F.col("article"), F.col("page")))
-    good = F.size(F.filter(T.cited_locators(F.col("answer")), lambda c: c == allowed))
-    return a.withColumn("good", good).groupBy("game_title").agg(F.count("*").alias("answers"), F.count_if(F.col("good") > 0).alias("with_supported"), F.round(F.avg(F.col("good") / 2), 6).alias("supported_share"))
-
-
-@query(as_long(rf"WITH {EVIDENCE} SELECT query_id, count_if(regexp_matches(text, '(?i)\m(?:may|might|perhaps|possibly)\M')) AS hedged FROM evidence GROUP BY query_id".replace(r"\m", r"\b").replace(r"\M", r"\b"), "hedged"))
-def hedge_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Excerpts that hedge; an answer's hedge needs one."""
-    return evidence(spark, sf_dir).groupBy("query_id").agg(F.count_if(F.col("text").rlike(r"(?i)\b(?:may|might|perhaps|possibly)\b")).alias("hedged"))
-
-
-@query(r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), p AS (SELECT doc_id, unnest(range(1, (len(l) - 1) // 20 + 2)) AS page, l FROM l),
-t AS (SELECT doc_id, page, list_filter(list_reverse(l[greatest((page - 1) * 20 + 1, least(page * 20, len(l)) - 2):least(page * 20, len(l))]), lambda x: length(x) BETWEEN 1 AND 12)[1] AS label FROM p)
-SELECT doc_id, page, label, count(*) OVER (PARTITION BY doc_id, label) > 1 AS ambiguous FROM t WHERE label IS NOT NULL""")
-def footer_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lowest short line among a page's last three; ambiguous if another page of the document has it too."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("l"))
-    p = d.select("doc_id", "l", F.explode(F.sequence(F.lit(1), (F.floor((F.size("l") - 1) / 20) + 1).cast("int"))).alias("page"))
-    hi = F.least(F.col("page") * 20, F.size("l"))
-    lo = F.greatest((F.col("page") - 1) * 20 + 1, hi - 2)
-    label = F.get(F.filter(F.reverse(F.slice("l", lo, hi - lo + 1)), lambda x: F.length(x).between(1, 12)), F.lit(0))
-    t = p.select("doc_id", F.col("page").cast("long").alias("page"), label.alias("label")).where("label is not null")
-    return t.withColumn("ambiguous", F.count("*").over(W.partitionBy("doc_id", "label")) > 1)
-
-
-@query("SELECT event_type AS name, round(avg(value), 6) AS value, round(stddev_samp(value), 6) AS sd, count(value) AS n FROM events GROUP BY event_type UNION ALL SELECT 'first of ' || event_type, round(avg(value), 6), round(stddev_samp(value), 6), count(value) FROM events WHERE event_id IN (SELECT min(event_id) FROM events GROUP BY event_type) GROUP BY event_type")
-def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Means and sample deviations, which one value does not have."""
-    e = table(spark, sf_dir, "events")
-
-    def told(df: DataFrame) -> DataFrame:
-        return df.groupBy("name").agg(F.round(F.avg("value"), 6).alias("value"), F.round(F.stddev_samp("value"), 6).alias("sd"), F.count("value").alias("n"))
-
-    first = e.groupBy("event_type").agg(F.min_by("value", "event_id").alias("value")).select(F.concat(F.lit("first of "), "event_type").alias("name"), "value")
-    return told(e.select(F.col("event_type").alias("name"), "value")).unionByName(told(first))
-
-
-@query("SELECT lang AS game, count(*) AS documents FROM documents WHERE length(text) >= 100 GROUP BY lang")
-def manifest_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources accepted, written as a manifest with those skipped, and read back."""
-    d = table(spark, sf_dir, "documents").select(F.col("lang").alias("game"), "doc_id", F.length("text").alias("size"))
-    path = store.work_path(spark, "manifest")
-    store.write_manifest(d.where("size >= 100"), d.where("size < 100").select("game", "doc_id", F.lit("too short").alias("reason")), path)
-    return store.read_manifest(spark, path).groupBy("game").agg(F.count("*").alias("documents"))
-
-
 @query(rf"WITH {CHUNKS} SELECT scope, count(*) AS n, 0 AS differing FROM chunks GROUP BY scope")
 def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks stored for both rankers, and the rows that differ from what was sent."""
@@ -127,15 +51,6 @@ def case_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions(spark, sf_dir).join(labels, "query_id", "left").select("query_id", "game", (F.col("quality") == 1).alias("answerable"), F.when(F.col("quality").isNull(), "unlabelled").otherwise("labelled").alias("bucket"))
 
 
-@query(rf"WITH {CHUNKS} SELECT i.game, i.n, k.size, i.game IS NOT NULL AS in_corpus, coalesce(i.game, k.game) AS slug FROM (SELECT game, count(*) AS n FROM chunks WHERE scope <> 'amendment' GROUP BY game) i FULL JOIN (SELECT * FROM (VALUES ('global', 1), ('de', 2), ('xx', 3)) t(game, size)) k ON i.game = k.game")
-def rich_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Indexed books beside those that the manifest alone knows."""
-    i = chunks(spark, sf_dir).where("scope <> 'amendment'").groupBy("game").agg(F.count("*").alias("n"))
-    k = spark.createDataFrame([("global", 1), ("de", 2), ("xx", 3)], "slug_k string, size int")
-    j = i.join(k, i["game"] == k["slug_k"], "full")
-    return j.select("game", "n", "size", F.col("game").isNotNull().alias("in_corpus"), F.coalesce("game", "slug_k").alias("slug"))
-
-
 @query()
 def amendment_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles and books that notices aim at; text windows, so checked by unit tests."""
@@ -145,11 +60,3 @@ def amendment_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.amendment_targets(notices, books)
 
 
-@query(rf"""WITH {EVIDENCE}, m AS (SELECT query_id, list_sort(list(DISTINCT game)) AS games, list(DISTINCT game) FILTER (game <> 'global') AS titles FROM evidence GROUP BY query_id)
-SELECT query_id, coalesce(array_to_string(list_sort(list_filter(titles, lambda g: g <> coalesce(q.game, ''))), ','), '') AS unsearched, len(games) AS n_games FROM m JOIN questions q USING (query_id)""")
-def title_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Books in evidence that the question did not search (the global one aside)."""
-    m = evidence(spark, sf_dir).groupBy("query_id").agg(F.collect_set("game").alias("games"))
-    j = m.join(questions(spark, sf_dir).select("query_id", F.coalesce("game", F.lit("")).alias("asked")), "query_id")
-    left = F.array_except("games", F.array(F.lit("global"), F.col("asked")))
-    return j.select("query_id", F.array_join(F.array_sort(left), ",").alias("unsearched"), F.size("games").cast("long").alias("n_games"))

@@ -16,17 +16,6 @@ from quarry.plans.retrieval_queries import EVIDENCE, evidence
 from quarry.plans.text_queries import _ANSWER, _answers
 
 
-@query(as_long(rf"""WITH {EVIDENCE} SELECT q.query_id, coalesce(q.game, '') AS game, count(e.chunk_id) AS n_docs, CASE WHEN bool_or(e.scope = 'title') THEN 'scoped' ELSE 'general' END AS mode,
-  string_agg(e.chunk_id || ':' || e.rel_rank, ',' ORDER BY e.read_pos) AS ranks, sum(greatest(1, length(e.text) // 4)) AS tokens FROM questions q LEFT JOIN evidence e USING (query_id) GROUP BY q.query_id, q.game""", "tokens"))
-def response_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One record a question: what was read, in which order and at which rank."""
-    e = evidence(spark, sf_dir).select("query_id", "chunk_id", "scope", "rel_rank", "read_pos", "text")
-    rank = F.concat_ws(":", F.col("chunk_id").cast("string"), F.col("rel_rank").cast("string"))
-    g = e.groupBy("query_id").agg(F.count("*").alias("n"), F.bool_or(F.col("scope") == "title").alias("t"), F.sort_array(F.collect_list(F.struct("read_pos", rank.alias("r")))).alias("l"), F.sum(F.greatest(F.lit(1), F.floor(F.length("text") / 4))).alias("tokens"))
-    j = questions(spark, sf_dir).join(g, "query_id", "left")
-    return j.select("query_id", F.coalesce("game", F.lit("")).alias("game"), F.coalesce("n", F.lit(0)).alias("n_docs"), F.when(F.col("t"), "scoped").otherwise("general").alias("mode"), F.array_join("l.r", ",").alias("ranks"), "tokens")
-
-
 @query(rf"""WITH {CHUNKS}, {_ANSWER}, loc AS (SELECT chunk_id AS found, game_title || ' — Article ' || article || ', p.' || page AS locator FROM chunks WHERE article <> '')
 SELECT a.chunk_id, count(found) AS n_found, min(found) AS first_found FROM answers a LEFT JOIN loc ON loc.locator = a.game_title || ' — Article ' || a.article || ', p.' || a.page WHERE a.article <> '' GROUP BY a.chunk_id""")
 def locator_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,14 +25,6 @@ def locator_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(loc, "locator", "left").groupBy("chunk_id").agg(F.count("found").alias("n_found"), F.min("found").alias("first_found"))
 
 
-@query(rf"WITH {CHUNKS} SELECT chunk_id, game || ':' || CASE WHEN article = '' THEN 'front' ELSE concat_ws(' § ', nullif(part, ''), article) END || ':' || (row_number() OVER (PARTITION BY game, part, article ORDER BY chunk_id) - 1) AS stored_id FROM chunks")
-def chunk_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids made of book, article and the place among the article's pieces."""
-    n = F.row_number().over(W.partitionBy("game", "part", "article").orderBy("chunk_id")) - 1
-    article = F.when(F.col("article") == "", "front").otherwise(F.concat_ws(" § ", F.nullif("part", F.lit("")), "article"))
-    return chunks(spark, sf_dir).select("chunk_id", F.concat_ws(":", "game", article, n.cast("string")).alias("stored_id"))
-
-
 @query(rf"""WITH {EVIDENCE}, r AS (SELECT query_id, chunk_id, coalesce(CASE WHEN chunk_id % 6 <> 0 THEN rel_rank END, {X.MISSING_RANK}) AS rank FROM evidence)
 SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS place FROM r""")
 def relevance_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,78 +33,3 @@ def relevance_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("query_id", "chunk_id", F.row_number().over(W.partitionBy("query_id").orderBy("rank", "chunk_id")).cast("long").alias("place"))
 
 
-@query(rf"""WITH {EVIDENCE} SELECT q.query_id, bool_or(e.game = coalesce(q.game, 'global') AND (e.article = '2.2' OR starts_with(e.article, '2.2.'))) AS includes, NOT bool_or(e.game = 'de' AND coalesce(q.game, '') <> 'de') AS excludes,
-  bool_and(e.scope IN ('global', 'title', 'amendment')) AS scopes_ok, count(*) AS n FROM questions q JOIN evidence e USING (query_id) GROUP BY q.query_id""")
-def retrieval_assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = questions(spark, sf_dir).select("query_id", F.coalesce("game", F.lit("global")).alias("asked"))
-    e = evidence(spark, sf_dir).join(q, "query_id")
-    under = (F.col("article") == "2.2") | F.col("article").startswith("2.2.")
-    return e.groupBy("query_id").agg(F.bool_or((F.col("game") == F.col("asked")) & under).alias("includes"), (~F.bool_or((F.col("game") == "de") & (F.col("asked") != "de"))).alias("excludes"), F.bool_and(F.col("scope").isin("global", "title", "amendment")).alias("scopes_ok"), F.count("*").alias("n"))
-
-
-@query(rf"""WITH {CHUNKS}, {_ANSWER} SELECT chunk_id, regexp_matches(answer, '(?i)as held') AS required, regexp_matches(answer, '(?i)see below|see above') AS required_any, NOT regexp_matches(answer, '(?i)withdrawn') AS forbidden_absent,
-  page + 1 <= 20 AS cites_early_page FROM answers""")
-def answer_assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assertions of the gate on each answer: patterns required and forbidden, a citation within a page range."""
-    a, t = _answers(spark, sf_dir), F.col("answer")
-    pages = F.transform(T.cited_locators(t), lambda c: F.regexp_extract(c, r"p\.(\d+)$", 1).cast("int"))
-    return a.select("chunk_id", t.rlike("(?i)as held").alias("required"), (t.rlike("(?i)see below") | t.rlike("(?i)see above")).alias("required_any"), (~t.rlike("(?i)withdrawn")).alias("forbidden_absent"), (F.element_at(pages, -1) <= 20).alias("cites_early_page"))
-
-
-@query(as_long("SELECT conv_id, role, count(*) AS calls, sum(t) AS tokens, round(avg(t), 3) AS mean_tokens FROM (SELECT conv_id, role, greatest(1, length(text) // 4) AS t FROM conversations) GROUP BY conv_id, role", "tokens"))
-def cost_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").select("conv_id", "role", F.greatest(F.lit(1), F.floor(F.length("text") / 4)).alias("t"))
-    return c.groupBy("conv_id", "role").agg(F.count("*").alias("calls"), F.sum("t").alias("tokens"), F.round(F.avg("t"), 3).alias("mean_tokens"))
-
-
-@query("SELECT conv_id, turn, len(string_split_regex(trim(text, chr(10)), '\\n{2,}')) AS paragraphs, length(text) AS n FROM conversations WHERE text IS NOT NULL")
-def paragraph_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs of each turn, parted by blank lines."""
-    c = table(spark, sf_dir, "conversations").where("text is not null")
-    return c.select("conv_id", "turn", F.size(F.split(F.btrim("text", F.lit("\n")), r"\n{2,}")).cast("long").alias("paragraphs"), F.length("text").cast("long").alias("n"))
-
-
-@query("""WITH s AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, sum(value) AS usd FROM events GROUP BY ALL)
-SELECT user_id, round(sum(usd), 6) AS total, round(arg_max(usd, day), 6) AS last_day, round(max(usd), 6) AS dearest_day, count(*) AS days FROM s GROUP BY user_id""")
-def budget_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "events").groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.sum("value").alias("usd"))
-    return s.groupBy("user_id").agg(F.round(F.sum("usd"), 6).alias("total"), F.round(F.max_by("usd", "day"), 6).alias("last_day"), F.round(F.max("usd"), 6).alias("dearest_day"), F.count("*").alias("days"))
-
-
-@query("SELECT c.conv_id, c.turn, c.role, n.turn IS NOT NULL AS answered FROM conversations c LEFT JOIN conversations n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1 AND n.role <> c.role")
-def turn_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn beside the one that follows it in its own conversation."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
-    n = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next_role"))
-    j = c.join(n, ["conv_id", "turn"], "left")
-    return j.select("conv_id", "turn", "role", F.coalesce(F.col("next_role") != F.col("role"), F.lit(False)).alias("answered"))
-
-
-@query("SELECT event_type, format('{:.4f}', avg(value)) || ' ± ' || format('{:.4f}', stddev_samp(value)) AS shown, count(*) AS n FROM events GROUP BY event_type")
-def measurement_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = F.format_string("%.4f ± %.4f", F.avg("value"), F.stddev_samp("value"))
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(shown.alias("shown"), F.count("*").alias("n"))
-
-
-@query(r"""SELECT conv_id, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, count(*) AS n FROM (SELECT conv_id, unnest(list_distinct(list_concat([role], list_filter(string_split(role, '-'), lambda p: length(p) >= 3)))) AS kind FROM conversations) GROUP BY conv_id""")
-def derived_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names derived from a slug: itself and its longer parts."""
-    parts = F.filter(F.split("role", "-"), lambda p: F.length(p) >= 3)
-    c = table(spark, sf_dir, "conversations").select("conv_id", F.explode(F.array_distinct(F.concat(F.array("role"), parts))).alias("kind"))
-    return c.groupBy("conv_id").agg(F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"), F.count("*").alias("n"))
-
-
-@query("""WITH log AS (SELECT CAST(user_id AS VARCHAR) AS cid, ts, CASE event_type WHEN 'purchase' THEN 'delete' ELSE 'turn' END AS what, CASE WHEN event_id % 4 = 0 THEN 'title ' || event_id END AS t FROM events)
-SELECT cid AS conversation_id, arg_max(t, ts) FILTER (WHERE t IS NOT NULL) AS title, row_number() OVER (ORDER BY max(ts) DESC, cid) AS place FROM log GROUP BY cid HAVING arg_max(what, ts) <> 'delete'""")
-def conversation_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Standing conversations of a log, the last changed first."""
-    e = table(spark, sf_dir, "events")
-    log = e.select(F.col("user_id").cast("string").alias("conversation_id"), F.col("ts").alias("at"), F.when(F.col("event_type") == "purchase", "delete").otherwise("turn").alias("action"), F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("title "), "event_id")).alias("title"))
-    place = F.row_number().over(W.orderBy(F.desc("updated_at"), "conversation_id"))
-    return H.latest(log).select("conversation_id", "title", place.cast("long").alias("place"))
-
-
-@query()
-def findings_note(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The note on every question's findings; its parts are checked by other queries."""
-    return P.render_note(ask.findings(evidence(spark, sf_dir)))

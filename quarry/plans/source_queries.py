@@ -26,15 +26,6 @@ def title_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.first_slugs(G.links(table(spark, sf_dir, "pages")), "^/([^/]+)/?$")
 
 
-@query(r"""SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>([^<·]*)', 1), '\s+', ' ', 'g'), ' '), ''), 'page ' || page_id) AS title, nullif(regexp_extract(html, 'track\((\d+)\)', 1), '0') AS version,
-  CASE WHEN html IS NULL THEN 'page unreachable' WHEN NOT regexp_matches(lower(url), '\.(html|pdf)([?#].*)?$') THEN 'not a document' END AS reason FROM pages""")
-def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Title, a value from the page's script, and why the page would be skipped."""
-    p = table(spark, sf_dir, "pages")
-    version = F.nullif(G.payload_value(F.col("html"), r"track\((\d+)\)"), F.lit("0"))
-    return p.select("page_id", G.title_name(F.col("html"), F.concat(F.lit("page "), "page_id")).alias("title"), version.alias("version"), G.skip_reason(F.col("url"), F.col("html")).alias("reason"))
-
-
 @query(as_long("SELECT count(*) AS pages, count_if(regexp_matches(lower(url), '\\.(html|pdf)([?#].*)?$')) AS documents, count_if(NOT regexp_matches(lower(url), '\\.(html|pdf)([?#].*)?$')) AS skipped FROM pages", "documents skipped"))
 def manifest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     reason = G.skip_reason(F.col("url"), F.col("html"))
@@ -89,16 +80,6 @@ def line_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.islands(f, "doc", "line_no", "short")
 
 
-@query(r"""SELECT doc_id, line_no, max_by(line_no, line_no) FILTER (mark) OVER w AS section_start, lead(line_no, 1, n + 1) OVER (PARTITION BY doc_id ORDER BY line_no) AS next_line FROM (
-  SELECT doc_id, line_no, n, line_no % 7 = 1 AS mark FROM (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no, len(string_split(text, chr(10))) AS n FROM documents)) WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)""")
-def running_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The section that each line lies in (last mark at or before it) and the line after it."""
-    w = W.partitionBy("doc").orderBy("line_no")
-    l = _lines(spark, sf_dir).withColumn("total", F.count("*").over(W.partitionBy("doc")))
-    mark = F.when(F.col("line_no") % 7 == 1, F.col("line_no"))
-    return l.select(F.col("doc").alias("doc_id"), F.col("line_no").cast("long").alias("line_no"), F.last(mark, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)).cast("long").alias("section_start"), F.coalesce(F.lead("line_no").over(w), F.col("total") + 1).cast("long").alias("next_line"))
-
-
 _RUNS = "SELECT user_id AS case_id, event_type AS assertion, event_id % 3 AS run, bool_and(value < 190) AS passed FROM events GROUP BY ALL"
 
 
@@ -111,31 +92,6 @@ def gate_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.stability(_runs(spark, sf_dir)).withColumn("rate", F.round("rate", 6))
 
 
-@query(as_long(f"SELECT assertion, count(*) AS cases, count_if(ok) AS passed, count_if(NOT ok AND case_id % 2 = 0) AS known_fail, count_if(NOT ok AND case_id % 2 = 1) AS failed, CASE WHEN count_if(NOT ok AND case_id % 2 = 1) > 0 THEN 1 ELSE 0 END AS exit_code FROM (SELECT case_id, assertion, bool_and(passed) AS ok FROM ({_RUNS}) GROUP BY ALL) GROUP BY assertion", "passed known_fail failed"))
-def gate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tallies per bucket: a must-pass holds in all runs, a known failure is confirmed by any."""
-    r = _runs(spark, sf_dir).groupBy("case_id", "assertion").agg(F.bool_and("passed").alias("ok"))
-    known = F.col("case_id") % 2 == 0
-    g = r.groupBy("assertion").agg(F.count("*").alias("cases"), F.count_if("ok").alias("passed"), F.count_if(~F.col("ok") & known).alias("known_fail"), F.count_if(~F.col("ok") & ~known).alias("failed"))
-    return g.withColumn("exit_code", (F.col("failed") > 0).cast("int"))
-
-
-@query(f"WITH r AS ({_RUNS}), s AS (SELECT case_id, run, string_agg(assertion, ',' ORDER BY assertion) FILTER (passed) AS seen FROM r GROUP BY ALL) SELECT s.case_id, bool_and(s.seen IS NOT DISTINCT FROM f.seen) AS same FROM s JOIN (SELECT case_id, arg_min(seen, run) FILTER (run = first) AS seen FROM (SELECT *, min(run) OVER (PARTITION BY case_id) AS first FROM s) GROUP BY case_id) f USING (case_id) GROUP BY s.case_id")
-def determinism_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Does every repeat give what the first gave?"""
-    s = _runs(spark, sf_dir).groupBy("case_id", "run").agg(F.sort_array(F.collect_list(F.when(F.col("passed"), F.col("assertion")))).alias("seen"))
-    first = F.first("seen").over(W.partitionBy("case_id").orderBy("run"))
-    return s.withColumn("first", first).groupBy("case_id").agg(F.bool_and(F.col("seen") == F.col("first")).alias("same"))
-
-
-@query(rf"""WITH {CHUNKS}, b AS (SELECT DISTINCT game AS slug, game_title AS title FROM chunks), a AS (SELECT DISTINCT slug, unnest([slug, lower(title), 'book']) AS alias FROM b)
-SELECT slug, alias FROM a WHERE alias IN (SELECT alias FROM a GROUP BY alias HAVING count(*) = 1)""")
-def book_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Aliases that one book alone carries."""
-    b = chunks(spark, sf_dir).select(F.col("game").alias("slug"), F.col("game_title").alias("title")).distinct()
-    return A.unambiguous(b.select("slug", F.explode(F.array("slug", F.lower("title"), F.lit("book"))).alias("alias")))
-
-
 @query(r"""WITH v AS (SELECT * FROM (VALUES ('the', ['the', 'of']), ('from', ['from', 'the', 'of']), ('und', ['und', 'der'])) t(slug, v)), t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents),
 h AS (SELECT doc_id, slug, v FROM t, v WHERE list_has_all(w, v))
 SELECT doc_id, slug FROM h WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.doc_id = h.doc_id AND o.slug <> h.slug AND len(o.v) > len(h.v) AND list_has_all(o.v, h.v))""")

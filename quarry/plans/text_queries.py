@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import fixed as X
 from quarry.functions import text as T
+from quarry.operators import metrics as M
 from quarry.plans.corpus import CHUNKS, chunks, query, sql_content, sql_shingles, sql_tokens, table
 
 
@@ -107,19 +108,10 @@ def citation_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"""WITH {CHUNKS} SELECT chunk_id, CASE WHEN position('.' IN article) > 0 THEN regexp_replace(article, '\.[^.]*$', '') END AS parent,
   row_number() OVER (ORDER BY list_transform(string_split(nullif(article, ''), '.'), lambda x: CAST(x AS INTEGER)) NULLS FIRST, chunk_id) AS place FROM chunks""")
 def article_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parents, and the place of each article in numeric order.
-
-    Articles are ordered, not chunks: a row an article goes through the ordered
-    window, and a chunk's place is its article's base and its own number in it.
-    """
-    from pyspark.sql import Window as W
-
+    """Parents, and the place of each chunk in the numeric order of articles; ranges of the order are sorted each for itself."""
     c = chunks(spark, sf_dir).select("chunk_id", "article")
-    sizes = c.groupBy("article").agg(F.count("*").alias("n"))
-    before = W.orderBy(T.article_key(F.col("article"))).rowsBetween(W.unboundedPreceding, -1)
-    bases = sizes.select("article", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    own = F.row_number().over(W.partitionBy("article").orderBy("chunk_id"))
-    return c.withColumn("own", own).join(bases, "article").select("chunk_id", T.article_parent(F.col("article")).alias("parent"), (F.col("base") + F.col("own")).alias("place"))
+    placed = M.ordinals(c, [T.article_key(F.col("article")), F.col("chunk_id")], "place")
+    return placed.select("chunk_id", T.article_parent(F.col("article")).alias("parent"), "place")
 
 
 _DATES = r"""SELECT event_id, CASE event_id % 6 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN day(ts) || ' ' || strftime(ts, '%B') || ' ' || year(ts) WHEN 2 THEN day(ts) || ' ' || left(strftime(ts, '%B'), 4) || ' ' || year(ts) WHEN 3 THEN 'soon' WHEN 4 THEN '45 March 2026' ELSE strftime(ts, '%B') || ' ' || day(ts) || ', ' || year(ts) END AS raw, strftime(ts, '%Y-%m-%d') AS iso FROM events"""

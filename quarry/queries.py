@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.plans import metric_queries, pipeline_queries, precedence_queries, record_queries, retrieval_queries, source_queries, text_queries  # noqa: F401
+from quarry.plans import answer_queries, chunk_queries, metric_queries, pipeline_queries, precedence_queries, record_queries, retrieval_queries, service_queries, source_queries, text_queries  # noqa: F401
 from quarry.plans.corpus import QUERIES, SQL, Query
 
 

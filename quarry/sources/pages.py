@@ -51,6 +51,58 @@ def skip_reason(url: Column, html: Column) -> Column:
     return F.when(html.isNull(), "page unreachable").when(~html.rlike("(?i)<html"), "page unparseable").when(~html.rlike("(?i)href=\"[^\"]*\""), "no link").when(~F.lower(url).rlike(r"\.(html|pdf)([?#].*)?$"), "not a document")
 
 
+def download_status(status: Column, content: Column, written: Column) -> Column:
+    """Why a fetched file is not kept, or null; ``status``: of the reply, null without one; ``written``: could it be stored."""
+    return F.when(status.isNull(), "page unreachable").when((status < 200) | (status > 299), "download failed").when(F.coalesce(F.substring(content, 1, 5) != F.lit(b"%PDF-"), F.lit(True)), "not PDF bytes").when(~written, "unwritable")
+
+
+def detail_block(html: Column) -> Column:
+    """The article labelled as the download's, if the page has it; else the whole page."""
+    own = F.regexp_extract(html, r"(?is)<article[^>]*aria-labelledby=\"rulebook-pdf-heading\"[^>]*>(.*?)</article>", 1)
+    return F.when(own != "", own).otherwise(html)
+
+
+def enclosing_article(html: Column, href: Column) -> Column:
+    """The article element around the first link to ``href``; null if there is none."""
+    articles = F.regexp_extract_all(html, F.lit(r"(?is)<article\b[^>]*>(?:(?!</article>).)*</article>"), 0)
+    return F.get(F.filter(articles, lambda a: F.contains(a, F.concat(F.lit('href="'), href, F.lit('"')))), F.lit(0))
+
+
+def meta_line(text: Column) -> tuple[Column, Column]:
+    """(version, date): ``v1.0`` and the date after ``Effective`` in a line, each null if absent."""
+    version = F.nullif(F.regexp_extract(text, r"(?i)\bv(\d+(?:\.\d+)*)\b", 1), F.lit(""))
+    raw = F.regexp_extract(text, r"(?i)effective\s*(?:date)?\s*:?\s*(\d{4}-\d{2}-\d{2}|\d{1,2}\s+[A-Za-z]+\.?\s+\d{4})", 1)
+    return version, T.normalise_date(F.nullif(raw, F.lit("")))
+
+
+def payload_record(html: Column, url: Column, field: str) -> Column:
+    """``field`` of the script record whose externalUrl or fileUrl is ``url``; ``void 0`` and the empty string are null."""
+    records = F.regexp_extract_all(html, F.lit(r"\{[^{}]*(?:externalUrl|fileUrl):[^{}]*\}"), 0)
+    own = F.get(F.filter(records, lambda r: F.contains(r, F.concat(F.lit('externalUrl:"'), url, F.lit('"'))) | F.contains(r, F.concat(F.lit('fileUrl:"'), url, F.lit('"')))), F.lit(0))
+    got = F.regexp_extract(own, rf'\b{field}:(?:"([^"]*)"|void 0)', 1)
+    return F.nullif(got, F.lit(""))
+
+
+#: A link to a PDF whose text, tags aside, is the download's.
+_DOWNLOAD = r"(?is)<a\s[^>]*href=\"([^\"]*\.pdf(?:[?#][^\"]*)?)\"[^>]*>(?:\s|<[^>]*>)*download(?:\s|<(?!/a>)[^>]*>)+rulebook"
+
+
+def global_book(pages: DataFrame) -> DataFrame:
+    """(page_id, href, version, effective_date) of the first download link of each page that has one; the script's values come before those that are shown."""
+    raw = F.regexp_extract("html", _DOWNLOAD, 1)
+    p = pages.withColumn("raw", raw).where("raw <> ''").withColumn("href", resolve_url(F.col("raw"), F.col("url")))
+    block = F.regexp_replace(F.coalesce(enclosing_article(F.col("html"), F.col("raw")), F.lit("")), "<[^>]*>", " ")
+    version, date = meta_line(T.flat(block))
+    return p.select("page_id", "href", F.coalesce(payload_record(F.col("html"), F.col("raw"), "version"), version).alias("version"), F.coalesce(payload_record(F.col("html"), F.col("raw"), "effectiveDate"), date).alias("effective_date"))
+
+
+def resolve_locale(href: Column, listing: Column) -> Column:
+    """Absolute stays; ``/x`` joins the listing without its last segment (the root of its language); anything else joins the listing."""
+    base = F.rtrim(listing, F.lit("/"))
+    root = F.regexp_replace(base, "/[^/]*$", "")
+    return F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://"), href).when(href.startswith("/"), F.concat(root, href)).otherwise(F.concat(base, F.lit("/"), href))
+
+
 def orphans(cached: DataFrame, wanted: DataFrame, name: str = "name") -> DataFrame:
     """Cached names that no wanted document refers to; reported, never deleted."""
     return cached.select(name).distinct().join(wanted.select(name).distinct(), name, "left_anti")

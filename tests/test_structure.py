@@ -111,7 +111,7 @@ def test_common_run():
     for _ in range(50):
         a, b = ([r.choice("xyz") for _ in range(12)] for _ in range(2))
         want = max((n for n in range(1, 13) for i in range(13 - n) for j in range(13 - n) if a[i : i + n] == b[j : j + n]), default=0)
-        assert verify.common_run(a, b) == want
+        assert verify.common_run(a, b)[0] == want
 
 
 def test_js_strings_and_feed(spark):
@@ -151,3 +151,40 @@ def test_phrases_keep_the_longest():
 
 def test_slugs(spark):
     assert spark.createDataFrame([("Élan  Vital-2",)], "t string").select(aliases.slugify(F.col("t")).alias("s")).first()["s"] == "elan vital 2"
+
+
+def test_two_line_appendix_markers_and_small_headings():
+    lines = ["1 Purpose", "Body text of it.", "Appendix A", "Penalty Index", "1 Fines", "Some text.", "as listed in", "Appendix B", "of the rules.", "2.1 alcohol and tobacco", "More text."]
+    got = structure.segments_of(lines, [1] * 4 + [2] * 7)
+    assert [(s["article"], s["part"]) for s in got] == [("1", ""), ("1", "Appendix A - Penalty Index"), ("2.1", "Appendix A - Penalty Index")]
+    wrapped = ["1 Purpose", "as noted in Section", "4.2.5. of the rules here", "End."]
+    assert [s["article"] for s in structure.segments_of(wrapped, [1] * 4)] == ["1"]
+
+
+def test_bodies_know_their_pages():
+    body, offsets = structure.join_lines("begun", ["one", "", "two"], [3, 3, 4], 2)
+    assert body == "begun\none\ntwo"
+    assert offsets == [(0, 2), (6, 3), (10, 4)]
+    assert [structure.page_at(offsets, x, 9) for x in (0, 5, 6, 9, 10, 99)] == [2, 2, 3, 3, 4, 4]
+    assert structure.page_at([], 5, 9) == 9
+
+
+def test_chunks_of_a_book(spark):
+    long = [f"Sentence {k} of a long article about many things." for k in range(60)]
+    lines = ["Title page of the book, long enough.", "1 Purpose", "Too short.", "1.1 Scope", *long, "2. Game timer reaches 35 seconds", "1.1 Scope again", "Another text that is long enough to stay."]
+    rows = [(7, i, 1 + i // 20, t) for i, t in enumerate(lines)]
+    books = spark.createDataFrame([(7, "g", "Book G", "title", 1, "src.pdf")], "doc long, game string, game_title string, scope string, authority int, source_path string")
+    segments = structure.segment(spark.createDataFrame(rows, "doc long, line_no int, page int, text string"))
+    got = structure.assemble_chunks(segments, books).orderBy("ordinal", "chunk").collect()
+    assert set(structure.CHUNK) <= set(got[0].asDict())
+    ids = [r["chunk_id"] for r in got]
+    assert ids[0] == "g:front:0"
+    assert "g:1:0" not in ids  # its text is short and 1.1 lies below it
+    pieces = [r for r in got if r["article"] == "1.1" and r["chunk_of"] > 1]
+    assert [r["page"] for r in pieces] == [1, 2, 3][: len(pieces)] and len(pieces) >= 2
+    assert all(r["heading_path"] == "1 Purpose > 1.1 Scope again" for r in got if r["article"] == "1.1")
+    again = [i for i in ids if i.startswith("g:1.1:0")]
+    assert again == ["g:1.1:0", f"g:1.1:0:{len(ids) - 1}"]
+    timer = next(r for r in got if r["article"] == "2")
+    assert timer["text"] == "[Book G · Article 2 — Game timer reaches 35 seconds]\nGame timer reaches 35 seconds"
+    assert structure.violations(structure.assemble_chunks(segments, books)).count() == 0

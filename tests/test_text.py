@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.operators import metrics
 
 
 def one(spark, expr, **cols):
@@ -91,8 +92,15 @@ def half_even(x):
 @pytest.mark.parametrize("n", [1, 2, 3, 6, 10, 28])
 @pytest.mark.parametrize("q", [0.5, 0.9])
 def test_percentile_rounds_half_to_even(spark, n, q):
-    got = spark.range(1, n + 1).select(F.col("id").cast("double").alias("v")).agg(T.percentile(F.col("v"), q).alias("p")).first()["p"]
-    assert got == min(max(half_even(q * n + 0.5), 1), n)
+    rows = spark.range(1, n + 1).select(F.lit("k").alias("key"), F.col("id").cast("double").alias("v"))
+    got = metrics.percentiles(rows, "key", "v", {"p": q}, buckets=3).first()
+    assert (got["n"], got["p"]) == (n, min(max(half_even(q * n + 0.5), 1), n))
+
+
+def test_percentiles_of_ties_nulls_and_nothing(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 1.0), ("a", 9.0), ("a", None), ("b", None)], "key string, v double")
+    assert [tuple(r) for r in metrics.percentiles(rows, "key", "v", {"p50": 0.5, "p90": 0.9}).collect()] == [("a", 4, 1.0, 9.0)]
+    assert metrics.percentiles(rows.limit(0), "key", "v", {"p": 0.5}).count() == 0
 
 
 def test_dates_are_real():
