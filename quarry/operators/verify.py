@@ -246,7 +246,11 @@ def any_fault(names: tuple[str, ...] = tuple(FAULTS)) -> Column:
 
 def describe() -> Column:
     """All faults of an answer in one line."""
-    return F.array_join(F.flatten(F.array(*(F.transform(c, lambda x, k=kind: F.concat(F.lit(f"{k}: "), x)) for c, kind in FAULTS.items()))), "; ")
+
+    def told(column: str, kind: str) -> Column:
+        return F.transform(column, lambda x: F.concat(F.lit(f"{kind}: "), x))
+
+    return F.array_join(F.flatten(F.array(*(told(c, kind) for c, kind in FAULTS.items()))), "; ")
 
 
 def unattributable_hedges(answer: Column, texts: Column) -> Column:

@@ -1,4 +1,4 @@
-"""History, notes and client-side text on small fixtures."""
+"""History and client-side text on small fixtures."""
 
 import datetime
 
@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from quarry.operators import history, precedence, verify
+from quarry.operators import history, verify
 from quarry.sources import store
 
 
@@ -30,12 +30,6 @@ def test_turns_and_summaries(spark):
     assert (s["turn_count"], s["games"], s["stale"]) == (2, ["x", "y"], True)
 
 
-def test_note_order(spark):
-    f = spark.createDataFrame([(1, "conflict", "de 2.1"), (1, "amended", "global 3")], "query_id long, kind string, subject string")
-    assert precedence.render_note(f).first()["note"].split("\n")[0].startswith("AMENDED global 3")
-
-
-@given(st.text("ab\n", max_size=30))
 def test_paragraphs_are_gapless(text):
     ranges = verify.paragraph_ranges(text)
     assert "".join(text[a:b] for a, b in ranges) == text
