@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import fixed as X
 from quarry.functions import text as T
+from quarry.sources import store
 
 
 def resolve_labels(labels: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -99,9 +100,12 @@ def percentiles(rows: DataFrame, key: str, value: str, shares: dict[str, float],
 
 
 def ordinals(rows: DataFrame, order: list[Column], name: str, parts: int | None = None) -> DataFrame:
-    """``rows`` with their place from 1 in ``order``, without one task that sees them all: ranges of rows are sorted each for itself, their counts added up."""
+    """``rows`` with their place from 1 in ``order``, without one task that sees them all: ranges of rows are sorted each for itself, their counts added up.
+
+    The ranges come from a sample, another one each time, so they are written once.
+    """
     n = parts or rows.sparkSession.sparkContext.defaultParallelism
-    ranged = rows.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id())
+    ranged = store.written(rows.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "ranges")
     counts = ranged.groupBy("__part").agg(F.count("*").alias("k"))
     before = F.coalesce(F.sum("k").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a range
     bases = counts.select("__part", before.alias("__base"))

@@ -51,7 +51,7 @@ def thin_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"""WITH {_SEGS}, b AS (SELECT *, CASE WHEN part <> '' AND article <> '' THEN part || ' § ' || article ELSE article END AS article_id FROM stored),
 ids AS (SELECT *, 'g' || doc || ':' || coalesce(nullif(article_id, ''), 'front') || ':0' AS base FROM b),
 n AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY ordinal) - 1 AS nth, row_number() OVER (PARTITION BY doc, base ORDER BY ordinal) AS seen,
-  CASE WHEN thin THEN array_to_string(list_filter([heading, 'short'], lambda x: x <> ''), chr(10)) ELSE regexp_replace(body, '^\s+|\s+$', '', 'g') END AS piece FROM ids)
+  CASE WHEN thin THEN array_to_string(list_filter([heading, regexp_replace(body, '^\s+|\s+$', '', 'g')], lambda x: x <> ''), chr(10)) ELSE regexp_replace(body, '^\s+|\s+$', '', 'g') END AS piece FROM ids)
 SELECT CASE WHEN seen > 1 THEN base || ':' || nth ELSE base END AS chunk_id, article_id, heading_path, page, page + 1 AS page_end, 1 AS chunk_of, length(piece) AS n_chars, 'Book ' || n.doc AS doc_title, false AS external_host,
   md5(CASE WHEN article <> '' THEN '[Book ' || n.doc || ' · Article ' || article_id || ' — ' || heading || ']' ELSE '[Book ' || n.doc || ' · ' || heading || ']' END || chr(10) || piece) AS text_md5 FROM n JOIN paths USING (doc, ordinal)""")
 def assembled_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
