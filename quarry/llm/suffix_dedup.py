@@ -12,9 +12,9 @@ smallest hash of the ``gram``-byte grams in it.  Windows with one anchor place
 form a *run*, and runs whose anchor is in one document only are unique from the
 start.  First the ends of the runs are ranked: where both ends of a run lead to
 one earlier document, equally far apart, all windows between do.  The other
-runs are cut into blocks of fewer windows, of which those go that hold a
-stretch of bytes which one document alone has; then every window that is left
-is ranked.  Repeats inside a document are ranked by the same doubling where its
+runs are cut into blocks of fewer and fewer windows; those go that hold a
+stretch of bytes which one document alone has, and the ends of the others are
+ranked in the same way.  Of what is left in the end every window is ranked.  Repeats inside a document are ranked by the same doubling where its
 bytes are (numpy).
 
 Equality rests on four 64-bit hashes of 25 bytes each.
@@ -23,6 +23,7 @@ Equality rests on four 64-bit hashes of 25 bytes each.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from quarry.llm.scratch import discard, materialise
 
 WIDTH = 100
 GRAM = 24
-#: Windows of a block, stage by stage.
+#: Windows of a block, stage by stage, after whole runs.
 BLOCKS = (16, 4)
 #: In a span (one long): first start (31 bits), offset of the anchor from it (12), number of windows (20).
 PLACE = (1 << 12) - 1
@@ -181,15 +182,16 @@ def _end_windows(width: int):
 
 
 def ranked(windows: DataFrame) -> DataFrame:
-    """(doc, key, pos, name) of the ``windows`` (doc, key, pos, q0..q3) that several documents have; ``name``: the earliest (doc, key, pos)."""
+    """(doc, key, pos, ..., name) of the ``windows`` (doc, key, pos, q0..q3, ...) that several documents have; ``name``: the earliest (doc, key, pos)."""
+    whose = [c for c in windows.columns if c not in ("q0", "q1", "q2", "q3")]
     halves = windows.select(F.explode(F.array(F.struct(F.col("q0").alias("a"), F.col("q1").alias("b")), F.struct(F.col("q2").alias("a"), F.col("q3").alias("b")))).alias("x")).select("x.*")
     repeated = halves.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1")
     ranks = materialise(repeated.orderBy("a", "b").select("a", "b", F.monotonically_increasing_id().alias("r")), "suffix-ranks")
     left, right = (ranks.select(F.col("a").alias(x), F.col("b").alias(y), F.col("r").alias(r)) for x, y, r in (("q0", "q1", "r0"), ("q2", "q3", "r1")))
-    pairs = materialise(windows.join(left, ["q0", "q1"]).join(right, ["q2", "q3"]).select("doc", "key", "pos", "r0", "r1"), "suffix-pairs")
+    pairs = materialise(windows.join(left.hint("shuffle_hash"), ["q0", "q1"]).join(right.hint("shuffle_hash"), ["q2", "q3"]).select(*whose, "r0", "r1"), "suffix-pairs")
     discard(ranks)
     named = pairs.groupBy("r0", "r1").agg(F.min(F.struct("doc", "key", "pos")).alias("name"), F.max("doc").alias("last")).where("name.doc < last").drop("last")
-    out = materialise(pairs.join(fresh(named, "r0", "r1"), ["r0", "r1"]).select("doc", "key", "pos", "name"), "suffix-names")
+    out = materialise(pairs.join(fresh(named, "r0", "r1").hint("shuffle_hash"), ["r0", "r1"]).select(*whose, "name"), "suffix-names")
     discard(pairs)
     return out
 
@@ -271,13 +273,22 @@ def _blocks(width: int, size: int):
     return run
 
 
-def _every_window(width: int):
+_PART = pa.schema([*_WINDOW, ("span", pa.int64())])
+_PART_DDL = _WINDOW_DDL + ", span long"
+
+
+def _piece_windows(width: int, ends: bool):
+    """All windows of the pieces, or the first and the last of each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Rows(_WINDOW)
+        out = Rows(_PART)
         for batch in batches:
             for row, base, nth, span, text in _spread(batch, width):
+                if ends:
+                    some = (nth == 0) | (nth == (span & LENGTH) - 1)
+                    row, base, nth, span = row[some], base[some], nth[some], span[some]
                 q = _quarters(Hashes(_tokens(text), BASES[0]), base + nth, width)
-                yield from out.add(*(batch.column(c).take(pa.array(row)) for c in ("doc", "key")), (span >> 32) + nth, *(x.view(np.int64) for x in q))
+                yield from out.add(*(batch.column(c).take(pa.array(row)) for c in ("doc", "key")), (span >> 32) + nth, *(x.view(np.int64) for x in q), span)
         yield from out.rest()
 
     return run
@@ -286,7 +297,7 @@ def _every_window(width: int):
 def _shared(rows: DataFrame, key: str) -> DataFrame:
     """The rows whose ``key`` several documents have."""
     known = rows.groupBy(key).agg(F.min("doc").alias("d0"), F.max("doc").alias("d1")).where("d0 < d1").select(key)
-    return rows.join(fresh(known, key).withColumn("known", F.lit(True)), key).drop("known")
+    return rows.join(fresh(known, key).hint("shuffle_hash"), key)
 
 
 def _by_document(rows: DataFrame) -> DataFrame:
@@ -294,39 +305,55 @@ def _by_document(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc", "key").agg(F.collect_set(F.struct("span", "m")).alias("x")).select("doc", "key", F.col("x.span").alias("runs"), F.col("x.m").alias("m"))
 
 
+def _settled(pieces: DataFrame, width: int) -> DataFrame:
+    """(doc, key, span) of the pieces whose first and last window lead to one earlier document, as far apart there as here."""
+    ends = materialise(pieces.mapInArrow(_piece_windows(width, True), _PART_DDL), "suffix-ends")
+    names = ranked(ends).where("name.doc < doc")
+    discard(ends)
+    lo, n = F.shiftright("span", 32), F.col("span").bitwiseAND(F.lit(LENGTH))
+    by_piece = names.groupBy("doc", "key", "span").agg(F.max(F.when(F.col("pos") == lo, F.col("name"))).alias("a"), F.max(F.when(F.col("pos") == lo + n - 1, F.col("name"))).alias("b"))
+    alike = (F.col("a.doc") == F.col("b.doc")) & (F.col("a.key") == F.col("b.key")) & (F.col("b.pos") - F.col("a.pos") == n - 1)
+    return materialise(by_piece.where(alike).select("doc", "key", "span"), "suffix-settled")
+
+
 def removal_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, blocks: tuple[int, ...] = BLOCKS) -> tuple[DataFrame, dict[str, DataFrame]]:
     """(doc, key, spans) of the documents with something to remove, and the tables by whose ranks it was decided.
 
     ``docs``: doc (long), key (long, tells apart the texts of one id) and text.
     """
+    keyed = ["doc", "key"]
     runs = materialise(docs.mapInArrow(_runs(width, gram), "m long, doc long, key long, span long, own boolean"), "suffix-runs")
     live = materialise(_by_document(_shared(runs.where("not own").drop("own"), "m")), "suffix-live")
-    own = materialise(runs.where("own").select("doc", "key", "span"), "suffix-own")
+    own = materialise(runs.where("own").select(*keyed, "span"), "suffix-own")
     discard(runs)
-    keyed = ["doc", "key"]
     ends = materialise(docs.join(live.select(*keyed, "runs"), keyed).mapInArrow(_end_windows(width), _WINDOW_DDL), "suffix-ends")
     at_ends = ranked(ends)
     discard(ends)
     names = at_ends.groupBy(*keyed).agg(F.collect_list(F.struct("pos", F.col("name.doc").alias("d"), F.col("name.key").alias("k"), F.col("name.pos").alias("p"))).alias("names"))
     told = materialise(live.join(names, keyed, "left").mapInArrow(_told, "m long, doc long, key long, span long, gone boolean"), "suffix-told")
     discard(live, at_ends)
-    # The earliest copy is never gone, so what is left holds it.
+    # The earliest copy of a window never goes, so what is left holds it.
     left = materialise(_by_document(_shared(told.where("not gone").drop("gone"), "m")).drop("m"), "suffix-left")
     pieces = materialise(docs.join(left, keyed).mapInArrow(_pieces(width), _PIECE_DDL), "suffix-pieces")
     discard(left)
-    for size in blocks:
-        cut = materialise(pieces.mapInArrow(_blocks(width, size), _PIECE_DDL), "suffix-blocks")
+    gone = [told.where("gone").select(*keyed, "span")]
+    for size in (width - gram + 1, *blocks):
+        every = materialise(pieces.mapInArrow(_blocks(width, size), _PIECE_DDL), "suffix-blocks")
         discard(pieces)
-        pieces = materialise(_shared(cut, "core").select(*_PIECE.names), "suffix-pieces")
+        cut = materialise(_shared(every, "core").select(*_PIECE.names), "suffix-blocks")
+        discard(every)
+        gone.append(_settled(cut, width))
+        open_ = materialise(cut.join(gone[-1].hint("shuffle_hash"), [*keyed, "span"], "left_anti"), "suffix-open")
         discard(cut)
-    windows = materialise(pieces.mapInArrow(_every_window(width), _WINDOW_DDL), "suffix-windows")
+        pieces = materialise(_shared(open_, "core").select(*_PIECE.names), "suffix-pieces")
+        discard(open_)
+    windows = materialise(pieces.mapInArrow(_piece_windows(width, False), _PART_DDL).drop("span"), "suffix-windows")
     discard(pieces)
-    one_by_one = ranked(windows)
+    one_by_one = ranked(windows).where("name.doc < doc").select(*keyed, (F.shiftleft(F.col("pos"), 32) + F.lit(1)).alias("span"))
     discard(windows)
-    by_runs = told.where("gone").select(*keyed, "span")
-    by_windows = one_by_one.where("name.doc < doc").select(*keyed, (F.shiftleft(F.col("pos"), 32) + F.lit(1)).alias("span"))
-    whole = own.unionByName(by_runs).unionByName(by_windows).groupBy(*keyed).agg(F.collect_set("span").alias("spans"))
-    return whole, {"own": own, "runs": by_runs, "windows": by_windows}
+    decided = {"own": own, "runs": gone[0], **{f"blocks {k}": g for k, g in enumerate(gone[1:])}, "windows": one_by_one}
+    whole = reduce(DataFrame.unionByName, decided.values()).groupBy(*keyed).agg(F.collect_set("span").alias("spans"))
+    return whole, decided
 
 
 def _cut(width: int):
