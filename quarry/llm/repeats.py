@@ -8,8 +8,11 @@ only: none of their windows can recur elsewhere.  Of the rest, runs of equal
 content (the hash of the run's words, beside the anchor's and the number of
 windows) collapse to the first document, a pre-aggregation, so a passage in a
 third of all documents becomes one row per map task.  Only the representatives
-of anchors that occur in differing contexts go on; their windows are compared
-one by one, by two hashes of the window.
+of anchors that occur in differing contexts go on.  Of those a sample of
+windows, chosen by hash so that equal windows are chosen alike, and the first
+and last of each run are compared by two hashes: two that lead to one earlier
+document, as far apart there as here, answer for all windows between.  The
+other windows are compared one by one.
 
 So the result is exact up to collisions of 128 hash bits.
 """
@@ -78,28 +81,64 @@ def _runs(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return run
 
 
-WINDOW = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("pos", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
+_OPEN = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("lo", pa.int64()), ("h1", pa.list_(pa.int64())), ("h2", pa.list_(pa.int64()))])
+#: One in so many windows is in the sample; windows of a run that are one row.
+EVERY, PIECE = 4, 64
 
 
-def _windows(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Windows of the runs in ``expand``, one row each, with two hashes."""
+def _hashed(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The runs in ``expand`` with two hashes of each of their windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, out = WordHashes(), Rows(WINDOW)
+        memo, out = WordHashes(), Rows(_OPEN, 5_000)
         for batch in batches:
             ids, keys, spans = batch.column("doc"), batch.column("key"), batch.column("expand")
             for first, texts in text_chunks(batch):
                 for i, b in enumerate(texts, first):
-                    s, t = spans[i].values.to_numpy(), memo.of(b.split())
+                    s, t = np.sort(spans[i].values.to_numpy()), memo.of(b.split())
                     lo, n = s >> 32, s & LENGTH
-                    pos = np.unique(np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum()))
-                    h = [Hashes(t, base).at(pos, width).view(np.int64) for base in BASES]
-                    yield from out.add(np.full(len(pos), ids[i].as_py()), np.full(len(pos), keys[i].as_py()), pos, *h)
+                    # Text that repeats itself has long runs: no row holds more than ``PIECE`` windows.
+                    cuts = -(-n // PIECE)
+                    nth = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+                    lo, n = np.repeat(lo, cuts) + PIECE * nth, np.minimum(np.repeat(n, cuts) - PIECE * nth, PIECE)
+                    pos = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    ends = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+                    h = [pa.ListArray.from_arrays(ends, pa.array(Hashes(t, base).at(pos, width).view(np.int64))) for base in BASES]
+                    yield from out.add(np.full(len(lo), ids[i].as_py()), np.full(len(lo), keys[i].as_py()), lo, *h)
         yield from out.rest()
 
     return run
 
 
+_LEFT = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("span", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of windows that the ``names`` (i, doc, key, pos) of compared ones answer for (no hashes), and the windows that are left, one by one.
+
+    A stretch between two compared windows that are not both found, or not
+    together, is left with its ends.
+    """
+    out = Rows(_LEFT)
+    for batch in batches:
+        for doc, key, lo, h1, h2, names in zip(*(batch.column(c) for c in ("doc", "key", "lo", "h1", "h2", "names")), strict=True):
+            lo, a, b = lo.as_py(), h1.values.to_numpy(), h2.values.to_numpy()
+            n = len(a)
+            found = {x["i"]: (x["d"], x["k"], x["p"] - x["i"]) for x in names.as_py() or ()}
+            known = np.unique(np.concatenate([[0, n - 1], np.flatnonzero(a % EVERY == 0)])).tolist()
+            gone, left = [], np.zeros(n, dtype=bool)
+            for i, j in zip(known, known[1:] or known, strict=len(known) == 1):
+                if i in found and found[i] == found.get(j):
+                    gone.append(lo + i << 32 | j - i + 1)
+                else:
+                    left[i : j + 1] = True
+            at = np.flatnonzero(left)
+            spans = np.concatenate([np.array(gone, dtype=np.int64), lo + at << 32 | 1])
+            none = [None] * len(gone)
+            yield from out.add(np.full(len(spans), doc.as_py()), np.full(len(spans), key.as_py()), spans, none + a[at].tolist(), none + b[at].tolist())
+    yield from out.rest()
+
+
 def fresh(df: DataFrame, *keys: str) -> DataFrame:
     """The same rows under keys that Spark deals out anew, so that a join may split a hot key's partition (AQE)."""
     return df.withColumns({k: F.col(k).bitwiseXOR(F.lit(0).cast("long")) for k in keys})
@@ -123,9 +162,20 @@ def removal_spans(docs: DataFrame, width: int) -> DataFrame:
     found = materialise(spans, "repeats-spans")
     discard(live, contexts)
     open_ = d.join(found.where(F.size("expand") > 0).select("doc", "key", "expand"), ["doc", "key"])
-    windows = materialise(open_.mapInArrow(_windows(width), "doc long, key long, pos long, h1 long, h2 long"), "repeats-windows")
-    first = windows.groupBy("h1", "h2").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1")).where("d0 < d1").drop("d1")
-    hits = windows.join(fresh(first, "h1", "h2"), ["h1", "h2"]).where("doc > d0").select("doc", "key", (F.shiftleft(F.col("pos"), 32) + F.lit(1)).alias("span"))
+    hashed = materialise(open_.mapInArrow(_hashed(width), "doc long, key long, lo long, h1 array<long>, h2 array<long>"), "repeats-open")
+
+    def earliest(windows: DataFrame) -> DataFrame:
+        """The windows (doc, key, pos, h1, h2, ...) that an earlier document has too, with ``name``, the first."""
+        first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "key", "pos")).alias("name"), F.max("doc").alias("last")).where("name.doc < last").drop("last")
+        return windows.join(fresh(first, "h1", "h2"), ["h1", "h2"]).where("doc > name.doc")
+
+    each = hashed.select("doc", "key", "lo", F.size("h1").alias("n"), F.posexplode(F.arrays_zip("h1", "h2")).alias("i", "h")).select("doc", "key", "lo", "n", "i", "h.h1", "h.h2")
+    some = each.where((F.col("h1") % EVERY == 0) | F.col("i").isin(0) | (F.col("i") == F.col("n") - 1)).drop("n").withColumn("pos", F.col("lo") + F.col("i"))
+    names = earliest(some).groupBy("doc", "key", "lo").agg(F.collect_list(F.struct("i", F.col("name.doc").alias("d"), F.col("name.key").alias("k"), F.col("name.pos").alias("p"))).alias("names"))
+    told = materialise(hashed.join(names, ["doc", "key", "lo"], "left").mapInArrow(_settled, "doc long, key long, span long, h1 long, h2 long"), "repeats-told")
+    discard(hashed)
+    one_by_one = earliest(told.where("h1 is not null").select("doc", "key", F.shiftright("span", 32).alias("pos"), "h1", "h2"))
+    hits = told.where("h1 is null").select("doc", "key", "span").unionByName(one_by_one.select("doc", "key", (F.shiftleft(F.col("pos"), 32) + F.lit(1)).alias("span")))
     return found.select("doc", "key", F.explode("whole").alias("span")).unionByName(hits).groupBy("doc", "key").agg(F.collect_set("span").alias("spans"))
 
 

@@ -63,5 +63,5 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keyed = d.withColumn("key", F.xxhash64("text"))
     spans = removal_spans(keyed, width)
     kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in d.schema.fields[:-1])
-    cut = keyed.join(spans, ["doc", "key"], "left").select(*d.columns, "spans").mapInArrow(_cut(width, len(extra), rejoin), kinds + "n_words long, n_removed long, kept_text string")
+    cut = keyed.join(spans.hint("shuffle_hash"), ["doc", "key"], "left").select(*d.columns, "spans").mapInArrow(_cut(width, len(extra), rejoin), kinds + "n_words long, n_removed long, kept_text string")
     return cut.withColumnsRenamed({"doc": id_col} | extra)
