@@ -2,7 +2,7 @@
 
 Two positions have equal ranks for a length if the same bytes start at both.
 Ranks for a quarter of ``width`` are hashes of the bytes; each round then lets
-Spark group and sort the rank pairs of two positions a growing offset apart (a
+Spark deal out, group and sort the rank pairs of two positions a growing offset apart (a
 quarter, a half), names each pair anew and drops the positions whose pair is
 unique.  The last name is the earliest position with the pair, so it is the
 answer: a position whose name is in an earlier document goes.
@@ -186,7 +186,7 @@ def ranked(windows: DataFrame) -> DataFrame:
     whose = [c for c in windows.columns if c not in ("q0", "q1", "q2", "q3")]
     halves = windows.select(F.explode(F.array(F.struct(F.col("q0").alias("a"), F.col("q1").alias("b")), F.struct(F.col("q2").alias("a"), F.col("q3").alias("b")))).alias("x")).select("x.*")
     repeated = halves.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1")
-    ranks = materialise(repeated.orderBy("a", "b").select("a", "b", F.monotonically_increasing_id().alias("r")), "suffix-ranks")
+    ranks = materialise(repeated.sortWithinPartitions("a", "b").select("a", "b", F.monotonically_increasing_id().alias("r")), "suffix-ranks")
     left, right = (ranks.select(F.col("a").alias(x), F.col("b").alias(y), F.col("r").alias(r)) for x, y, r in (("q0", "q1", "r0"), ("q2", "q3", "r1")))
     pairs = materialise(windows.join(left.hint("shuffle_hash"), ["q0", "q1"]).join(right.hint("shuffle_hash"), ["q2", "q3"]).select(*whose, "r0", "r1"), "suffix-pairs")
     discard(ranks)
@@ -326,15 +326,15 @@ def removal_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, blocks:
     live = materialise(_by_document(_shared(runs.where("not own").drop("own"), "m")), "suffix-live")
     own = materialise(runs.where("own").select(*keyed, "span"), "suffix-own")
     discard(runs)
-    ends = materialise(docs.join(live.select(*keyed, "runs"), keyed).mapInArrow(_end_windows(width), _WINDOW_DDL), "suffix-ends")
+    ends = materialise(docs.join(live.select(*keyed, "runs").hint("shuffle_hash"), keyed).mapInArrow(_end_windows(width), _WINDOW_DDL), "suffix-ends")
     at_ends = ranked(ends)
     discard(ends)
     names = at_ends.groupBy(*keyed).agg(F.collect_list(F.struct("pos", F.col("name.doc").alias("d"), F.col("name.key").alias("k"), F.col("name.pos").alias("p"))).alias("names"))
-    told = materialise(live.join(names, keyed, "left").mapInArrow(_told, "m long, doc long, key long, span long, gone boolean"), "suffix-told")
+    told = materialise(live.join(names.hint("shuffle_hash"), keyed, "left").mapInArrow(_told, "m long, doc long, key long, span long, gone boolean"), "suffix-told")
     discard(live, at_ends)
     # The earliest copy of a window never goes, so what is left holds it.
     left = materialise(_by_document(_shared(told.where("not gone").drop("gone"), "m")).drop("m"), "suffix-left")
-    pieces = materialise(docs.join(left, keyed).mapInArrow(_pieces(width), _PIECE_DDL), "suffix-pieces")
+    pieces = materialise(docs.join(left.hint("shuffle_hash"), keyed).mapInArrow(_pieces(width), _PIECE_DDL), "suffix-pieces")
     discard(left)
     gone = [told.where("gone").select(*keyed, "span")]
     for size in (width - gram + 1, *blocks):
@@ -393,5 +393,5 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("width must be a multiple of 4")
     d = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     spans, _ = removal_spans(d, width, min(GRAM, width // 2))
-    cut = d.join(spans, ["doc", "key"], "left").select("doc", "text", "spans").mapInArrow(_cut(width), "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
+    cut = d.join(spans.hint("shuffle_hash"), ["doc", "key"], "left").select("doc", "text", "spans").mapInArrow(_cut(width), "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
     return cut.withColumnRenamed("doc", id_col)
