@@ -12,7 +12,9 @@ of anchors that occur in differing contexts go on.  Of those a sample of
 windows, chosen by hash so that equal windows are chosen alike, and the first
 and last of each run are compared by two hashes: two that lead to one earlier
 document, as far apart there as here, answer for all windows between.  The
-other windows are compared one by one.
+other windows are compared one by one.  A document compares each of these
+windows once, however often its text repeats it: the others of its places go
+with the first.
 
 So the result is exact up to collisions of 128 hash bits.
 """
@@ -81,13 +83,28 @@ def _runs(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return run
 
 
-_OPEN = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("lo", pa.int64()), ("h1", pa.list_(pa.int64())), ("h2", pa.list_(pa.int64()))])
-#: One in so many windows is in the sample; windows of a run that are one row.
-EVERY, PIECE = 4, 64
+_OPEN = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("lo", pa.int64()), ("h1", pa.list_(pa.int64())), ("h2", pa.list_(pa.int64())), ("also", pa.list_(pa.int64()))])
+_OPEN_DDL = "doc long, key long, lo long, h1 array<long>, h2 array<long>, also array<long>"
+#: One in so many windows is in the sample; windows of a run that are one row (at most ``width``, so that its first and last leave no word between them); other places of its windows that one row holds.
+EVERY, PIECE, PLACES = 4, 48, 512
+
+
+def _first_equal(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """Per window the first window that is equal to it."""
+    order = np.lexsort((h2, h1))
+    head = heads(h1[order], h2[order])
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = np.repeat(order[head], np.diff(np.append(head, len(order))))
+    return out
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, pa.int64()))
 
 
 def _hashed(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The runs in ``expand`` with two hashes of each of their windows."""
+    """The runs in ``expand`` with two hashes of each of their windows; ``also``: where else in the document a window is, over its number in the row."""
+    size = min(PIECE, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, out = WordHashes(), Rows(_OPEN, 5_000)
@@ -97,32 +114,44 @@ def _hashed(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 for i, b in enumerate(texts, first):
                     s, t = np.sort(spans[i].values.to_numpy()), memo.of(b.split())
                     lo, n = s >> 32, s & LENGTH
-                    # Text that repeats itself has long runs: no row holds more than ``PIECE`` windows.
-                    cuts = -(-n // PIECE)
-                    nth = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-                    lo, n = np.repeat(lo, cuts) + PIECE * nth, np.minimum(np.repeat(n, cuts) - PIECE * nth, PIECE)
                     pos = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    ends = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
-                    h = [pa.ListArray.from_arrays(ends, pa.array(Hashes(t, base).at(pos, width).view(np.int64))) for base in BASES]
-                    yield from out.add(np.full(len(lo), ids[i].as_py()), np.full(len(lo), keys[i].as_py()), lo, *h)
+                    h = [Hashes(t, base).at(pos, width).view(np.int64) for base in BASES]
+                    equal = _first_equal(*h)
+                    kept, again = (np.flatnonzero(x) for x in (equal == np.arange(len(pos)), equal != np.arange(len(pos))))
+                    # Rows of consecutive windows of one run.
+                    part = heads(np.repeat(np.arange(len(n)), n)[kept], pos[kept] - np.arange(len(kept)))
+                    nth = np.arange(len(kept)) - np.repeat(part, np.diff(np.append(part, len(kept))))
+                    head = np.flatnonzero(nth % size == 0)
+                    sizes = np.diff(np.append(head, len(kept)))
+                    # A row with very many other places comes several times, each time with some of them.
+                    w = np.searchsorted(kept, equal[again])
+                    row = np.searchsorted(head, w, "right") - 1
+                    order = np.argsort(row, kind="stable")
+                    also, many = (pos[again] << 32 | w - head[row])[order], np.bincount(row, minlength=len(head))
+                    times = np.maximum(-(-many // PLACES), 1)
+                    take = np.repeat(np.arange(len(head)), times)
+                    turn = np.arange(len(take)) - np.repeat(np.cumsum(times) - times, times)
+                    some = np.clip(many[take] - turn * PLACES, 0, PLACES)
+                    lists = [_lists(x[kept], sizes).take(pa.array(take)) for x in h]
+                    yield from out.add(np.full(len(take), ids[i].as_py()), np.full(len(take), keys[i].as_py()), pos[kept[head]][take], *lists, _lists(also, some))
         yield from out.rest()
 
     return run
 
 
-_LEFT = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("span", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
+_LEFT = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("spans", pa.list_(pa.int64())), ("h1", pa.int64()), ("h2", pa.int64())])
 
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of windows that the ``names`` (i, doc, key, pos) of compared ones answer for (no hashes), and the windows that are left, one by one.
+    """Spans of windows that the ``names`` (i, doc, key, pos) of compared ones answer for (no hashes), and the windows that are left, one by one with all their places.
 
     A stretch between two compared windows that are not both found, or not
     together, is left with its ends.
     """
     out = Rows(_LEFT)
     for batch in batches:
-        for doc, key, lo, h1, h2, names in zip(*(batch.column(c) for c in ("doc", "key", "lo", "h1", "h2", "names")), strict=True):
-            lo, a, b = lo.as_py(), h1.values.to_numpy(), h2.values.to_numpy()
+        for doc, key, lo, h1, h2, also, names in zip(*(batch.column(c) for c in ("doc", "key", "lo", "h1", "h2", "also", "names")), strict=True):
+            lo, a, b, also = lo.as_py(), h1.values.to_numpy(), h2.values.to_numpy(), also.values.to_numpy()
             n = len(a)
             found = {x["i"]: (x["d"], x["k"], x["p"] - x["i"]) for x in names.as_py() or ()}
             known = np.unique(np.concatenate([[0, n - 1], np.flatnonzero(a % EVERY == 0)])).tolist()
@@ -132,9 +161,12 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     gone.append(lo + i << 32 | j - i + 1)
                 else:
                     left[i : j + 1] = True
-            at = np.flatnonzero(left)
-            spans = np.concatenate([np.array(gone, dtype=np.int64), lo + at << 32 | 1])
-            none = [None] * len(gone)
+            at, where, elsewhere = np.flatnonzero(left), also & LENGTH, also >> 32 << 32 | 1
+            gone = np.concatenate([np.array(gone, dtype=np.int64), elsewhere[~left[where]]])
+            whose = np.concatenate([np.arange(len(at)), np.searchsorted(at, where[left[where]])])
+            places = np.concatenate([lo + at << 32 | 1, elsewhere[left[where]]])[np.argsort(whose, kind="stable")]
+            sizes, none = np.bincount(whose, minlength=len(at)), [None] * bool(len(gone))
+            spans = _lists(np.concatenate([gone, places]), np.concatenate([[len(gone)] * len(none), sizes]))
             yield from out.add(np.full(len(spans), doc.as_py()), np.full(len(spans), key.as_py()), spans, none + a[at].tolist(), none + b[at].tolist())
     yield from out.rest()
 
@@ -162,7 +194,7 @@ def removal_spans(docs: DataFrame, width: int) -> DataFrame:
     found = materialise(spans, "repeats-spans")
     discard(live, contexts)
     open_ = d.join(found.where(F.size("expand") > 0).select("doc", "key", "expand"), ["doc", "key"])
-    hashed = materialise(open_.mapInArrow(_hashed(width), "doc long, key long, lo long, h1 array<long>, h2 array<long>"), "repeats-open")
+    hashed = materialise(open_.mapInArrow(_hashed(width), _OPEN_DDL), "repeats-open")
 
     def earliest(windows: DataFrame) -> DataFrame:
         """The windows (doc, key, pos, h1, h2, ...) that an earlier document has too, with ``name``, the first."""
@@ -172,11 +204,12 @@ def removal_spans(docs: DataFrame, width: int) -> DataFrame:
     each = hashed.select("doc", "key", "lo", F.size("h1").alias("n"), F.posexplode(F.arrays_zip("h1", "h2")).alias("i", "h")).select("doc", "key", "lo", "n", "i", "h.h1", "h.h2")
     some = each.where((F.col("h1") % EVERY == 0) | F.col("i").isin(0) | (F.col("i") == F.col("n") - 1)).drop("n").withColumn("pos", F.col("lo") + F.col("i"))
     names = earliest(some).groupBy("doc", "key", "lo").agg(F.collect_list(F.struct("i", F.col("name.doc").alias("d"), F.col("name.key").alias("k"), F.col("name.pos").alias("p"))).alias("names"))
-    told = materialise(hashed.join(names, ["doc", "key", "lo"], "left").mapInArrow(_settled, "doc long, key long, span long, h1 long, h2 long"), "repeats-told")
+    told = materialise(hashed.join(names, ["doc", "key", "lo"], "left").mapInArrow(_settled, "doc long, key long, spans array<long>, h1 long, h2 long"), "repeats-told")
     discard(hashed)
-    one_by_one = earliest(told.where("h1 is not null").select("doc", "key", F.shiftright("span", 32).alias("pos"), "h1", "h2"))
-    hits = told.where("h1 is null").select("doc", "key", "span").unionByName(one_by_one.select("doc", "key", (F.shiftleft(F.col("pos"), 32) + F.lit(1)).alias("span")))
-    return found.select("doc", "key", F.explode("whole").alias("span")).unionByName(hits).groupBy("doc", "key").agg(F.collect_set("span").alias("spans"))
+    one_by_one = earliest(told.where("h1 is not null").withColumn("pos", F.shiftright(F.element_at("spans", 1), 32)))
+    hits = told.where("h1 is null").select("doc", "key", "spans").unionByName(one_by_one.select("doc", "key", "spans"))
+    whole = found.where(F.size("whole") > 0).select("doc", "key", F.col("whole").alias("spans"))
+    return whole.unionByName(hits).groupBy("doc", "key").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
 def covered(spans: np.ndarray, size: int, width: int) -> np.ndarray:

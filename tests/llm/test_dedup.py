@@ -107,6 +107,29 @@ def test_long_document_wraps_the_place_count(spark, monkeypatch):
     assert suffix_dedup._PLACE_BITS == 20
 
 
+def test_a_document_compares_a_window_that_it_repeats_once(spark, monkeypatch):
+    from quarry.llm import repeats
+
+    r, compared = random.Random(11), []
+    words = [f"w{k}" for k in range(900)]
+    parts = ["a b " * 40, "a b " * 400, "c " * 90, " ".join(words[:20]) + " ", "a b c " * 30, " ".join(words[:70]) + " "]
+    rows = [(k, "".join(f"{' '.join(r.choices(words, k=r.randint(0, 9)))} {p}" for p in r.choices(parts, k=4))) for k in range(60)]
+    rows += [(60, "a b " * 3000 + "end"), (61, "start " + "a b " * 3000)]
+
+    def counted(df, label, write=repeats.materialise):
+        out = write(df, label)
+        if label == "repeats-told":
+            compared.append(out.where("h1 is not null").count())
+        return out
+
+    monkeypatch.setattr(repeats, "materialise", counted)
+    got = {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_text"]) for x in dedup_windows(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute_windows(rows, 50)
+    distinct = sum(len({tuple(w[i : i + 50]) for i in range(len(w) - 49)}) for w in (t.split() for _, t in rows))
+    # A row holds so many places of its windows; a longer list repeats them.
+    assert compared[0] <= distinct + 6000 // repeats.PLACES * repeats.PIECE * 2
+
+
 def test_null_and_shared_ids(spark):
     text = " ".join(f"w{k}" for k in range(60))
     rows = [(None, text), (None, text), (3, text), (5, text), (5, text)]
