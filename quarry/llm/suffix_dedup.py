@@ -151,10 +151,10 @@ def _runs(width: int, gram: int):
     return run
 
 
-def _ends(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Per run of a document, in order: the head of the run right after it, or its own last window where none follows at once."""
+def _ends(lo: np.ndarray, n: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Per run of each ``owner``, in order: the head of the run right after it, or its own last window where none follows at once."""
     e = lo + n - 1
-    e[:-1] += lo[1:] == lo[:-1] + n[:-1]
+    e[:-1] += (lo[1:] == lo[:-1] + n[:-1]) & (owner[1:] == owner[:-1])
     return e
 
 
@@ -169,20 +169,30 @@ def _end_windows(width: int):
         out = Rows(_WINDOW)
         for batch in batches:
             ids, keys, runs = batch.column("doc"), batch.column("key"), batch.column("runs")
-            for first, texts in text_chunks(batch):
-                for i, b in enumerate(texts, first):
-                    s = np.sort(runs[i].values.to_numpy())
-                    lo, n = s >> 32, s & LENGTH
-                    pos = np.unique(np.concatenate([lo, _ends(lo, n)]))
-                    q = _quarters(Hashes(_tokens(b), BASES[0]), pos, width)
-                    yield from out.add(np.full(len(pos), ids[i].as_py()), np.full(len(pos), keys[i].as_py()), pos, *(x.view(np.int64) for x in q))
+            for first, texts in text_chunks(batch, limit=CHUNK_BYTES // 4):
+                docs, names, lists = (c.slice(first, len(texts)) for c in (ids, keys, runs))
+                owner = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy())
+                s = lists.flatten().to_numpy()
+                order = np.lexsort((s, owner))
+                s, owner = s[order], owner[order]
+                size = np.array([len(b) for b in texts])
+                begin = np.cumsum(size) - size
+                lo, n = s >> 32, s & LENGTH
+                start = np.unique(np.concatenate([begin[owner] + lo, begin[owner] + _ends(lo, n, owner)]))
+                # Every text here has a run, so none is empty.
+                whose = np.searchsorted(begin, start, "right") - 1
+                q = _quarters(Hashes(_tokens(b"".join(texts)), BASES[0]), start, width)
+                yield from out.add(docs.to_numpy()[whose], names.to_numpy()[whose], start - begin[whose], *(x.view(np.int64) for x in q))
         yield from out.rest()
 
     return run
 
 
-def ranked(windows: DataFrame) -> DataFrame:
-    """(doc, key, pos, ..., name) of the ``windows`` (doc, key, pos, q0..q3, ...) that several documents have; ``name``: the earliest (doc, key, pos)."""
+def ranked(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc, key, pos, ..., name) of the ``windows`` (doc, key, pos, q0..q3, ...) that several documents have, and the table from which it is read.
+
+    ``name``: the earliest (doc, key, pos).
+    """
     whose = [c for c in windows.columns if c not in ("q0", "q1", "q2", "q3")]
     halves = windows.select(F.explode(F.array(F.struct(F.col("q0").alias("a"), F.col("q1").alias("b")), F.struct(F.col("q2").alias("a"), F.col("q3").alias("b")))).alias("x")).select("x.*")
     repeated = halves.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1")
@@ -191,9 +201,7 @@ def ranked(windows: DataFrame) -> DataFrame:
     pairs = materialise(windows.join(left.hint("shuffle_hash"), ["q0", "q1"]).join(right.hint("shuffle_hash"), ["q2", "q3"]).select(*whose, "r0", "r1"), "suffix-pairs")
     discard(ranks)
     named = pairs.groupBy("r0", "r1").agg(F.min(F.struct("doc", "key", "pos")).alias("name"), F.max("doc").alias("last")).where("name.doc < last").drop("last")
-    out = materialise(pairs.join(fresh(named, "r0", "r1").hint("shuffle_hash"), ["r0", "r1"]).select(*whose, "name"), "suffix-names")
-    discard(pairs)
-    return out
+    return pairs.join(fresh(named, "r0", "r1").hint("shuffle_hash"), ["r0", "r1"]).select(*whose, "name"), pairs
 
 
 _TOLD = pa.schema([("m", pa.int64()), ("doc", pa.int64()), ("key", pa.int64()), ("span", pa.int64()), ("gone", pa.bool_())])
@@ -203,21 +211,24 @@ def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each run, and whether both its ends lead to one earlier document, as far apart there as here."""
     out = Rows(_TOLD)
     for batch in batches:
-        for doc, key, runs, m, names in zip(*(batch.column(c) for c in ("doc", "key", "runs", "m", "names")), strict=True):
-            s, m, doc, key = runs.values.to_numpy(), m.values.to_numpy(), doc.as_py(), key.as_py()
-            order = np.argsort(s)
-            s, m = s[order], m[order]
-            gone = np.zeros(len(s), dtype=bool)
-            if names.is_valid:
-                lo, n = s >> 32, s & LENGTH
-                e, table = _ends(lo, n), names.values
-                pos, *name = (table.field(k).to_numpy() for k in range(4))
-                by = np.argsort(pos)
-                pos, name = pos[by], [x[by] for x in name]
-                at = [np.minimum(np.searchsorted(pos, p), len(pos) - 1) for p in (lo, e)]
-                gone = (pos[at[0]] == lo) & (pos[at[1]] == e) & (name[0][at[0]] < doc)
-                gone &= (name[0][at[0]] == name[0][at[1]]) & (name[1][at[0]] == name[1][at[1]]) & (name[2][at[1]] - name[2][at[0]] == e - lo)
-            yield from out.add(m, np.full(len(s), doc), np.full(len(s), key), s, gone)
+        runs, m, names = (batch.column(c) for c in ("runs", "m", "names"))
+        owner = np.repeat(np.arange(len(runs)), runs.value_lengths().to_numpy())
+        s, m = runs.flatten().to_numpy(), m.flatten().to_numpy()
+        order = np.lexsort((s, owner))
+        s, m, owner = s[order], m[order], owner[order]
+        docs, keys = (batch.column(c).to_numpy()[owner] for c in ("doc", "key"))
+        gone, table = np.zeros(len(s), dtype=bool), names.flatten()
+        if len(table):
+            lo, n = s >> 32, s & LENGTH
+            e = _ends(lo, n, owner)
+            pos, *name = (table.field(k).to_numpy() for k in range(4))
+            place = np.repeat(np.arange(len(names)), names.value_lengths().fill_null(0).to_numpy()) << 32 | pos
+            by = np.argsort(place)
+            place, name = place[by], [x[by] for x in name]
+            a, b = (np.minimum(np.searchsorted(place, owner << 32 | p), len(place) - 1) for p in (lo, e))
+            gone = (place[a] == owner << 32 | lo) & (place[b] == owner << 32 | e) & (name[0][a] < docs)
+            gone &= (name[0][a] == name[0][b]) & (name[1][a] == name[1][b]) & (name[2][b] - name[2][a] == e - lo)
+        yield from out.add(m, docs, keys, s, gone)
     yield from out.rest()
 
 
@@ -233,11 +244,12 @@ def _pieces(width: int):
         for batch in batches:
             ids, keys, runs = batch.column("doc"), batch.column("key"), batch.column("runs")
             for first, texts in text_chunks(batch):
-                for i, b in enumerate(texts, first):
-                    s = runs[i].values.to_numpy()
-                    lo, n = s >> 32, s & LENGTH
-                    bits = [b[x : x + y] for x, y in zip(lo.tolist(), (n + width - 1).tolist(), strict=True)]
-                    yield from out.add(np.zeros(len(s), np.int64), np.full(len(s), ids[i].as_py()), np.full(len(s), keys[i].as_py()), s, bits)
+                docs, names, lists = (c.slice(first, len(texts)) for c in (ids, keys, runs))
+                owner = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy())
+                s = lists.flatten().to_numpy()
+                lo, n = s >> 32, s & LENGTH
+                bits = [texts[k][x : x + y] for k, x, y in zip(owner.tolist(), lo.tolist(), (n + width - 1).tolist(), strict=True)]
+                yield from out.add(np.zeros(len(s), np.int64), docs.to_numpy()[owner], names.to_numpy()[owner], s, bits)
         yield from out.rest()
 
     return run
@@ -308,12 +320,16 @@ def _by_document(rows: DataFrame) -> DataFrame:
 def _settled(pieces: DataFrame, width: int) -> DataFrame:
     """(doc, key, span) of the pieces whose first and last window lead to one earlier document, as far apart there as here."""
     ends = materialise(pieces.mapInArrow(_piece_windows(width, True), _PART_DDL), "suffix-ends")
-    names = ranked(ends).where("name.doc < doc")
+    at_ends, pairs = ranked(ends)
     discard(ends)
+    names = at_ends.where("name.doc < doc")
     lo, n = F.shiftright("span", 32), F.col("span").bitwiseAND(F.lit(LENGTH))
-    by_piece = names.groupBy("doc", "key", "span").agg(F.max(F.when(F.col("pos") == lo, F.col("name"))).alias("a"), F.max(F.when(F.col("pos") == lo + n - 1, F.col("name"))).alias("b"))
-    alike = (F.col("a.doc") == F.col("b.doc")) & (F.col("a.key") == F.col("b.key")) & (F.col("b.pos") - F.col("a.pos") == n - 1)
-    return materialise(by_piece.where(alike).select("doc", "key", "span"), "suffix-settled")
+    at = [F.max(F.when(F.col("pos") == p, F.col("name.pos"))).alias(x) for x, p in (("a", lo), ("b", lo + n - 1))]
+    by_piece = names.groupBy("doc", "key", "span").agg(*at, *(f(f"name.{c}").alias(f"{c}{k}") for c in ("doc", "key") for k, f in enumerate((F.min, F.max))))
+    alike = (F.col("doc0") == F.col("doc1")) & (F.col("key0") == F.col("key1")) & (F.col("b") - F.col("a") == n - 1)
+    out = materialise(by_piece.where(alike).select("doc", "key", "span"), "suffix-settled")
+    discard(pairs)
+    return out
 
 
 def removal_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, blocks: tuple[int, ...] = BLOCKS) -> tuple[DataFrame, dict[str, DataFrame]]:
@@ -327,30 +343,31 @@ def removal_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, blocks:
     own = materialise(runs.where("own").select(*keyed, "span"), "suffix-own")
     discard(runs)
     ends = materialise(docs.join(live.select(*keyed, "runs").hint("shuffle_hash"), keyed).mapInArrow(_end_windows(width), _WINDOW_DDL), "suffix-ends")
-    at_ends = ranked(ends)
+    at_ends, pairs = ranked(ends)
     discard(ends)
     names = at_ends.groupBy(*keyed).agg(F.collect_list(F.struct("pos", F.col("name.doc").alias("d"), F.col("name.key").alias("k"), F.col("name.pos").alias("p"))).alias("names"))
     told = materialise(live.join(names.hint("shuffle_hash"), keyed, "left").mapInArrow(_told, "m long, doc long, key long, span long, gone boolean"), "suffix-told")
-    discard(live, at_ends)
+    discard(live, pairs)
     # The earliest copy of a window never goes, so what is left holds it.
     left = materialise(_by_document(_shared(told.where("not gone").drop("gone"), "m")).drop("m"), "suffix-left")
-    pieces = materialise(docs.join(left.hint("shuffle_hash"), keyed).mapInArrow(_pieces(width), _PIECE_DDL), "suffix-pieces")
-    discard(left)
-    gone = [told.where("gone").select(*keyed, "span")]
-    for size in (width - gram + 1, *blocks):
+    pieces = docs.join(left.hint("shuffle_hash"), keyed).mapInArrow(_pieces(width), _PIECE_DDL)
+    gone, read = [told.where("gone").select(*keyed, "span")], left
+    # The ends of whole runs have been ranked.
+    for size in blocks:
         every = materialise(pieces.mapInArrow(_blocks(width, size), _PIECE_DDL), "suffix-blocks")
-        discard(pieces)
+        discard(read)
         cut = materialise(_shared(every, "core").select(*_PIECE.names), "suffix-blocks")
         discard(every)
         gone.append(_settled(cut, width))
-        open_ = materialise(cut.join(gone[-1].hint("shuffle_hash"), [*keyed, "span"], "left_anti"), "suffix-open")
+        read = materialise(cut.join(gone[-1].hint("shuffle_hash"), [*keyed, "span"], "left_anti"), "suffix-open")
         discard(cut)
-        pieces = materialise(_shared(open_, "core").select(*_PIECE.names), "suffix-pieces")
-        discard(open_)
+        pieces = _shared(read, "core").select(*_PIECE.names)
     windows = materialise(pieces.mapInArrow(_piece_windows(width, False), _PART_DDL).drop("span"), "suffix-windows")
-    discard(pieces)
-    one_by_one = ranked(windows).where("name.doc < doc").select(*keyed, (F.shiftleft(F.col("pos"), 32) + F.lit(1)).alias("span"))
+    discard(read)
+    names, pairs = ranked(windows)
     discard(windows)
+    one_by_one = materialise(names.where("name.doc < doc").select(*keyed, (F.shiftleft(F.col("pos"), 32) + F.lit(1)).alias("span")), "suffix-single")
+    discard(pairs)
     decided = {"own": own, "runs": gone[0], **{f"blocks {k}": g for k, g in enumerate(gone[1:])}, "windows": one_by_one}
     whole = reduce(DataFrame.unionByName, decided.values()).groupBy(*keyed).agg(F.collect_set("span").alias("spans"))
     return whole, decided

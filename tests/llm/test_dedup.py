@@ -95,6 +95,27 @@ def test_suffixes_of_repeated_lines_match_brute_force(spark):
     assert len(got) == len(rows)
 
 
+@pytest.mark.parametrize("blocks", [(), (8,), (16, 4)])
+def test_suffixes_rank_the_ends_of_runs_once(spark, monkeypatch, blocks):
+    from quarry.llm import suffix_dedup
+
+    rows, ranks = corpus(4), []
+
+    def counted(df, label, write=suffix_dedup.materialise):
+        ranks.extend([label] * (label == "suffix-ranks"))
+        return write(df, label)
+
+    def spans(docs, width, gram, of=suffix_dedup.removal_spans):
+        return of(docs, width, gram, blocks)
+
+    monkeypatch.setattr(suffix_dedup, "materialise", counted)
+    monkeypatch.setattr(suffix_dedup, "removal_spans", spans)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in dedup_suffixes(docs).collect()}
+    assert got == brute_bytes(rows, 100)
+    assert len(ranks) == len(blocks) + 2
+
+
 def test_long_document_wraps_the_place_count(spark, monkeypatch):
     from quarry.llm import suffix_dedup
 
