@@ -1,4 +1,4 @@
-"""Training-data operators: deduplication, quality, decontamination, packing.
+"""Training-data operators: deduplication, runs, tries, quality, decontamination, packing.
 
 Nothing outside this package imports it.  Every operator takes a DataFrame and
 column names, projects the columns it needs under private names (so extra or

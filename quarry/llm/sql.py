@@ -90,5 +90,100 @@ SELECT h.page_id, h.host, h.path, hit.rule, coalesce(hit.verdict, own.verdict) A
 """
 
 
+# CRC-32 of the decimal digits of a number, byte by byte, from the table of its 256 remainders.
+_CRC_TABLE = """crc_table AS (
+  SELECT list(t ORDER BY i) AS crcs FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, (c & 1) * 3988292384)) AS t FROM range(256) r(i))
+)"""
+
+
+def _crc(number: str) -> str:
+    digits = f"list_transform(string_split(CAST({number} AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {digits}), lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+PREFIX_TRIE = rf"""
+WITH {_CRC_TABLE}, t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS o,
+    md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w
+  FROM conversations WHERE conv_id IS NOT NULL
+), s AS (
+  SELECT c, c - c % 20 AS head, {_crc("c")} % 4 AS h FROM (SELECT DISTINCT c FROM t), crc_table
+), r AS (
+  SELECT s.c, t.o, t.k, t.w FROM s JOIN t ON t.c = s.head AND t.o < s.h
+  UNION ALL SELECT s.c, t.o + 3, t.k, t.w FROM s JOIN t ON t.c = s.c AND t.o >= s.h
+), seq AS (
+  SELECT c, list_filter(list(struct_pack(k := r.k, w := r.w) ORDER BY o), lambda x: x.k IS NOT NULL) AS q FROM s LEFT JOIN r USING (c) GROUP BY c
+), nodes AS (
+  SELECT q[1:d] AS p, d, count(*) AS n_convs, min(c) AS conv_id FROM (SELECT c, q, unnest(range(0, len(q) + 1)) AS d FROM seq) GROUP BY ALL
+), kids AS (
+  SELECT p[1:d - 1] AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL
+), own AS (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children, CASE WHEN d > 0 THEN (n_convs - 1) * p[d].w ELSE 0 END AS saved FROM nodes LEFT JOIN kids USING (p)
+), sub AS (
+  SELECT p[1:a] AS p, count(*) AS n_nodes, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT p, n_children, saved, unnest(range(0, d + 1)) AS a FROM own) GROUP BY ALL
+), ends AS (
+  SELECT q AS p, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS h FROM seq GROUP BY q
+), placed AS (
+  SELECT *, row_number() OVER (ORDER BY list_transform(p, lambda x: x.k)) AS position FROM own
+)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens,
+  coalesce(h, sha256('')) AS ends_sha256, position, position + n_nodes - 1 AS subtree_end
+FROM placed n JOIN sub USING (p) LEFT JOIN ends USING (p) LEFT JOIN nodes up ON n.d > 0 AND up.p = n.p[1:n.d - 1]
+"""
+
+
+PERIODIC_RUNS = rf"""
+WITH {_CRC_TABLE}, raw AS (
+  SELECT doc_id, {_crc("doc_id")} AS h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents, crc_table
+), planned AS (
+  SELECT *, h // 10 AS g, len(ws) AS n, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM raw
+), made AS (
+  SELECT doc_id, n, ws, a, 1 + (n - a) // (3 + g % 8) AS p FROM planned
+), word AS (
+  SELECT doc_id, i, ws[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END] AS x FROM (SELECT *, unnest(range(0, n)) AS i FROM made)
+), same AS (
+  SELECT u.doc_id, v.i - u.i AS q, u.i FROM word u JOIN word v ON u.doc_id = v.doc_id AND u.x = v.x AND u.i < v.i
+), island AS (
+  SELECT doc_id, q, min(i) AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM same) GROUP BY doc_id, q, k
+), run AS (
+  SELECT doc_id, start, length, min(q) AS period FROM island WHERE length >= greatest(12, 2 * q) GROUP BY doc_id, start, length
+), told AS (
+  SELECT doc_id, count(*) AS n_runs, first(struct_pack(start, length, period) ORDER BY length DESC, start, period) AS top,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+  FROM run GROUP BY doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run
+), kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS txt FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, top.start AS start, top.length AS length, top.period AS period, 1000 * top.length // top.period AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(txt, '')) AS collapsed_sha256
+FROM raw LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+MINHASH_NEAR_DEDUP = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 1], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 1) + 1)) AS i FROM d WHERE len(ws) > 0)
+), size AS (
+  SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+), link AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM sh x JOIN sh y USING (k) WHERE x.doc_id < y.doc_id GROUP BY ALL)
+  JOIN size sa ON sa.doc_id = a JOIN size sb ON sb.doc_id = b WHERE 100 * common >= 80 * (sa.n + sb.n - common)
+), edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach(doc_id, r) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT edge.b, reach.r FROM reach JOIN edge ON edge.a = reach.doc_id
+), least AS (
+  SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = d.doc_id AS kept FROM d LEFT JOIN size USING (doc_id) JOIN least ON least.doc_id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": SUBSTRING_DEDUP, "op5_benchmark_decontamination": DECONTAMINATION, "op6_url_filter": URL_FILTER}
+    found = {"op2_substring_dedup": SUBSTRING_DEDUP, "op5_benchmark_decontamination": DECONTAMINATION, "op6_url_filter": URL_FILTER}
+    return found | {"op11_prefix_trie": PREFIX_TRIE, "op12_periodic_runs": PERIODIC_RUNS, "op13_minhash_near_dedup": MINHASH_NEAR_DEDUP}
