@@ -39,8 +39,8 @@ SHINGLE, PERCENT = 2, 80
 BANDS, ROWS = 32, 5
 #: Classes a tile has on either side, and rows a group of tiles holds about.
 CELL, GROUP = 512, 2_000
-#: Bits of a parity sketch.
-SKETCH = 1024
+#: Bits of a parity sketch, and of the bitmap that leaves most unwanted texts where they are.
+SKETCH, FILTER = 1024, 1 << 25
 
 _U32 = np.uint32
 
@@ -108,21 +108,31 @@ def _signed(shingle: int):
     return run
 
 
+def _filter_of(wanted: DataFrame) -> np.ndarray:
+    """A bitmap of ``FILTER`` bits, whatever there is wanted: a wanted doc's bit is set.  Its words come to the driver, one million at most."""
+    bit = F.pmod(F.xxhash64("doc"), F.lit(FILTER))
+    words = wanted.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("x"))
+    out = np.zeros(FILTER >> 6, dtype=np.int64)
+    for batch in words.toArrow().to_batches():
+        out[batch.column("w").to_numpy()] = batch.column("x").to_numpy()
+    return out.view(U)
+
+
 _SETS = pa.schema([("doc", pa.int64()), ("c", pa.int64()), ("s", pa.binary())])
 
 
-def _sets(shingle: int):
-    """The sets of the rows whose class is ``c``: another text of the same id is left out."""
+def _sets(shingle: int, bitmap: np.ndarray):
+    """(doc, c, s) of the rows whose bit is set, before any row is shuffled; some are not wanted, all that are wanted are there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, memo = Rows(_SETS, 500), WordHashes()
         for batch in batches:
-            want = batch.column("c").to_numpy()
+            b = batch.column("b").to_numpy()
+            held = (bitmap[b >> 6] >> (b & 63).astype(U)) & U(1) == 1
+            batch = batch.filter(pa.array(held))
             for first, texts in text_chunks(batch):
                 sets = shingle_sets(texts, shingle, memo)
-                kept = np.flatnonzero(_names(sets)[:, 0] == want[first : first + len(sets)]).tolist()
-                here = batch.slice(first, len(texts)).take(pa.array(kept, pa.int64()))
-                yield from out.add(here.column("doc"), here.column("c"), [sets[k].tobytes() for k in kept])
+                yield from out.add(batch.column("doc").slice(first, len(texts)), _names(sets)[:, 0], [s.tobytes() for s in sets])
         yield from out.rest()
 
     return run
@@ -222,8 +232,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = materialise(keys.join(fresh(centres, "k"), "k"), "buckets")
 
     def sets_of(wanted: DataFrame, label: str) -> DataFrame:
-        """(doc, c, s): the shingle sets of the wanted (doc, c), from their texts."""
-        return materialise(d.join(wanted.distinct(), "doc").mapInArrow(_sets(shingle), "doc long, c long, s binary").dropDuplicates(["doc", "c"]), label)
+        """(doc, c, s): the shingle sets of the wanted (doc, c), from their texts; only sets are shuffled."""
+        wanted = materialise(wanted.distinct(), "wanted")
+        rows = d.where("doc is not null").withColumn("b", F.pmod(F.xxhash64("doc"), F.lit(FILTER)))
+        made = rows.mapInArrow(_sets(shingle, _filter_of(wanted)), "doc long, c long, s binary")
+        return materialise(made.join(wanted, ["doc", "c"], "left_semi").dropDuplicates(["doc", "c"]), label)
 
     # The smaller set can be the intersection at most, so sizes rule out pairs before any set is read.
     sized = 100 * F.least("n", "n0") >= percent * F.greatest("n", "n0")
