@@ -1,9 +1,8 @@
-"""Scoped retrieval: BM25 and dense top-k over pools, rank fusion, authority order.
+"""Scoped retrieval: dense top-k over pools, rank fusion, authority order.
 
 A pool is what a question may see: the shared books (global rulebook and its
-amendments) and, where it names a game, that game's book.  Statistics are those
-of the pool.  They add up over its two parts, so each part is counted once, not
-once per pool.
+amendments) and, where it names a game, that game's book.  BM25 is in
+:mod:`quarry.operators.lexical`.
 """
 
 from __future__ import annotations
@@ -17,17 +16,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions import fixed as X
-from quarry.functions import text as T
 
 #: Question vectors compared at once; more are taken slice by slice.
 SLICE = 4096
 
 
-def part_of(scope: Column, game: Column) -> Column:
-    """'' for what every question sees, else the game whose questions see it; null for none (a title's amendment)."""
-    return F.when(scope == "global", "").when((scope == "amendment") & (game == "global"), "").when(scope == "title", game)
-
-
 def matches_filter(row: dict[str, Column], where: dict) -> Column:
     """A filter document as a Column: ``$or`` and ``$and`` win over their siblings; ``$in`` and equality otherwise."""
     if "$or" in where:
@@ -54,47 +47,6 @@ def scope_filter(game: str | None) -> dict:
     return {"$or": [{"game": game}, {"scope": "global"}, {"$and": [{"scope": "amendment"}, {"game": "global"}]}]}
 
 
-def term_counts(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, part, dl, t): tokens of the chunks that some pool holds."""
-    parted = chunks.select("chunk_id", part_of(F.col("scope"), F.col("game")).alias("part"), T.tokens(F.col("text")).alias("t")).where("part is not null")
-    return parted.withColumn("dl", F.size("t"))
-
-
-def _pooled(parts: DataFrame, pools: DataFrame) -> DataFrame:
-    """Rows by ``part`` to rows by ``pool``: a pool has its own part and the shared one.  ``pools`` has a row a game."""
-    return pools.select("pool", F.explode(F.array_distinct(F.array(F.lit(""), F.col("pool")))).alias("part")).join(parts, "part")
-
-
-def bm25(chunks: DataFrame, questions: DataFrame, k: int = X.LEXICAL_K, k1: float = X.BM25_K1, b: float = X.BM25_B, epsilon: float = X.BM25_EPSILON) -> DataFrame:
-    """(query_id, chunk_id, lex_rank, score): the ``k`` best chunks of each question's pool.
-
-    Okapi weights with pool statistics; a negative idf counts as ``epsilon``
-    times the mean idf of the pool's vocabulary.  A term that a question
-    repeats counts again.  Ties go to the smaller chunk id.  Chunks that share
-    no term with the question are not returned.
-    """
-    counted = term_counts(chunks)
-    # A question of the global book sees what one without a game sees.
-    asked = questions.select("query_id", F.when(F.coalesce("game", F.lit("global")) == "global", "").otherwise(F.col("game")).alias("pool"), F.explode(T.tokens(F.col("question"))).alias("term")).groupBy("query_id", "pool", "term").agg(F.count("*").alias("qtf"))
-    pools = asked.select("pool").distinct()
-    sizes = _pooled(counted.groupBy("part").agg(F.count("*").alias("n"), F.sum("dl").alias("dl")), pools).groupBy("pool").agg(F.sum("n").alias("n"), (F.sum("dl") / F.sum("n")).alias("avgdl"))
-    df = counted.select("part", F.explode(F.array_distinct("t")).alias("term")).groupBy("part", "term").agg(F.count("*").alias("df"))
-    df = _pooled(df, pools).groupBy("pool", "term").agg(F.sum("df").alias("df")).join(F.broadcast(sizes), "pool")  # a row a game
-    weighted = df.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = weighted.groupBy("pool").agg(F.avg("idf").alias("mean"))
-    terms = asked.join(weighted.select("pool", "term", "idf"), ["pool", "term"]).join(F.broadcast(mean), "pool").join(F.broadcast(sizes), "pool")
-    terms = terms.select("query_id", "pool", "term", (F.col("qtf") * F.when(F.col("idf") < 0, epsilon * F.col("mean")).otherwise(F.col("idf"))).alias("w"), "avgdl")
-
-    # Only terms that some question has are counted; a chunk's rows meet in its own map task first.
-    wanted = asked.select("term").distinct()
-    postings = counted.select("chunk_id", "part", "dl", F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy("chunk_id", "part", "dl", "term").agg(F.count("*").alias("tf"))
-    by_part = terms.withColumn("part", F.explode(F.array_distinct(F.array(F.lit(""), F.col("pool"))))).drop("pool")
-    gain = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = postings.join(by_part, ["part", "term"]).groupBy("query_id", "chunk_id").agg(F.round(F.sum(gain), 6).alias("score"))
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("lex_rank", F.row_number().over(best)).where(F.col("lex_rank") <= k)
-
-
 _NEAR = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("distance", pa.float64())])
 
 

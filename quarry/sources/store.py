@@ -39,7 +39,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_once: dict[tuple, DataFrame] = {}
+_once: dict[tuple, DataFrame | object] = {}
 
 
 def _state(spark: SparkSession, files: list[str]) -> tuple:
@@ -52,12 +52,13 @@ def _state(spark: SparkSession, files: list[str]) -> tuple:
     return tuple(out)
 
 
-def once(label: str, inputs: list[DataFrame], make: Callable[[], DataFrame]) -> DataFrame:
-    """What ``make`` gives, as a table that is written once a session; other input files make another one."""
+def once(label: str, inputs: list[DataFrame], make: Callable[[], DataFrame | object]) -> DataFrame | object:
+    """What ``make`` gives, once a session: a DataFrame as a written table, other things (tables written already) as they are.  Other input files make another one."""
     spark = inputs[0].sparkSession
     key = (label, spark.sparkContext.applicationId, *(_state(spark, t.inputFiles()) for t in inputs))
     if key not in _once:
-        _once[key] = written(make(), label)
+        made = make()
+        _once[key] = written(made, label) if isinstance(made, DataFrame) else made
     return _once[key]
 
 
