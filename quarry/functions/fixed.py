@@ -20,6 +20,18 @@ CITATION = r"^.+? — (?:Article \S+?, )?p\.\d+$"
 LOCATOR = r"^(.+?) — Article (\S+?), p\.\d+$"
 HEADING = r"^#{1,6}\s+"
 
+# Fixed values of document structure: article numbers, heading lines, appendix marks, contents listings.
+ARTICLE = r"[A-Z]?\d{1,2}(?:\.\d{1,2}){0,4}"
+ARTICLE_LINE = rf"^({ARTICLE})(?:\.[ ]*|[ ]+)(?![\d.])(\S.*)$"
+ARTICLE_ALONE = r"^([A-Z]?\d{1,2}(?:\.\d{1,2}){0,4})\.$|^([A-Z]?\d{1,2}(?:\.\d{1,2}){1,4})$"
+RUN_IN = r"^([A-Z][^.;:]{1,88})\.\s+(\S.*)$"
+ASIDE = r"^\([^)]*\)[\s.;:,]*$"
+BARE_NUMBER = r"^\d{1,4}$"
+DOT_LEADER = r"\.{4,}"
+CONTENTS = r"^(?:table of contents?|contents)$"
+PART = r"^(Appendix|Annex|Schedule|Exhibit)\s+([IVXLC]+|[A-Z]|\d{1,2})\b[\s:.–—-]+([A-Z“\"'(].{0,60})$"
+PART_ALONE = r"^(Appendix|Annex|Schedule|Exhibit)\s+([IVXLC]+|[A-Z]|\d{1,2})\.?$"
+
 DENSE_K, LEXICAL_K, FUSED_K, RRF_K, ACCOUNTABLE_RANK, MISSING_RANK = 12, 12, 8, 60, 4, 99
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
 SAME_HEADING, SAME_LEAD, SAME_BODY, AGREEMENT, INCORPORATED, MIN_LEAD_WORDS = 0.60, 0.70, 0.35, 0.50, 0.70, 6

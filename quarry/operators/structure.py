@@ -1,92 +1,138 @@
 """Document structure: boilerplate, headings, contents listings, sequence, segments, chunks.
 
 Counting and joining are DataFrame operations; the sequential scans over the
-lines of one document run in a grouped map per document.
+lines of one document run over its lines where they lie, in Arrow batches.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions import fixed as X
 
-NUMBER = re.compile(r"^([A-Za-z]?\d{1,2}(?:\.\d{1,2}){0,4})\.?$")
-INLINE = re.compile(r"^(?:Article\s+)?([A-Za-z]?\d{1,2}(?:\.\d{1,2}){0,4})\.?\s+(\S.*)$")
-PART = re.compile(r"^(Appendix|Annex|Schedule|Exhibit)\s+([IVXLC]+|[A-Z]|\d{1,2})\b[\s:.–—-]+([A-Z“\"'(].{0,60})$", re.I)
-PART_ALONE = re.compile(r"^(Appendix|Annex|Schedule|Exhibit)\s+([IVXLC]+|[A-Z]|\d{1,2})\.?$", re.I)
-CONTENTS = re.compile(r"^(?:table\s+of\s+)?contents\.?$", re.I)
-LEADER = re.compile(r"\.{4,}|(?:\. ){4,}|…{2,}")
+LINE, ALONE, RUN_IN = re.compile(X.ARTICLE_LINE), re.compile(X.ARTICLE_ALONE), re.compile(X.RUN_IN, re.S)
+ASIDE, BARE, LEADER = re.compile(X.ASIDE), re.compile(X.BARE_NUMBER), re.compile(X.DOT_LEADER)
+PART, PART_ALONE = re.compile(X.PART, re.I), re.compile(X.PART_ALONE, re.I)
 
 
 def strip_boilerplate(lines: DataFrame) -> DataFrame:
     """Lines (doc, line_no, page, pos, n_in_page, page_count, text) without running heads and feet.
 
     Goes: a line among the first or last three of a page whose lower-case text
-    is there on max(4, half of the pages) pages or more; a bare number among
-    the first or last two; dot leaders; titles of contents listings.
+    is there on max(4, half of the pages) pages or more; a bare number of at most
+    four digits among the first or last two; leaders of four dots or more;
+    titles of contents listings.
     """
     from_end = F.col("n_in_page") - 1 - F.col("pos")
     band = (F.col("pos") < X.BAND) | (from_end < X.BAND)
     key = F.lower("text")
     common = lines.where(band).groupBy("doc", key.alias("key")).agg(F.countDistinct("page").alias("pages"), F.max("page_count").alias("of")).where(F.col("pages") >= F.greatest(F.lit(X.LEAST_PAGES), F.floor(F.col("of") / 2))).select("doc", "key", F.lit(True).alias("running"))
     edge = (F.col("pos") < 2) | (from_end < 2)
-    bare = edge & F.col("text").rlike(r"^\d+$")
-    leader = F.col("text").rlike(LEADER.pattern)
-    contents = F.trim("text").rlike(f"(?i){CONTENTS.pattern}")
+    bare = edge & F.col("text").rlike(X.BARE_NUMBER)
+    leader = F.col("text").rlike(X.DOT_LEADER)
+    contents = F.lower(F.trim("text")).rlike(X.CONTENTS)
     j = lines.withColumn("key", key).join(common, ["doc", "key"], "left")
     return j.where(~(F.coalesce("running", F.lit(False)) & band) & ~bare & ~leader & ~contents).drop("key", "running")
 
 
+@dataclass(frozen=True)
+class Heading:
+    """A heading at line ``at`` that takes ``lines`` lines; ``begun`` is what its line says after it."""
+
+    at: int
+    lines: int
+    article: str
+    title: str
+    begun: str = ""
+
+
 def heading_shape(text: str) -> bool:
-    """Could the text be a heading: short, mostly letters, not a contents line or an aside?"""
-    letters = sum(c.isalpha() for c in text)
-    return 2 <= len(text) <= X.MAX_HEADING and not LEADER.search(text) and not re.fullmatch(r"\([^()]*\)", text) and letters >= 2 and letters >= 0.4 * len(text)
+    """Could the text be a title, whatever its case: 2 to 90 characters, two letters at least and 40 % of them, no dot leader, not an aside alone?"""
+    letters = sum(map(str.isalpha, text))
+    return 2 <= len(text) <= X.MAX_HEADING and letters >= max(2, 0.4 * len(text)) and not (LEADER.search(text) or ASIDE.match(text))
 
 
 def plausible_heading(text: str) -> bool:
-    return heading_shape(text) and (text[0].isupper() or text[0] in "\"'“‘") and not re.search(r"[,;]$", text)
+    """A title that begins with a capital, a quotation mark or a bracket."""
+    return heading_shape(text) and (text[0].isupper() or text[0] in "“\"'(")
+
+
+def unfinished(line: str) -> bool:
+    """Does the line end in mid-sentence, so that the next one goes on with it?"""
+    return line[-1:] not in ("", *".;:!?”\"'")
 
 
 def plausible_subheading(text: str, article: str, before: str) -> bool:
-    """Under a dotted number a heading need not begin with a capital, unless the line before it ends in mid-sentence."""
-    return "." in article and heading_shape(text) and (not before or before[-1] in ".;:!?”\"'")
+    """Under a dotted number a title may begin as it likes, unless the line before the number is unfinished."""
+    return "." in article and heading_shape(text) and not unfinished(before)
 
 
 def run_in_heading(text: str) -> tuple[str, str] | None:
-    """A leading sentence of at most twelve words that reads as a heading, and what follows it."""
-    m = re.match(r"^(.+?)\.\s+(\S.*)$", text)
-    if m and len(m[1].split()) <= X.MOST_HEADING_WORDS and plausible_heading(m[1]):
-        return m[1], m[2]
-    return None
-
-
-def heading_candidates(lines: list[str]) -> list[tuple[int, int, str, str, str]]:
-    """(index, lines consumed, article, heading, body begun on the line), scanning forward; a consumed line starts no heading."""
-    out, i = [], 0
-    while i < len(lines):
-        line = lines[i].strip()
-        alone, inline = NUMBER.match(line), INLINE.match(line)
-        if alone and i + 1 < len(lines) and plausible_heading(lines[i + 1].strip()) and not NUMBER.match(lines[i + 1].strip()):
-            out.append((i, 2, alone[1], lines[i + 1].strip(), ""))
-            i += 2
-            continue
-        if inline and len(line) <= X.MAX_LINE or inline and run_in_heading(inline[2]):
-            article, rest = inline[1], inline[2].strip()
-            run_in = run_in_heading(rest)
-            before = lines[i - 1].strip() if i else ""
-            wraps = i > 0 and before[-1:].isalpha() and before[:1].islower()
-            if run_in:
-                out.append((i, 1, article, *run_in))
-            elif plausible_heading(rest) and (not wraps or "." not in article) or plausible_subheading(rest, article, before):
-                out.append((i, 1, article, rest, ""))
-        i += 1
-    return out
+    """A leading sentence of at most twelve words that reads as a title, and what follows it."""
+    m = RUN_IN.match(text)
+    if m is None:
+        return None
+    title, begun = m[1].strip(), m[2].strip()
+    return (title, begun) if len(title.split()) <= X.MOST_HEADING_WORDS and plausible_heading(title) else None
+
+
+def titled(text: str, article: str, before: str) -> tuple[str, str] | None:
+    """(title, what is begun after it) if the text heads the article: as a whole or, failing that, by its first sentence."""
+    if plausible_heading(text) or plausible_subheading(text, article, before):
+        return text, ""
+    return run_in_heading(text)
+
+
+class HeadingScan:
+    """An automaton over the lines of one document that reports headings.
+
+    Its state is the place, the line before it, and whether a line is used up:
+    a line that a heading has taken starts none.  A number with text on its
+    line is tried first, then a number alone with the line after it.
+    """
+
+    def __init__(self, lines: list[str]) -> None:
+        self.lines, self.at, self.before = lines, 0, ""
+
+    def __iter__(self) -> Iterator[Heading]:
+        while self.at < len(self.lines):
+            found = self._here()
+            if found:
+                yield found
+            self._pass(found.lines if found else 1)
+
+    def _pass(self, n: int) -> None:
+        self.at += n
+        self.before = self.lines[self.at - 1]
+
+    def _here(self) -> Heading | None:
+        line = self.lines[self.at]
+        if len(line) >= X.MAX_LINE or LEADER.search(line):
+            return None
+        for article, text, n in self._forms(line):
+            if told := titled(text, article, self.before):
+                return Heading(self.at, n, article, *told)
+        return None
+
+    def _forms(self, line: str) -> Iterator[tuple[str, str, int]]:
+        if m := LINE.match(line):
+            yield m[1], m[2].strip(), 1
+        if (m := ALONE.match(line)) and self.at + 1 < len(self.lines):
+            yield m[1] or m[2], self.lines[self.at + 1], 2
+
+
+def heading_candidates(lines: list[str]) -> list[Heading]:
+    """The headings of lines that are trimmed and not blank, scanning forward."""
+    return list(HeadingScan(lines))
 
 
 def article_key(article: str) -> tuple:
@@ -115,57 +161,66 @@ def longest_increasing(keys: list) -> list[int]:
     return out[::-1]
 
 
-def enforce_sequence(headings: list[tuple], parts: list[int]) -> list[tuple]:
+def enforce_sequence(headings: list[Heading], parts: list[int]) -> list[Heading]:
     """Headings whose articles rise within their part; dotted ones stay whatever their order."""
     kept: set[int] = set()
     groups: dict[int, list[int]] = {}
     for k, h in enumerate(headings):
-        groups.setdefault(bisect_left(parts, h[0] + 1), []).append(k)
+        groups.setdefault(bisect_right(parts, h.at), []).append(k)
     for members in groups.values():
-        kept.update(members[j] for j in longest_increasing([article_key(headings[k][2]) for k in members]))
-    return [h for k, h in enumerate(headings) if k in kept or "." in h[2]]
+        kept.update(members[j] for j in longest_increasing([article_key(headings[k].article) for k in members]))
+    return [h for k, h in enumerate(headings) if k in kept or "." in h.article]
 
 
-def contents_lines(lines: list[str], headings: list[tuple]) -> set[int]:
-    """Lines of contents listings: headings followed by a page number, and long runs without text that recur later."""
-    dead: set[int] = set()
-    run: list[int] = []
+def heading_runs(lines: list[str], headings: list[Heading]) -> list[list[Heading]]:
+    """Headings in runs without text between them; bare numbers are no text, nor is what a heading's own line begins."""
+    runs: list[list[Heading]] = []
+    open_run = False
+    for h, after in zip(headings, [*(h.at for h in headings[1:]), len(lines)], strict=False):
+        if open_run:
+            runs[-1].append(h)
+        else:
+            runs.append([h])
+        open_run = all(BARE.match(x) for x in lines[h.at + h.lines : after])
+    return runs
 
-    def close() -> None:
-        restarts = [j for j in range(1, len(run)) if article_key(headings[run[j]][2]) <= article_key(headings[run[j - 1]][2])]
-        listed = run[: restarts[-1]] if restarts and len(run) - restarts[-1] < X.TOC_RUN_MIN else run[:]
-        again = {h[2] for k, h in enumerate(headings) if listed and k > listed[-1]}
-        if len(listed) >= X.TOC_RUN_MIN and sum("." in headings[k][2] for k in listed) >= 0.6 * len(listed) and sum(headings[k][2] in again for k in listed) >= 0.35 * len(listed):
-            for k in listed:
-                dead.update(range(headings[k][0], headings[k][0] + headings[k][1]))
-        run.clear()
 
-    for k, h in enumerate(headings):
-        end = h[0] + h[1]
-        after = headings[k + 1][0] if k + 1 < len(headings) else len(lines)
-        body = [x for x in range(end, after) if lines[x].strip()]
-        if body and re.fullmatch(r"\d{1,3}", lines[body[0]].strip()):
-            dead.update([*range(h[0], end), body[0]])
-        if h[4] or any(not re.fullmatch(r"\d{1,3}", lines[x].strip()) for x in body):
-            close()
-        else:
-            run.append(k)
-    close()
-    return dead
+def listed(run: list[Heading], headings: list[Heading]) -> list[Heading]:
+    """The part of a run that is a contents listing: five or more, 60 % dotted, of which 35 % occur again after it.
+
+    Where numbers start anew, what follows the last such place is text, unless it is as long as a listing itself.
+    """
+    anew = [k for k in range(1, len(run)) if article_key(run[k].article) <= article_key(run[k - 1].article)]
+    if len(run) >= X.TOC_RUN_MIN and anew and len(run) - anew[-1] < X.TOC_RUN_MIN:
+        run = run[: anew[-1]]
+    if len(run) < X.TOC_RUN_MIN or sum("." in h.article for h in run) < 0.6 * len(run):
+        return []
+    again = {h.article for h in headings if h.at > run[-1].at}
+    return run if sum(h.article in again for h in run) >= 0.35 * len(run) else []
+
+
+def contents_lines(lines: list[str], headings: list[Heading]) -> set[int]:
+    """Lines of contents listings: headings that a page number follows, those of listed runs, and the numbers after either."""
 
+    def number_after(h: Heading) -> bool:
+        return h.at + h.lines < len(lines) and BARE.match(lines[h.at + h.lines]) is not None
 
-def part_marks(text: list[str], first: int) -> dict[int, tuple[str, int]]:
+    gone = {h.at: h for run in heading_runs(lines, headings) for h in listed(run, headings)} | {h.at: h for h in headings if number_after(h)}
+    return {x for h in gone.values() for x in range(h.at, h.at + h.lines + number_after(h))}
+
+
+def part_marks(lines: list[str], first: int) -> dict[int, tuple[str, int]]:
     """Place of each appendix marker after the first heading to its label and how many lines it takes: its title is on its line, or alone on the next."""
     out = {}
-    for i in range(first, len(text)):
-        line = text[i].strip()
+    for i in range(first, len(lines)):
+        line, title = lines[i], lines[i + 1] if i + 1 < len(lines) else ""
         if len(line) > X.MAX_PART or ". " in line or line.endswith((",", ";")):
             continue
-        title = text[i + 1].strip() if i + 1 < len(text) else ""
+        label = re.sub(" {2,}", " ", line).rstrip(".")
         if PART.match(line):
-            out[i] = re.sub(" {2,}", " ", line).rstrip("."), 1
-        elif PART_ALONE.match(line) and 3 <= len(title) <= X.MAX_PART_TITLE and (title[0].isupper() or title[0] in "“\"'(") and not (NUMBER.match(title) or INLINE.match(title) or title.isdigit() or title.endswith((",", ";", "."))):
-            out[i] = f"{line.rstrip('.')} - {title}", 2
+            out[i] = label, 1
+        elif PART_ALONE.match(line) and 3 <= len(title) <= X.MAX_PART_TITLE and (title[0].isupper() or title[0] in "“\"'(") and not (BARE.match(title) or LINE.match(title) or ALONE.match(title) or title.endswith((",", ";", "."))):
+            out[i] = f"{label} - {title}", 2
     return out
 
 
@@ -187,43 +242,72 @@ def page_at(offsets: list[tuple[int, int]], at: int, page: int) -> int:
 
 
 def segments_of(lines: list[str], pages: list[int]) -> list[dict]:
-    """Front matter, articles and appendix preambles of one document, with their pages and the offsets of their lines."""
+    """Front matter, articles and appendix preambles of one document, with their pages and the offsets of their lines; blank lines are none."""
+    held = [(t, p) for t, p in zip((x.strip() for x in lines), pages, strict=True) if t]
+    lines = [t for t, _ in held]
     first = heading_candidates(lines)
     dead = contents_lines(lines, first)
     live = [i for i in range(len(lines)) if i not in dead]
-    text, page = [lines[i] for i in live], [pages[i] for i in live]
-    found = heading_candidates(text)
-    parts = part_marks(text, found[0][0] if found else len(text))
-    found = enforce_sequence(found, sorted(parts))
-    inside = {x for h in found for x in range(h[0], h[0] + h[1])}
-    marks = sorted([tuple(h) for h in found] + [(i, used, "", text[i].strip(), "") for i, (_, used) in parts.items() if i not in inside])
+    text, page = [lines[i] for i in live], [held[i][1] for i in live]
+    # Places move as listings go, so headings are found again among what is left.
+    found = heading_candidates(text) if dead else first
+    parts = part_marks(text, found[0].at if found else len(text))
+    starts = sorted(parts)
+    found = enforce_sequence(found, starts)
+    inside = {x for h in found for x in range(h.at, h.at + h.lines)}
+    marks = sorted([(h.at, h.lines, h.article, h.title, h.begun) for h in found] + [(i, used, "", text[i], "") for i, (_, used) in parts.items() if i not in inside])
     if not marks or marks[0][0] > 0:
         marks.insert(0, (0, 0, "", "Front matter", ""))
-    out, starts = [], sorted(parts)
+    out = []
     for (at, used, article, heading, begun), end in zip(marks, [*(m[0] for m in marks[1:]), len(text)], strict=True):
         label = parts[starts[k - 1]][0] if (k := bisect_right(starts, at)) else ""
         own = page[at] if page else 1
         body, offsets = join_lines(begun, text[at + used : end], page[at + used : end], own)
         if article or body.strip():
-            last = page[max(at + used, end - 1)] if end > at + used else own
+            last = page[end - 1] if end > at + used else own
             out.append({"ordinal": len(out), "article": article, "heading": heading, "part": label, "body": body, "page": own, "page_end": last, "offsets": [{"at": a, "page": p} for a, p in offsets]})
     return out
 
 
-SEGMENT = "doc long, ordinal int, article string, heading string, part string, body string, page int, page_end int, offsets array<struct<at:int,page:int>>"
+SEGMENT = "ordinal int, article string, heading string, part string, body string, page int, page_end int, offsets array<struct<at:int,page:int>>"
+_SEGMENT = pa.schema([("ordinal", pa.int32()), ("article", pa.string()), ("heading", pa.string()), ("part", pa.string()), ("body", pa.string()), ("page", pa.int32()), ("page_end", pa.int32()), ("offsets", pa.list_(pa.struct([("at", pa.int32()), ("page", pa.int32())])))])
+#: Segments that are handed on at a time.
+_BATCH = 1_000
+
+
+def _segmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, rows = [], []
 
+        def full() -> pa.RecordBatch:
+            own = pa.RecordBatch.from_pylist(rows, schema=_SEGMENT)
+            return pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(ids, pa.int64())), *own.columns], names=["doc", *own.schema.names])  # noqa: B023
 
-def segment(lines: DataFrame) -> DataFrame:
-    """Segments of every document from its lines (doc, line_no, page, text); one document is one group."""
+        for i in range(batch.num_rows):
+            lines = batch.column("lines")[i].as_py() or []
+            found = segments_of([x["text"] or "" for x in lines], [x["page"] for x in lines])
+            ids += [i] * len(found)
+            rows += found
+            if len(rows) >= _BATCH:
+                yield full()
+                ids, rows = [], []
+        if rows:
+            yield full()
+
+
+def segment(docs: DataFrame) -> DataFrame:
+    """Segments of every document (doc, lines: array of struct<text, page> in order), each where it lies: no row a line and no shuffle.
+
+    A null text is an empty line.  A document without lines, or null, has no
+    segment; rows with one id, or none, are documents of their own.
+    """
+    d = docs.select("doc", F.expr("transform(lines, x -> named_struct('text', cast(x.text as string), 'page', cast(x.page as int)))").alias("lines"))
+    return d.mapInArrow(_segmented, f"doc {d.schema['doc'].dataType.simpleString()}, {SEGMENT}")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line_no")
-        rows = segments_of(pdf.text.fillna("").tolist(), pdf.page.tolist())
-        out = pd.DataFrame(rows, columns=["ordinal", "article", "heading", "part", "body", "page", "page_end", "offsets"])
-        out.insert(0, "doc", pdf.doc.iloc[0])
-        return out
 
-    return lines.select("doc", "line_no", "page", "text").groupBy("doc").applyInPandas(run, SEGMENT)
+def paged_lines(text: Column, per_page: int) -> Column:
+    """The lines of a text that has no pages of its own, ``per_page`` to a page."""
+    return F.transform(F.split(text, "\n"), lambda x, i: F.struct(x.alias("text"), (F.floor(i / per_page) + 1).cast("int").alias("page")))
 
 
 def above(article: Column, itself: bool = True) -> Column:

@@ -66,7 +66,8 @@ def assembled_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def long_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of whole documents, split; pieces and the pages they start on are checked by unit tests."""
     d = table(spark, sf_dir, "documents").where("text is not null")
-    lines = _lines(spark, sf_dir).withColumn("text", F.when(F.col("line_no") % 30 == 1, F.concat(F.floor(F.col("line_no") / 30) + 1, F.lit(". Heading of part"))).otherwise(F.col("text")))
+    heading = lambda x, i: F.struct(F.when(i % 30 == 0, F.concat(F.floor((i + 1) / 30) + 1, F.lit(". Heading of part"))).otherwise(x["text"]).alias("text"), x["page"].alias("page"))
+    lines = d.select(F.col("doc_id").alias("doc"), F.transform(S.paged_lines(F.col("text"), 20), heading).alias("lines"))
     books = d.select(F.col("doc_id").alias("doc"), F.col("lang").alias("game"), F.concat(F.lit("Book "), "lang").alias("game_title"), F.lit("title").alias("scope"), F.lit(1).alias("authority"))
     c = S.assemble_chunks(S.segment(lines), books)
     return c.select("doc", "chunk_id", "article", "page", "page_end", "chunk", "chunk_of", "n_chars")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -51,19 +51,41 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc", F.size("l").alias("n"), F.posexplode("l").alias("i", "text")).select("doc", (i + 1).alias("line_no"), (F.floor(i / 20) + 1).cast("int").alias("page"), (i % 20).alias("pos"), F.when(F.floor(i / 20) == last, n - last * 20).otherwise(20).alias("n_in_page"), (last + 1).alias("page_count"), "text")
 
 
-@query(rf"""WITH {_LINES} SELECT doc, line_no FROM numbered WHERE NOT ((pos < 3 OR n_in_page - 1 - pos < 3) AND EXISTS (SELECT 1 FROM running r WHERE r.doc = numbered.doc AND r.key = lower(line)))
-  AND NOT ((pos < 2 OR n_in_page - 1 - pos < 2) AND regexp_matches(line, '^\d+$')) AND NOT regexp_matches(line, '\.{{4,}}|(?:\. ){{4,}}|…{{2,}}')""")
+#: What is put on the last line of some pages: two of it go, two only look like it.
+_TRAPS = ["1234", "12345", "Rules ..... 5", "and . . . . so on … …"]
+
+
+@query(rf"""WITH {_LINES.replace("numbered AS (SELECT *,", "numbered AS (SELECT * REPLACE (CASE WHEN pos = 19 AND page % 2 = 0 THEN " + str(_TRAPS) + "[(page // 2) % 4 + 1] ELSE line END AS line),")} SELECT doc, line_no FROM numbered WHERE NOT ((pos < 3 OR n_in_page - 1 - pos < 3) AND EXISTS (SELECT 1 FROM running r WHERE r.doc = numbered.doc AND r.key = lower(line)))
+  AND NOT ((pos < 2 OR n_in_page - 1 - pos < 2) AND regexp_matches(line, '^\d{{1,4}}$')) AND NOT regexp_matches(line, '\.{{4,}}')""")
 def boilerplate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.strip_boilerplate(_lines(spark, sf_dir)).select("doc", F.col("line_no").cast("long").alias("line_no"))
+    trap = F.array(*map(F.lit, _TRAPS))[(F.floor(F.col("page") / 2) % 4).cast("int")]
+    lines = _lines(spark, sf_dir).withColumn("text", F.when((F.col("pos") == 19) & (F.col("page") % 2 == 0), trap).otherwise(F.col("text")))
+    return S.strip_boilerplate(lines).select("doc", F.col("line_no").cast("long").alias("line_no"))
 
 
-@query()
+_SHAPED = """shaped AS (
+  SELECT doc, line_no, page, line_no // 4 + 1 AS k, CASE WHEN line_no % 4 = 1 THEN (line_no - 1) // 4 % 4 END AS shape,
+    CASE WHEN line_no % 4 <> 1 THEN line ELSE CASE (line_no - 1) // 4 % 4 WHEN 0 THEN k || '. Heading of part' WHEN 1 THEN k || '.1 (Optional) rules' WHEN 2 THEN k || ' (see above)' ELSE k || '. Purpose. Players behave well' END END AS t
+  FROM lines
+), trimmed AS (SELECT doc, line_no, page, k, shape <> 2 AND k <= 99 AS head, shape, regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS t FROM shaped),
+placed AS (SELECT *, sum(CAST(coalesce(head, false) AS INTEGER)) OVER (PARTITION BY doc ORDER BY line_no) - 1 AS ordinal FROM trimmed WHERE t <> '')"""
+
+
+@query(rf"""WITH {_LINES}, {_SHAPED}
+SELECT doc, CAST(ordinal AS INTEGER) AS ordinal, CASE min(shape) FILTER (head) WHEN 1 THEN min(k) FILTER (head) || '.1' ELSE CAST(min(k) FILTER (head) AS VARCHAR) END AS article,
+  CASE min(shape) FILTER (head) WHEN 0 THEN 'Heading of part' WHEN 1 THEN '(Optional) rules' ELSE 'Purpose. Players behave well' END AS heading, '' AS part,
+  CAST(coalesce(sum(length(t) + 1) FILTER (head IS NOT true) - 1, 0) AS INTEGER) AS n_chars, CAST(min(page) AS INTEGER) AS page, CAST(max(page) AS INTEGER) AS page_end
+FROM placed GROUP BY doc, ordinal""")
 def document_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbered segments of each document; a numbering is put on its lines, as the texts have none."""
-    lines = _lines(spark, sf_dir)
-    numbered = F.when(F.col("line_no") % 4 == 1, F.concat(F.floor(F.col("line_no") / 4) + 1, F.lit(". Heading of part"))).otherwise(F.col("text"))
-    s = S.segment(lines.withColumn("text", numbered))
-    return s.select("doc", "ordinal", "article", "heading", "part", F.length("body").alias("n_chars"), "page", "page_end")
+    """Segments of each document; each fourth line is made a heading of one of three shapes, or an aside that is none, as the texts have no numbers."""
+
+    def made(x: Column, i: Column) -> Column:
+        k, shape = (F.floor((i + 1) / 4) + 1).cast("string"), F.floor(i / 4) % 4
+        heading = F.when(shape == 0, F.concat(k, F.lit(". Heading of part"))).when(shape == 1, F.concat(k, F.lit(".1 (Optional) rules"))).when(shape == 2, F.concat(k, F.lit(" (see above)"))).otherwise(F.concat(k, F.lit(". Purpose. Players behave well")))
+        return F.struct(F.when(i % 4 == 0, heading).otherwise(x["text"]).alias("text"), x["page"].alias("page"))
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.transform(S.paged_lines(F.col("text"), 20), made).alias("lines"))
+    return S.segment(docs).select("doc", "ordinal", "article", "heading", "part", F.length("body").alias("n_chars"), "page", "page_end")
 
 
 @query()

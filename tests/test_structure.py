@@ -32,23 +32,105 @@ def test_longest_increasing_is_longest(keys):
 
 
 def heads(*articles):
-    return [(i * 2, 1, a, "Heading", "") for i, a in enumerate(articles)]
+    return [structure.Heading(i * 2, 1, a, "Heading") for i, a in enumerate(articles)]
 
 
 def test_sequence_keeps_dotted_headings():
-    assert [h[2] for h in structure.enforce_sequence(heads("1", "2", "3", "1"), [])] == ["1", "2", "3"]
-    assert [h[2] for h in structure.enforce_sequence(heads("2.5.1", "2.5.9", "2.5.10", "2.5.4"), [])] == ["2.5.1", "2.5.9", "2.5.10", "2.5.4"]
+    assert [h.article for h in structure.enforce_sequence(heads("1", "2", "3", "1"), [])] == ["1", "2", "3"]
+    assert [h.article for h in structure.enforce_sequence(heads("2.5.1", "2.5.9", "2.5.10", "2.5.4"), [])] == ["2.5.1", "2.5.9", "2.5.10", "2.5.4"]
+    assert structure.enforce_sequence([], []) == []
 
 
 def test_numbering_restarts_in_a_part():
-    assert [h[2] for h in structure.enforce_sequence(heads("1", "2", "1", "2"), [3])] == ["1", "2", "1", "2"]
-
-
-def test_heading_candidates():
-    lines = ["1 Purpose", "text here.", "2.", "Scope of play", "body", "3. Conduct. Players behave well at all times.", "24 teams", "4 (see above)"]
-    got = structure.heading_candidates(lines)
-    assert [(h[1], h[2], h[3]) for h in got] == [(1, "1", "Purpose"), (2, "2", "Scope of play"), (1, "3", "Conduct")]
-    assert got[2][4] == "Players behave well at all times."
+    assert [h.article for h in structure.enforce_sequence(heads("1", "2", "1", "2"), [3])] == ["1", "2", "1", "2"]
+
+
+LONG = "1.1 Purpose. " + "The body of a rule goes on and on in the line of its heading, " * 2
+
+SCANS = [
+    (["1.1 Composition of squads", "Every squad has five players."], [("1.1", "Composition of squads", 1, "")]),
+    (["4.5.6.", "Composition of squads", "Every squad has five players."], [("4.5.6", "Composition of squads", 2, "")]),
+    (["2 weeks", "16 squads"], []),
+    (["2.3 Seeding......9"], []),
+    # A number alone needs a dot or a level below it: else it is the number of a page.
+    (["17", "Some Title Here"], []),
+    (["17.", "Some Title Here"], [("17", "Some Title Here", 2, "")]),
+    (["17.1", "Some Title Here"], [("17.1", "Some Title Here", 2, "")]),
+    (["1.“Mirror” matches"], [("1", "“Mirror” matches", 1, "")]),
+    (["2. (Optional) Tiebreakers"], [("2", "(Optional) Tiebreakers", 1, "")]),
+    (["2. Tiebreakers, and", "3. Seeding;"], [("2", "Tiebreakers, and", 1, ""), ("3", "Seeding;", 1, "")]),
+    # An aside is no title, with or without a stop after it.
+    (["7.1 (Behavior).", "7.2 (Behavior)"], []),
+    # The whole line is tried first, its first sentence after that.
+    (["1.1 Purpose. The league wrote it"], [("1.1", "Purpose. The league wrote it", 1, "")]),
+    (["1 Purpose. 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16"], [("1", "Purpose", 1, "1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16")]),
+    # The form of two lines knows dotted numbers and first sentences too.
+    (["1.1.", "alpha sub heading"], [("1.1", "alpha sub heading", 2, "")]),
+    (["3.", "Conduct. 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16"], [("3", "Conduct", 2, "1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16")]),
+    ([LONG], []),
+    # A dotted number may head what begins in lower case, unless it goes on with an unfinished line.
+    (["The list:", "9.1.4 tobacco;"], [("9.1.4", "tobacco;", 1, "")]),
+    (["as is said in Section", "4.2.5.1. of the General Rules;"], []),
+    (["9 tobacco;"], []),
+    # A line that a heading has taken starts none, and is the line before the next.
+    (["1.", "2.", "Scope"], [("2", "Scope", 2, "")]),
+    (["1.1.", "2. Scope"], [("1.1", "2. Scope", 2, "")]),
+    (["5.", "Title one", "5.1 lower under an unfinished title"], [("5", "Title one", 2, "")]),
+    (["C6.4 Sanctions", "100. Nothing", "1st Place"], [("C6.4", "Sanctions", 1, "")]),
+    (["70.000 USD"], []),
+    ([], []),
+]
+
+
+@pytest.mark.parametrize(("lines", "want"), SCANS)
+def test_heading_scan(lines, want):
+    assert [(h.article, h.title, h.lines, h.begun) for h in structure.heading_candidates(lines)] == want
+
+
+@pytest.mark.parametrize("text", ["B", "y" * 91, "Seeding......9", "(Conduct)", "98765 43210 11", "1 a"])
+def test_no_title(text):
+    assert not structure.heading_shape(text)
+
+
+def test_titles():
+    assert structure.heading_shape("Composition of squads") and structure.heading_shape("composition of squads")
+    assert structure.plausible_heading("Composition of squads") and structure.plausible_heading('"Mirror" matches')
+    assert not structure.plausible_heading("composition of squads") and not structure.plausible_heading("16 squads")
+    assert structure.unfinished("as is said in Section /") and not structure.unfinished("It ends.") and not structure.unfinished("")
+    assert structure.plausible_subheading("tobacco;", "9.1.4", "") and not structure.plausible_subheading("tobacco;", "9", "")
+    assert not structure.plausible_subheading("of the General Rules;", "4.2.5.1", "as is said in Section /")
+    assert structure.run_in_heading("Aim. The league made this book.") == ("Aim", "The league made this book.")
+    assert structure.run_in_heading("A title without any stop") is None
+    assert structure.run_in_heading("Word " * 13 + "x. And a text.") is None
+
+
+def test_listing_followed_by_page_numbers_goes_and_the_text_stays():
+    listing = [x for k in range(1, 7) for x in (f"{k}. Topic {k}", str(k * 1000))]
+    body = [x for k in range(1, 7) for x in (f"{k}. Topic {k}", "What the rule says, at some length.")]
+    lines = listing + body
+    gone = structure.contents_lines(lines, structure.heading_candidates(lines))
+    assert gone == set(range(12))
+    short = ["1. Topic one", "What the rule says.", "2. Topic two", "What the rule says."]
+    assert structure.contents_lines(short, structure.heading_candidates(short)) == set()
+
+
+def test_listing_without_page_numbers_goes_if_it_is_dotted_and_recurs():
+    entries = [f"1.{k} Topic" for k in range(1, 6)]
+    body = [x for e in entries for x in (e, "What the rule says.")]
+    lines = [*entries, "1. Start", "What the rule says.", *body]
+    # The run ends at the restart: "1. Start" is text.
+    assert structure.contents_lines(lines, structure.heading_candidates(lines)) == set(range(5))
+    once = [*entries, "What the rule says."]
+    assert structure.contents_lines(once, structure.heading_candidates(once)) == set()
+    plain = [f"{k}. Team picks a map" for k in range(1, 7)]
+    twice = plain + [x for e in plain for x in (e, "Text.")]
+    assert structure.contents_lines(twice, structure.heading_candidates(twice)) == set()
+
+
+def test_runs_of_headings():
+    lines = ["1. Topic", "12", "2. Topic", "Text.", "3. Topic", "4. Topic"]
+    runs = structure.heading_runs(lines, structure.heading_candidates(lines))
+    assert [[h.article for h in r] for r in runs] == [["1", "2"], ["3", "4"]]
 
 
 def test_contents_listing_goes():
@@ -61,16 +143,18 @@ def test_contents_listing_goes():
 
 def test_boilerplate(spark):
     rows = [(1, p * 10 + k, p, k, 6, 8, t) for p in range(1, 9) for k, t in enumerate(["Running Head", f"line {p}", f"x{p}", f"y{p}", "1.1 ..... 5", str(p)])]
+    rows += [(2, k, 1, k, 4, 1, t) for k, t in enumerate(["Table of Contents", ". . . . . 5", "12345", "1234"])]
     lines = spark.createDataFrame(rows, "doc long, line_no int, page int, pos int, n_in_page int, page_count int, text string")
     kept = {r.text for r in structure.strip_boilerplate(lines).collect()}
-    assert kept == {f"{c}{p}" for p in range(1, 9) for c in ("line ", "x", "y")}
+    assert kept == {f"{c}{p}" for p in range(1, 9) for c in ("line ", "x", "y")} | {". . . . . 5", "12345"}
 
 
 def test_segment_frame_handles_nulls_and_empty(spark):
-    schema = "doc long, line_no int, page int, text string"
-    rows = spark.createDataFrame([(1, 1, 1, "1 Purpose"), (1, 2, 1, None), (1, 3, 2, "Body text."), (2, 1, 1, "")], schema)
-    got = {(r.doc, r.article, r.page) for r in structure.segment(rows).collect()}
-    assert (1, "1", 1) in got
+    schema = "doc long, lines array<struct<text:string,page:int>>, body string"
+    rows = spark.createDataFrame([(1, [("1 Purpose", 1), (None, 1), ("Body text.", 2)], "clash"), (2, [("", 1)], None), (3, [], None), (4, None, None), (None, [("2 Scope", 4)], None), (None, [("2 Scope", 4)], None)], schema)
+    got = sorted((str(r.doc), r.article, r.page, r.page_end, r.body) for r in structure.segment(rows).collect())
+    assert got == [("1", "1", 1, 2, "Body text."), ("None", "2", 4, 4, ""), ("None", "2", 4, 4, "")]
+    assert "Exchange" not in structure.segment(rows)._jdf.queryExecution().executedPlan().toString()
     assert structure.segment(spark.createDataFrame([], schema)).count() == 0
 
 
@@ -172,9 +256,9 @@ def test_bodies_know_their_pages():
 def test_chunks_of_a_book(spark):
     long = [f"Sentence {k} of a long article about many things." for k in range(60)]
     lines = ["Title page of the book, long enough.", "1 Purpose", "Too short.", "1.1 Scope", *long, "2. Game timer reaches 35 seconds", "1.1 Scope again", "Another text that is long enough to stay."]
-    rows = [(7, i, 1 + i // 20, t) for i, t in enumerate(lines)]
+    rows = [(7, [(t, 1 + i // 20) for i, t in enumerate(lines)])]
     books = spark.createDataFrame([(7, "g", "Book G", "title", 1, "src.pdf")], "doc long, game string, game_title string, scope string, authority int, source_path string")
-    segments = structure.segment(spark.createDataFrame(rows, "doc long, line_no int, page int, text string"))
+    segments = structure.segment(spark.createDataFrame(rows, "doc long, lines array<struct<text:string,page:int>>"))
     got = structure.assemble_chunks(segments, books).orderBy("ordinal", "chunk").collect()
     assert set(structure.CHUNK) <= set(got[0].asDict())
     ids = [r["chunk_id"] for r in got]
