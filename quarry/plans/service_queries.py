@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions import fixed as X
 from quarry.functions import text as T
 from quarry.operators import history as H
 from quarry.operators import metrics as M
@@ -17,6 +18,7 @@ from quarry.plans.precedence_queries import RESOLVED, resolved, staged
 from quarry.plans.retrieval_queries import EVIDENCE, evidence
 from quarry.plans.source_queries import _RUNS, _runs
 from quarry.sources import store
+from quarry.streaming import turns as U
 
 # Records
 
@@ -146,6 +148,26 @@ def conversation_of_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("turn_id", F.when(~F.col("created"), F.col("conversation_id")).alias("kept"), "created", "title")
 
 
+@query(f"""WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS cid, turn, turn % 3 AS batch, ceil(length(text) / 100) / 1000 AS usd FROM conversations),
+n AS (SELECT *, row_number() OVER w AS n, coalesce(sum(usd) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent, coalesce(turn < max(turn) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM t WINDOW w AS (PARTITION BY cid ORDER BY batch, turn))
+SELECT cid AS conversation_id, CAST(turn AS VARCHAR) AS turn_id, CAST(batch AS BIGINT) AS batch, CASE WHEN spent + {X.BUDGET_ESTIMATE} <= {X.BUDGET_CONVERSATION} THEN n END AS seq,
+  CASE WHEN spent + {X.BUDGET_ESTIMATE} > {X.BUDGET_CONVERSATION} THEN 'refused' WHEN late THEN 'late' ELSE 'recorded' END AS outcome FROM n
+UNION ALL SELECT cid, '0', 1, 1, 'repeated' FROM t WHERE turn = 0""")
+def recorded_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as a stream of three runs, each going on from the checkpoint of the one before: turns arrive by their number modulo 3, the first ones again in the second run."""
+    c = table(spark, sf_dir, "conversations")
+    usd = F.ceil(F.length("text") / 100) / 1000
+    turns = c.select(F.col("conv_id").cast("string").alias("conversation_id"), F.col("turn").cast("string").alias("turn_id"), F.timestamp_seconds(F.col("turn").cast("long")).alias("asked_at"), usd.alias("cost_usd"), (F.col("turn") % 3).alias("run"))
+    path = store.work_path(spark, "turns")
+    for run in range(3):
+        arriving = turns.where(F.col("run") == run).drop("run")
+        if run == 1:
+            arriving = arriving.unionByName(turns.where("turn_id = '0'").drop("run"))
+        arriving.write.mode("append").parquet(f"{path}/in")
+        U.record(spark.readStream.schema(U.TURN).parquet(f"{path}/in"), path).awaitTermination()
+    return U.log(spark, path).select("conversation_id", "turn_id", "batch", "seq", "outcome")
+
+
 _SPEND = "s AS (SELECT CAST(user_id AS VARCHAR) AS cid, strftime(ts, '%Y-%m-%d') AS day, value / 1000000 AS usd, event_id % 2 = 0 AS session FROM events), d AS (SELECT max(day) AS today FROM s)"
 
 
