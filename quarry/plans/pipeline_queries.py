@@ -13,7 +13,7 @@ from quarry.plans import ask
 from quarry.plans.corpus import CHUNKS, QUESTIONS, as_long, chunks, query, questions, sql_content, table
 from quarry.plans.retrieval_queries import EVIDENCE, evidence
 from quarry.plans.text_queries import _ANSWER, _answers
-from quarry.sources import store
+from quarry.sources import store, versions
 
 
 def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,15 +34,21 @@ def coverage_note(spark: SparkSession, sf_dir: str) -> DataFrame:
 def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks stored for both rankers, and the rows that differ from what was sent."""
     c = chunks(spark, sf_dir).select("chunk_id", "game", "scope", "article")
-    stored = store.build_index(c, store.work_path(spark, "index"))
+    stored = versions.build(c, store.work_path(spark, "index"))
     differing = store.differences(c, stored).groupBy("scope").agg(F.count("*").alias("d"))
     return stored.groupBy("scope").agg(F.count("*").alias("n")).join(differing, "scope", "left").select("scope", "n", F.coalesce("d", F.lit(0)).cast("int").alias("differing"))
 
 
+def _built(c: DataFrame, path: str) -> str:
+    versions.build(c, path)
+    return path
+
+
 @query(rf"WITH {CHUNKS} SELECT chunk_id, page, md5(text) AS text_md5 FROM chunks WHERE game = 'global' AND article = '2.2'")
 def chunk_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All chunks of one article: a point lookup."""
-    return chunks(spark, sf_dir).where("game = 'global' AND article = '2.2'").select("chunk_id", "page", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    """All chunks of one article, from the files of the stored index that may hold it."""
+    path = store.once("index", [table(spark, sf_dir, "documents")], lambda: _built(chunks(spark, sf_dir), store.work_path(spark, "index")))
+    return versions.lookup(spark, path, game="global", article="2.2").select("chunk_id", "page", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query(rf"""WITH {QUESTIONS} SELECT query_id, game, quality = 1 AS answerable, CASE WHEN quality IS NULL THEN 'unlabelled' ELSE 'labelled' END AS bucket FROM questions LEFT JOIN labels ON query_id = doc_id""")

@@ -117,16 +117,6 @@ def select_cases(cases: DataFrame, ids: list[str] | None = None, buckets: list[s
     return out.where(F.col("bucket").isin(*buckets)) if buckets else out
 
 
-def build_index(chunks: DataFrame, path: str) -> DataFrame:
-    """Writes the chunks once, for both rankers, and returns them; fails if what is there is not what came."""
-    chunks.write.mode("overwrite").partitionBy("scope").parquet(path)
-    stored = chunks.sparkSession.read.parquet(path)
-    sent, got = chunks.count(), stored.count()
-    if sent != got:
-        raise RuntimeError(f"{got} chunks stored of {sent}")
-    return stored
-
-
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows on one side only, with repeats counted."""
     cols = sorted(a.columns)
