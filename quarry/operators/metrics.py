@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType
 
 from quarry.functions import fixed as X
 from quarry.functions import text as T
@@ -74,29 +77,60 @@ def stability(results: DataFrame) -> DataFrame:
     return rate.withColumn("state", F.when(F.col("rate") == 1, "stable").when(F.col("rate") == 0, "always_fail").otherwise("unstable"))
 
 
-def percentiles(rows: DataFrame, key: str, value: str, shares: dict[str, float], buckets: int = 4096) -> DataFrame:
+#: Bits of an ordered double that each pass of the selection decides on.
+DIGITS = (16, 16, 16, 16)
+
+
+@F.arrow_udf(LongType())
+def ordered_bits(v: pa.Array) -> pa.Array:
+    """64 bits that are ordered, without sign, as doubles are: the two zeros are one, NaN is the greatest."""
+    x = v.to_numpy(zero_copy_only=False) + 0.0
+    x[np.isnan(x)] = np.nan
+    b = x.view(np.int64)
+    return pa.array(np.where(b < 0, ~b, b ^ np.int64(-(1 << 63))))
+
+
+@F.arrow_udf(DoubleType())
+def from_ordered_bits(b: pa.Array) -> pa.Array:
+    x = b.to_numpy(zero_copy_only=False)
+    return pa.array(np.where(x < 0, x ^ np.int64(-(1 << 63)), ~x).view(np.float64))
+
+
+def percentiles(rows: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
     """(key, n, ...): for each share the element at round-half-even(share * n + 0.5), clamped; nulls count for nothing.
 
-    No group is gathered in one row: values are counted in ``buckets`` bins
-    between the least and the greatest of their key, the bin that holds the
-    element is found from the counts, and only equal values of that bin are
-    counted again.
+    Radix selection: values become integers of their order, equal ones are
+    counted once, and the wanted element is found digit by digit from counts.
+    Each pass leaves at most 2**16 counts a key and share, whatever the values
+    are, and every step is an aggregation or a join that skew may split.
     """
     v = rows.select(key, F.col(value).cast("double").alias("v")).where("v is not null")
-    ends = v.groupBy(key).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    counts = store.written(v.groupBy(key, "v").agg(F.count("*").alias("k")).withColumn("b", ordered_bits("v")).drop("v"), "counts")
+    ends = counts.groupBy(key).agg(F.sum("k").alias("n"))
     wanted = F.array(*(F.struct(F.lit(name).alias("name"), F.greatest(F.lit(1), F.least(F.col("n"), F.bround(q * F.col("n") + 0.5))).cast("long").alias("at")) for name, q in shares.items()))
-    targets = ends.select(key, F.explode(wanted).alias("w")).select(key, "w.*")
-    width = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets), F.lit(buckets - 1))).otherwise(F.lit(0))
-    binned = v.join(ends, key).select(key, "v", width.alias("bin"))
-    below = W.partitionBy(key).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
-    counts = binned.groupBy(key, "bin").agg(F.count("*").alias("k")).withColumn("before", F.coalesce(F.sum("k").over(below), F.lit(0)))
-    hit = targets.join(counts, key).where((F.col("before") < F.col("at")) & (F.col("at") <= F.col("before") + F.col("k"))).select(key, "name", "bin", (F.col("at") - F.col("before")).alias("at"))
-    same = binned.join(hit.select(key, "bin").distinct(), [key, "bin"], "left_semi").groupBy(key, "bin", "v").agg(F.count("*").alias("k"))
-    upto = W.partitionBy(key, "bin").orderBy("v")
-    placed = same.withColumn("upto", F.sum("k").over(upto))
-    found = hit.join(placed, [key, "bin"]).where(F.col("upto") >= F.col("at")).groupBy(key, "name").agg(F.min("v").alias("v"))
+    # The places wanted under each prefix found so far.
+    targets = ends.select(key, F.lit(0).cast("long").alias("prefix"), wanted.alias("wanted"))
+
+    def step(state: Column, d: Column) -> Column:
+        """The first digit whose count reaches the place, and the place among its values."""
+        found, place = state["digit"] >= 0, state["at"]
+        return F.struct(F.when(~found & (place <= d["k"]), d["digit"]).otherwise(state["digit"]).alias("digit"), F.when(found | (place <= d["k"]), place).otherwise(place - d["k"]).alias("at"))
+
+    left = 64
+    for width in DIGITS:
+        prefix = F.shiftrightunsigned("b", left) if left < 64 else F.lit(0).cast("long")
+        left -= width
+        digit = F.shiftrightunsigned("b", left).bitwiseAND((1 << width) - 1)
+        seen = counts.select(key, "k", prefix.alias("prefix"), digit.alias("digit")).join(targets, [key, "prefix"])
+        sums = seen.groupBy(key, "prefix", "digit").agg(F.sum("k").alias("k"), F.first("wanted").alias("wanted"))
+        held = sums.groupBy(key, "prefix").agg(F.sort_array(F.collect_list(F.struct("digit", "k"))).alias("held"), F.first("wanted").alias("wanted")).select(key, "prefix", "held", F.explode("wanted").alias("w"))
+        chosen = F.aggregate("held", F.struct(F.lit(-1).cast("long").alias("digit"), F.col("w.at").alias("at")), step)
+        chosen = held.select(key, "prefix", "w.name", chosen.alias("c")).select(key, F.shiftleft("prefix", width).bitwiseOR(F.col("c.digit")).alias("prefix"), F.struct("name", F.col("c.at").alias("at")).alias("w"))
+        targets = chosen.groupBy(key, "prefix").agg(F.collect_list("w").alias("wanted"))
+    targets = targets.select(key, "prefix", F.explode("wanted.name").alias("name"))
+    found = targets.select(key, "name", from_ordered_bits("prefix").alias("v"))
     wide = found.groupBy(key).agg(*(F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in shares))
-    return ends.select(key, "n").join(wide, key)
+    return ends.join(wide, key)
 
 
 def ordinals(rows: DataFrame, order: list[Column], name: str, parts: int | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 """Text functions against stated examples."""
 
 import datetime
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,7 +94,7 @@ def half_even(x):
 @pytest.mark.parametrize("q", [0.5, 0.9])
 def test_percentile_rounds_half_to_even(spark, n, q):
     rows = spark.range(1, n + 1).select(F.lit("k").alias("key"), F.col("id").cast("double").alias("v"))
-    got = metrics.percentiles(rows, "key", "v", {"p": q}, buckets=3).first()
+    got = metrics.percentiles(rows, "key", "v", {"p": q}).first()
     assert (got["n"], got["p"]) == (n, min(max(half_even(q * n + 0.5), 1), n))
 
 
@@ -105,3 +106,29 @@ def test_percentiles_of_ties_nulls_and_nothing(spark):
 
 def test_dates_are_real():
     assert datetime.date(2026, 7, 17).isoformat() == "2026-07-17"
+
+
+def test_percentiles_do_not_depend_on_the_distribution(spark):
+    """One value far beyond the others, infinities, NaN, both zeros, subnormal and negative values: each place is the sorted one."""
+    inf = float("inf")
+    values = [1e-310, -0.0, 0.0, -1.5, -2.5, 1e300, inf, -inf, float("nan"), 5e-324, *(k / 997 for k in range(2000)), 1e12]
+    rows = spark.createDataFrame([("a", v) for v in values] + [("b", v) for v in values[:3]] + [("a", None)], "key string, v double").repartition(3)
+    shares = {f"p{q}": q / 40 for q in range(41)}
+    df = metrics.percentiles(rows, "key", "v", shares)
+    assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["key"]: r for r in df.collect()}
+    for key, held in (("a", values), ("b", values[:3])):
+        ranked = sorted(held, key=lambda v: (math.isnan(v), v))
+        n = len(ranked)
+        assert got[key]["n"] == n
+        for name, q in shares.items():
+            want, have = ranked[max(1, min(n, round(q * n + 0.5))) - 1], got[key][name]
+            assert want == have or math.isnan(want) and math.isnan(have)
+
+
+def test_bits_are_in_the_order_of_doubles(spark):
+    values = [float("-inf"), -1e300, -1.0, -5e-324, 0.0, 5e-324, 0.1, 1.0, 1e300, float("inf"), float("nan")]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").withColumn("b", metrics.ordered_bits("v"))
+    rows = df.withColumn("w", metrics.from_ordered_bits("b")).orderBy("i").collect()
+    assert [r["i"] for r in sorted(rows, key=lambda r: r["b"] % (1 << 64))] == list(range(len(values)))
+    assert all(r["v"] == r["w"] or math.isnan(r["v"]) and math.isnan(r["w"]) for r in rows)
