@@ -103,10 +103,9 @@ def title_findings(groups: DataFrame) -> DataFrame:
 
 
 def amended_findings(evidence: DataFrame) -> DataFrame:
-    """Each amendment in evidence with the base articles that it targets, and whether they hold its wording already."""
+    """Each amendment in evidence with the base articles that it targets, and whether they hold its new wording already; a notice without one is never incorporated."""
     e = completed(evidence).withColumn("cite", cite_of())
-    new = F.coalesce(F.nullif("new_text", F.lit("")), T.body_text(F.col("text")))
-    a = e.where("scope = 'amendment'").select("query_id", F.col("chunk_id").alias("amendment"), F.coalesce("amends_game", "game").alias("game"), F.trim(F.coalesce(F.nullif("amends_article", F.lit("")), F.col("article"))).alias("article"), "cite", "caveat", "effective_date", F.col("read_pos").alias("ordinal"), T.shingles(T.content_words(new)).alias("new"))
+    a = e.where("scope = 'amendment'").select("query_id", F.col("chunk_id").alias("amendment"), F.coalesce("amends_game", "game").alias("game"), F.trim(F.coalesce(F.nullif("amends_article", F.lit("")), F.col("article"))).alias("article"), "cite", "caveat", "effective_date", F.col("read_pos").alias("ordinal"), T.shingles(T.content_words(F.coalesce("new_text", F.lit("")))).alias("new"))
     base = e.where("scope <> 'amendment'").select("query_id", "game", F.trim("article").alias("article"), F.struct("read_pos", F.col("chunk_id"), F.col("cite").alias("base_cite")).alias("b"), T.shingles(T.content_words(T.body_text(F.col("text")))).alias("old"))
     j = a.join(base, ["query_id", "game", "article"], "left")
     same = F.coalesce(T.containment(F.col("new"), F.col("old")) >= X.INCORPORATED, F.lit(False))

@@ -14,15 +14,15 @@ from quarry.plans.retrieval_queries import EVIDENCE, evidence, inputs
 from quarry.sources import store
 
 _PRIMACY = "This clause shall prevail over any game-title rules in force."
-#: The evidence with relations that the test texts lack: title chunks that defer to, repeat, contradict or reprint the first global article beside them, and global ones that put themselves first.
+#: The evidence with relations that the test texts lack: half of the amendments have a new wording, that of the article they amend where it is there; title chunks that defer to, repeat, contradict or reprint the first global article beside them, and global ones that put themselves first.
 STAGED = EVIDENCE.replace("evidence AS (SELECT fused", "raw AS (SELECT fused") + rf""",
 g0 AS (SELECT query_id, arg_min(article, read_pos) AS ga, arg_min(text, read_pos) AS gt, arg_min(heading, read_pos) AS gh FROM raw WHERE scope = 'global' AND article <> '' GROUP BY query_id),
 evidence AS (SELECT raw.* REPLACE (
     CASE WHEN scope = 'title' AND chunk_id % 5 = 0 AND ga IS NOT NULL THEN text || '. As defined in Section ' || ga || ' of the Global Rulebook.' WHEN scope = 'title' AND chunk_id % 5 = 1 AND gt IS NOT NULL THEN gt WHEN scope = 'global' AND chunk_id % 4 = 0 THEN text || '. {_PRIMACY}' ELSE text END AS text,
     CASE WHEN scope = 'title' AND chunk_id % 5 IN (2, 3) AND gh IS NOT NULL THEN gh ELSE heading END AS heading,
-    CASE WHEN scope = 'title' AND chunk_id % 5 = 3 THEN 'Global Rules' ELSE part END AS part), chunk_id % 5 = 4 AS external_host,
+    CASE WHEN scope = 'title' AND chunk_id % 5 = 3 THEN 'Global Rules' ELSE part END AS part), chunk_id % 5 = 4 AS external_host, CASE WHEN scope = 'amendment' AND chunk_id % 2 = 0 THEN coalesce(bt, text) END AS new_text,
     game_title || CASE WHEN article <> '' THEN ' (Article ' || article || ', p.' || page || ')' ELSE ' (p.' || page || ')' END AS cite
-  FROM raw LEFT JOIN g0 USING (query_id))"""
+  FROM raw LEFT JOIN g0 USING (query_id) LEFT JOIN (SELECT query_id, game, article, arg_min(text, read_pos) AS bt FROM raw WHERE scope <> 'amendment' GROUP BY ALL) USING (query_id, game, article))"""
 
 
 def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,9 @@ def _staged(e: DataFrame) -> DataFrame:
     text = F.when(title & (k == 0) & held, F.concat("text", F.lit(". As defined in Section "), "ga", F.lit(" of the Global Rulebook."))).when(title & (k == 1) & held, F.col("gt")).when((F.col("scope") == "global") & (F.col("chunk_id") % 4 == 0), F.concat("text", F.lit(f". {_PRIMACY}"))).otherwise(F.col("text"))
     heading = F.when(title & k.isin(2, 3) & held, F.col("gh")).otherwise(F.col("heading"))
     part = F.when(title & (k == 3), "Global Rules").otherwise(F.col("part"))
-    return e.join(g0, "query_id", "left").withColumns({"text": text, "heading": heading, "part": part, "external_host": k == 4}).drop("ga", "gt", "gh")
+    base = e.where("scope <> 'amendment'").groupBy("query_id", "game", "article").agg(F.min_by("text", "read_pos").alias("bt"))
+    new = F.when((F.col("scope") == "amendment") & (F.col("chunk_id") % 2 == 0), F.coalesce("bt", "text"))
+    return e.join(g0, "query_id", "left").join(base, ["query_id", "game", "article"], "left").withColumns({"new_text": new, "text": text, "heading": heading, "part": part, "external_host": k == 4}).drop("ga", "gt", "gh", "bt")
 
 
 _KEY = "CASE WHEN article <> '' THEN CASE WHEN part <> '' THEN part || ' § ' || article ELSE article END WHEN heading <> '' THEN heading ELSE CAST(chunk_id AS VARCHAR) END"
@@ -91,7 +93,7 @@ def cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.crossed(P.group_articles(staged(spark, sf_dir)))
 
 
-_AMENDED = rf"""a AS (SELECT query_id, chunk_id AS amendment, game, trim(article) AS article, cite, read_pos, {sql_shingles("w")} AS new FROM (SELECT *, {sql_content("text")} AS w FROM evidence WHERE scope = 'amendment')),
+_AMENDED = rf"""a AS (SELECT query_id, chunk_id AS amendment, game, trim(article) AS article, cite, read_pos, {sql_shingles("w")} AS new FROM (SELECT *, {sql_content("coalesce(new_text, '')")} AS w FROM evidence WHERE scope = 'amendment')),
 b AS (SELECT query_id, game, trim(article) AS article, chunk_id AS base, cite AS base_cite, read_pos AS base_pos, {sql_shingles("w")} AS old FROM (SELECT *, {sql_content("text")} AS w FROM evidence WHERE scope <> 'amendment')),
 amended AS (SELECT query_id, amendment, game, article, cite, read_pos, list(base ORDER BY base_pos) FILTER (base IS NOT NULL) AS base, coalesce(string_agg(base_cite, '; ' ORDER BY base_pos), '') AS other,
   bool_or(coalesce(CASE WHEN len(new) > 0 AND len(old) > 0 THEN len(list_intersect(new, old)) / least(len(new), len(old)) >= {X.INCORPORATED} ELSE false END, false)) AS incorporated FROM a LEFT JOIN b USING (query_id, game, article) GROUP BY ALL)"""
