@@ -27,14 +27,14 @@ evidence AS (SELECT raw.* REPLACE (
 
 def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The evidence with the relations, and :func:`resolved` what is found in it; tables like the evidence itself."""
-    return store.once("staged", inputs(spark, sf_dir), lambda: _staged(evidence(spark, sf_dir)))
+    return store.once("staged", inputs(spark, sf_dir), lambda: stage_relations(evidence(spark, sf_dir)))
 
 
 def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.once("resolved", inputs(spark, sf_dir), lambda: P.resolve(staged(spark, sf_dir)))
 
 
-def _staged(e: DataFrame) -> DataFrame:
+def stage_relations(e: DataFrame) -> DataFrame:
     g0 = e.where("scope = 'global' AND article <> ''").groupBy("query_id").agg(*(F.min_by(c, "read_pos").alias(n) for c, n in (("article", "ga"), ("text", "gt"), ("heading", "gh"))))
     k, title, held = F.col("chunk_id") % 5, F.col("scope") == "title", F.col("ga").isNotNull()
     text = F.when(title & (k == 0) & held, F.concat("text", F.lit(". As defined in Section "), "ga", F.lit(" of the Global Rulebook."))).when(title & (k == 1) & held, F.col("gt")).when((F.col("scope") == "global") & (F.col("chunk_id") % 4 == 0), F.concat("text", F.lit(f". {_PRIMACY}"))).otherwise(F.col("text"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -74,17 +76,17 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.search(lexical_index(spark, sf_dir), questions(spark, sf_dir)).best.select("query_id", "chunk_id", F.col("lex_rank").cast("long").alias("lex_rank"), F.round("score", 4).alias("score"))
 
 
-def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _dense(spark: SparkSession, sf_dir: str, questions: DataFrame) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     c = chunks(spark, sf_dir).select("chunk_id", L.part_of(F.col("scope"), F.col("game")).alias("part"))
     vectors = e.select(F.col("vec_id").alias("chunk_id"), "embedding").join(c, "chunk_id").where("part is not null")
-    asked = questions(spark, sf_dir).join(e.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
+    asked = questions.join(e.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
     return R.dense(vectors, asked)
 
 
 @query(f"WITH {CHUNKS}, {QUESTIONS}, {DENSE} SELECT query_id, chunk_id, dense_rank, distance FROM near")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dense(spark, sf_dir).select("query_id", "chunk_id", F.col("dense_rank").cast("long").alias("dense_rank"), "distance")
+    return _dense(spark, sf_dir, questions(spark, sf_dir)).select("query_id", "chunk_id", F.col("dense_rank").cast("long").alias("dense_rank"), "distance")
 
 
 @query()
@@ -107,10 +109,18 @@ def inputs(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     return [table(spark, sf_dir, t) for t in ("documents", "benchmark", "embeddings")]
 
 
+def retriever(spark: SparkSession, sf_dir: str) -> Callable[[DataFrame], DataFrame]:
+    """Questions (query_id, question, game) to their evidence: both rankings of each one's pool, fused."""
+
+    def retrieve(asked: DataFrame) -> DataFrame:
+        return R.hybrid(L.search(lexical_index(spark, sf_dir), asked).best, _dense(spark, sf_dir, asked), chunks(spark, sf_dir))
+
+    return retrieve
+
+
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight rows a question.  The first query of a session that needs them writes them as a table, which the others read."""
-    c, q = chunks(spark, sf_dir), questions(spark, sf_dir)
-    return store.once("evidence", inputs(spark, sf_dir), lambda: R.hybrid(L.search(lexical_index(spark, sf_dir), q).best, _dense(spark, sf_dir), c))
+    return store.once("evidence", inputs(spark, sf_dir), lambda: retriever(spark, sf_dir)(questions(spark, sf_dir)))
 
 
 @query(f"WITH {EVIDENCE} SELECT query_id, chunk_id, rel_rank, read_pos, round(score, 6) AS score FROM evidence")

@@ -49,15 +49,15 @@ def corpus(seed, n):
     return chunks, asked + [(100, None, None), (101, "", "de"), (102, "nowhere", "de"), (103, "the", "fr"), (104, "the the w0", None)]
 
 
-def found(spark, chunks, asked, k=5, block=4, seeds=12):
+def found(spark, chunks, asked, k=5, block=4, seeds=12, direct=0):
     index = lexical.build(spark.createDataFrame([(*c, 9.0) for c in chunks], SCHEMA), block)
-    return index, lexical.search(index, spark.createDataFrame(asked, "query_id long, question string, game string"), k, seeds=seeds)
+    return index, lexical.search(index, spark.createDataFrame(asked, "query_id long, question string, game string"), k, seeds=seeds, direct=direct)
 
 
-@pytest.mark.parametrize(("seed", "seeds"), [(1, 12), (2, 0), (3, 10_000)])
-def test_best_chunks_are_those_of_a_full_scan(spark, seed, seeds):
+@pytest.mark.parametrize(("seed", "seeds", "direct"), [(1, 12, 0), (2, 0, 0), (3, 10_000, 0), (4, 12, lexical.DIRECT)])
+def test_best_chunks_are_those_of_a_full_scan(spark, seed, seeds, direct):
     chunks, asked = corpus(seed, 300)
-    _, f = found(spark, chunks, asked, seeds=seeds)
+    _, f = found(spark, chunks, asked, seeds=seeds, direct=direct)
     got = {}
     for r in f.best.orderBy("query_id", "lex_rank").collect():
         got.setdefault(r["query_id"], []).append((r["chunk_id"], r["lex_rank"]))
