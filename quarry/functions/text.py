@@ -138,13 +138,16 @@ def article_parent(article: Column) -> Column:
 
 
 def normalise_date(raw: Column) -> Column:
-    """ISO dates as they are, ``d Mon yyyy`` by the month's first three letters; anything else, or no such day, is null."""
-    iso = F.regexp_extract(raw, r"^\s*(\d{4}-\d{2}-\d{2})", 1)
-    day, month, year = (F.regexp_extract(raw, r"^\s*(\d{1,2})\s+([A-Za-z]{3})[A-Za-z]*\.?\s+(\d{4})", k) for k in (1, 2, 3))
+    """ISO dates as they are, ``d Mon yyyy`` by the month's first three letters, as the whole text but for spaces around it and stops at its end; anything else is null.
+
+    Days are not checked against the calendar: a date is what was published.
+    """
+    x = F.regexp_replace(F.regexp_replace(raw, r"^\s+|\s+$", ""), r"\.+$", "")
+    spelled = r"^(\d{1,2})\s+([A-Za-z]{3})[A-Za-z]{0,6}\.?\s+(\d{4})$"
+    day, month, year = (F.regexp_extract(x, spelled, k) for k in (1, 2, 3))
     at = F.array_position(F.array(*map(F.lit, X.MONTHS)), F.lower(month))
-    spelled = F.when(at > 0, F.concat(year, F.lit("-"), F.lpad(at.cast("string"), 2, "0"), F.lit("-"), F.lpad(day, 2, "0")))
-    out = F.when(iso != "", iso).otherwise(spelled)
-    return F.when(F.try_to_timestamp(out, F.lit("yyyy-MM-dd")).isNotNull(), out)
+    told = F.when(at > 0, F.concat(year, F.lit("-"), F.lpad(at.cast("string"), 2, "0"), F.lit("-"), F.lpad(day, 2, "0")))
+    return F.when(x.rlike(r"^\d{4}-\d{2}-\d{2}$"), x).otherwise(told)
 
 
 def month_first_date(raw: Column) -> Column:

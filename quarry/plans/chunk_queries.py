@@ -175,6 +175,23 @@ def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", G.title_name(F.col("html"), F.concat(F.lit("page "), "page_id")).alias("title"), version.alias("version"), G.skip_reason(F.col("url"), seen).alias("reason"), download.alias("download"), block.alias("block"))
 
 
+@query(r"""WITH p AS (SELECT page_id, html, page_id % 11 AS k, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) AS root FROM pages)
+SELECT page_id, CASE WHEN k > 2 THEN nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>([^<·]*)', 1), '\s+', ' ', 'g'), ' '), '') END AS name,
+  CASE WHEN k = 4 THEN root || '/f/book-' || page_id || '.html?v=1.pdf' WHEN k > 4 THEN root || '/f/book-' || page_id || '.pdf' END AS href, CASE WHEN k BETWEEN 4 AND 9 THEN '1.2' END AS version, CASE WHEN k BETWEEN 4 AND 9 THEN '2026-03-05' END AS effective_date,
+  CASE k WHEN 0 THEN 'page unreachable' WHEN 1 THEN 'page refused' WHEN 2 THEN 'page unparseable' WHEN 3 THEN 'no link' WHEN 4 THEN 'not a PDF' WHEN 5 THEN 'download unreachable' WHEN 6 THEN 'download failed' WHEN 7 THEN 'not PDF bytes' WHEN 8 THEN 'unwritable' END AS reason FROM p""")
+def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One resolution for each page, altered so that every outcome occurs: the link of the labelled article comes before one elsewhere, and each reason is a value."""
+    i, k = F.col("page_id").cast("string"), F.col("page_id") % 11
+    book = F.concat(F.lit("/f/book-"), i, F.when(k == 4, ".html?v=1.pdf").otherwise(".pdf"))
+    decoy = F.lit('<a>download rulebook</a><article><a href="/decoy.pdf">Download rulebook</a></article>')
+    link = F.concat(F.lit('<a class="x" href="'), book, F.lit('"><b>Download</b>\n Rulebook</a>'))
+    labelled = F.concat(decoy, F.lit('<article class="c" aria-labelledby="rulebook-pdf-heading"><p>v1.2 Effective: 5 March 2026</p><a href="/x.pdf">Appendix</a>'), link, F.lit("</article>"))
+    html = F.when(k == 2, "no tags").when(k == 3, F.col("html")).when(k == 10, F.concat("html", link)).otherwise(F.concat("html", labelled))
+    p = table(spark, sf_dir, "pages").select("page_id", "url", F.when(k == 1, 500).when(k > 1, 200).alias("status"), html.alias("html"))
+    files = p.where(k > 5).select(G.resolve_url(F.concat(F.lit("/f/book-"), i, F.lit(".pdf")), F.col("url")).alias("href"), F.when(k == 6, 404).otherwise(200).alias("status"), F.when(k == 7, F.lit(b"<html>")).otherwise(F.lit(b"%PDF-1.7")).alias("content"), (k != 8).alias("written"))
+    return G.resolve_detail(p, files)
+
+
 @query(r"""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://a.org/x' WHEN 1 THEN regexp_replace(rtrim(split_part(split_part(url, '?', 1), '#', 1), '/'), '/[^/]*$', '') || '/rulebooks/' || page_id ELSE rtrim(split_part(split_part(url, '?', 1), '#', 1), '/') || '/detail' END AS target FROM pages""")
 def locale_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of a listing resolved against the root of its language."""

@@ -114,15 +114,24 @@ def article_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("chunk_id", T.article_parent(F.col("article")).alias("parent"), "place")
 
 
-_DATES = r"""SELECT event_id, CASE event_id % 6 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN day(ts) || ' ' || strftime(ts, '%B') || ' ' || year(ts) WHEN 2 THEN day(ts) || ' ' || left(strftime(ts, '%B'), 4) || ' ' || year(ts) WHEN 3 THEN 'soon' WHEN 4 THEN '45 March 2026' ELSE strftime(ts, '%B') || ' ' || day(ts) || ', ' || year(ts) END AS raw, strftime(ts, '%Y-%m-%d') AS iso FROM events"""
+#: What is no date or a strange one, with the day-first reading of it.
+_ODD_DATES = {"soon": None, "45 March 2026": "2026-03-45", "2026-02-31": "2026-02-31", "2026-01-05 or later": None, "5 March 2026 at noon": None, " 5 Mar. 2026. ": "2026-03-05", "5 Marchtowards 2026": None, "5 Smarch 2026": None}
+_MONTH_FIRST = len(_ODD_DATES) + 3
 
 
-@query(f"""SELECT event_id, CASE WHEN event_id % 6 IN (0, 1, 2) THEN iso END AS day_first, CASE WHEN event_id % 6 = 5 THEN iso END AS month_first FROM ({_DATES})""")
+def _date_case(of: str) -> str:
+    return f"CASE event_id % {_MONTH_FIRST + 1} " + " ".join(f"WHEN {k} THEN {'NULL' if v is None else repr(v)}" for k, v in enumerate(_ODD_DATES if of == "raw" else _ODD_DATES.values(), 3))
+
+
+@query(f"""SELECT event_id, {_date_case("read")} WHEN {_MONTH_FIRST} THEN NULL ELSE strftime(ts, '%Y-%m-%d') END AS day_first, CASE WHEN event_id % {_MONTH_FIRST + 1} = {_MONTH_FIRST} THEN strftime(ts, '%Y-%m-%d') END AS month_first FROM events""")
 def dates_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, k, ts = table(spark, sf_dir, "events"), F.col("event_id") % 6, F.col("ts")
+    """Dates of the events in three spellings, month-first ones, and texts that are no dates or strange ones."""
+    e, k, ts = table(spark, sf_dir, "events"), F.col("event_id") % (_MONTH_FIRST + 1), F.col("ts")
     month, day, year = F.date_format(ts, "MMMM"), F.dayofmonth(ts).cast("string"), F.year(ts).cast("string")
-    raw = F.when(k == 0, F.date_format(ts, "yyyy-MM-dd")).when(k == 1, F.concat_ws(" ", day, month, year)).when(k == 2, F.concat_ws(" ", day, F.substring(month, 1, 4), year)).when(k == 3, "soon").when(k == 4, "45 March 2026").otherwise(F.concat(month, F.lit(" "), day, F.lit(", "), year))
-    return e.select("event_id", raw.alias("raw")).select("event_id", T.normalise_date(F.col("raw")).alias("day_first"), T.month_first_date(F.col("raw")).alias("month_first"))
+    raw = F.when(k == 0, F.date_format(ts, "yyyy-MM-dd")).when(k == 1, F.concat_ws(" ", day, month, year)).when(k == 2, F.concat_ws(" ", day, F.substring(month, 1, 4), year)).when(k == _MONTH_FIRST, F.concat(month, F.lit(" "), day, F.lit(", "), year))
+    for i, odd in enumerate(_ODD_DATES, 3):
+        raw = raw.when(k == i, odd)
+    return e.select("event_id", raw.alias("raw")).select("event_id", T.normalise_date(F.col("raw")).alias("day_first"), T.month_first_date(F.when(k == _MONTH_FIRST, F.col("raw"))).alias("month_first"))
 
 
 @query(r"""WITH p AS (SELECT page_id, url, regexp_replace(regexp_extract(url, '([^/?#]*)(?:[?#].*)?$', 1), '\.[^.]*$', '') AS stem FROM pages)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -156,15 +158,59 @@ def feed_records(html: str) -> list[dict[str, str]]:
     return out
 
 
-def feed(pages: DataFrame) -> DataFrame:
-    """One row per feed record of each page."""
-    kinds = "id string, title string, excerpt string, href string, publishedDate string, label string, body string"
+_FEED = ("id", "title", "excerpt", "href", "publishedDate", "label", "body")
+
 
-    @F.udf(f"array<struct<{kinds.replace(' ', ':')}>>".replace(",:", ","))
-    def records(html: str | None):
-        return [tuple(r[k.split()[0]] for k in kinds.split(", ")) for r in feed_records(html or "")]
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = pa.schema([(k, pa.string()) for k in _FEED])
+    for batch in batches:
+        for i in range(batch.num_rows):  # a page's records at a time
+            found = feed_records(batch.column("html")[i].as_py() or "")
+            if found:
+                own = batch.select(["page_id", "url"]).take(pa.array([i] * len(found), pa.int64()))
+                rows = pa.RecordBatch.from_pylist(found, schema=kinds)
+                yield pa.RecordBatch.from_arrays([*own.columns, *rows.columns], names=["page_id", "url", *_FEED])
 
-    return pages.select("page_id", "url", F.explode(records("html")).alias("r")).select("page_id", "url", "r.*")
+
+def feed(pages: DataFrame) -> DataFrame:
+    """(page_id, url, id, title, excerpt, href, publishedDate, label, body): one row per feed record of each page."""
+    p = pages.select("page_id", "url", "html")
+    own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in p.schema.fields[:2])
+    return p.mapInArrow(_records, f"{own}, {', '.join(f'{k} string' for k in _FEED)}")
+
+
+def resolve_detail(pages: DataFrame, downloads: DataFrame) -> DataFrame:
+    """(page_id, name, href, version, effective_date, reason) of detail pages: the rulebook that each one publishes, or why there is none.
+
+    ``pages``: page_id, url, status (null: no reply) and html; ``downloads``:
+    href, status, content and written (could it be stored), each href once.
+    The link is the first whose text asks to download the rulebook, looked for
+    in the article labelled so, else in the whole page.  A reason is a value,
+    never an exception: of the page (unreachable, refused, unparseable), of
+    its link (none, not a PDF), or of the download (unreachable, failed, not
+    PDF bytes, unwritable); null where the document is there.
+    """
+    anchors = F.regexp_extract_all(detail_block(F.col("html")), F.lit(r"(?is)<a\b[^>]*>.*?</a>"), 0)
+    asked = F.filter(anchors, lambda a: T.flat(F.regexp_replace(a, "<[^>]*>", " ")).rlike(r"(?i)download\s+rulebook") & a.rlike(r"(?is)^<a\b[^>]*\bhref\s*=\s*\"[^\"]"))
+    raw = F.regexp_extract(F.get(asked, F.lit(0)), r"(?is)^<a\b[^>]*\bhref\s*=\s*\"([^\"]*)\"", 1)
+    p = pages.select("page_id", "url", F.col("status").alias("page_status"), "html", F.nullif(raw, F.lit("")).alias("raw"))
+    p = p.withColumn("href", F.when(F.col("raw").isNotNull(), resolve_url(F.col("raw"), F.col("url"))))
+    d = downloads.select(F.col("href").alias("got"), F.col("status").alias("file_status"), "content", "written")
+    j = p.join(d, p["href"] == d["got"], "left")
+    of_page = F.when(F.col("page_status").isNull(), "page unreachable").when((F.col("page_status") < 200) | (F.col("page_status") > 299), "page refused").when(~F.coalesce(F.col("html").rlike(r"(?i)<[a-z!]"), F.lit(False)), "page unparseable")
+    of_link = F.when(F.col("href").isNull(), "no link").when(~F.lower(F.regexp_replace("href", "[?#].*$", "")).rlike(r"\.pdf$"), "not a PDF")
+    status = download_status(F.col("file_status"), F.col("content"), F.coalesce("written", F.lit(False)))
+    of_file = F.when(status == "page unreachable", "download unreachable").otherwise(status)
+    version, date = meta_line(T.flat(F.regexp_replace(F.coalesce(enclosing_article(F.col("html"), F.col("raw")), F.lit("")), "<[^>]*>", " ")))
+    found = F.col("raw").isNotNull() & of_page.isNull()
+    return j.select(
+        "page_id",
+        F.when(of_page.isNull(), title_name(F.col("html"), F.lit(None).cast("string"))).alias("name"),
+        F.when(found, F.col("href")).alias("href"),
+        F.when(found, F.coalesce(payload_record(F.col("html"), F.col("raw"), "version"), version)).alias("version"),
+        F.when(found, F.coalesce(payload_record(F.col("html"), F.col("raw"), "effectiveDate"), date)).alias("effective_date"),
+        F.coalesce(of_page, of_link, of_file).alias("reason"),
+    )
 
 
 def download_link(html: Column, page_url: Column, text: str = r"download\s+rulebook") -> Column:

@@ -62,7 +62,7 @@ def test_labels(spark):
     assert one(spark, label, t="Global", a="", h="Front", p="") == "[Global · Front]"
 
 
-@pytest.mark.parametrize(("raw", "want"), [("2026-07-17", "2026-07-17"), ("1 Sept 2026", "2026-09-01"), ("17 July 2026", "2026-07-17"), ("45 July 2026", None), ("soon", None), (None, None)])
+@pytest.mark.parametrize(("raw", "want"), [("2026-07-17", "2026-07-17"), ("1 Sept 2026", "2026-09-01"), ("17 July 2026", "2026-07-17"), ("45 July 2026", "2026-07-45"), ("2026-02-31", "2026-02-31"), (" 5 Mar. 2026. ", "2026-03-05"), ("2026-01-05 or later", None), ("5 March 2026 at noon", None), ("5 Smarch 2026", None), ("soon", None), ("", None), (None, None)])
 def test_dates(spark, raw, want):
     assert one(spark, T.normalise_date(F.col("d")), d=raw) == want
 
