@@ -71,18 +71,55 @@ def find_gap_subjects(answer: str) -> list[list[str]]:
     return [words for _, words in gap_sentences(answer)]
 
 
+class Runs:
+    """Suffix automaton of a word sequence: after any words read, the state of the longest run of them that the sequence has."""
+
+    def __init__(self, words: list[str]) -> None:
+        self.after: list[dict[str, int]] = [{}]
+        self.shorter, self.longest = [-1], [0]
+        last = 0
+        for w in words:
+            last = self._grow(last, w)
+
+    def _state(self, after: dict[str, int], shorter: int, longest: int) -> int:
+        self.after.append(after)
+        self.shorter.append(shorter)
+        self.longest.append(longest)
+        return len(self.after) - 1
+
+    def _grow(self, last: int, w: str) -> int:
+        new, p = self._state({}, 0, self.longest[last] + 1), last
+        while p >= 0 and w not in self.after[p]:
+            self.after[p][w] = new
+            p = self.shorter[p]
+        if p >= 0:
+            q = self.after[p][w]
+            if self.longest[q] > self.longest[p] + 1:  # q also stands for longer runs: part the shorter ones off
+                part = self._state(dict(self.after[q]), self.shorter[q], self.longest[p] + 1)
+                while p >= 0 and self.after[p].get(w) == q:
+                    self.after[p][w] = part
+                    p = self.shorter[p]
+                self.shorter[q] = q = part
+            self.shorter[new] = q
+        return new
+
+    def longest_in(self, words: list[str]) -> tuple[int, int]:
+        """Length of the longest run of ``words`` that the sequence has, and where the first such ends."""
+        best, end, state, length = 0, 0, 0, 0
+        for i, w in enumerate(words, 1):
+            while state and w not in self.after[state]:
+                state = self.shorter[state]
+                length = self.longest[state]
+            if w in self.after[state]:
+                state, length = self.after[state][w], length + 1
+            if length > best:
+                best, end = length, i
+        return best, end
+
+
 def common_run(a: list[str], b: list[str]) -> tuple[int, int]:
-    """Length of the longest run of words common to both and where it ends in ``a`` (the first such): runs grow along diagonals of matching places."""
-    places: dict[str, list[int]] = {}
-    for j, w in enumerate(b):
-        places.setdefault(w, []).append(j)
-    best, end, before = 0, 0, {}
-    for i, w in enumerate(a, 1):
-        now = {j: before.get(j - 1, 0) + 1 for j in places.get(w, ())}
-        if (longest := max(now.values(), default=0)) > best:
-            best, end = longest, i
-        before = now
-    return best, end
+    """Length of the longest run of words common to both and where it ends in ``a`` (the first such), in time linear in both."""
+    return Runs(b).longest_in(a)
 
 
 def silence_violations(answer: Column, books: Column) -> Column:

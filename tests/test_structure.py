@@ -1,6 +1,7 @@
 """Document structure, answer checks and sources on small fixtures."""
 
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -192,10 +193,17 @@ def test_gap_subjects():
 
 def test_common_run():
     r = random.Random(3)
-    for _ in range(50):
-        a, b = ([r.choice("xyz") for _ in range(12)] for _ in range(2))
-        want = max((n for n in range(1, 13) for i in range(13 - n) for j in range(13 - n) if a[i : i + n] == b[j : j + n]), default=0)
-        assert verify.common_run(a, b)[0] == want
+    for _ in range(300):
+        a, b = ([r.choice("xyzuv"[: r.randint(1, 5)]) for _ in range(r.randint(0, 12))] for _ in range(2))
+        runs = [(n, i + n) for n in range(1, 13) for i in range(len(a) - n + 1) for j in range(len(b) - n + 1) if a[i : i + n] == b[j : j + n]]
+        want = max((n for n, _ in runs), default=0)
+        assert verify.common_run(a, b) == (want, min((end for n, end in runs if n == want), default=0))
+
+
+def test_common_run_of_one_word_repeated():
+    began = time.perf_counter()
+    assert verify.common_run(["w"] * 20_000 + ["x"], ["y"] + ["w"] * 20_000) == (20_000, 20_000)
+    assert time.perf_counter() - began < 5
 
 
 def test_js_strings_and_feed(spark):
