@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -10,6 +11,10 @@ from pyspark.sql import functions as F
 
 from quarry.functions import fixed as X
 
+#: Names of one automaton.
+MOST_NAMES = 100_000
+_WORD, _TOKENS = re.compile(r"[a-z0-9]"), re.compile(r"[a-z0-9]+|[^a-z0-9]+")
+
 
 def slugify(text: Column) -> Column:
     """Compatibility decomposition, lower case, runs of anything but a-z and 0-9 one space."""
@@ -44,20 +49,122 @@ def derived(books: DataFrame) -> DataFrame:
     return every.where((F.length("alias") >= X.ALIAS_MIN) & ~F.col("alias").isin(*X.ALIAS_STOPWORDS)).distinct()
 
 
-def phrase_hits(texts: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(id, start, end, slug) of whole-word phrases in texts (id, text); one within a longer one of another book goes.
+class Phrases:
+    """Aho-Corasick automaton over the tokens of many phrases: all of them are found in one pass over a text.
 
-    ``aliases`` (slug, alias) is the short list of the books' names.
+    Tokens are runs of letters and digits, and what lies between such runs, so
+    a phrase that begins and ends with a letter or digit is found as whole
+    words alone.  Phrases that do not are few, and looked for one by one.
     """
-    names: dict[str, list[str]] = {}
-    for r in aliases.distinct().collect():  # a handful of rows a book
-        names.setdefault(r["slug"], []).append(r["alias"])
 
-    @F.pandas_udf("array<struct<start:int,end:int,slug:string>>")
+    def __init__(self, names: list[tuple[str, str]]) -> None:
+        self.follow: list[dict[str, int]] = [{}]
+        self.told: list[list[tuple[str, str]]] = [[]]
+        self.odd: list[tuple[str, re.Pattern]] = []
+        for slug, name in sorted(set(names)):
+            tokens = _TOKENS.findall(name)
+            if tokens and _WORD.match(tokens[0]) and _WORD.match(tokens[-1]):
+                self._add(tokens, slug, name)
+            else:
+                self.odd.append((slug, re.compile(rf"(?<![a-z0-9]){re.escape(name)}(?![a-z0-9])")))
+        self._link()
+
+    def _add(self, tokens: list[str], slug: str, name: str) -> None:
+        state = 0
+        for t in tokens:
+            if t not in self.follow[state]:
+                self.follow[state][t] = len(self.follow)
+                self.follow.append({})
+                self.told.append([])
+            state = self.follow[state][t]
+        self.told[state].append((slug, name))
+
+    def _link(self) -> None:
+        """To each state the longest proper end of it that is a state, and the phrases that end there too."""
+        self.back, layer = [0] * len(self.follow), list(self.follow[0].values())
+        while layer:
+            below = []
+            for state in layer:
+                for t, after in self.follow[state].items():
+                    k = self.back[state]
+                    while k and t not in self.follow[k]:
+                        k = self.back[k]
+                    self.back[after] = self.follow[k].get(t, 0)
+                    self.told[after] = self.told[after] + self.told[self.back[after]]
+                    below.append(after)
+            layer = below
+
+    def found(self, text: str) -> set[tuple[int, int, str]]:
+        """(start, end, slug) of the phrases in a lower-case text; one phrase's own occurrences do not overlap."""
+        hits, ends, state, at = set(), {}, 0, 0
+        for t in _TOKENS.findall(text):
+            at += len(t)
+            while state and t not in self.follow[state]:
+                state = self.back[state]
+            state = self.follow[state].get(t, 0)
+            for slug, name in self.told[state]:
+                start = at - len(name)
+                if start >= ends.get((slug, name), 0):
+                    ends[slug, name] = at
+                    hits.add((start, at, slug))
+        hits.update((m.start(), m.end(), slug) for slug, pattern in self.odd for m in pattern.finditer(text))
+        return hits
+
+
+def outermost(hits: set[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Without those that lie within a longer one of another book, in order; one pass over them by start."""
+    out, reach = [], []  # the two farthest ends so far, of two books
+    groups: dict[tuple[int, int], list[str]] = {}
+    for start, end, slug in hits:
+        groups.setdefault((start, -end), []).append(slug)
+    for (start, back), slugs in sorted(groups.items()):
+        end = -back
+        out += [(start, end, s) for s in slugs if not any(o != s and far >= end for far, o in reach)]
+        for s in slugs:
+            best = max([end, *(far for far, o in reach if o == s)])
+            reach = sorted([(best, s), *(r for r in reach if r[1] != s)], reverse=True)[:2]
+    return sorted(out)
+
+
+_HITS = "array<struct<start:int,end:int,slug:string>>"
+
+
+def _told(hits: list[tuple[int, int, str]]) -> list[dict]:
+    return [{"start": a, "end": b, "slug": s} for a, b, s in hits]
+
+
+def _finder(automaton: Phrases, alone: bool):
+    @F.pandas_udf(_HITS)
     def found(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: [{"start": a, "end": b, "slug": s} for a, b, s in phrase_matches((t or "").lower(), names)])
+        each = (automaton.found((t or "").lower()) for t in text)
+        return pd.Series([_told(outermost(h) if alone else sorted(h)) for h in each])
+
+    return found
+
+
+def phrase_hits(texts: DataFrame, aliases: DataFrame, most: int = MOST_NAMES) -> DataFrame:
+    """(id, start, end, slug) of whole-word phrases in texts (id, text), each id once; one within a longer one of another book goes.
 
-    return texts.select("id", F.explode(found("text")).alias("h")).select("id", "h.*")
+    ``aliases``: (slug, alias), in lower case.  ``most`` names make one
+    automaton, which every task gets; more are taken slice by slice, and what
+    each slice finds in a text is put together.
+    """
+    names = aliases.select("slug", "alias").where("slug is not null and alias <> ''").distinct()
+    slices = max(1, -(-names.count() // most))
+    parts = None
+    for k in range(slices):
+        rows = names.where(F.pmod(F.xxhash64("slug", "alias"), F.lit(slices)) == k).collect()  # about ``most`` rows
+        automaton = Phrases([(r["slug"], r["alias"]) for r in rows])
+        part = texts.select("id", _finder(automaton, slices == 1)("text").alias("h"))
+        parts = part if parts is None else parts.unionByName(part)
+    if slices > 1:
+
+        @F.pandas_udf(_HITS)
+        def kept(hits: pd.Series) -> pd.Series:
+            return hits.map(lambda h: _told(outermost({(x["start"], x["end"], x["slug"]) for x in h})))
+
+        parts = parts.groupBy("id").agg(F.flatten(F.collect_list("h")).alias("h")).select("id", kept("h").alias("h"))
+    return parts.select("id", F.explode("h").alias("h")).select("id", "h.*")
 
 
 def mismatch(mentioned: Column, searched: Column) -> Column:
@@ -86,8 +193,5 @@ def named_titles(texts: DataFrame, variants: DataFrame) -> DataFrame:
 
 
 def phrase_matches(text: str, aliases: dict[str, list[str]]) -> list[tuple[int, int, str]]:
-    """(start, end, slug) of whole-word phrases; one inside a longer one of another book goes."""
-    import re
-
-    hits = [(m.start(), m.end(), slug) for slug, names in aliases.items() for n in names for m in re.finditer(rf"(?<![a-z0-9]){re.escape(n)}(?![a-z0-9])", text)]
-    return sorted(h for h in set(hits) if not any(o[2] != h[2] and o[0] <= h[0] and h[1] <= o[1] and o[1] - o[0] > h[1] - h[0] for o in hits))
+    """(start, end, slug) of whole-word phrases in one lower-case text; one inside a longer one of another book goes."""
+    return outermost(Phrases([(slug, n) for slug, names in aliases.items() for n in names]).found(text))

@@ -224,12 +224,12 @@ def probe(runs: DataFrame) -> DataFrame:
     return j.agg(*(F.bool_and(F.col(c) == F.col(f"f.{c}")).alias(name) for c, name in (("ids", "same_set"), ("ranks", "same_ranks"), ("order", "same_order"))))
 
 
-def verdict(results: DataFrame) -> DataFrame:
-    """One row (passed, failed, known_fail, errors, exit_code) of results (assertion, passed, known, error).
+def verdict(results: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., passed, failed, known_fail, errors, exit_code) of results (assertion, passed, known, error, and the keys); without keys one row.
 
     2 if a case could not be run, else 1 if an assertion that must hold does
     not in every run, else 0; a failure that is known is confirmed by any run.
     """
-    per = results.groupBy("case_id", "assertion").agg(F.bool_and(F.coalesce("passed", F.lit(False))).alias("ok"), F.bool_or("known").alias("known"), F.bool_or(F.col("error").isNotNull()).alias("broken"))
-    n = per.agg(F.count_if("ok").alias("passed"), F.count_if(~F.col("ok") & ~F.col("known") & ~F.col("broken")).alias("failed"), F.count_if(~F.col("ok") & F.col("known") & ~F.col("broken")).alias("known_fail"), F.count_if("broken").alias("errors"))
+    per = results.groupBy("case_id", *{"assertion", *keys}).agg(F.bool_and(F.coalesce("passed", F.lit(False))).alias("ok"), F.bool_or("known").alias("known"), F.bool_or(F.col("error").isNotNull()).alias("broken"))
+    n = per.groupBy(*keys).agg(F.count_if("ok").alias("passed"), F.count_if(~F.col("ok") & ~F.col("known") & ~F.col("broken")).alias("failed"), F.count_if(~F.col("ok") & F.col("known") & ~F.col("broken")).alias("known_fail"), F.count_if("broken").alias("errors"))
     return n.withColumn("exit_code", F.when(F.col("errors") > 0, 2).when(F.col("failed") > 0, 1).otherwise(0))

@@ -19,10 +19,11 @@ from quarry.plans.text_queries import _ANSWER, _answers
 @query(rf"""WITH {CHUNKS}, {_ANSWER}, loc AS (SELECT chunk_id AS found, game_title || ' — Article ' || article || ', p.' || page AS locator FROM chunks WHERE article <> '')
 SELECT a.chunk_id, count(found) AS n_found, min(found) AS first_found FROM answers a LEFT JOIN loc ON loc.locator = a.game_title || ' — Article ' || a.article || ', p.' || a.page WHERE a.article <> '' GROUP BY a.chunk_id""")
 def locator_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks that the first citation of each answer may mean."""
+    """Chunks that the first citation of each answer may mean; those of one place are counted before answers meet them."""
     loc = chunks(spark, sf_dir).where("article <> ''").select(F.col("chunk_id").alias("found"), T.locator(T.citation(F.col("game_title"), F.col("article"), F.col("page"))).alias("locator"))
     a = _answers(spark, sf_dir).where("article <> ''").select("chunk_id", F.get(T.cited_locators(F.col("answer")), F.lit(0)).alias("locator"))
-    return a.join(loc, "locator", "left").groupBy("chunk_id").agg(F.count("found").alias("n_found"), F.min("found").alias("first_found"))
+    there = loc.groupBy("locator").agg(F.count("*").alias("n"), F.min("found").alias("first_found"))
+    return a.join(there, "locator", "left").groupBy("chunk_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_found"), F.min("first_found").alias("first_found"))
 
 
 @query(rf"""WITH {EVIDENCE}, r AS (SELECT query_id, chunk_id, coalesce(CASE WHEN chunk_id % 6 <> 0 THEN rel_rank END, {X.MISSING_RANK}) AS rank FROM evidence)
