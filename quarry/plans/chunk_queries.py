@@ -18,9 +18,9 @@ from quarry.plans.source_queries import _LINES, _lines
 from quarry.sources import pages as G
 from quarry.sources import store
 
-#: Ten documents are the segments of one book; numbers repeat in it and lie under each other.
-_SEGS = r"""segs AS (SELECT doc_id // 10 AS doc, CAST(doc_id % 10 AS INTEGER) AS ordinal, CASE WHEN doc_id % 10 = 0 THEN '' ELSE ['2', '2.1', '2.1.3', '4'][doc_id % 4 + 1] END AS article,
-  CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'Heading ' || doc_id END AS heading, CASE WHEN doc_id % 10 >= 8 THEN 'Appendix I' ELSE '' END AS part, CASE WHEN doc_id % 3 = 0 THEN '  short ' ELSE left(text, 900) END AS body, CAST(doc_id % 40 + 1 AS INTEGER) AS page FROM documents),
+#: Ten documents make one book, each 900 characters of a text a segment; numbers repeat in it and lie under each other.
+_SEGS = r"""segs AS (SELECT doc_id // 10 AS doc, CAST(doc_id % 10 * 100000 + k AS INTEGER) AS ordinal, CASE WHEN doc_id % 10 = 0 THEN '' ELSE ['2', '2.1', '2.1.3', '4'][doc_id % 4 + 1] END AS article,
+  CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'Heading ' || doc_id END AS heading, CASE WHEN doc_id % 10 >= 8 THEN 'Appendix I' ELSE '' END AS part, CASE WHEN doc_id % 3 = 0 THEN '  short ' ELSE substr(text, k * 900 + 1, 900) END AS body, CAST(doc_id % 40 + 1 AS INTEGER) AS page FROM (SELECT *, unnest(range(0, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE greatest((length(text) - 1) // 900, 0) END + 1)) AS k FROM documents)),
 sized AS (SELECT *, length(regexp_replace(body, '^\s+|\s+$', '', 'g')) < 20 AS thin FROM segs),
 stored AS (SELECT * FROM sized s WHERE NOT thin OR (article <> '' AND NOT EXISTS (SELECT 1 FROM segs c WHERE c.doc = s.doc AND c.part = s.part AND starts_with(c.article, s.article || '.')))),
 titles AS (SELECT doc, part, article, arg_max(heading, ordinal) AS title FROM segs WHERE article <> '' GROUP BY ALL),
@@ -31,9 +31,10 @@ paths AS (SELECT segs.doc, segs.ordinal, coalesce(path, heading) AS heading_path
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
     article = F.when(i % 10 == 0, "").otherwise(F.array(*map(F.lit, ("2", "2.1", "2.1.3", "4")))[(i % 4).cast("int")])
-    return table(spark, sf_dir, "documents").select(
-        F.floor(i / 10).alias("doc"), (i % 10).cast("int").alias("ordinal"), article.alias("article"), F.when(i % 7 == 0, "").otherwise(F.concat(F.lit("Heading "), i)).alias("heading"), F.when(i % 10 >= 8, "Appendix I").otherwise("").alias("part"),
-        F.when(i % 3 == 0, "  short ").otherwise(F.substring("text", 1, 900)).alias("body"), (i % 40 + 1).cast("int").alias("page"), (i % 40 + 2).cast("int").alias("page_end"), F.array(F.struct(F.lit(0).alias("at"), (i % 40 + 1).cast("int").alias("page"))).alias("offsets"))
+    last = F.when(i % 3 == 0, 0).otherwise(F.greatest(F.floor((F.length("text") - 1) / 900), F.lit(0))).cast("int")
+    return table(spark, sf_dir, "documents").withColumn("k", F.explode(F.sequence(F.lit(0), last))).select(
+        F.floor(i / 10).alias("doc"), (i % 10 * 100_000 + F.col("k")).cast("int").alias("ordinal"), article.alias("article"), F.when(i % 7 == 0, "").otherwise(F.concat(F.lit("Heading "), i)).alias("heading"), F.when(i % 10 >= 8, "Appendix I").otherwise("").alias("part"),
+        F.when(i % 3 == 0, "  short ").otherwise(F.substring("text", F.col("k") * 900 + 1, F.lit(900))).alias("body"), (i % 40 + 1).cast("int").alias("page"), (i % 40 + 2).cast("int").alias("page_end"), F.array(F.struct(F.lit(0).alias("at"), (i % 40 + 1).cast("int").alias("page"))).alias("offsets"))
 
 
 @query(f"WITH {_SEGS} SELECT * FROM paths")
@@ -245,15 +246,15 @@ def running_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
-    quote = F.concat(F.lit("\""), F.substring(F.regexp_replace("text", "[\"“”\\n#]", " "), 1, 60), F.lit("\""))
+    quote = F.concat(F.lit("\""), F.regexp_replace("text", "[\"“”\\n#]", " "), F.lit("\""))
     body = F.when(i % 4 == 0, "").otherwise(F.concat(F.lit("Intro\n# Change\n"), quote, F.lit("\n## Scope\nArticle "), i % 9 + 1, F.lit(".2 of Book "), F.upper("lang"), F.lit("26")))
-    return table(spark, sf_dir, "documents").where("length(text) >= 60").select(i.alias("notice_id"), F.when(i % 4 == 1, F.regexp_replace(body, "Article", "Clause")).otherwise(body).alias("text"), "lang")
+    return table(spark, sf_dir, "documents").select(i.alias("notice_id"), F.when(i % 4 == 1, F.regexp_replace(body, "Article", "Clause")).otherwise(body).alias("text"), "lang")
 
 
-_NOTICES = r"""notices AS (SELECT doc_id AS notice_id, lang, left(regexp_replace(text, '["“”\n#]', ' ', 'g'), 60) AS quote FROM documents WHERE length(text) >= 60)"""
+_NOTICES = r"""notices AS (SELECT doc_id AS notice_id, lang, regexp_replace(text, '["“”\n#]', ' ', 'g') AS quote FROM documents)"""
 
 
-@query(rf"""WITH {_NOTICES} SELECT notice_id, CASE notice_id % 4 WHEN 0 THEN 'no body' WHEN 1 THEN 'no target' END AS reason, CASE WHEN notice_id % 4 = 0 THEN '' ELSE ',Change,Scope' END AS headings, CASE WHEN notice_id % 4 = 0 THEN '' ELSE trim(quote) END AS quoted,
+@query(rf"""WITH {_NOTICES} SELECT notice_id, CASE notice_id % 4 WHEN 0 THEN 'no body' WHEN 1 THEN 'no target' END AS reason, CASE WHEN notice_id % 4 = 0 THEN '' ELSE ',Change,Scope' END AS headings, CASE WHEN notice_id % 4 = 0 OR length(quote) NOT BETWEEN 40 AND 2000 THEN '' ELSE regexp_replace(quote, '^\s+|\s+$', '', 'g') END AS quoted,
   CASE WHEN notice_id % 4 < 2 THEN '' ELSE lang || ' ' || (notice_id % 9 + 1) || '.2' END AS targets FROM notices""")
 def amendment_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections, quoted rules and targets of notices, and why some amend nothing."""
@@ -264,12 +265,14 @@ def amendment_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("notice_id", N.status(F.col("text"), F.coalesce("n", F.lit(0))).alias("reason"), F.array_join(N.headings_of(F.col("text")), ",").alias("headings"), N.quoted_of(F.col("text"), "change").alias("quoted"), F.coalesce("targets", F.lit("")).alias("targets"))
 
 
-@query(rf"WITH {_NOTICES} SELECT 'amendment:' || notice_id || ':' || lang || ':' || (notice_id % 9 + 1) || '.2:0' AS chunk_id, lang AS game, (notice_id % 9 + 1) || '.2' AS article FROM notices WHERE notice_id % 4 >= 2")
+@query(rf"WITH {_NOTICES} SELECT 'amendment:' || notice_id || ':' || lang || ':' || (notice_id % 9 + 1) || '.2' AS chunk, lang AS game, (notice_id % 9 + 1) || '.2' AS article, true AS numbered FROM notices WHERE notice_id % 4 >= 2")
 def amendment_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chunk for each notice and target."""
+    """The chunks of each notice and target: whole texts, so long ones have several pieces, numbered from 0."""
     n = _notices(spark, sf_dir)
     aimed = N.amendment_targets(n, [(g, ["book", f"{g}26"]) for g in ("de", "en", "es", "fr")])
-    return N.amendment_chunks(n.select("notice_id", "text"), aimed).select("chunk_id", "game", "article")
+    piece = F.regexp_extract("chunk_id", ":([0-9]+)$", 1).cast("int")
+    c = N.amendment_chunks(n.select("notice_id", "text"), aimed).groupBy(F.regexp_replace("chunk_id", ":[0-9]+$", "").alias("chunk"), "game", "article")
+    return c.agg((F.max(piece) + 1 == F.countDistinct(piece)).alias("numbered"))
 
 
 @query(as_long(rf"WITH {_NOTICES} SELECT (SELECT count(*) FROM notices WHERE notice_id % 4 >= 2) AS amendments, (SELECT count_if(notice_id % 4 >= 2) FROM notices) AS stated, (SELECT count_if(notice_id % 4 < 2) FROM notices) AS skipped, 0 AS absent", "amendments stated skipped"))
