@@ -23,6 +23,8 @@ _WORDS = BINS * LOW // 64
 #: Buckets of neighbouring ids; each is one (id, bucket) row of a broadcast, 32 MB at most.
 MOST_BUCKETS = 1 << 20
 COARSE = 64
+#: The greatest id.
+LONGEST = (1 << 63) - 1
 
 
 def _signed(x: int) -> int:
@@ -120,15 +122,18 @@ def with_next(rows: DataFrame, carried: Callable[[DataFrame], DataFrame], column
     """
     told = rows.where("doc is not null")
     probs = [k / COARSE for k in range(COARSE + 1)]
-    cuts = sorted({int(x) for x in told.approxQuantile("doc", probs, 0.001)})
+    cuts = sorted({min(max(int(x), -LONGEST - 1), LONGEST) for x in told.approxQuantile("doc", probs, 0.001)})
     fine = max(1, min(4 * rows.rdd.getNumPartitions(), MOST_BUCKETS) // COARSE + 1)
     if len(cuts) < 2:
-        cuts = [cuts[0], cuts[0] + 1] if cuts else [0, 1]
+        low = min(cuts[0], LONGEST - 1) if cuts else 0
+        cuts = [low, low + 1]
     bounds = _longs(cuts)
     place = F.least(F.greatest(F.size(F.filter(bounds, lambda c: c <= F.col("doc"))) - 1, F.lit(0)), F.lit(len(cuts) - 2))
     low, high = F.get(bounds, F.col("place")), F.get(bounds, F.col("place") + 1)
-    inner = ((F.col("doc").cast("double") - low) * fine / (high - low).cast("double")).cast("long")
-    bucketed = told.withColumn("place", place).withColumn("bucket", F.col("place").cast("long") * fine + F.least(F.greatest(inner, F.lit(0)), F.lit(fine - 1))).drop("place")
+    # In doubles, as a difference of longs may be none; rounding keeps the order, so neighbours stay neighbours.
+    at, low, high = (x.cast("double") for x in (F.col("doc"), low, high))
+    inner = F.least(F.greatest((at - low) * fine / F.greatest(high - low, F.lit(1.0)), F.lit(0.0)), F.lit(fine - 1.0)).cast("long")
+    bucketed = told.withColumn("place", place).withColumn("bucket", F.col("place").cast("long") * fine + inner).drop("place")
 
     # The buckets in order, as one array: 16 bytes each and ``MOST_BUCKETS`` at most.
     firsts = bucketed.groupBy("bucket").agg(F.min("doc").alias("first")).agg(F.sort_array(F.collect_list(F.struct("bucket", "first"))).alias("b"))
