@@ -17,8 +17,10 @@ import numpy as np
 #: White space to str.split() or to the library's regular expressions alone.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "᠎")
 _RUNS = re.compile(r"\S+|\s+")
-#: Words remembered of each kind.
-KNOWN = 600_000
+#: Words remembered of each kind: about 200 bytes each.
+KNOWN = 1_200_000
+#: The parts of a lower-case ASCII word by the pattern of the vocabulary whose words stand alone.
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -54,6 +56,8 @@ class _Known(dict):
             ids = [t.id for t in self.model.tokenize(letters)]
         elif len(word) > 1 and word[-1] in ".," and (stem := word[:-1]).isalpha():
             return self[stem] + self.marks[word[-1]]
+        elif self.fold and word.isascii() and len(parts := _PARTS.findall(word.lower())) > 1:
+            ids = np.frombuffer(b"".join(map(self.__getitem__, parts)), dtype="<u4")
         else:
             ids = self.library.encode(self.before + word, add_special_tokens=False).ids
         packed = np.array(ids, dtype="<u4").tobytes()

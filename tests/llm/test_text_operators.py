@@ -66,6 +66,16 @@ def test_fingerprint_edge_tables(spark):
     assert len(none) == 3
 
 
+@pytest.mark.parametrize("ids", [[-(1 << 63), 0, 5], [(1 << 63) - 1], [(1 << 63) - 1, (1 << 63) - 2, -(1 << 63), 1 - (1 << 63), 0, 7, 1 << 62, (1 << 62) + 1], [1 << 60, (1 << 60) + 1]])
+def test_fingerprints_of_wide_ids(spark, ids):
+    rows = [(d, f"text number {k} of {d}", "", "") for k, d in enumerate(ids)]
+    got = {r["doc_id"]: r for r in fingerprints.fingerprint_pairs(spark.createDataFrame(rows, DOCS).repartition(3)).collect()}
+    order = sorted(rows)
+    for k, (d, text, *_) in enumerate(order):
+        half, after = len(text) // 2, order[(k + 1) % len(order)][1]
+        assert got[d]["edited_sha256"] == hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()
+
+
 def test_likeness_estimates_jaccard(spark):
     words = [f"w{k}" for k in range(2000)]
     texts = [" ".join(words[:n] + [f"x{k}" for k in range(n, 2000)]) for n in (2000, 1800, 1000, 200)]
@@ -131,6 +141,15 @@ def test_fingerprints_match_brute_force(spark):
         assert abs(r["near_next"] - want) < 1e-9
 
 
+def test_token_ids_of_odd_words(spark):
+    """Words that the vocabulary's pattern parts are encoded part by part, with the library's ids."""
+    r = random.Random(8)
+    odd = ["it's", "IT'S", "'sun'", "a'll,'d", "x1y22", "co-op's", "<|endoftext|>", "a.b.c!!", "...", "'", "''s", "3.14e-5", "foo\x7fbar", "a_b", "'re've", "É's", "naïve-2", "a\x00'm"]
+    own, ids = Encoder(WORD), library(WORD)
+    for text in [*odd, *(" ".join(r.choices(odd, k=20)) for _ in range(100))]:
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == ids(text)[:-1].tolist()
+
+
 # Quality
 
 
