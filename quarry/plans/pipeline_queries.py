@@ -13,7 +13,7 @@ from quarry.plans import ask
 from quarry.plans.corpus import CHUNKS, QUESTIONS, as_long, chunks, query, questions, sql_content, table
 from quarry.plans.retrieval_queries import EVIDENCE, evidence
 from quarry.plans.text_queries import _ANSWER, _answers
-from quarry.sources import store, versions
+from quarry.sources import digest_tree, store, versions
 
 
 def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,18 @@ def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.groupBy("scope").agg(F.count("*").alias("n")).join(differing, "scope", "left").select("scope", "n", F.coalesce("d", F.lit(0)).cast("int").alias("differing"))
 
 
+@query("""SELECT doc_id, 'left' AS side FROM documents WHERE doc_id % 97 = 0 OR doc_id % 101 = 5 UNION ALL SELECT doc_id, 'right' FROM documents WHERE doc_id % 97 = 0 AND doc_id % 101 <> 5 UNION ALL SELECT max(doc_id) + 1, 'right' FROM documents""")
+def corpus_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents and an edited copy, compared from the roots of their trees: some texts changed, some gone, one new."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    new = d.agg((F.max("doc_id") + 1).alias("doc_id")).select("doc_id", F.lit("new").alias("text"), F.lit("en").alias("lang"))
+    edited = d.where("doc_id % 101 <> 5").withColumn("text", F.when(F.col("doc_id") % 97 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text"))).unionByName(new)
+    a, b = store.work_path(spark, "corpus"), store.work_path(spark, "corpus")
+    digest_tree.write(d, "doc_id", a)
+    digest_tree.write(edited, "doc_id", b)
+    return digest_tree.differences(spark, a, b, d.schema).select("doc_id", "side")
+
+
 def _built(c: DataFrame, path: str) -> str:
     versions.build(c, path)
     return path
