@@ -131,16 +131,17 @@ def ask(questions: DataFrame, catalog: DataFrame, retriever: Retriever, frequenc
 
 
 def instrumented(steps: list[tuple[str, Callable[[], DataFrame]]]) -> tuple[dict[str, DataFrame], list[dict]]:
-    """Runs each step to its end and keeps its time; a step that fails is a record with its error, and the later ones have no time.
+    """Runs each step to its end, once, and keeps its time; a step that fails is a record with its error, and the later ones have no time.
 
-    Steps return tables that do not change any more (written ones).
+    What a step gives is written, and the tables returned are those: its rows
+    are counted from the files' footers, and nothing that reads it runs it again.
     """
     tables, records, failed = {}, [], False
     for name, step in steps:
         began, error, rows = time.perf_counter(), None, None
         if not failed:
             try:
-                tables[name] = step()
+                tables[name] = store.written(step(), "step")
                 rows = tables[name].count()
             except Exception as e:  # an error is data here: the run's record holds it
                 error, failed = f"{type(e).__name__}: {str(e)[:200]}", True

@@ -152,3 +152,18 @@ def test_manifest_index_and_reports(spark, tmp_path):
     assert "0.5000 ± 0.1000" in store.report(m)
     (tmp_path / "q.json").write_text('{"cases": [{"id": "c1", "question": "q"}]}')
     assert store.read_cases(spark, str(tmp_path / "q.json")).first()["id"] == "c1"
+
+
+def test_each_node_runs_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    steps = [("a", lambda: spark.range(100).mapInPandas(passed, "id long")), ("none", lambda: spark.range(0)), ("b", lambda: spark.range(7))]
+    tables, records = ask.instrumented(steps)
+    assert [(r["node"], r["rows"], r["error"]) for r in records] == [("a", 100, None), ("none", 0, None), ("b", 7, None)]
+    assert tables["a"].count() == 100 and tables["a"].agg({"id": "sum"}).first()[0] == 4950
+    assert seen.value == 100
