@@ -64,4 +64,4 @@ def test_stages_on_edge_tables(spark, name, stage):
 
 def test_every_operator_is_registered():
     names = queries.queries()
-    assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 14))
