@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.arrow import Rows, text_chunks
 from quarry.llm.scratch import materialise
-from quarry.llm.tokens import encoder
+from quarry.llm.tokens import KNOWN, encoder
 
 CAPACITY, END_ID = 1024, 2
 #: Pieces that one task packs about.
@@ -29,9 +29,9 @@ PER_TASK = 100_000
 _PIECES = pa.schema([("doc", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64())])
 
 
-def _cut(tokenizer: str, capacity: int, end_id: int):
+def _cut(tokenizer: str, capacity: int, end_id: int, known: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, out = encoder(tokenizer).encode, Rows(_PIECES)
+        encode, out = encoder(tokenizer, known).encode, Rows(_PIECES)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             ids = batch.column("doc")
@@ -55,10 +55,10 @@ def _cut(tokenizer: str, capacity: int, end_id: int):
     return run
 
 
-def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, known: int = KNOWN) -> DataFrame:
     """(doc, piece, start, length, crc): each document's ids and ``end_id``, cut only if longer than ``capacity``; the first piece is the short one."""
     d = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    return d.mapInArrow(_cut(tokenizer, capacity, end_id), "doc long, piece int, start long, length long, crc long")
+    return d.mapInArrow(_cut(tokenizer, capacity, end_id, known), "doc long, piece int, start long, length long, crc long")
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
@@ -157,11 +157,13 @@ def certificate(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
     return packed.select("sequence_id").distinct().count(), corpus_bound(packed, capacity)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, known: int = KNOWN) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset), one row per piece.
 
+    ``known``: words of each kind whose ids a worker remembers; a matter of memory, not of results.
+
     Null and empty texts are one piece with the end id alone.  Rows with a null
     id and rows that share an id are packed like any other, one by one.
     """
-    cut = materialise(pieces(docs, tokenizer, id_col, text_col, capacity, end_id), "pieces")
+    cut = materialise(pieces(docs, tokenizer, id_col, text_col, capacity, end_id, known), "pieces")
     return pack(cut, capacity).select(F.col("doc").alias(id_col), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset")

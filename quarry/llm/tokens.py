@@ -40,8 +40,9 @@ class _Known(dict):
     so it goes to the library's model directly; a final stop or comma parts off.
     """
 
-    def __init__(self, library, before: str, fold: bool, marks: dict | None = None) -> None:
+    def __init__(self, library, before: str, fold: bool, most: int, marks: dict | None = None) -> None:
         super().__init__()
+        self.most = most
         self.library, self.model, self.before, self.fold = library, library.model, before, fold
         self.marks = self if marks is None else marks
         self.mark = before.encode().decode("latin-1").translate(_LETTERS)
@@ -61,7 +62,7 @@ class _Known(dict):
         else:
             ids = self.library.encode(self.before + word, add_special_tokens=False).ids
         packed = np.array(ids, dtype="<u4").tobytes()
-        if len(self) < KNOWN:  # the first words met are the frequent ones
+        if len(self) < self.most:  # the first words met are the frequent ones
             self[word] = packed
         return packed
 
@@ -78,7 +79,7 @@ def _folded(text: str) -> str:
 class Encoder:
     """``encode(text)``: its ids as little-endian unsigned 32-bit integers, without special tokens."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, known: int = KNOWN) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -92,8 +93,8 @@ class Encoder:
         #: Words with their leading space, white space kept; or words alone, white space dropped.
         self.spaced = pre.get("type") == "ByteLevel" and bool(pre.get("use_regex")) and not pre.get("add_prefix_space") and normal is None
         self.bare = [n.get("type") for n in (normal or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and steps == ["Split", "ByteLevel"] and pre["pretokenizers"][0]["behavior"] == "Removed"
-        self.plain = _Known(self.library, "", self.bare)
-        self.after_space = _Known(self.library, " ", self.bare, self.plain)
+        self.plain = _Known(self.library, "", self.bare, known)
+        self.after_space = _Known(self.library, " ", self.bare, known, self.plain)
 
     def encode(self, text: str) -> bytes:
         if (self.bare or self.spaced) and not any(c in text for c in _ODD):
@@ -134,6 +135,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder for each worker process."""
-    return Encoder(path)
+def encoder(path: str, known: int = KNOWN) -> Encoder:
+    """One encoder for each worker process, which remembers ``known`` words of each kind."""
+    return Encoder(path, known)
