@@ -96,6 +96,20 @@ def test_blocks_cover_all_postings_once(spark):
     assert held == want
 
 
+def test_scores_are_added_up_where_the_blocks_lie(spark, monkeypatch):
+    """By default no row is made of a posting, at any number of them: blocks are added up in tasks, which hand on k rows a question."""
+    for name, few in (("SLICE", 9), ("ROWS", 7), ("CANDIDATES", 3)):
+        monkeypatch.setattr(lexical, name, few)
+    chunks, asked = corpus(6, 300)
+    index = lexical.build(spark.createDataFrame([(*c, 9.0) for c in chunks], SCHEMA), 4)
+    best = lexical.search(index, spark.createDataFrame(asked, "query_id long, question string, game string"), 5).best
+    assert "Generate" not in best._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in best.orderBy("query_id", "lex_rank").collect():
+        got.setdefault(r["query_id"], []).append((r["chunk_id"], r["lex_rank"]))
+    assert got == brute(chunks, asked, 5)
+
+
 def test_nothing_indexed_or_asked(spark):
     _, f = found(spark, [], [(1, "a", None)])
     assert f.best.collect() == []
