@@ -61,6 +61,17 @@ def test_near_dedup_matches_brute_force(spark, monkeypatch, cell):
     assert len(got) == len(set(got)) and set(got) == brute_kept(rows)
 
 
+def test_near_dedup_cuts_tiles_by_blocks_of_fingerprint_bits(spark, monkeypatch):
+    """With many blocks and tiles cut into cells the result is that of comparing all pairs; no other hashes choose the pairs."""
+    monkeypatch.setattr(near_copies, "TILE", 8)
+    monkeypatch.setattr(near_copies, "HOT", 5)
+    assert len(near_copies.blocks_for(160)) > 10 and all(len(b) == 4 and b.min() >= 64 for b in near_copies.blocks_for(160))
+    assert not hasattr(near_copies, "band_keys")
+    rows = corpus(11)
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows.items()], SCHEMA).repartition(3)
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == brute_kept(rows)
+
+
 def test_near_dedup_finds_edited_words(spark):
     words = [f"w{k}" for k in range(400)]
     few, many = list(words), list(words)
