@@ -7,7 +7,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.functions import text
 from quarry.operators import lexical
+from quarry.sources import store
 
 SCHEMA = "chunk_id long, scope string, game string, text string, score double"
 
@@ -115,3 +117,42 @@ def test_nothing_indexed_or_asked(spark):
     assert f.best.collect() == []
     _, f = found(spark, [(1, "global", "global", "a b")], [])
     assert f.best.collect() == []
+
+
+def test_tokens_are_those_of_the_column_function(spark):
+    """Bytes classed in tasks give what the regular expression gives, prefixes and Unicode's lower case included."""
+    texts = ["Rule 2.8.1.3 and 2.8.1.3, 4.1-7.2.9", "a.b", ".a.-b-.c..d--e", "x-1.y", None, "", "...", "été Kİ Ka.b.c", "9.9.9", "1.2.3", "a-", "-a", "end.", ".begin", "UP.Per.Case"]
+    df = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string")
+    want = {r["chunk_id"]: Counter(r["t"] or []) for r in df.select("chunk_id", text.tokens(F.col("text")).alias("t")).collect()}
+    batch = df.select("chunk_id", F.lit("").alias("part"), F.lower("text").alias("text")).coalesce(1).orderBy("chunk_id").toArrow().combine_chunks().to_batches()[0]
+    for lo in (0, 3):
+        for r in lexical._counted(batch.slice(lo)).to_pylist():
+            assert Counter(dict(zip(r["terms"], r["tfs"], strict=True))) == want[r["chunk_id"]]
+            assert r["dl"] == want[r["chunk_id"]].total()
+
+
+def test_index_shuffles_no_text_and_no_posting(spark, monkeypatch):
+    plans, write = {}, store.written
+
+    def noted(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, label)
+
+    monkeypatch.setattr(store, "written", noted)
+    chunks, _ = corpus(7, 100)
+    lexical.build(spark.createDataFrame([(*c, 9.0) for c in chunks], SCHEMA), 4)
+    assert set(plans) == {"postings", "terms", "parts"}
+    assert "Exchange" not in plans["postings"]
+
+
+def test_slices_of_questions_share_one_shuffle_of_the_postings(spark, monkeypatch):
+    chunks, asked = corpus(8, 200)
+    index = lexical.build(spark.createDataFrame([(*c, 9.0) for c in chunks], SCHEMA), 4)
+    questions = spark.createDataFrame(asked, "query_id long, question string, game string")
+    want = sorted(map(tuple, lexical.search(index, questions, 5).best.collect()))
+    monkeypatch.setattr(lexical, "SLICE", 9)
+    best = lexical.search(index, questions, 5).best
+    assert sorted(map(tuple, best.collect())) == want
+    plan = best._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("MapInArrow") == 4
+    assert plan.count("REPARTITION_BY_COL") - plan.count("ReusedExchange") == 1
