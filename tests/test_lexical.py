@@ -156,3 +156,13 @@ def test_slices_of_questions_share_one_shuffle_of_the_postings(spark, monkeypatc
     plan = best._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("MapInArrow") == 4
     assert plan.count("REPARTITION_BY_COL") - plan.count("ReusedExchange") == 1
+
+
+def test_document_counts_are_those_of_the_content_words(spark):
+    texts = ["The rule 2.8.1 and the Rule", "a b-c a.b", None, "", "x2 x2. x2-y9 .of", "KİK été", "rule"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    words = df.select(F.explode(F.array_distinct(text.content_words(F.col("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    got = lexical.document_counts(df)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, words.collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
