@@ -87,26 +87,57 @@ class Model:
     prior: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(_bins(x, self.edges).astype(np.float64) @ self.weights + self.bias, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(_bins(x, self.edges) @ self.weights + self.bias, -30, 30)))
 
 
-def _bins(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Thermometer code: is feature j above its edge k?"""
-    return (x[:, :, None] > edges.astype(np.float32)[None]).reshape(len(x), -1).astype(np.float32)
+@dataclass(frozen=True)
+class Bins:
+    """Rows in thermometer code (is feature j above its edge k?), held as the number of edges below each value: a byte where the code has a number for each edge.
+
+    ``codes`` has a row a feature.  A row's margin is added up feature by
+    feature, so it is the same in any batch.
+    """
+
+    codes: np.ndarray
+    edges: int
+
+    def __len__(self) -> int:
+        return self.codes.shape[1]
+
+    def __getitem__(self, rows: slice) -> Bins:
+        return Bins(self.codes[:, rows], self.edges)
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        """The margins: the code times a weight for each feature and edge."""
+        upto = np.pad(np.cumsum(w.reshape(-1, self.edges), axis=1, dtype=np.float64), ((0, 0), (1, 0)))
+        out = np.zeros(len(self))
+        for held, code in zip(upto, self.codes, strict=True):
+            out += held[code]
+        return out
+
+    def summed(self, d: np.ndarray) -> np.ndarray:
+        """For each feature and edge the sum of ``d`` over the rows above it."""
+        per_code = np.stack([np.bincount(code, d, self.edges + 1) for code in self.codes])
+        return per_code[:, :0:-1].cumsum(axis=1)[:, ::-1].ravel()
+
+
+def _bins(x: np.ndarray, edges: np.ndarray) -> Bins:
+    kind, below = np.min_scalar_type(edges.shape[1]), edges.astype(np.float32)
+    return Bins(np.stack([np.searchsorted(e, v).astype(kind) for e, v in zip(below, x.T, strict=True)]), edges.shape[1])
 
 
-def _descend(p: np.ndarray, u: np.ndarray, risk, rounds: int = 400, rate: float = 0.05, decay: float = 3e-4) -> tuple[np.ndarray, float]:
+def _descend(p: Bins, u: Bins, risk, rounds: int = 400, rate: float = 0.05, decay: float = 3e-4) -> tuple[np.ndarray, float]:
     """Adam over the whole sample; the weights of least risk.  ``risk``: margins to the risk and its derivatives by margin."""
-    x = np.concatenate([p, u])
-    w, b, best = np.zeros(x.shape[1]), 0.0, (np.inf, None, 0.0)
+    x = Bins(np.concatenate([p.codes, u.codes], axis=1), p.edges)
+    w, b, best = np.zeros(len(x.codes) * x.edges), 0.0, (np.inf, None, 0.0)
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, rounds + 1):
-        f = (x @ w.astype(np.float32)).astype(np.float64) + b
+        f = x @ w + b
         value, d = risk(f[: len(p)], f[len(p) :])
         value += decay * (w @ w) / 2
         if value < best[0]:
             best = value, w, b
-        g = np.append((d.astype(np.float32) @ x).astype(np.float64) + decay * w, d.sum())
+        g = np.append(x.summed(d) + decay * w, d.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
@@ -120,7 +151,7 @@ def _sigmoid(f: np.ndarray) -> np.ndarray:
 Above = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, int]]
 
 
-def class_prior(p: np.ndarray, u: np.ndarray, edges: np.ndarray, above: Above, least: float = 0.05) -> float:
+def class_prior(p: Bins, u: Bins, edges: np.ndarray, above: Above, least: float = 0.05) -> float:
     """Best-bin estimate of the share of positives in the corpus.
 
     ``p`` and ``u``: rows of binned features.  ``above``: from the edges, the
@@ -193,7 +224,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, above: Above) -> Model:
         return positive + max(0.0, negative), np.concatenate([d_p, d_u])
 
     w, b = _descend(p, u, risk)
-    scale, offset = _calibrate(*((x @ w.astype(np.float32)).astype(np.float64) + b for x in (p, u)), prior)
+    scale, offset = _calibrate(*(x @ w + b for x in (p, u)), prior)
     w, b = w * scale, b * scale + offset
     return Model(edges, w, b, prior)
 
@@ -264,10 +295,10 @@ def train(featured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_
     trusted = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("y = 1").where(~held_out("id")).select("id").distinct()
     picked = trusted.join(ids, "id", "left_semi").orderBy(by, "id").limit(sample).withColumn("trusted", F.lit(1)).unionByName(ids.orderBy(by, "id").limit(sample).withColumn("trusted", F.lit(0)))
     # Two samples of ``sample`` ids at most: 16 bytes a row, so the broadcast has a fixed bound; of the rows of an id one is taken before they are sent.
-    rows = training.join(F.broadcast(picked), "id").groupBy("trusted", "id").agg(F.min("x").alias("x")).select("trusted", "x").toPandas()
-    x = np.stack(rows.x.to_list()).astype(np.float64) if len(rows) else np.zeros((0, N_FEATURES))
+    rows = training.join(F.broadcast(picked), "id").groupBy("trusted", "id").agg(F.min("x").alias("x")).select("trusted", "x").toArrow()
+    x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(-1, N_FEATURES).astype(np.float64)
     order = np.lexsort(x.T) if len(rows) else np.zeros(0, int)
-    x, t = x[order], rows.trusted.to_numpy()[order]
+    x, t = x[order], rows.column("trusted").to_numpy()[order]
     rng = np.random.default_rng(0)  # a fixed shuffle, so that halves of the sample are alike and row order does not matter
     mixed = rng.permutation(len(x))
 

@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -209,6 +210,27 @@ def test_prior_of_separable_classes():
     assert abs(quality.class_prior(quality._bins(p, edges), rows, edges, above) - 0.7) < 0.1
 
 
+def test_quality_rows_are_held_as_bins():
+    r = np.random.default_rng(1)
+    x, edges = r.integers(0, 9, (50, 3)).astype(np.float64), np.sort(r.integers(0, 9, (3, 5)), axis=1).astype(np.float64)
+    code = (x[:, :, None] > edges[None]).reshape(50, -1)
+    w, d, rows = r.normal(size=15), r.normal(size=50), quality._bins(x, edges)
+    assert np.allclose(rows @ w, code @ w)
+    assert np.allclose(rows[::2] @ w, code[::2] @ w)
+    assert np.allclose(rows.summed(d), d @ code)
+
+
+def test_quality_fit_takes_little_of_the_drivers_memory():
+    r = np.random.default_rng(2)
+    p, u = (r.normal(m, 1, (4_000, quality.N_FEATURES)) for m in (1, 0))
+    tracemalloc.start()
+    quality.fit(p, u, lambda edges, w, thresholds: (np.zeros(len(thresholds)), 0))
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    # The thermometer code of these rows, as 32-bit numbers, is 16 MB, and the fit held it twice.
+    assert peak < 12_000_000
+
+
 # Decontamination
 
 
