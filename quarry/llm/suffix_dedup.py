@@ -10,7 +10,10 @@ answer: a position whose name is in an earlier document goes.
 Which positions are ranked: a window of ``width`` bytes has an *anchor*, the
 smallest hash of the ``gram``-byte grams in it.  Windows with one anchor place
 form a *run*, and runs whose anchor is in one document only are unique from the
-start.  First the ends of the runs are ranked: where both ends of a run lead to
+start.  For that the anchors of some thousand documents (a *chunk*) are asked
+for together: each goes once a chunk, with the first and the last document that
+has it there, in a row for all anchors of one hash range (*bucket*), so that
+neither a rare anchor costs a row nor a frequent one a large group.  First the ends of the runs are ranked: where both ends of a run lead to
 one earlier document, equally far apart, all windows between do.  The other
 runs are cut into blocks of fewer and fewer windows; those go that hold a
 stretch of bytes which one document alone has, and the ends of the others are
@@ -27,18 +30,21 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.arrow import CHUNK_BYTES, Rows, text_chunks
-from quarry.llm.repeats import LENGTH, covered, fresh, heads
-from quarry.llm.rolling import BASES, BYTE_HASH, Hashes, U, rolling_min
+from quarry.llm.repeats import LENGTH, MOST, covered, fresh, heads
+from quarry.llm.rolling import BASES, BYTE_HASH, Hashes, U, mix, rolling_min
 from quarry.llm.scratch import discard, materialise
 
 WIDTH = 100
 GRAM = 24
 #: Windows of a block, stage by stage, after whole runs.
 BLOCKS = (16, 4)
+#: Runs of a chunk (more only if one piece of text has more), and of a bucket in the mean.
+CHUNK_RUNS, BUCKET_RUNS = 1 << 17, 1 << 18
 #: In a span (one long): first start (31 bits), offset of the anchor from it (12), number of windows (20).
 PLACE = (1 << 12) - 1
 
@@ -50,21 +56,22 @@ def _tokens(b: bytes) -> np.ndarray:
     return BYTE_HASH[np.frombuffer(b, dtype=np.uint8)]
 
 
-def _leftmost(grams: np.ndarray, reach: int, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per window its smallest gram's high bits over the place of the leftmost such gram, and by how much that place is moved.
+def _leftmost(grams: np.ndarray, reach: int, start: np.ndarray) -> np.ndarray:
+    """Per window the place of the leftmost of its smallest grams, by their high bits.
 
     Places are counted modulo ``2**_PLACE_BITS``.  Where the count starts anew
     inside a window the leftmost would not be the smallest; such windows take
     it from a second count, moved by half the modulus.
     """
-    high, where = grams >> U(_PLACE_BITS) << U(_PLACE_BITS), np.arange(len(grams)).astype(U)
+    high, where = grams & ~_HELD, np.arange(len(grams), dtype=U)
+    if len(grams) <= 1 << _PLACE_BITS:
+        high |= where
+        return (rolling_min(high, reach)[start] & _HELD).view(np.int64)
     low = rolling_min(high | where & _HELD, reach)[start]
-    turned = np.zeros(len(start), dtype=U)
-    if len(grams) > 1 << _PLACE_BITS:
-        late = (start & int(_HELD)) + reach > 1 << _PLACE_BITS
-        turned[late] = 1 << _PLACE_BITS - 1
-        low[late] = rolling_min(high | where + U(1 << _PLACE_BITS - 1) & _HELD, reach)[start[late]]
-    return low, turned
+    late = (start & int(_HELD)) + reach > 1 << _PLACE_BITS
+    turned = np.where(late, U(1 << _PLACE_BITS - 1), U(0))
+    low[late] = rolling_min(high | where + U(1 << _PLACE_BITS - 1) & _HELD, reach)[start[late]]
+    return start + ((low - start.astype(U) - turned) & _HELD).view(np.int64)
 
 
 def _quarters(h: Hashes, pos: np.ndarray, width: int) -> list[np.ndarray]:
@@ -83,74 +90,186 @@ def _pair_ranks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _recurring(start: np.ndarray, owner: np.ndarray, m: np.ndarray, place: np.ndarray, h: Hashes, width: int) -> np.ndarray:
-    """Which windows have an equal one earlier in their own document, by doubling.
+def _recurring(start: np.ndarray, head: np.ndarray, owner: np.ndarray, m: np.ndarray, h: Hashes, width: int) -> np.ndarray:
+    """Which windows have an equal one earlier in their own document, by doubling; the runs begin at ``head``, have ``owner`` and anchor ``m``.
 
     Equal windows have equal anchors at unequal places, so only runs whose
     anchor heads several runs of the document are looked into.
     """
-    head = heads(owner, m, place)
-    n = np.diff(np.append(head, len(m)))
-    order = np.lexsort((m[head], owner[head]))
-    o, a = owner[head][order], m[head][order]
+    n = np.diff(np.append(head, len(start)))
+    order = np.lexsort((m, owner))
+    o, a = owner[order], m[order]
     same = np.zeros(len(order), dtype=bool)
     same[1:] = (o[1:] == o[:-1]) & (a[1:] == a[:-1])
     same[:-1] |= same[1:]
-    run = np.zeros(len(head), dtype=bool)
-    run[order] = same
-    at = np.flatnonzero(np.repeat(run, n))
-    out = np.zeros(len(m), dtype=bool)
+    run = np.sort(order[same])
+    many = n[run]
+    at = np.repeat(head[run] - np.cumsum(many) + many, many) + np.arange(many.sum())
+    out = np.zeros(len(start), dtype=bool)
     if len(at):
+        whose = np.repeat(owner[run], many)
         q = _quarters(h, start[at], width)
         halves = _pair_ranks(np.concatenate([q[0], q[2]]), np.concatenate([q[1], q[3]]))
         rank = _pair_ranks(halves[: len(at)], halves[len(at) :])
-        order = np.lexsort((at, rank, owner[at]))
-        k, r = at[order], rank[order]
-        again = np.zeros(len(k), dtype=bool)
-        again[1:] = (owner[k][1:] == owner[k][:-1]) & (r[1:] == r[:-1])
-        out[k] = again
+        order = np.lexsort((at, rank, whose))
+        o, r = whose[order], rank[order]
+        again = np.zeros(len(order), dtype=bool)
+        again[1:] = (o[1:] == o[:-1]) & (r[1:] == r[:-1])
+        out[at[order]] = again
     return out
 
 
-_RUNS = pa.schema([("m", pa.int64()), ("doc", pa.int64()), ("key", pa.int64()), ("span", pa.int64()), ("own", pa.bool_())])
+def _inner(sizes: np.ndarray, width: int) -> np.ndarray:
+    """The windows that start in a text and end in it, of texts of ``sizes`` one after another."""
+    inside = np.ones(sizes.sum(), dtype=bool)
+    for end in np.cumsum(sizes).tolist():
+        inside[end - width + 1 : end] = False
+    return np.flatnonzero(inside)
 
 
-def _runs(width: int, gram: int):
-    """Runs of windows; ``own``: not a run but a span of windows that recur in their own document."""
+def _packed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Binary cells of so many 64-bit values each."""
+    offsets = np.append(0, np.cumsum(sizes) * 8).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _longs(cell: pa.Scalar, kind: type = np.int64) -> np.ndarray:
+    return np.frombuffer(cell.as_buffer(), dtype=kind)
+
+
+def _unpacked(cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The cell of each value, and the values."""
+    parts = [_longs(c) for c in cells]
+    return np.repeat(np.arange(len(parts)), [len(x) for x in parts]), np.concatenate(parts)
+
+
+_OWN = pa.struct([("doc", pa.int64()), ("key", pa.int64()), ("span", pa.int64())])
+_CHUNK = pa.schema([("chunk", pa.int64()), ("n", pa.int64()), *((c, pa.binary()) for c in ("docs", "keys", "runs", "m", "spans")), ("own", pa.list_(_OWN))])
+_CHUNK_DDL = "chunk long, n long, docs binary, keys binary, runs binary, m binary, spans binary, own array<struct<doc:long,key:long,span:long>>"
+
+
+def _runs(width: int, gram: int, most: int):
+    """Runs of windows, a row per chunk of documents: ``docs``, ``keys`` and number of ``runs`` of each document, ``m`` and ``spans`` of each run; ``own``: spans of windows that recur in their own document."""
     reach = width - gram + 1
 
+    def of(parts: list[bytes], docs: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, ...]:
+        h = Hashes(_tokens(b"".join(parts)), BASES[0])
+        sizes = np.array([len(b) for b in parts])
+        begin, start = np.cumsum(sizes) - sizes, _inner(sizes, width)
+        grams = h.every(gram)
+        # Windows of two documents have no anchor place in common.
+        place = _leftmost(grams, reach, start)
+        head = heads(place)
+        owner = np.searchsorted(begin, start[head], "right") - 1
+        gone = _recurring(start, head, owner, grams[place[head]], h, width)
+        if gone.any():
+            head = heads(place, gone)
+            owner = np.searchsorted(begin, start[head], "right") - 1
+        live = ~gone[head]
+        n = np.diff(np.append(head, len(start)))
+        head, owner, n = head[live], owner[live], n[live]
+        lo = start[head]
+        span = lo - begin[owner] << 32 | place[head] - lo << 20 | n
+        again = start[gone]
+        first = heads(again - np.arange(len(again)), again // MOST)
+        whose = np.searchsorted(begin, again[first], "right") - 1
+        own = again[first] - begin[whose] << 32 | np.diff(np.append(first, len(again)))
+        # Minima are small; mixed, they are spread over all values.
+        return docs, names, np.bincount(owner, minlength=len(parts)), mix(grams[place[head]]), span, docs[whose], names[whose], own
+
+    def row(chunk: int, held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        *packed, doc, key, span = (np.concatenate(x) for x in zip(*held, strict=True))
+        own = pa.ListArray.from_arrays(pa.array([0, len(span)], pa.int32()), pa.StructArray.from_arrays([pa.array(x) for x in (doc, key, span)], fields=list(_OWN)))
+        return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([len(packed[3])]), *(_packed(x, np.array([len(x)])) for x in packed), own], schema=_CHUNK)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Rows(_RUNS)
+        held, n, chunk = [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             ids, keys = batch.column("doc"), batch.column("key")
             for first, texts in text_chunks(batch, limit=CHUNK_BYTES // 4):
-                held = [i for i, b in enumerate(texts, first) if len(b) >= width and ids[i].is_valid]
-                if not held:
+                some = [i for i, b in enumerate(texts, first) if len(b) >= width and ids[i].is_valid]
+                if some:
+                    held.append(of([texts[i - first] for i in some], *(np.array([c[i].as_py() for i in some], dtype=np.int64) for c in (ids, keys))))
+                    n += len(held[-1][3])
+                if n >= most:
+                    yield row(chunk, held)
+                    held, n, chunk = [], 0, chunk + 1
+        if held:
+            yield row(chunk, held)
+
+    return run
+
+
+_ASKED = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), *((c, pa.binary()) for c in ("m", "first", "last"))])
+
+
+def _asked(buckets: int):
+    """The anchors of each chunk, a row per bucket: each once, with the first and the last of the chunk's documents that has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, *cells in zip(*(batch.column(c) for c in ("chunk", "docs", "runs", "m")), strict=True):
+                docs, runs, m = (_longs(c, k) for c, k in zip(cells, (np.int64, np.int64, U), strict=True))
+                if not len(m):
                     continue
-                parts = [texts[i - first] for i in held]
-                docs, names = (np.array([c[i].as_py() for i in held], dtype=np.int64) for c in (ids, keys))
-                h = Hashes(_tokens(b"".join(parts)), BASES[0])
-                sizes = np.array([len(b) for b in parts])
-                begin = np.cumsum(sizes) - sizes
-                grams = h.every(gram)
-                # The windows that start in a document and end in it, document by document.
-                live = sizes - width + 1
-                owner = np.repeat(np.arange(len(parts)), live)
-                start = np.arange(live.sum()) - np.repeat(np.cumsum(live) - live, live) + begin[owner]
-                low, turned = _leftmost(grams, reach, start)
-                off = ((low - start.astype(U) - turned) & _HELD).astype(np.int64)
-                place = start + off
-                m = grams[place]
-                gone = _recurring(start, owner, m, place, h, width)
-                head = heads(owner, m, place, gone)
-                n = np.diff(np.append(head, len(m)))
-                span = (start - begin[owner])[head] << 32 | off[head] << 20 | n
-                yield from out.add(m[head].view(np.int64), docs[owner[head]], names[owner[head]], span, gone[head])
-        yield from out.rest()
+                order = np.argsort(m)
+                m, doc = m[order], np.repeat(docs, runs)[order]
+                head = heads(m)
+                m = m[head]
+                bucket = ((m >> U(32)) * U(buckets) >> U(32)).view(np.int64)
+                part = heads(bucket)
+                sizes = np.diff(np.append(part, len(m)))
+                cells = (_packed(x, sizes) for x in (m, np.minimum.reduceat(doc, head), np.maximum.reduceat(doc, head)))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[part]), pa.array(np.full(len(part), chunk.as_py())), *cells], schema=_ASKED)
 
     return run
 
 
+_TOLD_M = pa.schema([("chunk", pa.int64()), ("m", pa.binary())])
+
+
+def _in_several(rows: pa.Table) -> pa.Table:
+    """To each chunk, those of its anchors in the bucket that several documents have."""
+    m, first, last = (np.concatenate([_longs(c, k) for c in rows.column(x)]) for x, k in (("m", U), ("first", np.int64), ("last", np.int64)))
+    order = np.argsort(m)
+    head = heads(m[order])
+    several = np.minimum.reduceat(first[order], head) < np.maximum.reduceat(last[order], head)
+    told = np.empty(len(m), dtype=bool)
+    told[order] = np.repeat(several, np.diff(np.append(head, len(m))))
+    size = np.array([len(c.as_buffer()) // 8 for c in rows.column("m")])
+    sizes = np.bincount(np.repeat(np.arange(len(size)), size)[told], minlength=len(size))
+    some = sizes > 0
+    chunks = rows.column("chunk").to_numpy()[some]
+    return pa.Table.from_arrays([pa.array(chunks), _packed(m[told], sizes[some])], schema=_TOLD_M)
+
+
+_LIVE = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("runs", pa.binary()), ("m", pa.binary())])
+
+
+def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of each document whose anchor is among the chunk's ``told``."""
+    out = Rows(_LIVE, 5_000)
+    for batch in batches:
+        for *cells, told in zip(*(batch.column(c) for c in ("docs", "keys", "runs", "m", "spans", "told")), strict=True):
+            docs, keys, runs, m, span = map(_longs, cells)
+            known = np.sort(np.concatenate([_longs(c, U) for c in told.values]))
+            m = m.view(U)
+            hit = known[np.minimum(np.searchsorted(known, m), len(known) - 1)] == m
+            n = np.bincount(np.repeat(np.arange(len(docs)), runs)[hit], minlength=len(docs))
+            some = n > 0
+            yield from out.add(docs[some], keys[some], *(_packed(x[hit], n[some]) for x in (span, m)))
+    yield from out.rest()
+
+
+def _shared_runs(chunks: DataFrame, size: int) -> DataFrame:
+    """(doc, key, runs, m): per document of the ``chunks`` (in order, packed) its runs whose anchor several documents have; rows that share an id and a text come once."""
+    runs = chunks.agg(F.sum("n")).first()[0] or 0
+    asked = chunks.select("chunk", "docs", "runs", "m").mapInArrow(_asked(runs // size + 1), "bucket long, chunk long, m binary, first binary, last binary")
+    told = asked.groupBy("bucket").applyInArrow(_in_several, "chunk long, m binary").groupBy("chunk").agg(F.collect_list("m").alias("told"))
+    live = chunks.drop("n", "own").join(told.hint("shuffle_hash"), "chunk").mapInArrow(_live, "doc long, key long, runs binary, m binary")
+    return live.dropDuplicates(["doc", "key"])
+
+
 def _ends(lo: np.ndarray, n: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Per run of each ``owner``, in order: the head of the run right after it, or its own last window where none follows at once."""
     e = lo + n - 1
@@ -170,11 +289,8 @@ def _end_windows(width: int):
         for batch in batches:
             ids, keys, runs = batch.column("doc"), batch.column("key"), batch.column("runs")
             for first, texts in text_chunks(batch, limit=CHUNK_BYTES // 4):
-                docs, names, lists = (c.slice(first, len(texts)) for c in (ids, keys, runs))
-                owner = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy())
-                s = lists.flatten().to_numpy()
-                order = np.lexsort((s, owner))
-                s, owner = s[order], owner[order]
+                docs, names, cells = (c.slice(first, len(texts)) for c in (ids, keys, runs))
+                owner, s = _unpacked(cells)
                 size = np.array([len(b) for b in texts])
                 begin = np.cumsum(size) - size
                 lo, n = s >> 32, s & LENGTH
@@ -188,10 +304,15 @@ def _end_windows(width: int):
     return run
 
 
+def _place() -> Column:
+    """Which of the texts of its id a window is in (33 bits of the key), over its position: one long, so that Spark aggregates it by hash."""
+    return F.shiftleft("key", 31).bitwiseOR(F.col("pos")).alias("place")
+
+
 def ranked(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc, key, pos, ..., name) of the ``windows`` (doc, key, pos, q0..q3, ...) that several documents have, and the table from which it is read.
 
-    ``name``: the earliest (doc, key, pos).
+    ``name``: the earliest document (``doc``) that has it, and where (``place``, see :func:`_place`).
     """
     whose = [c for c in windows.columns if c not in ("q0", "q1", "q2", "q3")]
     halves = windows.select(F.explode(F.array(F.struct(F.col("q0").alias("a"), F.col("q1").alias("b")), F.struct(F.col("q2").alias("a"), F.col("q3").alias("b")))).alias("x")).select("x.*")
@@ -200,8 +321,13 @@ def ranked(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
     left, right = (ranks.select(F.col("a").alias(x), F.col("b").alias(y), F.col("r").alias(r)) for x, y, r in (("q0", "q1", "r0"), ("q2", "q3", "r1")))
     pairs = materialise(windows.join(left.hint("shuffle_hash"), ["q0", "q1"]).join(right.hint("shuffle_hash"), ["q2", "q3"]).select(*whose, "r0", "r1"), "suffix-pairs")
     discard(ranks)
-    named = pairs.groupBy("r0", "r1").agg(F.min(F.struct("doc", "key", "pos")).alias("name"), F.max("doc").alias("last")).where("name.doc < last").drop("last")
-    return pairs.join(fresh(named, "r0", "r1").hint("shuffle_hash"), ["r0", "r1"]).select(*whose, "name"), pairs
+    return pairs.join(fresh(_named(pairs), "r0", "r1").hint("shuffle_hash"), ["r0", "r1"]).select(*whose, F.struct(F.col("first").alias("doc"), "place").alias("name")), pairs
+
+
+def _named(pairs: DataFrame) -> DataFrame:
+    """(r0, r1, first, place) of the pairs of ranks that several documents have."""
+    of = pairs.select("r0", "r1", "doc", _place()).groupBy("r0", "r1")
+    return of.agg(F.min("doc").alias("first"), F.min_by("place", "doc").alias("place"), F.max("doc").alias("last")).where("first < last").drop("last")
 
 
 _TOLD = pa.schema([("m", pa.int64()), ("doc", pa.int64()), ("key", pa.int64()), ("span", pa.int64()), ("gone", pa.bool_())])
@@ -211,24 +337,25 @@ def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each run, and whether both its ends lead to one earlier document, as far apart there as here."""
     out = Rows(_TOLD)
     for batch in batches:
-        runs, m, names = (batch.column(c) for c in ("runs", "m", "names"))
-        owner = np.repeat(np.arange(len(runs)), runs.value_lengths().to_numpy())
-        s, m = runs.flatten().to_numpy(), m.flatten().to_numpy()
-        order = np.lexsort((s, owner))
-        s, m, owner = s[order], m[order], owner[order]
+        names, (owner, s), (_, m) = batch.column("names"), *(_unpacked(batch.column(c)) for c in ("runs", "m"))
         docs, keys = (batch.column(c).to_numpy()[owner] for c in ("doc", "key"))
         gone, table = np.zeros(len(s), dtype=bool), names.flatten()
         if len(table):
             lo, n = s >> 32, s & LENGTH
             e = _ends(lo, n, owner)
-            pos, *name = (table.field(k).to_numpy() for k in range(4))
+            pos, *name = (table.field(k).to_numpy() for k in range(3))
             place = np.repeat(np.arange(len(names)), names.value_lengths().fill_null(0).to_numpy()) << 32 | pos
             by = np.argsort(place)
             place, name = place[by], [x[by] for x in name]
             a, b = (np.minimum(np.searchsorted(place, owner << 32 | p), len(place) - 1) for p in (lo, e))
             gone = (place[a] == owner << 32 | lo) & (place[b] == owner << 32 | e) & (name[0][a] < docs)
-            gone &= (name[0][a] == name[0][b]) & (name[1][a] == name[1][b]) & (name[2][b] - name[2][a] == e - lo)
-        yield from out.add(m, docs, keys, s, gone)
+            gone &= (name[0][a] == name[0][b]) & (name[1][a] >> 31 == name[1][b] >> 31) & (name[1][b] - name[1][a] == e - lo)
+        yield from out.add(m[~gone], docs[~gone], keys[~gone], s[~gone], np.zeros((~gone).sum(), dtype=bool))
+        # Of these only the place counts from here on, so those in a row are one span.
+        lo, n, docs, keys, owner = (x[gone] for x in (s >> 32, s & LENGTH, docs, keys, owner))
+        head = heads(owner, lo - np.cumsum(n) + n, lo // MOST)
+        if len(head):
+            yield from out.add(np.zeros(len(head), np.int64), docs[head], keys[head], lo[head] << 32 | np.add.reduceat(n, head), np.ones(len(head), dtype=bool))
     yield from out.rest()
 
 
@@ -324,28 +451,28 @@ def _settled(pieces: DataFrame, width: int) -> DataFrame:
     discard(ends)
     names = at_ends.where("name.doc < doc")
     lo, n = F.shiftright("span", 32), F.col("span").bitwiseAND(F.lit(LENGTH))
-    at = [F.max(F.when(F.col("pos") == p, F.col("name.pos"))).alias(x) for x, p in (("a", lo), ("b", lo + n - 1))]
-    by_piece = names.groupBy("doc", "key", "span").agg(*at, *(f(f"name.{c}").alias(f"{c}{k}") for c in ("doc", "key") for k, f in enumerate((F.min, F.max))))
-    alike = (F.col("doc0") == F.col("doc1")) & (F.col("key0") == F.col("key1")) & (F.col("b") - F.col("a") == n - 1)
+    at = [F.max(F.when(F.col("pos") == p, F.col("name.place"))).alias(x) for x, p in (("a", lo), ("b", lo + n - 1))]
+    by_piece = names.groupBy("doc", "key", "span").agg(*at, F.min("name.doc").alias("doc0"), F.max("name.doc").alias("doc1"))
+    alike = (F.col("doc0") == F.col("doc1")) & (F.shiftright("a", 31) == F.shiftright("b", 31)) & (F.col("b") - F.col("a") == n - 1)
     out = materialise(by_piece.where(alike).select("doc", "key", "span"), "suffix-settled")
     discard(pairs)
     return out
 
 
-def removal_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, blocks: tuple[int, ...] = BLOCKS) -> tuple[DataFrame, dict[str, DataFrame]]:
+def removal_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, blocks: tuple[int, ...] = BLOCKS, chunk: int = CHUNK_RUNS, bucket: int = BUCKET_RUNS) -> tuple[DataFrame, dict[str, DataFrame]]:
     """(doc, key, spans) of the documents with something to remove, and the tables by whose ranks it was decided.
 
     ``docs``: doc (long), key (long, tells apart the texts of one id) and text.
     """
     keyed = ["doc", "key"]
-    runs = materialise(docs.mapInArrow(_runs(width, gram), "m long, doc long, key long, span long, own boolean"), "suffix-runs")
-    live = materialise(_by_document(_shared(runs.where("not own").drop("own"), "m")), "suffix-live")
-    own = materialise(runs.where("own").select(*keyed, "span"), "suffix-own")
+    runs = materialise(docs.mapInArrow(_runs(width, gram, chunk), _CHUNK_DDL), "suffix-runs")
+    live = materialise(_shared_runs(runs, bucket), "suffix-live")
+    own = materialise(runs.select(F.explode("own").alias("x")).select("x.*"), "suffix-own")
     discard(runs)
     ends = materialise(docs.join(live.select(*keyed, "runs").hint("shuffle_hash"), keyed).mapInArrow(_end_windows(width), _WINDOW_DDL), "suffix-ends")
     at_ends, pairs = ranked(ends)
     discard(ends)
-    names = at_ends.groupBy(*keyed).agg(F.collect_list(F.struct("pos", F.col("name.doc").alias("d"), F.col("name.key").alias("k"), F.col("name.pos").alias("p"))).alias("names"))
+    names = at_ends.groupBy(*keyed).agg(F.collect_list(F.struct("pos", F.col("name.doc").alias("d"), F.col("name.place").alias("p"))).alias("names"))
     told = materialise(live.join(names.hint("shuffle_hash"), keyed, "left").mapInArrow(_told, "m long, doc long, key long, span long, gone boolean"), "suffix-told")
     discard(live, pairs)
     # The earliest copy of a window never goes, so what is left holds it.

@@ -116,6 +116,45 @@ def test_suffixes_rank_the_ends_of_runs_once(spark, monkeypatch, blocks):
     assert len(ranks) == len(blocks) + 2
 
 
+@pytest.mark.parametrize("chunk, bucket", [(1, 5), (200, 40), (1 << 17, 1 << 18)])
+def test_suffixes_ask_for_the_anchors_of_a_chunk_at_once(spark, monkeypatch, chunk, bucket):
+    from quarry.llm import suffix_dedup
+
+    rows, written = corpus(6), {}
+    # Texts that share an id and a passage, and one that has it later.
+    passage = "".join(random.Random(6).choices("abcdefgh", k=300))
+    rows += [(2000, "x" + passage, "c", 1), (2000, "other " + passage + passage[::-1], "c", 1), (2000, "x" + passage, "c", 1), (2001, passage[20:], "c", 1)]
+
+    def counted(df, label, write=suffix_dedup.materialise):
+        out = write(df, label)
+        if label == "suffix-runs":
+            written.update(rows=out.count(), runs=out.agg({"n": "sum"}).first()[0])
+        return out
+
+    def spans(docs, width, gram, of=suffix_dedup.removal_spans):
+        return of(docs, width, gram, chunk=chunk, bucket=bucket)
+
+    monkeypatch.setattr(suffix_dedup, "materialise", counted)
+    monkeypatch.setattr(suffix_dedup, "removal_spans", spans)
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in dedup_suffixes(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()]
+    alone = [r for r in rows if r[0] < 2000]
+    # Each text of id 2000 is compared with smaller ids only.
+    want = [(d, *x) for d, x in brute_bytes(alone, 100).items()] + [(2000, *brute_bytes([*alone, r], 100)[2000]) for r in rows if r[0] == 2000] + [(2001, *brute_bytes(rows, 100)[2001])]
+    assert sorted(got) == sorted(want)
+    assert written["runs"] > 1000
+    assert written["rows"] <= 3 + written["runs"] // chunk
+
+
+def test_ranks_are_named_without_a_sort(spark):
+    from quarry.llm import suffix_dedup
+
+    windows = spark.createDataFrame([(d, -7, p, 1, 2, 3, 4 + p) for d in (5, 3, 9) for p in (0, 1)] + [(1, 8, 6, 1, 2, 3, 40)], "doc long, key long, pos long, q0 long, q1 long, q2 long, q3 long")
+    named, _ = suffix_dedup.ranked(windows)
+    assert "SortAggregate" not in named._jdf.queryExecution().toString()
+    got = sorted((r["doc"], r["pos"], r["name"]["doc"], r["name"]["place"] & (1 << 31) - 1, r["name"]["place"] >> 31) for r in named.collect())
+    assert got == sorted((d, p, 3, p, -7) for d in (5, 3, 9) for p in (0, 1))
+
+
 def test_long_document_wraps_the_place_count(spark, monkeypatch):
     from quarry.llm import suffix_dedup
 
